@@ -47,11 +47,13 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str, rows: int, least: int =
     return counts.where(F.col(n) >= max(least, rows // share)).select(*keys)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, salt_on: str, salts: int = 64, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, salt_on: str, salts: int | None = None, how: str = "inner") -> DataFrame:
     """Equi-join of big to small (one row a key), hot keys of big dealt over `salts` partitions.
 
-    hot: bounded (see hot_keys). salt_on: a column of big that differs between rows of one key.
+    hot: bounded (see hot_keys). salt_on: a column of big that differs between rows of one key. salts: by default as
+    many as there are shuffle partitions, 64 at least.
     """
+    salts = salts or max(64, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marked = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
