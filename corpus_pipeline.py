@@ -5,19 +5,51 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from freshet.llm import bpe
-from freshet.llm.common import scratch_dir
+from freshet.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from freshet.llm.common import cut, scratch_dir, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as 1; rejected ones go."""
+    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"), keep_columns=True)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows whose doc_id is in kept. A doc_id stands once: of rows that repeat it, the one with the greatest text stays."""
+    kept = cut(kept.select("doc_id").distinct(), "kept")
+    found = docs.join(kept, "doc_id", "left_semi")
+    again = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return found
+    columns = [c for c in docs.columns if c != "doc_id"]
+    twice = found.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", *[c for c in columns if c != "text"])).alias("r"))
+    return found.join(again, "doc_id", "left_anti").unionByName(twice.select("doc_id", *[F.col("r")[c].alias(c) for c in columns]))
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts. Rows without a doc_id cannot be told apart and go."""
+    return keep_named(docs, exact_dedup.exact_dedup(docs).where("kept AND doc_id IS NOT NULL"))
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, that of the least doc_id."""
+    return keep_named(docs, near_dedup.near_duplicate_classes(docs).where("kept"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by source weights: a row for each document and pass that takes of it, with the words taken."""
+    return mixing.mixed_documents(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every whole text; repeated rows stay rows of their own."""
+    """Encode every whole text; a document that the mix takes several times is encoded each time."""
     return bpe.encode_documents(docs, with_ids=True)
 
 
-STAGES = [("tokenise", tokenise)]
+STAGES = [("quality", keep_quality), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("mixing", mix), ("tokenise", tokenise)]
 
 #: SQL cannot express the classifier, the near-duplicates or the encoder.
 ORACLE_SQL = None
