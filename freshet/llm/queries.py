@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, topk
+from . import bpe, exact_dedup, html_text, mixing, near_dedup, quality, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality": quality.op7_quality,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_urls": url_filter.op9_urls,
+    "op10_html": html_text.op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
