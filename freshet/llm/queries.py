@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, mixing, near_dedup, quality, quotes, topk, url_filter
+from . import bpe, exact_dedup, html_text, lm_score, mixing, near_dedup, quality, quotes, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": topk.op1_topk,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_mixing": mixing.op3_mixing,
     "op4_quotes": quotes.op4_quotes,
     "op5_bpe": bpe.op5_bpe,
