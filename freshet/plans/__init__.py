@@ -1,12 +1,4 @@
 """Registered queries: freshet operators applied to the driver's tables, with their SQL twins."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import series, signatures  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES, Query  # noqa: F401
