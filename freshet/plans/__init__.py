@@ -1,4 +1,4 @@
 """Registered queries: freshet operators applied to the driver's tables, with their SQL twins."""
 
-from . import climate, series, signatures  # noqa: F401
+from . import climate, grid, series, signatures  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES, Query  # noqa: F401
