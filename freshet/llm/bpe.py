@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Bounds of the memos in a worker; they are emptied when full and never change results.
-PIECES, PAIRS = 300_000, 1_000_000
+PIECES, PAIRS = 700_000, 500_000
 
 
 class Bpe:
@@ -38,7 +39,8 @@ class Bpe:
         for t, i in self.ids.items():
             self.trie.add_word(t, i)
         self.trie.make_automaton()
-        self.longest: dict[str, int] = {}
+        # the longest shorter token that a token begins with, -1 for none
+        self.shorter = {i: next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), -1) for t, i in self.ids.items()}
         # how a token splits: the last merge that forms it, or none for single bytes
         self.split: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
@@ -48,7 +50,7 @@ class Bpe:
                 self.split[i] = found
                 self.merge[found] = i
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[list[int], str, bytes]] = {}
+        self.pieces: dict[str, tuple[int, str, bytes]] = {}
 
     def _halves(self, t: str, rank: int) -> tuple[int, int] | None:
         """The two tokens that the merges below this rank leave of t, by plain merging."""
@@ -87,47 +89,38 @@ class Bpe:
             else:
                 limit, right = right + 1, second[0]
 
-    def _matches(self, s: str) -> list[list[int]]:
-        """Tokens that start at each place, shortest first."""
-        at: list[list[int]] = [[] for _ in s]
-        length = self.length
-        for end, i in self.trie.iter(s):
-            at[end - length[i] + 1].append(i)
-        return at
-
     def encode_piece(self, piece: bytes) -> list[int]:
         s = piece.decode("latin-1")
-        if (whole := self.ids.get(s)) is not None and (whole in self.split or len(s) == 1):
+        whole = self.ids.get(s)
+        if whole is not None and (whole in self.split or len(s) == 1):
             return [whole]
-        at, n, length = self._matches(s), len(s), self.length
+        n, length, shorter, fits = len(s), self.length, self.shorter, self.fits
+        longest = [-1] * (n + 1)
+        for end, i in self.trie.iter(s):  # ends ascend, so the last one to start at a place is the longest there
+            longest[end - length[i] + 1] = i
         out: list[int] = []
         dead = bytearray(n + 1)
-        place, choice = 0, [len(at[0]) - 1] if n else [-1]
+        place, token = 0, longest[0]
         while place < n:
-            here, k = at[place], choice[-1]
-            while k >= 0:
-                token = here[k]
-                if not dead[place + length[token]] and (not out or self.fits(out[-1], token)):
-                    break
-                k -= 1
-            if k >= 0:
-                choice[-1] = k
-                out.append(here[k])
-                place += length[here[k]]
-                choice.append(len(at[place]) - 1 if place < n else -1)
+            while token >= 0 and (dead[place + length[token]] or (out and not fits(out[-1], token))):
+                token = shorter[token]
+            if token >= 0:
+                out.append(token)
+                place += length[token]
+                token = longest[place]
             else:
                 dead[place] = 1
-                choice.pop()
-                place -= length[out.pop()]
-                choice[-1] -= 1
+                token = out.pop()
+                place -= length[token]
+                token = shorter[token]
         return out
 
-    def piece(self, text: str) -> tuple[list[int], str, bytes]:
-        """Ids of a pattern match, joined by commas, and the bytes that decoding them gives; memoised if short."""
+    def piece(self, text: str) -> tuple[int, str, bytes]:
+        """Of a pattern match: number of ids, ids joined by commas, the bytes that decoding them gives; memoised if short."""
         found = self.pieces.get(text)
         if found is None:
             ids = self.encode_piece(text.encode("utf-8", "surrogatepass"))
-            found = (ids, ",".join(map(str, ids)), self.decode(ids))
+            found = (len(ids), ",".join(map(str, ids)), self.decode(ids))
             if len(text) <= 64:
                 if len(self.pieces) >= PIECES:
                     self.pieces.clear()
@@ -135,7 +128,7 @@ class Bpe:
         return found
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.find(text) for i in self.piece(p)[0]]
+        return [i for p in self.find(text) for i in self.encode_piece(p.encode("utf-8", "surrogatepass"))]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -175,11 +168,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             for value in batch.column(1).to_pylist():
                 known, own = bpe.pieces.get, bpe.piece
                 found = [known(p) or own(p) for p in bpe.find(value or "")]
-                out["n_tokens"].append(sum([len(x[0]) for x in found]))
-                out["ids_sha256"].append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
+                out["n_tokens"].append(sum([x[0] for x in found]))
+                out["ids_sha256"].append(hashlib.sha256((ids := ",".join([x[1] for x in found])).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
                 if with_ids:
-                    out["ids"].append([i for x in found for i in x[0]])
+                    out["ids"].append(np.array(ids.split(",") if ids else [], np.int32))
             arrays = [batch.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
