@@ -1 +1 @@
-
+"""Readers and writers of the formats that the jobs exchange."""
