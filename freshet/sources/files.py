@@ -6,11 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
-SERIES = T.StructType.fromDDL("site_id string, schema string, dates array<string>, values array<double>, q_cms array<double>, value_column string, variable string, product string, source string, units string, timestep string, approval_codes array<string>, qualifier_codes array<string>, other_columns map<string, array<double>>")
+SERIES = "site_id string, schema string, dates array<string>, values array<double>, q_cms array<double>, value_column string, variable string, product string, source string, units string, timestep string, approval_codes array<string>, qualifier_codes array<string>, other_columns map<string, array<double>>"
 FEATURES = "features array<struct<id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: array<double>>>>"
 TEXT_FILES = "*.{txt,md,rst}"
 
