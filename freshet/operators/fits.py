@@ -25,7 +25,7 @@ def baseflow(series: DataFrame, alpha: float = 0.925, passes: int = 3, key: str
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) <= 30:
-            return pd.DataFrame({key: [], "date": [], "value": [], "baseflow": []}).astype({"value": float, "baseflow": float})
+            return frame.iloc[:0][[key, "date", "value"]].assign(baseflow=0.0)
         frame = frame.sort_values("date")
         q = frame["value"].to_numpy(float)
         return frame[[key, "date", "value"]].assign(baseflow=np.minimum(np.maximum(N.lyne_hollick(q, alpha, passes), 0), q))

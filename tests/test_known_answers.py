@@ -1,0 +1,180 @@
+"""Known answers of single operators on tiny tables."""
+
+import datetime as dt
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from freshet.functions import numeric as N
+from freshet.functions import scalars as S
+from freshet.functions.stemmer import stem
+from freshet.operators import climate, fits, grid, ledger, network, series, signatures, text, validators
+
+D = dt.date(2000, 1, 1)
+
+
+def daily(spark, values, site="a", start=D):
+    return spark.createDataFrame([(site, start + dt.timedelta(i), v) for i, v in enumerate(values)], "site_id string, date date, value double")
+
+
+def test_runs_with_gaps(spark):
+    rows = [("a", D + dt.timedelta(i), v) for i, v in ((0, 6.0), (1, 7.0), (2, 8.0), (4, 9.0), (5, 6.0), (6, 1.0))]
+    s = spark.createDataFrame(rows, "site_id string, date date, value double")
+    broken = sorted((r.length, r.calendar_days) for r in series.threshold_runs(s, 5).collect())
+    assert broken == [(2, 2), (3, 3)]
+    (skip,) = series.threshold_runs(s, 5, gaps="skip").collect()
+    assert (skip.length, skip.calendar_days) == (5, 6)
+    best = series.longest_run(series.threshold_runs(s, 5)).first()
+    assert best.longest == 3 and best.longest_start == D and best.n_passing == 5
+
+
+def test_cleaning(spark):
+    raw = spark.createDataFrame([("a", "2000-01-01T05", "1.5"), ("a", "2000-01-02", "NaN"), ("a", "2000-01-03", "x"), ("a", "2000-01-04", "1"), ("a", "2000-01-04", "2"), ("a", "bad", "1")], "site_id string, date string, value string")
+    good, bad = series.make_series(raw)
+    assert sorted((r.date.day, r.value) for r in good.where("value IS NOT NULL").collect()) == [(1, 1.5)] and good.count() == 3
+    assert {(r.date, r.n) for r in bad.collect()} == {(dt.date(2000, 1, 4), 2), (None, 1)}
+    with pytest.raises(ValueError):
+        series.window(good, "2001-01-01", "2000-01-01")
+
+
+def test_quantile_conventions(spark):
+    ramp = daily(spark, [float(i) for i in range(1, 1001)])
+    s = signatures.flow_statistics(ramp).first()
+    assert (s.q5, s.q95) == (pytest.approx(50.95), pytest.approx(950.05))
+    q = signatures.exceedance_flows(daily(spark, [float(i) for i in range(1, 101)])).first()
+    assert q.Q95 < q.Q50 < q.Q05 and q.Q95 == pytest.approx(5.95)
+    assert signatures.flow_statistics(daily(spark, [1.0, 2.0, 3.0])).first().q_mean is None
+    curve = signatures.duration_curve(ramp).agg(F.min("exceedance"), F.max("exceedance")).first()
+    assert 0 < curve[0] < curve[1] < 1
+
+
+def test_agreement(spark):
+    a = daily(spark, [1.0, 2.0, 3.0, 4.0, None])
+    same = series.agreement(a, a).first()
+    assert same.kge == pytest.approx(1) and same.nse == 1 and same.n_pairs == 4 and same.n_common == 5
+    flat = series.agreement(daily(spark, [2.0] * 5), a).first()
+    assert flat.r is None and flat.kge is None and flat.nse is None
+
+
+def test_baseflow_answers(spark):
+    spikes = [25.0 if i in (40, 110, 180, 250) else 2.0 for i in range(300)]
+    for values, want in (([5.0] * 500, 0.9864), (spikes, 0.8476), ([1.0, 20.0] * 150, 0.2064)):
+        got = fits.baseflow_index(fits.baseflow(daily(spark, values))).first()
+        assert got.bfi == pytest.approx(want, abs=1e-3)
+    assert fits.baseflow(daily(spark, [1.0] * 30)).count() == 0
+
+
+def test_annual_maxima_and_gumbel(spark):
+    s = daily(spark, [100.0 + (i % 365) / 10 for i in range(365 * 8 + 2)], start=dt.date(1999, 7, 15))
+    years = {r.year: r.complete for r in signatures.annual_maxima(s).collect()}
+    assert years[1999] is False and all(years[y] for y in range(2000, 2007))
+    maxima = spark.createDataFrame([("a", y, v, True) for y, v in zip(range(1, 8), (10.0, 12.0, 9.0, 15.0, 11.0, 13.0, 20.0))], "site_id string, year int, annual_max double, complete boolean")
+    x = np.array([10.0, 12, 9, 15, 11, 13, 20])
+    beta = x.std(ddof=1) * math.sqrt(6) / math.pi
+    levels = {r.return_period: r.level for r in signatures.gumbel_moments(maxima).collect()}
+    assert levels[100] == pytest.approx(x.mean() - 0.5772156649 * beta - beta * math.log(-math.log(0.99)))
+    for dist in ("gumbel", "gev", "lp3"):
+        rows = fits.flood_frequency(maxima, dist, resamples=50).orderBy("return_period").collect()
+        assert [r.level for r in rows] == sorted(r.level for r in rows) and all(r.ci_low <= r.level <= r.ci_high for r in rows)
+    assert fits.flood_frequency(maxima.where("year < 4")).count() == 0
+
+
+def test_numeric_helpers():
+    assert N.normal_quantile(np.array([0.975]))[0] == pytest.approx(1.959964, abs=1e-6)
+    assert N.gamma_cdf(np.array([2.0, 30.0]), 1.0, 2.0) == pytest.approx([1 - math.exp(-1), 1 - math.exp(-15)])
+    z = N.standardise_gamma(np.random.default_rng(1).gamma(2, 3, 600))
+    assert abs(z.mean()) < 0.1 and 0.8 < z.std() < 1.2
+    loc, scale = N.gumbel_mle(np.random.default_rng(2).gumbel(100, 20, 20000))
+    assert loc == pytest.approx(100, rel=0.02) and scale == pytest.approx(20, rel=0.03)
+    assert N.mann_kendall_p(10, 5, []) == pytest.approx(2 / 120)
+    assert N.mann_kendall_p(0, 4, []) == 1
+
+
+def test_event_runoff(spark):
+    row = spark.range(1).select(S.scs_runoff(F.lit(100.0), F.lit(80.0)).alias("q"), S.scs_runoff(F.lit(5.0), F.lit(80.0)).alias("z"), S.scs_runoff(F.lit(5.0), F.lit(120.0)).alias("n"), S.kirpich_hours(F.lit(1000.0), F.lit(0.01)).alias("tc"), S.gauge_key(F.lit("USGS-1013500")).alias("g"), S.unit_key(F.lit(" m³/S")).alias("u"), S.convert(F.lit(32.0), F.lit("°F"), F.lit("C")).alias("c"), S.convert(F.lit(1.0), F.lit("m"), F.lit("cfs")).alias("x"), S.significant(F.lit(123456.789)).alias("d")).first()
+    s = 25400 / 80 - 254
+    assert row.q == pytest.approx((100 - 0.2 * s) ** 2 / (100 + 0.8 * s)) and row.z == 0 and row.n is None
+    assert row.tc == pytest.approx(0.0663 * 0.01**-0.385) and row.g == "01013500" and row.u == "m3/s" and row.c == pytest.approx(0) and row.x is None and row.d == 123457
+
+
+def test_contingency_and_masks(spark):
+    cells = [("b", r, c, m, f) for r, c, m, f in ((0, 0, 1, 1), (0, 1, 1, 1), (0, 2, 1, 1), (1, 0, 0, 1), (1, 1, 0, 1), (1, 2, 1, 0), (2, 0, 1, 0), (2, 1, 0, 0), (2, 2, None, 1))]
+    df = spark.createDataFrame(cells, "basin_id string, row int, col int, model int, reference int")
+    x = grid.contingency(df).first()
+    assert (x.hits, x.misses, x.false_alarms, x.correct_negatives, x.excluded) == (3, 2, 2, 1, 1) and x.csi == pytest.approx(3 / 7)
+    with pytest.raises(Exception, match="neither 0 nor 1"):
+        grid.contingency(df.withColumn("model", F.lit(2))).collect()
+    mask = df.select("basin_id", "row", "col", F.coalesce("model", F.lit(0)).alias("value"))
+    back = grid.decode_mask(grid.encode_mask(mask, 3), 3)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, mask.collect()))
+    one = df.where("row = 0 AND col = 0").select("basin_id", "row", "col")
+    assert grid.dilate(one, df, 1).count() == 4 and grid.dilate(one, df, 2).count() == 9
+
+
+def test_stage_by_manning(spark):
+    row = spark.range(1).select(grid.manning_stage(F.lit(50.0), F.lit(20.0), F.lit(0.001), F.lit(0.035)).alias("h"), grid.manning_stage(F.lit(0.0), F.lit(20.0), F.lit(0.001), F.lit(0.035)).alias("z")).first()
+    area = 20 * row.h
+    assert area * (area / (20 + 2 * row.h)) ** (2 / 3) * math.sqrt(0.001) / 0.035 == pytest.approx(50, rel=1e-6) and row.z == 0
+
+
+def test_points_in_basins(spark):
+    ring = [(0.1, 0.1), (3.9, 0.1), (3.9, 3.9), (2.0, 2.0), (0.1, 3.9), (0.1, 0.1)]
+    basins = spark.createDataFrame([("b", [{"lon": x, "lat": y} for x, y in ring])], "basin_id string, ring array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([("in", 1.0, 1.0), ("notch", 2.0, 3.0), ("out", 5.0, 1.0)], "point_id string, lon double, lat double")
+    assert [r.point_id for r in network.points_in_basins(points, basins).collect()] == ["in"]
+
+
+def test_monthly_validity(spark):
+    values = [1.0] * 31 + [1.0 if i >= 5 else None for i in range(29)] + [None if i % 3 == 0 else 1.0 for i in range(31)]
+    months = {r.month: r.valid for r in climate.valid_months(daily(spark, values)).collect()}
+    assert months == {1: True, 2: False, 3: False}
+
+
+def test_seasonal_and_stationarity(spark):
+    rows = [("a", y, m, y * 1.0 + m) for y in range(2000, 2010) for m in range(1, 13)]
+    r = fits.seasonal_kendall(spark.createDataFrame(rows, "site_id string, year int, month int, value double")).first()
+    assert r.slope == pytest.approx(1) and r.p < 0.01
+    up = daily(spark, [1.0 + i / 100 for i in range(365 * 9)], start=dt.date(1999, 10, 1))
+    assert fits.stationarity(up).first().status == "warning"
+    assert fits.stationarity(daily(spark, [1.0] * 400)).first().status == "insufficient_data"
+
+
+def test_passages(spark):
+    docs = spark.createDataFrame([("long", " ".join(f"w{i}" for i in range(450))), ("short", "one two"), ("none", "  ")], "doc_name string, text string")
+    got = {(r.doc_name, r.chunk_idx): r.text.split() for r in text.chunk_passages(docs).collect()}
+    assert sorted(got) == [("long", 0), ("long", 1), ("long", 2), ("short", 0)]
+    assert got["long", 1][0] == "w160" and got["long", 2][-1] == "w449"
+    h = spark.range(1).select(S.text_hash(F.lit(" A  b\n")).alias("a"), S.text_hash(F.lit("a b")).alias("b")).first()
+    assert h.a == h.b and len(h.a) == 16
+
+
+def test_search(spark):
+    p = spark.createDataFrame([("1", "Baseflow index of rivers"), ("2", "Rivers and lakes"), ("3", "the index of everything indexed"), ("4", "nothing here")], "passage_id string, text string")
+    q = spark.createDataFrame([(1, "What is the baseflow index?")], "query_id int, question string")
+    assert [r.passage_id for r in text.bm25(p, q).orderBy("rank").collect()] == ["1", "3"]
+    assert text.grep_rank(p, q).where("rank = 1").first().passage_id == "1"
+
+
+@pytest.mark.parametrize("word,want", [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("relational", "relat"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("generalizations", "gener"), ("oscillators", "oscil"), ("controll", "control"), ("sky", "sky")])
+def test_stemmer(word, want):
+    assert stem(word) == want
+
+
+def test_lineage_survives_cycles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "child long, parent long")
+    got = {r.run_id: r.steps for r in ledger.lineage(edges, spark.createDataFrame([(1,)], "start long")).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 3}
+
+
+def test_verdicts(spark):
+    row = spark.range(1).select(validators.record_length(F.lit(3649)).alias("a"), validators.record_length(F.lit(None).cast("int")).alias("b"), validators.water_balance(F.lit(1.05))[1].alias("c"), validators.water_balance(F.lit(float("nan")))[0].alias("d")).first()
+    assert tuple(row) == ("fail", "insufficient_data", "medium", "insufficient_data")
+
+
+def test_partitions_and_order_do_not_matter(spark):
+    s = daily(spark, [float((i * 37) % 101) for i in range(900)])
+    for f in (lambda x: series.threshold_runs(x, 50), lambda x: fits.bootstrap(x, "p90", "block", resamples=50), lambda x: fits.smoothed_minima(x)):
+        one, many = f(s.coalesce(1)), f(s.orderBy(F.rand(3)).repartition(7))
+        assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
