@@ -52,7 +52,7 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str, rows: int, least: int =
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, salt_on: str, salts: int | None = None, how: str = "inner") -> DataFrame:
     """Equi-join of big to small (one row a key), hot keys of big dealt over `salts` partitions.
 
-    hot: bounded (see hot_keys). salt_on: a column of big that differs between rows of one key. salts: by default as
+    The join shuffles both sides at every size, so that it costs alike for each row. hot: bounded (see hot_keys). salt_on: a column of big that differs between rows of one key. salts: by default as
     many as there are shuffle partitions, 64 at least.
     """
     salts = salts or max(64, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -61,7 +61,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFram
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = big.join(marked, keys, "left").withColumn("_salt", salt).drop("_hot")
     right = small.join(marked, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how)
+    return left.join(right.hint("merge"), [*keys, "_salt"], how)
 
 
 def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

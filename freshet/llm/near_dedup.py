@@ -215,12 +215,15 @@ def near_duplicate_classes(docs: DataFrame, options: Options = Options()) -> Dat
     hot = hot_keys(buckets, bucket, "n", total)
     members = cut(salted_join(entries, buckets, bucket, hot, "doc_id").select(*bucket, "doc_id", "hub", "n"), "members")
 
+    # the texts of all buckets, fetched once for both rounds
+    texts = cut(docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id"), "texts")
+
     # each text against the hubs of its buckets
     pairs = members.where("doc_id <> hub").groupBy("hub", "doc_id").agg(F.max(F.ceil(F.col("n") / 256)).alias("salts"))
     pairs = cut(pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), "salts")), "pairs")
     group = ["hub", "salts", "salt"]
     rows = pairs.select(*group, F.lit(1).alias("kind"), "doc_id").unionByName(pairs.select(*group).distinct().select(*group, F.lit(0).alias("kind"), F.col("hub").alias("doc_id")))
-    links = cut(_verify(rows.join(docs, "doc_id").withColumn("label", F.col("doc_id")), group, options), "links")
+    links = cut(_verify(rows.hint("merge").join(texts, "doc_id").withColumn("label", F.col("doc_id")), group, options), "links")
     labels = connected_components(links)
 
     # texts outside the largest component of a bucket, against all others there
@@ -235,7 +238,7 @@ def near_duplicate_classes(docs: DataFrame, options: Options = Options()) -> Dat
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
         stray = here.where("label <> main").select(*bucket, F.pmod(h, "blocks").cast("int").alias("block"), every("salts").alias("salt"), F.lit(0).alias("kind"), "doc_id", "label")
         other = here.select(*bucket, every("blocks").alias("block"), F.pmod(h, "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "label")
-        more = cut(_verify(stray.unionByName(other).join(docs, "doc_id"), [*bucket, "block", "salt"], options), "links").distinct()
+        more = cut(_verify(stray.unionByName(other).hint("merge").join(texts, "doc_id"), [*bucket, "block", "salt"], options), "links").distinct()
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = connected_components(links)
