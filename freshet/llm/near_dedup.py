@@ -163,6 +163,60 @@ def sketch(docs: DataFrame, options: Options) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, w1 long, w2 long, keys array<long>")
 
 
+class Held:
+    """The sequences that a group's other texts are compared with, and an index of their labels."""
+
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.classes: list[int] = []
+        self.sorted: list[np.ndarray] = []
+        self.order: list[np.ndarray] = []
+        self.all: np.ndarray | None = None
+        self.parent: dict[int, int] = {}
+
+    def find(self, label: int) -> int:
+        """What a label has come to be joined with inside this group."""
+        while (up := self.parent.get(label, label)) != label:
+            label = up
+        return label
+
+    def add(self, doc: int, label: int, labelled: np.ndarray) -> None:
+        order = np.argsort(labelled, kind="stable")
+        self.ids.append(doc)
+        self.classes.append(label)
+        self.sorted.append(labelled[order])
+        self.order.append(order)
+        self.all = None
+
+    def links(self, label: int, b: np.ndarray, similarity: float) -> list[int]:
+        """Ids of sequences that align with b, one at most for each label that was not joined with b's before.
+
+        Only those that share enough labels are aligned: no alignment can have more pairs than there are shared labels.
+        """
+        if not self.ids:
+            return []
+        if self.all is None:
+            self.lengths, self.roots = np.array([len(x) for x in self.sorted]), np.array([self.find(c) for c in self.classes])
+            flat = np.concatenate(self.sorted)
+            order = np.argsort(flat, kind="stable")
+            self.all, self.owner = flat[order], np.repeat(np.arange(len(self.ids)), self.lengths)[order]
+        root = self.find(label)
+        if (self.roots == root).all():
+            return []
+        low, high = np.searchsorted(self.all, b, "left"), np.searchsorted(self.all, b, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        shared = np.bincount(self.owner[at], minlength=len(self.ids))
+        enough = (shared >= similarity / (1 + similarity) * (self.lengths + len(b)) - 1e-9) & (self.roots != root)
+        out = []
+        for i in np.flatnonzero(enough):
+            if self.roots[i] != root and aligned(self.sorted[i], self.order[i], b, similarity) >= similarity - 1e-12:
+                out.append(self.ids[i])
+                self.parent[int(self.roots[i])] = root
+                self.roots[self.roots == self.roots[i]] = root
+        return out
+
+
 def _verify(rows: DataFrame, group: list[str], options: Options) -> DataFrame:
     """Links (a, b) of rows that stream in groups, those of kind 0 (held, with their shingles) before those of kind 1.
 
@@ -170,7 +224,7 @@ def _verify(rows: DataFrame, group: list[str], options: Options) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, now, held = _Hash(), None, []
+        memo, now, held = _Hash(), None, Held()
         for batch in batches:
             kinds, ids, labels, texts = (batch.column(len(group) + i).to_pylist() for i in range(4))
             groups = list(zip(*(batch.column(i).to_pylist() for i in range(len(group)))))
@@ -178,13 +232,12 @@ def _verify(rows: DataFrame, group: list[str], options: Options) -> DataFrame:
             links = []
             for i, own in enumerate(groups):
                 if own != now:
-                    now, held = own, []
+                    now, held = own, Held()
                 b = labelled[ends[i] : ends[i + 1]]
                 if kinds[i] == 0:
-                    order = np.argsort(b, kind="stable")
-                    held.append((ids[i], labels[i], b[order], order))
+                    held.add(ids[i], labels[i], b)
                 else:
-                    links += [(doc, ids[i]) for doc, label, values, order in held if label != labels[i] and aligned(values, order, b, options.similarity) >= options.similarity - 1e-12]
+                    links += [(doc, ids[i]) for doc in held.links(labels[i], b, options.similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     ordered = rows.select(*group, "kind", "doc_id", "label", "text").repartition(*group).sortWithinPartitions(*group, "kind", "doc_id")
