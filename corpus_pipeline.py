@@ -13,14 +13,13 @@ from freshet.llm.common import cut, scratch_dir, table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as 1; rejected ones go."""
-    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"), keep_columns=True)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.quality_scores(docs, table(spark, sf_dir, "labels"), keep_columns=True)
 
 
 def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows whose doc_id is in kept. A doc_id stands once: of rows that repeat it, the one with the greatest text stays."""
     kept = cut(kept.select("doc_id").distinct(), "kept")
-    found = docs.join(kept, "doc_id", "left_semi")
+    found = docs.join(kept.hint("merge"), "doc_id", "left_semi")
     again = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
     if again.isEmpty():
         return found

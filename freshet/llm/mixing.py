@@ -155,9 +155,10 @@ def mix_sources(docs: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most: flo
     touched = copies.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     low = F.greatest(F.col("at"), F.col("block") * block)
     touched = touched.select("doc_id", "source", "copy", "size", "block", (low - F.col("at")).alias("start"), (low - F.col("block") * block).alias("inside"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - low).alias("length"))
+    # hints: Spark takes what Python functions give for as small as what they read, and would broadcast it
     slots = draw_slots(targets.select("source", "source_size", "take_words"), block, seed)
     mark = lambda d: d.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    met = mark(touched).join(mark(slots).drop("source"), ["source_key", "block"]).withColumn("n", F.least("length", F.col("take") - F.col("inside"))).where("n > 0")
+    met = mark(touched).join(mark(slots).drop("source").hint("merge"), ["source_key", "block"]).withColumn("n", F.least("length", F.col("take") - F.col("inside"))).where("n > 0")
     spans = met.select("doc_id", "source", "size", "copy", "shard", "slot", "pass", "start", "n")
     named = targets.select(F.col("source").alias("s"), "source_size", "target")
     documents = sized.join(F.broadcast(named) if targets.count() <= 10_000 else named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -191,11 +192,12 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     # keys without nulls; rows alike are numbered, and the number is compared after the join, which then needs no other shuffle
     keys = {"k": F.coalesce("doc_id", F.lit(-(2**63))), "s": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))}
     parts = parts.select(*[c.alias(k) for k, c in keys.items()], F.col("size").alias("z"), F.col("copy").alias("number"), "taken", "spans")
-    rows = docs.withColumns(keys).withColumn("z", words_in(F.col("text"))).where("z > 0")
+    whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("doc")  # columns of any name
+    rows = docs.select(whole, *[c.alias(k) for k, c in keys.items()], words_in(F.col("text")).alias("z")).where("z > 0")
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("k", "s", "z").orderBy("z")) - 1)
-    joined = rows.join(parts, ["k", "s", "z"]).where("row - number = 0")
+    joined = rows.join(parts.hint("merge"), ["k", "s", "z"]).where("row - number = 0")
     # word i of the text is its i-th run without white space, kept with what follows it; touching stretches are one
-    pieces = F.when(F.col("taken") < F.col("z"), F.regexp_extract_all("text", F.lit(rf"{WORD}[{SPACE}]*"), F.lit(0)))
+    pieces = F.when(F.col("taken") < F.col("z"), F.regexp_extract_all("doc.text", F.lit(rf"{WORD}[{SPACE}]*"), F.lit(0)))
     last = lambda done: F.element_at(done, -1)
     grown = lambda done, x: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last(done)["start"].alias("start"), (last(done)["n"] + x["n"]).alias("n"))))
     merged = F.aggregate(
@@ -204,9 +206,10 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
         lambda done, x: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["start"] + F.try_element_at(done, F.lit(-1))["n"] == x["start"]), grown(done, x)).otherwise(F.concat(done, F.array(x))),
     )
     stretch = lambda x: F.regexp_replace(F.array_join(F.slice("pieces", (x["start"] + 1).cast("int"), x["n"].cast("int")), ""), rf"[{SPACE}]+$", "")
-    text = F.when(F.size("pieces") > 0, F.array_join(F.transform("merged", stretch), "\n")).otherwise(F.col("text"))
-    mixed = joined.withColumn("pieces", pieces).withColumn("merged", merged).withColumn("text", text)
-    return mixed.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    text = F.when(F.size("pieces") > 0, F.array_join(F.transform("merged", stretch), "\n")).otherwise(F.col("doc.text"))
+    mixed = joined.withColumn("pieces", pieces).withColumn("merged", merged).withColumn("mixed", text)
+    made = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+    return mixed.select(*[made.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
