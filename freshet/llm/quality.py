@@ -62,13 +62,20 @@ class Model:
     power: float
 
     def weigh(self, block: np.ndarray) -> np.ndarray:
-        x = np.log1p(block) * self.idf
-        for part in (x[:, :WORDS], x[:, WORDS:]):
-            part /= np.maximum(np.sqrt((part * part).sum(1, keepdims=True)), 1e-9)
-        return x
+        """In place, a few rows at a time: the sample's rows are the largest thing that the driver holds."""
+        for at in range(0, len(block), 256):
+            x = block[at : at + 256]
+            np.log1p(x, out=x)
+            x *= self.idf
+            for part in (x[:, :WORDS], x[:, WORDS:]):
+                part /= np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part))[:, None], 1e-9)
+        return block
 
     def latent(self, block: np.ndarray) -> np.ndarray:
-        z = self.weigh(block) @ self.axes
+        return self.unit(self.weigh(block))
+
+    def unit(self, weighed: np.ndarray) -> np.ndarray:
+        z = weighed @ self.axes
         return z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9)
 
     def score(self, block: np.ndarray) -> np.ndarray:
@@ -97,7 +104,7 @@ def fit(features: np.ndarray, labels: np.ndarray, dimensions: int = 64, neighbou
         y = x @ (x.T @ np.linalg.qr(y)[0])
     q = np.linalg.qr(y)[0]
     model.axes = np.ascontiguousarray(np.linalg.svd(q.T @ x, full_matrices=False)[2][:dimensions].T)
-    model.vectors = model.latent(features)
+    model.vectors = model.unit(x)
     return model
 
 
@@ -139,8 +146,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = 4096, thresh
 
     The model is fitted on a sample of at most `bound` labelled documents (a parameter; 4096 vectors of 64 floats are
     about 1 MB to broadcast); only text enters a score. Null and empty texts share one score, that of no words. With
-    no labels every score is 0.5. Repeated rows get equal scores, an empty table gives no rows. keep_columns: all
-    columns of docs come first, for use as a filter.
+    no labels every score is 0.5. Repeated rows get equal scores, an empty table gives no rows. keep_columns: only the
+    rows with predicted = 1, with the columns of docs, for use as a filter.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(*labelled_sample(docs, labels, bound)))
@@ -155,11 +162,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = 4096, thresh
             texts = batch.column(where).to_pylist()
             score = np.concatenate([own.score(np.stack([counts(t or "", memo) for t in texts[i : i + 128]])) for i in range(0, len(texts), 128)]) if texts else np.zeros(0)
             score = np.round(np.clip(score, 0, 1), 9)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*columns, "score", "predicted"])
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    scored = docs.mapInArrow(run, f"{kinds}, score double, predicted int")
-    return scored if keep_columns else scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+            if keep_columns:
+                yield batch.filter(pa.array(score >= threshold))
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    if keep_columns:
+        return docs.mapInArrow(run, docs.schema)
+    scored = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
