@@ -2,12 +2,13 @@
 
 A text is a sequence of tokens: its words, A-Z lower-cased, and an end. A token is coded byte by byte with a closing
 mark (the end is the mark alone), each byte along a Huffman code, so a probability is needed for each binary decision.
-Five predictors keep counts of the decisions after the last 1, 2, 3 and 4 bytes of the word and after all of it, in
-hashed tables of fixed size. A gate, the confidence of the two longest, selects the weights that mix their logits; an
+Five predictors keep counts of the decisions after the last 1, 2, 3 and 4 bytes of the word and after all of it (beyond
+64 bytes, the last 4). The counts are exact at every size. Those after one and two bytes are bounded by the alphabet and
+are broadcast; the longer contexts are a Spark table that grows with the vocabulary and is joined to it. A gate, the confidence of the two longest, selects the weights that mix their logits; an
 adaptive map of the mixed probability and the last byte refines the result.
 
 Tokens count alike wherever they stand, so Spark counts each different training token once over all documents, and all
-learning runs over that vocabulary, weighted by the counts: the tables are sums, weights are learned online in small
+learning runs over that vocabulary, weighted by the counts, in chunks of its sorted order: the tables are sums, weights are learned online in small
 batches (each occurrence predicted as if it had not been counted) by every task and averaged, and every different token
 is scored once. Documents are gathered in blocks with a vocabulary of their own, which is joined with the scores.
 
@@ -32,19 +33,22 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table
 
-#: Base-2 logarithm of the slots of each predictor's table: fixed, whatever the corpus.
+#: Base-2 logarithm of the slots of a small model's tables, held in memory (see Model.inputs); corpora do not use them.
 SIZES = (16, 20, 21, 21, 22)
 ORDERS = len(SIZES)
 GATES = 24
 STEPS = 24
-CHUNK = 1 << 16
+#: Tokens of a chunk of the sorted vocabulary, about.
+CHUNK = 32_768
+#: Bytes after which a word's context is its last 4 bytes.
+FAR = 64
 #: Tokens of a block's vocabulary, about: a task begins another block beyond them.
 BLOCK_TOKENS = 500_000
 #: Bytes of vocabulary handled at a time.
 PIECE = 400_000
 #: Classes of documents, hashed features that sort them, and texts of the sample that their centres are fitted on.
 CLASSES, FEATURES, SAMPLE = 8, 4096, 1024
-#: Base-2 logarithm of the slots of each class's own table, after the last two bytes.
+#: As SIZES, of each class's own table after the last two bytes.
 CLASS_SIZE = 17
 #: Occurrences by which a token's share in a class is drawn to what its bytes say of the class.
 SMOOTH = 1.0
@@ -89,17 +93,55 @@ class Code:
 
 @dataclass
 class Decisions:
-    """Of several tokens: token and bit of each decision, its slot in each table, its last byte."""
+    """Of several tokens: token, bit, node, byte position and last byte of each decision; byte, offset, contexts and whole of each position.
+
+    contexts are the last 1 to 4 bytes as numbers to base 257 (0: before the word), whole is a hash of the word so far.
+    """
 
     token: np.ndarray
     bit: np.ndarray
-    slots: list[np.ndarray]
+    node: np.ndarray
+    at: np.ndarray
     last: np.ndarray
-
-
-def decisions(tokens: list[bytes], code: Code) -> Decisions:
+    byte: np.ndarray
+    offset: np.ndarray
+    contexts: list[np.ndarray]
+    whole: np.ndarray
+
+    @property
+    def slots(self) -> list[np.ndarray]:
+        """Each decision's slot in the tables of a small model."""
+        after = [*self.contexts, np.where(self.offset >= FAR, _mix(self.contexts[3] + np.uint64(99)), self.whole)]
+        out = [(self.contexts[0][self.at].astype(np.int64) % 256) * 256 + self.node.astype(np.int64)]
+        for k in range(1, ORDERS):
+            out.append((_mix((after[k][self.at] * np.uint64(ORDERS) + np.uint64(k)) * _M + self.node) >> np.uint64(64 - SIZES[k])).astype(np.int64))
+        return out
+
+    def keys(self, k: int) -> np.ndarray:
+        """Context and node of each decision, for counts after the last k bytes; of 64 bits."""
+        return self.contexts[k - 1][self.at] * np.uint64(256) + self.node
+
+    def whole_keys(self) -> np.ndarray:
+        return _mix(self.whole[self.at] * _M + self.node)
+
+    def grams(self) -> np.ndarray:
+        """The last 4 bytes and the byte after them, of each position."""
+        return (self.contexts[3] * np.uint64(256) + self.byte.astype(np.uint64)).astype(np.int64)
+
+
+def steps(byte: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, node and bit of the decisions that code several bytes."""
+    sizes = code.length[byte]
+    at = np.repeat(np.arange(len(byte)), sizes)
+    place = code.start[byte[at]] + np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return at, code.nodes[place].astype(np.uint64), code.bits[place]
+
+
+def decisions(tokens: list[bytes], code: Code | None, whole: bool = True) -> Decisions:
+    """code: None leaves out the decisions. whole: False leaves out the hashes of words."""
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    flat = np.frombuffer(b" ".join(tokens) + b" ", np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)[: int(lengths.sum())]
+    flat = raw.astype(np.uint64)
     ends = np.cumsum(lengths)
     token = np.repeat(np.arange(len(tokens)), lengths)
     offset = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
@@ -109,71 +151,122 @@ def decisions(tokens: list[bytes], code: Code) -> Decisions:
         byte[k:] = flat[:-k]
         back = back * np.uint64(257) + np.where(offset >= k, byte + np.uint64(1), np.uint64(0))
         contexts.append(back)
-    # the whole word so far: hash of the part before each byte, one place after another; beyond 64 bytes the last 4
+    # the whole word so far: hash of the part before each byte, one place after another
     prefix, state = np.full(len(flat), 7, np.uint64), np.full(len(tokens), 7, np.uint64)
     alive, first = np.arange(len(tokens)), ends - lengths
-    for k in range(1, min(int(lengths.max(initial=0)), 64)):
+    for k in range(1, min(int(lengths.max(initial=0)), FAR) if whole else 0):
         alive = alive[lengths[alive] > k]
         state[alive] = _mix(state[alive] * _M + flat[first[alive] + k - 1])
         prefix[first[alive] + k] = state[alive]
-    prefix = np.where(offset >= 64, _mix(back + np.uint64(99)), prefix)
-    contexts.append(prefix)
-    sizes = code.length[flat.astype(np.int64)]
-    at = np.repeat(np.arange(len(flat)), sizes)
-    step = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = code.start[flat[at].astype(np.int64)] + step
-    node = code.nodes[place].astype(np.uint64)
+    byte = raw.astype(np.int64)
+    at, node, bit = steps(byte, code) if code else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8))
     last = np.where(contexts[0] > 0, contexts[0] - np.uint64(1), np.uint64(0)).astype(np.int64)
-    slots = [(contexts[0][at].astype(np.int64) % 256) * 256 + node.astype(np.int64)]
-    for k in range(1, ORDERS):
-        slots.append((_mix((contexts[k][at] * np.uint64(ORDERS) + np.uint64(k)) * _M + node) >> np.uint64(64 - SIZES[k])).astype(np.int64))
-    return Decisions(token[at], code.bits[place], slots, last[at])
+    return Decisions(token[at] if code else token, bit, node, at, last[at], byte, offset, contexts, prefix)
+
+
+@dataclass
+class Counts:
+    """Exact counts of bit 0 and 1 by key: sorted keys, and of each (2,) or (2, classes) counts."""
+
+    keys: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, bit: np.ndarray, weights: np.ndarray) -> Counts:
+        unique, at = np.unique(keys, return_inverse=True)
+        n = [np.bincount(at * 2 + bit, weights=w, minlength=2 * len(unique)).reshape(-1, 2) for w in (weights.T if weights.ndim > 1 else [weights])]
+        return cls(unique, np.stack(n, 2) if weights.ndim > 1 else n[0])
+
+    @classmethod
+    def merged(cls, parts: list[Counts]) -> Counts:
+        keys, at = np.unique(np.concatenate([p.keys for p in parts]), return_inverse=True)
+        n = np.concatenate([p.n for p in parts])
+        return cls(keys, np.stack([np.bincount(at, weights=n[:, b], minlength=len(keys)) for b in (0, 1)], 1))
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of each key, 0 of those never seen."""
+        if not len(self.keys):
+            return np.zeros((len(keys), *self.n.shape[1:]))
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        out = self.n[i]
+        out[self.keys[i] != keys] = 0
+        return out
+
+
+def fold(n: np.ndarray, bit: np.ndarray, at: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts on the paths of bytes, without what follows from the rest: of each decision the other bit's, of each byte its own."""
+    rows = np.arange(len(bit))
+    own = np.zeros(places, np.int64)
+    own[at] = n[rows, bit]  # the last step of each path stays
+    return n[rows, 1 - bit].astype(np.int64), own
+
+
+def unfold(other: np.ndarray, own: np.ndarray, bit: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What was folded: a path's count at a step is the byte's and that of all later branches."""
+    run = np.cumsum(other)
+    last = np.flatnonzero(np.diff(at, append=-1))
+    seen = own[at] + run[last][at] - run if len(at) else own[at]
+    n = np.empty((len(bit), 2), np.float32)
+    rows = np.arange(len(bit))
+    n[rows, bit], n[rows, 1 - bit] = seen, other
+    return n
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits, compressed by places of their bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _of_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -18, 18)))
 
 
-def pack_tables(tables: list[np.ndarray]) -> list[bytes]:
-    """Compressed for broadcasting: executors keep broadcasts on disk, and most slots are often empty."""
-    return [zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(t).tobytes()) for t in tables]
+class Low:
+    """Counts after one and two bytes, those after two also by class: bounded by the alphabet, so they may be broadcast."""
 
+    def __init__(self, packed: tuple[bytes, bytes], code: Code) -> None:
+        key, n = _of_planes(packed[0]), _of_planes(packed[1]).reshape(-1, CLASSES)
+        at, node, bit = steps(key % 256, code)
+        two = (key // 256).astype(np.uint64)[at]
+        self.by_class = Counts.of(two * np.uint64(256) + node, bit, n[at].astype(np.float64))
+        self.two = Counts(self.by_class.keys, self.by_class.n.sum(2))
+        self.one = Counts.of(two // np.uint64(257) * np.uint64(256) + node, bit, n[at].sum(1).astype(np.float64))
 
-def unpack_tables(packed: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.float32).reshape(-1, 2) for p in packed]
+
+def class_odds(n: np.ndarray, d: Decisions, tokens: int, share: np.ndarray) -> np.ndarray:
+    """Each class's probability given a token's bytes: class shares, and counts n of each class after two bytes."""
+    out = np.empty((tokens, CLASSES))
+    rows = np.arange(len(d.bit))
+    for k in range(CLASSES):
+        p = (n[rows, d.bit, k] + 0.2) / (n[:, :, k].sum(1) + 0.4)
+        out[:, k] = np.bincount(d.token, weights=np.log(p), minlength=tokens) + np.log(share[k])
+    out = np.exp(out - out.max(1, keepdims=True))
+    return np.maximum(out / out.sum(1, keepdims=True), 1e-3)
 
 
 @dataclass
 class Model:
-    """tables: (slots, 2) counts of bit 0 and 1 of each predictor; weights by gate; refine: counts by (step, last byte).
-
-    classes: a table for each class; share: of each class in the training tokens."""
+    """weights by gate; refine: counts by (step, last byte); tables: of a small model, (slots, 2) counts of each predictor."""
 
     code: Code
     tables: list[np.ndarray]
     weights: np.ndarray
     refine: np.ndarray
-    classes: np.ndarray
-    share: np.ndarray
-
-    def class_odds(self, d: Decisions, tokens: int) -> np.ndarray:
-        """Each class's probability given a token's bytes: class shares, and tables of each class after two bytes."""
-        own = d.slots[1] >> (SIZES[1] - CLASS_SIZE)
-        out = np.empty((tokens, CLASSES))
-        for k in range(CLASSES):
-            n = self.classes[k][own]
-            p = (n[np.arange(len(own)), d.bit] + np.float32(0.2)) / (n[:, 0] + n[:, 1] + np.float32(0.4))
-            out[:, k] = np.bincount(d.token, weights=np.log(p), minlength=tokens) + np.log(self.share[k])
-        out = np.exp(out - out.max(1, keepdims=True))
-        return np.maximum(out / out.sum(1, keepdims=True), 1e-3)
-
-    def inputs(self, d: Decisions, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the predictors and a bias, and the gate. without: predict as if one count of the seen bit were gone."""
+
+    def inputs(self, d: Decisions, counts: list[np.ndarray] | None = None, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the predictors and a bias, and the gate. counts: of each predictor, by default from the model's tables.
+
+        without: predict as if one count of the seen bit were gone."""
+        counts = counts or [table[slots] for table, slots in zip(self.tables, d.slots)]
         x = np.ones((len(d.bit), ORDERS + 1), np.float32)
         total = None
         levels = []
         for k in range(ORDERS):
-            n = self.tables[k][d.slots[k]]
+            n = counts[k]
             n0, n1 = n[:, 0], n[:, 1]
             if without is not None:
                 n1 = np.maximum(n1 - d.bit * without, 0)
@@ -192,10 +285,10 @@ class Model:
     def cell(self, logit: np.ndarray, last: np.ndarray) -> np.ndarray:
         return np.clip(np.round(logit * 1.5) + STEPS // 2, 0, STEPS - 1).astype(np.int64) * 256 + last
 
-    def log10(self, tokens: list[bytes], d: Decisions | None = None) -> np.ndarray:
+    def log10(self, tokens: list[bytes], d: Decisions | None = None, counts: list[np.ndarray] | None = None) -> np.ndarray:
         """log10 of each token's probability."""
         d = d or decisions(tokens, self.code)
-        x, gate = self.inputs(d)
+        x, gate = self.inputs(d, counts)
         logit = self.mixed(x, gate)
         cell = self.cell(logit, d.last)
         p = _squash(logit)
@@ -206,18 +299,17 @@ class Model:
 
 
 def fresh(code: Code, tables: list[np.ndarray], share: np.ndarray) -> Model:
-    """tables: the predictors', then those of the classes."""
-    return Model(code, tables[:ORDERS], np.full((GATES, ORDERS + 1), 0.25, np.float32) * np.array([1] * ORDERS + [0], np.float32), np.zeros((STEPS * 256, 2)), tables[ORDERS:], share)
+    """A model that has learned no weights. tables: those of a small model, none where counts are joined."""
+    return Model(code, tables[:ORDERS], np.full((GATES, ORDERS + 1), 0.25, np.float32) * np.array([1] * ORDERS + [0], np.float32), np.zeros((STEPS * 256, 2)))
 
 
-def learn(model: Model, batches: Iterator[tuple[list[bytes], np.ndarray]], rate: float = 0.06) -> float:
+def learn(model: Model, batches: Iterator[tuple[np.ndarray, Decisions, list[np.ndarray]]], rate: float = 0.06) -> float:
     """Online: after each small batch the weights move along the gradient of its code length; returns the occurrences seen."""
     square = np.full(model.weights.shape, 1e-4, np.float64)
     seen = 0.0
-    for tokens, counts in batches:
-        d = decisions(tokens, model.code)
+    for counts, d, met in batches:
         c = counts[d.token].astype(np.float32)
-        x, gate = model.inputs(d, np.float32(1))
+        x, gate = model.inputs(d, met, np.float32(1))
         logit = model.mixed(x, gate)
         error = (d.bit - _squash(logit)) * c
         cell = model.cell(logit, d.last)
@@ -346,25 +438,14 @@ def gather(docs: DataFrame, common: np.ndarray, centres: np.ndarray) -> DataFram
     return cut(dealt.mapInArrow(run, schema), "blocks")
 
 
-@dataclass
-class Sent:
-    """A trained model as it is broadcast: tables once, for training and scoring, and the small rest."""
-
-    tables: Broadcast
-    rest: Broadcast
+def _shared(a: bytes, b: bytes) -> bytes:
+    """What two byte strings begin with alike."""
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[:n]
 
-    def model(self) -> Model:
-        code, share, weights, refine = self.rest.value
-        model = fresh(code, unpack_tables(self.tables.value), share)
-        model.weights, model.refine = weights, refine
-        return model
 
-
-def train_model(vocabulary: DataFrame, share: np.ndarray) -> Sent:
-    """From (token, n, counts by class): code, tables, weights and refinement, all of fixed size, gathered over all training tokens."""
-    spark = vocabulary.sparkSession
-    known = vocabulary.where("n > 0").select("token", "n", *[f"n{k}" for k in range(CLASSES)])
-    sizes = [*SIZES, *[CLASS_SIZE] * CLASSES]
+def code_of(known: DataFrame) -> Code:
+    """Huffman code of the bytes of (token, n)."""
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256)
@@ -377,59 +458,193 @@ def train_model(vocabulary: DataFrame, share: np.ndarray) -> Sent:
     per_byte = np.zeros(256)
     for byte, n in known.mapInArrow(bytes_of, "byte long, n double").groupBy("byte").agg(F.sum("n")).collect():
         per_byte[byte] = n
-    code = Code.of(per_byte)
+    return Code.of(per_byte)
+
+
+def context_counts(vocabulary: DataFrame, code: Code) -> tuple[DataFrame, Broadcast, tuple[np.ndarray, ...]]:
+    """Counts of what follows each context, over (token, n, chunk, counts by class), sorted in chunks.
+
+    Gives the chunks' rows (chunk, gram, paths): folded counts after three and four bytes, for every gram of a chunk's
+    tokens; the counts after two bytes by class; and (whole, byte, n) of the words' beginnings that several chunks share.
+    """
+    spark = vocabulary.sparkSession
+    ends = vocabulary.groupBy("chunk").agg(*[F.substring(f("token"), 1, FAR) for f in (F.min, F.max)]).orderBy("chunk").collect()
+    edges = [np.zeros(0, np.uint64)]
+    for a, b in zip(ends, ends[1:]):
+        d = decisions([_shared(*(b"" if x == b" " else bytes(x) for x in (a[2], b[1])))], None)
+        edges.append(d.whole[d.offset < FAR])
+    edge = np.unique(np.concatenate(edges))
+
+    def follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(kind: int, chunk: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), v, np.int32)) for v in (kind, chunk)] + [pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "chunk", "key", "n"])
+
+        def sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            unique, at = np.unique(key, return_inverse=True)
+            return unique, np.bincount(at, weights=n, minlength=len(unique))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        tables = [np.zeros((1 << s, 2)) for s in sizes]
         for tokens, counts, part in _pieces(batches, PIECE):
-            d = decisions([b"" if t == b" " else t for t in tokens], code)
+            d = decisions([b"" if t == b" " else t for t in tokens], None)
+            grams, n, chunk = d.grams(), counts[d.token], part.column(2).to_numpy()[d.token]
+            for c in np.unique(chunk):
+                here = chunk == c
+                yield from rows(0, int(c), *sums(grams[here], n[here]))
+            shared = np.isin(d.whole, edge) & (d.offset < FAR) & (n > 0)
+            for b in np.unique(d.byte[shared]):
+                here = shared & (d.byte == b)
+                yield from rows(1, int(b), *sums(d.whole[here], n[here]))
+            two = (d.contexts[1] * np.uint64(256) + d.byte.astype(np.uint64)).astype(np.int64)
             for k in range(CLASSES):
-                own = part.column(2 + k).to_numpy()
-                if own.any():
-                    tables[ORDERS + k] += np.bincount((d.slots[1] >> (SIZES[1] - CLASS_SIZE)) * 2 + d.bit, weights=own[d.token].astype(np.float64), minlength=2 << CLASS_SIZE).reshape(-1, 2)
-            key_weights = counts[d.token].astype(np.float64)
-            for k in range(ORDERS):
-                tables[k] += np.bincount(d.slots[k] * 2 + d.bit, weights=key_weights, minlength=2 << SIZES[k]).reshape(-1, 2)
-        for k, t in enumerate(tables):
-            for chunk in range(0, len(t), CHUNK):
-                part = t[chunk : chunk + CHUNK]
-                if len(at := np.flatnonzero(part.any(1))):
-                    raw = [at.astype(np.uint16).tobytes(), part[at].astype(np.float32).tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk // CHUNK], pa.int32()), *(pa.array([pack.compress(r)], pa.binary()) for r in raw)], ["k", "chunk", "slots", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack, now, total = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), None, np.zeros((CHUNK, 2))
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([pack.compress(total.astype(np.float32).tobytes())], pa.binary())], ["k", "chunk", "counts"])
+                own = part.column(3 + k).to_numpy()[d.token]
+                if (here := own > 0).any():
+                    yield from rows(2 + k, 0, *sums(two[here], own[here]))
+
+    schema = "kind int, chunk int, key long, n long"
+    found = cut(vocabulary.mapInArrow(follows, schema).groupBy("kind", "chunk", "key").agg(F.sum("n").alias("n")), "follows")
+    shared = found.where("kind = 1").orderBy("key", "chunk").toArrow()
+    border = (shared["key"].to_numpy().view(np.uint64), shared["chunk"].to_numpy().astype(np.int64), shared["n"].to_numpy())
+    after_two = found.where("kind > 1").select("kind", "key", "n").toArrow()
+    key, at = np.unique(after_two["key"].to_numpy(), return_inverse=True)
+    by_class = np.zeros((len(key), CLASSES), np.int64)
+    by_class[at, after_two["kind"].to_numpy() - 2] = after_two["n"].to_numpy()
+    low = spark.sparkContext.broadcast((_planes(key), _planes(by_class.ravel())))
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by their first three bytes; what has them all in common (at most 257 * 256 rows) is held back until it is whole."""
+
+        def done(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            at, node, bit = steps(gram % 256, code)
+            four = (gram // 256).astype(np.uint64)[at]
+            parts = []
+            for context in (four // np.uint64(257), four):
+                keys = context * np.uint64(256) + node
+                parts.append(fold(Counts.of(keys, bit, n[at].astype(np.float64)).get(keys), bit, at, len(gram)))
+            size = code.length[gram % 256]
+            stop = np.cumsum(2 * size + 2)
+            start = stop - 2 * size - 2
+            flat = np.empty(int(stop[-1]) if len(stop) else 0, np.int64)
+            step = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            for i, (other, own) in enumerate(parts):
+                flat[start + i] = own
+                flat[start[at] + 2 + 2 * step + i] = other
+            packed = pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(np.append(0, stop * 8).astype(np.int32)), pa.py_buffer(flat)])
+            return pa.RecordBatch.from_arrays([pa.array(gram), packed], ["key", "paths"])
+
+        gram, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            gram, n = np.append(gram, batch.column(0).to_numpy()), np.append(n, batch.column(1).to_numpy())
+            if len(gram) and (at := int(np.searchsorted(gram, gram[-1] // (256 * 257) * (256 * 257)))):
+                yield done(gram[:at], n[:at])
+                gram, n = gram[at:], n[at:]
+        if len(gram):
+            yield done(gram, n)
+
+    grams = found.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = grams.repartition(F.floor(F.col("key") / (256 * 257))).sortWithinPartitions("key").mapInArrow(paths, "key long, paths binary")
+    return found.where("kind = 0").select("chunk", "key").join(counted.hint("merge"), "key"), low, border
 
+
+def meet(vocabulary: DataFrame, share: np.ndarray, code: Code) -> tuple[DataFrame, Broadcast]:
+    """Pieces of the vocabulary with the counts of their decisions: tokens, n, ratios of classes, and folded counts of the longer contexts.
+
+    A row is a piece of about 20 KB. Each chunk's rows meet in one task; its words' counts by beginnings are complete
+    there, except for beginnings that lie across a border, which come from `border`.
+    """
+    paths, low, border = context_counts(vocabulary, code)
+    counts = [f"n{k}" for k in range(CLASSES)]
+
+    def pieces(chunk: int, grams: list[pa.RecordBatch], given: list[pa.RecordBatch], near: Low) -> Iterator[pa.RecordBatch]:
+        key = np.concatenate([np.zeros(0, np.int64), *(b.column(2).to_numpy() for b in grams)])
+        flat = np.frombuffer(b"".join(x for b in grams for x in b.column(3).to_pylist()), np.int64)
+        start = np.cumsum(2 * code.length[key % 256] + 2) - 2 * code.length[key % 256] - 2
+        raw = [x for b in given for x in b.column(4).to_pylist()]
+        n = np.concatenate([b.column(5).to_numpy() for b in given])
+        own = np.stack([np.concatenate([b.column(6 + k).to_numpy() for b in given]) for k in range(CLASSES)], 1)
+        order = np.random.default_rng(chunk + 1).permutation(len(raw))
+        raw, n, own = [raw[i] for i in order], n[order], own[order]
+        tokens = [b"" if t == b" " else t for t in raw]
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+        cuts = [0]
+        while cuts[-1] < len(tokens):
+            at = cuts[-1]
+            cuts.append(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 20_000, "right"))))
+        spans, parts, met = list(zip(cuts, cuts[1:])), [], np.zeros(0, np.uint64)
+        for a, b in spans:
+            d = decisions(tokens[a:b], code)
+            across = np.isin(d.whole, border[0])
+            met = np.union1d(met, d.whole[across])
+            use = ((d.offset < FAR) & ~across)[d.at]
+            parts.append(Counts.of(d.whole_keys()[use], d.bit[use], n[a:b][d.token[use]].astype(np.float64)))
+        mine = np.isin(border[0], met)
+        at, node, bit = steps(border[1][mine], code)
+        whole = Counts.merged([*parts, Counts.of(_mix(border[0][mine][at] * _M + node), bit, border[2][mine][at].astype(np.float64))])
+        for a, b in spans:
+            d = decisions(tokens[a:b], code)
+            sizes = code.length[d.byte]
+            step = np.arange(len(d.at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = start[np.searchsorted(key, d.grams())]
+            long = [(flat[first[d.at] + 2 + 2 * step + i], flat[first + i]) for i in (0, 1)]
+            other, last = fold(whole.get(d.whole_keys()), d.bit, d.at, len(d.byte))
+            far = d.offset >= FAR
+            other[far[d.at]], last[far] = long[1][0][far[d.at]], long[1][1][far]
+            odds = class_odds(near.by_class.get(d.keys(2)), d, b - a, share)
+            ratio = np.log10((own[a:b] + SMOOTH * odds) / ((n[a:b, None] + SMOOTH) * share))
+            packed = np.clip(np.round(ratio * 16), -127, 127).astype(np.int8).view(np.int64)[:, 0]
+            folded = _planes(np.concatenate([x for pair in (*long, (other, last)) for x in pair]))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((raw[a:b], pa.list_(pa.binary())), (n[a:b], pa.list_(pa.int64())), (packed, pa.list_(pa.int64())), (folded, pa.binary()))], ["tokens", "n", "ratios", "folded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = now = None
+        held: tuple[list, list] = ([], [])
         for batch in batches:
-            for k, chunk, slots, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != (k, chunk):
-                    if now is not None:
-                        yield done()
-                    now, total = (k, chunk), np.zeros((CHUNK, 2))
-                total[np.frombuffer(unpack.decompress(slots), np.uint16)] += np.frombuffer(unpack.decompress(counts), np.float32).reshape(-1, 2)
-        if now is not None:
-            yield done()
-
-    parts = known.mapInArrow(count, "k int, chunk int, slots binary, counts binary").repartition("k", "chunk").sortWithinPartitions("k", "chunk")
-    tables = [np.zeros((1 << s, 2), np.float32) for s in sizes]
-    for k, chunk, counts in parts.mapInArrow(add, "k int, chunk int, counts binary").toLocalIterator():
-        tables[k][chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.float32).reshape(-1, 2)
-    sent = spark.sparkContext.broadcast(pack_tables(tables))
+            chunks, turns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(turns) != 0)) + 1
+            for a, b in zip([0, *edges], [*edges, len(chunks)]):
+                if a == b:
+                    continue
+                near = near or Low(low.value, code)
+                if chunks[a] != now:
+                    if held[1]:
+                        yield from pieces(now, *held, near)
+                    now, held = int(chunks[a]), ([], [])
+                held[turns[a]].append(batch.slice(a, b - a))
+        if held[1]:
+            yield from pieces(now, *held, near)
+
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    tokens = vocabulary.select("chunk", F.lit(1).alias("turn"), null("key", "long"), null("paths", "binary"), "token", "n", *counts)
+    rows = paths.select("chunk", F.lit(0).alias("turn"), "key", "paths", null("token", "binary"), null("n", "long"), *[null(c, "long") for c in counts]).unionByName(tokens)
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "turn", "key", "token")
+    return cut(rows.mapInArrow(run, "tokens array<binary>, n array<long>, ratios array<long>, folded binary"), "met"), low
+
+
+def _read(batches: Iterator[pa.RecordBatch], code: Code, low: Broadcast) -> Iterator[tuple]:
+    """tokens, n, ratios, decisions and the counts of each predictor, of pieces as `meet` writes them."""
+    near = None
+    for batch in batches:
+        near = near or Low(low.value, code)
+        for i in range(len(batch)):
+            raw, (n, ratios) = batch.column(0)[i].as_py(), (batch.column(k)[i].values.to_numpy() for k in (1, 2))
+            d = decisions([b"" if t == b" " else t for t in raw], code, whole=False)
+            x = _of_planes(batch.column(3)[i].as_py()).reshape(3, -1)
+            long = [unfold(r[: len(d.at)], r[len(d.at) :], d.bit, d.at) for r in x]
+            yield raw, n, ratios, d, [near.one.get(d.keys(1)).astype(np.float32), near.two.get(d.keys(2)).astype(np.float32), *long]
+
+
+def train_model(met: DataFrame, code: Code, low: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and refinement, of fixed size, gathered over all training tokens."""
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fresh(code, unpack_tables(sent.value), share)
+        model = fresh(code, [], None)
         small: list = []
 
-        def stream() -> Iterator[tuple[list[bytes], np.ndarray]]:
-            for tokens, counts, _ in _pieces(batches, 20_000):
-                tokens = [b"" if t == b" " else t for t in tokens]
+        def stream() -> Iterator[tuple]:
+            for _, n, _, d, counts in _read(batches, code, low):
+                if not n.any():
+                    continue
                 if len(small) < 60:
-                    small.append((tokens, counts))
-                yield tokens, counts
+                    small.append((n, d, counts))
+                yield n, d, counts
 
         seen = learn(model, stream())
         if 0 < len(small) < 60:  # a task of few batches goes over them again
@@ -441,13 +656,13 @@ def train_model(vocabulary: DataFrame, share: np.ndarray) -> Sent:
             flat = np.concatenate([model.weights.ravel() * seen, model.refine.ravel(), [seen]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64))], ["i", "v"])
 
-    sums = dict(known.mapInArrow(teach, "i long, v double").groupBy("i").agg(F.sum("v")).collect())
-    model = fresh(code, tables, share)
+    sums = dict(met.mapInArrow(teach, "i long, v double").groupBy("i").agg(F.sum("v")).collect())
+    model = fresh(code, [], None)
     w, r = model.weights.size, model.refine.size
     if sums:
         model.weights = (np.array([sums[i] for i in range(w)]) / sums[w + r]).reshape(model.weights.shape).astype(np.float32)
         model.refine = np.array([sums[w + i] for i in range(r)]).reshape(model.refine.shape)
-    return Sent(sent, spark.sparkContext.broadcast((code, share, model.weights, model.refine)))
+    return model.weights, model.refine
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -465,29 +680,29 @@ def score_texts(docs: DataFrame) -> DataFrame:
     words = rows.where("kind = 1")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     vocabulary = words.groupBy("token").agg(*[F.sum(c).alias(c) for c in counts])
-    vocabulary = cut(vocabulary.withColumn("n", sum(F.col(c) for c in counts)), "vocabulary")
+    chunks = max(1, words.agg(F.approx_count_distinct("token")).first()[0] // CHUNK)
+    vocabulary = vocabulary.repartitionByRange(chunks, "token").sortWithinPartitions("token")
+    vocabulary = cut(vocabulary.select("token", sum(F.col(c) for c in counts).alias("n"), F.spark_partition_id().alias("chunk"), *counts), "vocabulary")
     totals = vocabulary.agg(F.count_if(F.col("n") > 0), *[F.coalesce(F.sum(c), F.lit(0)) for c in counts]).first()
     different, by_class = totals[0], np.array(totals[1:], np.float64)
     all_tokens = int(by_class.sum())
     share = (by_class + 1) / (by_class + 1).sum()
-    sent = train_model(vocabulary, share)
+    code = code_of(vocabulary.select("token", "n").where("n > 0"))
+    met, low = meet(vocabulary, share, code)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    weights, refine = train_model(met, code, low)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.model()
-        for raw, n, part in _pieces(batches, PIECE):
-            tokens = [b"" if t == b" " else t for t in raw]
-            d = decisions(tokens, model.code)
-            values, odds = model.log10(tokens, d), model.class_odds(d, len(tokens))
-            own = np.stack([part.column(2 + k).to_numpy() for k in range(CLASSES)], 1)
-            ratio = np.log10((own + SMOOTH * odds) / ((n[:, None] + SMOOTH) * share))
-            packed = np.clip(np.round(ratio * 16), -127, 127).astype(np.int8).view(np.int64)[:, 0]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(values), pa.array(packed)], ["token", "n", "p", "ratios"])
+        model = Model(code, [], weights, refine)
+        for raw, n, ratios, d, seen in _read(batches, code, low):
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(n), pa.array(model.log10(raw, d, seen)), pa.array(ratios)], ["token", "n", "p", "ratios"])
 
-    scored = cut(vocabulary.select("token", "n", *counts).mapInArrow(score, "token binary, n long, p double, ratios long"), "scored")
+    scored = cut(met.mapInArrow(score, "token binary, n long, p double, ratios long"), "scored")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     blank = lambda *named: [F.lit(None).cast(t).alias(c) for c, t in named]
     found = words.select("block", "id", "token").join(scored, "token").select("block", F.lit(0).alias("turn"), "id", "n", "p", "ratios", *blank(("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("n_bytes", "long"), ("ids", "binary")))
     texts = rows.where("kind = 0").select("block", F.lit(1).alias("turn"), *blank(("id", "int"), ("n", "long"), ("p", "double"), ("ratios", "long")), "doc_id", "held_out", "n_tokens", "n_bytes", "ids")
-    met = found.unionByName(texts).repartition("block").sortWithinPartitions("block", "turn")
+    dealt = found.unionByName(texts).repartition("block").sortWithinPartitions("block", "turn")
     base_of = float(np.log10(all_tokens + different + 1))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,7 +734,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 bits = [-s / np.log10(2) / max(1, size) for (_, _, s), size in zip(out, part.column(9).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(6), part.column(7), part.column(8), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64()))), pa.array(bits, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
-    done = met.mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    done = dealt.mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
