@@ -16,26 +16,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.quality_scores(docs, table(spark, sf_dir, "labels"), keep_columns=True)
 
 
-def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows whose doc_id is in kept. A doc_id stands once: of rows that repeat it, the one with the greatest text stays."""
-    kept = cut(kept.select("doc_id").distinct(), "kept")
-    found = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    again = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return found
-    columns = [c for c in docs.columns if c != "doc_id"]
-    twice = found.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", *[c for c in columns if c != "text"])).alias("r"))
-    return found.join(again, "doc_id", "left_anti").unionByName(twice.select("doc_id", *[F.col("r")[c].alias(c) for c in columns]))
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of each row's own in the order of doc_id (rows without one last), written so that it stays."""
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_row")]
+    dealt = docs.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(dealt.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows whose number is a doc_id of kept: no doc_id, and one that other texts have too, are no reason to go."""
+    return rows.join(kept.select(F.col("doc_id").alias("_row")).hint("merge"), "_row", "left_semi").drop("_row")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts. Rows without a doc_id cannot be told apart and go."""
-    return keep_named(docs, exact_dedup.exact_dedup(docs).where("kept AND doc_id IS NOT NULL"))
+    """One row of each group of equal texts, the longest and of those the one of the least doc_id."""
+    rows = numbered(docs)
+    return keep_rows(rows, exact_dedup.exact_dedup(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept"))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that of the least doc_id."""
-    return keep_named(docs, near_dedup.near_duplicate_classes(docs).where("kept"))
+    """One row of each near-duplicate class, that of the least doc_id."""
+    rows = numbered(docs)
+    return keep_rows(rows, near_dedup.near_duplicate_classes(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import collections
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from freshet.llm import lm_score
 
 
@@ -38,3 +39,17 @@ def test_lm_context_counts_are_exact_and_grow(spark):
             assert got[k].tolist() == [[want[found[k], 0], want[found[k], 1]] for _, found in brute], k
         seen += len(raw)
     assert seen == len(n)
+
+
+def test_pipeline_keeps_rows_without_or_with_shared_doc_ids(spark, tmp_path):
+    """Copies go, and nothing else: not for want of a doc_id, nor because another text has the same one."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    near = text(3).replace("w3x40", "changed")
+    data = [(3, text(3)), (7, text(3)), (7, text(7)), (None, text(8)), (None, text(9)), (None, text(9)), (9, near), (7, text(10)), (None, text(7) + " end"), (11, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    exact = corpus_pipeline.drop_exact(spark, docs, str(tmp_path))
+    want = [(3, text(3)), (7, text(10)), (7, text(7)), (9, near), (11, None), (None, text(7) + " end"), (None, text(8)), (None, text(9))]
+    assert [tuple(r) for r in sorted(exact.collect(), key=key)] == want
+    left = corpus_pipeline.drop_near(spark, exact, str(tmp_path))
+    assert [tuple(r) for r in sorted(left.collect(), key=key)] == [w for w in want if w not in (want[3], want[5])]
