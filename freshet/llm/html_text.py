@@ -29,7 +29,8 @@ CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaptio
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An open element of the second set ends where one of the first begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: A subtree is of the template if on this many pages of its host, and on this share of them.
+#: A subtree is of the template if on this many pages of its host; where that is under this share of them, the number
+#: grows with the logarithm of the host's pages.
 LEAST_PAGES, LEAST_SHARE = 8, 0.05
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>|<[a-zA-Z/!?][^<>]*$", re.S | re.I)
@@ -196,7 +197,8 @@ def template_table(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
     seen = cut(seen, "page-subtrees")
     totals = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = seen.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    return counts.join(totals, "host").where(F.col("n") >= F.col("pages") * least_share).select("host", "subtree")
+    bound = least_pages * (1 + F.log(F.greatest(F.lit(1.0), F.col("pages") * least_share / least_pages)))
+    return counts.join(totals, "host").where(F.col("n") >= bound).select("host", "subtree")
 
 
 def extract_text(pages: DataFrame, broadcast_rows: int = 200_000, key: str = "page_id") -> DataFrame:

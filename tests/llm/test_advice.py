@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from freshet.llm import lm_score
+from freshet.llm import html_text, lm_score
 
 
 def test_lm_context_counts_are_exact_and_grow(spark):
@@ -53,3 +53,12 @@ def test_pipeline_keeps_rows_without_or_with_shared_doc_ids(spark, tmp_path):
     assert [tuple(r) for r in sorted(exact.collect(), key=key)] == want
     left = corpus_pipeline.drop_near(spark, exact, str(tmp_path))
     assert [tuple(r) for r in sorted(left.collect(), key=key)] == [w for w in want if w not in (want[3], want[5])]
+
+
+def test_html_templates_of_a_large_host(spark):
+    """A block on a small share of a large host's pages is its template; content of an article is kept."""
+    promo = "<div>Spring offers for all our readers</div>"
+    page = "<body>{1}<article><p>same words</p><p>own {0}</p>{1}</article></body>"
+    df = spark.createDataFrame([(i, "http://h.com/p", page.format(i, promo if i % 33 == 0 else "")) for i in range(1000)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    assert all(got[i] == f"same words\nown {i}" for i in range(1000))
