@@ -207,7 +207,8 @@ def extract_text(pages: DataFrame, broadcast_rows: int = 200_000, key: str = "pa
     Null html counts as empty and gives an empty text, as do pages without main text. Unclosed elements end with their
     parents, a tag that the page breaks off in is left out. Line breaks inside a block are white space. Null urls share
     the empty host. Repeated rows are rows of their own, an empty table gives none, other columns are ignored.
-    The templates are broadcast if they have at most broadcast_rows rows; more are joined to the pages by key.
+    The templates are broadcast if they have at most broadcast_rows rows; more are joined to the pages by a hash of url
+    and html, on which alone a page's text depends, so both ways give the same rows whatever the keys are.
     """
     small_batches(pages.sparkSession)
     pages = pages.select(key, "url", "html")
@@ -243,13 +244,18 @@ def extract_text(pages: DataFrame, broadcast_rows: int = 200_000, key: str = "pa
                 page = Page(html or "")
                 hashes = page.hashes()
                 parts.append(sorted({hashes[n] for n in page.candidates()}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_host(u or "") for u in batch.column(1).to_pylist()], pa.string()), pa.array(parts, pa.list_(pa.int64()))], [key, "host", "subtrees"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_host(u or "") for u in batch.column(1).to_pylist()], pa.string()), pa.array(parts, pa.list_(pa.int64()))], ["_page", "host", "subtrees"])
 
-    each = cut(pages.mapInArrow(listed, f"`{key}` {kind}, host string, subtrees array<long>").select(key, "host", F.explode("subtrees").alias("subtree")), "subtrees")
+    whole = F.sha2(F.concat(F.coalesce("url", F.lit("")), F.lit("\0"), F.coalesce("html", F.lit(""))), 256).alias("_page")
+    each = pages.select(whole, "url", "html").mapInArrow(listed, "_page string, host string, subtrees array<long>")
+    each = cut(each.select("_page", "host", F.explode("subtrees").alias("subtree")), "subtrees")
     counts = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     hot = hot_keys(counts, ["host", "subtree"], "n", each.count())
-    gone = salted_join(each, templates, ["host", "subtree"], hot, key).groupBy(key).agg(F.collect_set("subtree").alias("gone"))
-    return pages.join(gone, key, "left").mapInArrow(lambda batches: texts(batches, {}), schema)
+    gone = salted_join(each, templates, ["host", "subtree"], hot, "_page").groupBy("_page").agg(F.collect_set("subtree").alias("gone"))
+    copies = cut(pages.groupBy(whole).agg(F.count(F.lit(1)).alias("n")), "page-copies")
+    hot = hot_keys(copies, ["_page"], "n", copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    numbered = pages.select("*", whole, F.monotonically_increasing_id().alias("_at"))
+    return salted_join(numbered, gone, ["_page"], hot, "_at", how="left").select(key, "url", "html", "gone").mapInArrow(lambda batches: texts(batches, {}), schema)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,13 @@ def test_html_templates_of_a_large_host(spark):
     df = spark.createDataFrame([(i, "http://h.com/p", page.format(i, promo if i % 33 == 0 else "")) for i in range(1000)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
     assert all(got[i] == f"same words\nown {i}" for i in range(1000))
+
+
+def test_html_joined_templates_do_not_mind_page_ids(spark):
+    """Pages without a page_id, or with that of a page of another host, lose their own host's templates and no others."""
+    page = "<div><span>Top of {1}</span></div><div><p>body {0}</p></div>"
+    data = [(None if i % 2 else i, f"http://{h}.com/p", page.format(i, "a" if i == 7 else h)) for h in "ab" for i in range(12)] + [(None, None, None)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    want = sorted(str((k, u, "" if h is None else "Top of a\nbody 7" if "b.com" in u and "body 7<" in h else "body " + h.split("body ")[1].split("<")[0])) for k, u, h in data)
+    for bound in (200_000, 0):
+        assert sorted(str((r.page_id, r.url, r.text)) for r in html_text.extract_text(df, broadcast_rows=bound).collect()) == want
