@@ -1,57 +1,55 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-A text is a sequence of tokens: its words, A-Z lower-cased, and an end. A token is coded byte by byte with a closing
-mark (the end is the mark alone), each byte along a Huffman code, so a probability is needed for each binary decision.
-Five predictors keep counts of the decisions after the last 1, 2, 3 and 4 bytes of the word and after all of it (beyond
-64 bytes, the last 4). The counts are exact at every size. Those after one and two bytes are bounded by the alphabet and
-are broadcast; the longer contexts are a Spark table that grows with the vocabulary and is joined to it. A gate, the confidence of the two longest, selects the weights that mix their logits; an
-adaptive map of the mixed probability and the last byte refines the result.
-
-Tokens count alike wherever they stand, so Spark counts each different training token once over all documents, and all
-learning runs over that vocabulary, weighted by the counts, in chunks of its sorted order: the tables are sums, weights are learned online in small
-batches (each occurrence predicted as if it had not been counted) by every task and averaged, and every different token
-is scored once. Documents are gathered in blocks with a vocabulary of their own, which is joined with the scores.
-
-A text's own gate mixes classes of documents (languages, registers): a class multiplies a token's probability by its
-share in the class over its share in all, and classes are weighed by how well they have told the text's tokens so far.
-The classes' counts cover all training texts; only the centres that sort texts into classes come from a sample.
+A text is a sequence of tokens: its words, A-Z lower-cased, and an end. A token is a row of binary decisions: whether
+training knows it, the octave of its frequency rank along a Huffman code, and the bits of its rank inside the octave.
+A word that training does not know goes on with its bytes, bit by bit, and a closing space.
+
+Three predictors give each decision a logit: the counts of all training tokens, those after the previous word, and
+those after a hash of the previous two. (Of bytes: all, after one, after two.) A gate, the kind of decision and how
+often both contexts were met, selects the weights that mix the logits; an adaptive map of the mixed logit refines the
+probability. The two outcomes of a decision always share a probability of 1, so a text's score is a log10 probability
+over all texts. The weights are learned online, in an order of its own making, over joint counts of what the predictors
+said and what came; in these each training token is predicted as if it had not been counted.
+
+Counts are exact sums over all training texts at every size, so scores do not depend on partitions. Words of equal
+count lie side by side in rank, so the first predictor is a table with a row for each different count: at most the
+square root of twice the tokens, small enough to broadcast. Contexts are a table that grows with the corpus. What one
+task reads is one or several blocks; a block asks for the counts of its different (context, word) pairs, packed by
+bucket of context, and gets back a byte for each decision. Contexts with a thousandth of all tokens are dealt by the
+octave of the word that follows. A pair of words that only one place in the corpus has is not asked for as a context.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
-
-#: Base-2 logarithm of the slots of a small model's tables, held in memory (see Model.inputs); corpora do not use them.
-SIZES = (16, 20, 21, 21, 22)
-ORDERS = len(SIZES)
-GATES = 24
-STEPS = 24
-#: Tokens of a chunk of the sorted vocabulary, about.
-CHUNK = 32_768
-#: Bytes after which a word's context is its last 4 bytes.
-FAR = 64
-#: Tokens of a block's vocabulary, about: a task begins another block beyond them.
-BLOCK_TOKENS = 500_000
-#: Bytes of vocabulary handled at a time.
-PIECE = 400_000
-#: Classes of documents, hashed features that sort them, and texts of the sample that their centres are fitted on.
-CLASSES, FEATURES, SAMPLE = 8, 4096, 1024
-#: As SIZES, of each class's own table after the last two bytes.
-CLASS_SIZE = 17
-#: Occurrences by which a token's share in a class is drawn to what its bytes say of the class.
-SMOOTH = 1.0
+from .common import arrow_rows, cut, drop_cut, release, table
+
+#: Tokens of a block and of its vocabulary, about: a task begins another block beyond them.
+BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 400_000
+#: Pairs of a bucket, about.
+BUCKET = 4_000_000
+#: A context is dealt by octaves from this share of all tokens on.
+HOT = 1024
+#: Decisions handled at a time.
+STRIDE = 1_500_000
+#: States of a context: all counts (own, other) of up to EXACT in sum, then 4 steps of size by 31 of ratio.
+EXACT = 12
+PAIRS = (EXACT + 1) * (EXACT + 2) // 2
+STATES = PAIRS + 4 * 31
+KINDS, LOGITS, LEVELS = 4, 32, 7
+FLAG, OCTAVE, RANK, BYTE = range(KINDS)
+BINS = 49
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,609 +58,740 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-@dataclass
-class Code:
-    """A Huffman code of bytes: for each, its path's nodes and bits in [start, start + length) of the flat arrays."""
-
-    start: np.ndarray
-    length: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
-
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Code:
-        heap = [(float(c) + 1e-3, i, i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        children, serial = {}, 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            children[serial] = (a[2], b[2])
-            heapq.heappush(heap, (a[0] + b[0], serial, serial))
-            serial += 1
-        paths, walk = {}, [(heap[0][2], [])]
-        while walk:
-            node, path = walk.pop()
-            if node < 256:
-                paths[node] = path
-            else:
-                walk += [(child, [*path, (node - 256, bit)]) for bit, child in enumerate(children[node])]
-        length = np.array([len(paths[i]) for i in range(256)])
-        flat = [x for i in range(256) for x in paths[i]]
-        return cls(np.cumsum(length) - length, length, np.array([x[0] for x in flat]), np.array([x[1] for x in flat], np.int8))
-
+def spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of several places each: every row's first place, and each place's row and number in the row."""
+    start = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size)), size)
+    return start, row, np.arange(len(row)) - start[row]
 
-@dataclass
-class Decisions:
-    """Of several tokens: token, bit, node, byte position and last byte of each decision; byte, offset, contexts and whole of each position.
 
-    contexts are the last 1 to 4 bytes as numbers to base 257 (0: before the word), whole is a hash of the word so far.
-    """
+# ---- states of contexts: how often the decision's own outcome and the other one were met
 
-    token: np.ndarray
-    bit: np.ndarray
-    node: np.ndarray
-    at: np.ndarray
-    last: np.ndarray
-    byte: np.ndarray
-    offset: np.ndarray
-    contexts: list[np.ndarray]
-    whole: np.ndarray
-
-    @property
-    def slots(self) -> list[np.ndarray]:
-        """Each decision's slot in the tables of a small model."""
-        after = [*self.contexts, np.where(self.offset >= FAR, _mix(self.contexts[3] + np.uint64(99)), self.whole)]
-        out = [(self.contexts[0][self.at].astype(np.int64) % 256) * 256 + self.node.astype(np.int64)]
-        for k in range(1, ORDERS):
-            out.append((_mix((after[k][self.at] * np.uint64(ORDERS) + np.uint64(k)) * _M + self.node) >> np.uint64(64 - SIZES[k])).astype(np.int64))
-        return out
-
-    def keys(self, k: int) -> np.ndarray:
-        """Context and node of each decision, for counts after the last k bytes; of 64 bits."""
-        return self.contexts[k - 1][self.at] * np.uint64(256) + self.node
-
-    def whole_keys(self) -> np.ndarray:
-        return _mix(self.whole[self.at] * _M + self.node)
-
-    def grams(self) -> np.ndarray:
-        """The last 4 bytes and the byte after them, of each position."""
-        return (self.contexts[3] * np.uint64(256) + self.byte.astype(np.uint64)).astype(np.int64)
-
-
-def steps(byte: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position, node and bit of the decisions that code several bytes."""
-    sizes = code.length[byte]
-    at = np.repeat(np.arange(len(byte)), sizes)
-    place = code.start[byte[at]] + np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return at, code.nodes[place].astype(np.uint64), code.bits[place]
-
-
-def decisions(tokens: list[bytes], code: Code | None, whole: bool = True) -> Decisions:
-    """code: None leaves out the decisions. whole: False leaves out the hashes of words."""
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    raw = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)[: int(lengths.sum())]
-    flat = raw.astype(np.uint64)
-    ends = np.cumsum(lengths)
-    token = np.repeat(np.arange(len(tokens)), lengths)
-    offset = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
-    contexts, back = [], np.zeros(len(flat), np.uint64)
-    for k in range(1, 5):
-        byte = np.zeros(len(flat), np.uint64)
-        byte[k:] = flat[:-k]
-        back = back * np.uint64(257) + np.where(offset >= k, byte + np.uint64(1), np.uint64(0))
-        contexts.append(back)
-    # the whole word so far: hash of the part before each byte, one place after another
-    prefix, state = np.full(len(flat), 7, np.uint64), np.full(len(tokens), 7, np.uint64)
-    alive, first = np.arange(len(tokens)), ends - lengths
-    for k in range(1, min(int(lengths.max(initial=0)), FAR) if whole else 0):
-        alive = alive[lengths[alive] > k]
-        state[alive] = _mix(state[alive] * _M + flat[first[alive] + k - 1])
-        prefix[first[alive] + k] = state[alive]
-    byte = raw.astype(np.int64)
-    at, node, bit = steps(byte, code) if code else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8))
-    last = np.where(contexts[0] > 0, contexts[0] - np.uint64(1), np.uint64(0)).astype(np.int64)
-    return Decisions(token[at] if code else token, bit, node, at, last[at], byte, offset, contexts, prefix)
 
+def state_of(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    total = own + other
+    out = np.zeros(len(own), np.uint8)
+    few = total <= EXACT
+    t = total[few]
+    out[few] = t * (t + 1) // 2 + other[few]
+    if not few.all():
+        a, b = own[~few] + 0.4, other[~few] + 0.4
+        size = np.searchsorted(np.array([32, 256, 4096]), total[~few], "right")
+        out[~few] = PAIRS + size * 31 + np.rint(np.clip(np.log(a / b) * 2, -15, 15)).astype(np.int64) + 15
+    return out
 
-@dataclass
-class Counts:
-    """Exact counts of bit 0 and 1 by key: sorted keys, and of each (2,) or (2, classes) counts."""
-
-    keys: np.ndarray
-    n: np.ndarray
-
-    @classmethod
-    def of(cls, keys: np.ndarray, bit: np.ndarray, weights: np.ndarray) -> Counts:
-        unique, at = np.unique(keys, return_inverse=True)
-        n = [np.bincount(at * 2 + bit, weights=w, minlength=2 * len(unique)).reshape(-1, 2) for w in (weights.T if weights.ndim > 1 else [weights])]
-        return cls(unique, np.stack(n, 2) if weights.ndim > 1 else n[0])
-
-    @classmethod
-    def merged(cls, parts: list[Counts]) -> Counts:
-        keys, at = np.unique(np.concatenate([p.keys for p in parts]), return_inverse=True)
-        n = np.concatenate([p.n for p in parts])
-        return cls(keys, np.stack([np.bincount(at, weights=n[:, b], minlength=len(keys)) for b in (0, 1)], 1))
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of each key, 0 of those never seen."""
-        if not len(self.keys):
-            return np.zeros((len(keys), *self.n.shape[1:]))
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        out = self.n[i]
-        out[self.keys[i] != keys] = 0
-        return out
-
-
-def fold(n: np.ndarray, bit: np.ndarray, at: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts on the paths of bytes, without what follows from the rest: of each decision the other bit's, of each byte its own."""
-    rows = np.arange(len(bit))
-    own = np.zeros(places, np.int64)
-    own[at] = n[rows, bit]  # the last step of each path stays
-    return n[rows, 1 - bit].astype(np.int64), own
-
-
-def unfold(other: np.ndarray, own: np.ndarray, bit: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """What was folded: a path's count at a step is the byte's and that of all later branches."""
-    run = np.cumsum(other)
-    last = np.flatnonzero(np.diff(at, append=-1))
-    seen = own[at] + run[last][at] - run if len(at) else own[at]
-    n = np.empty((len(bit), 2), np.float32)
-    rows = np.arange(len(bit))
-    n[rows, bit], n[rows, 1 - bit] = seen, other
-    return n
 
+def _state_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each state: its logit, its level of evidence, the state with outcomes exchanged, and the one with one own outcome less."""
+    logit, level, mirror, less = np.zeros(STATES, np.float32), np.zeros(STATES, np.int64), np.zeros(STATES, np.int64), np.arange(STATES)
+    for t in range(EXACT + 1):
+        for b in range(t + 1):
+            s, a = t * (t + 1) // 2 + b, t - b
+            logit[s], mirror[s] = np.log((a + 0.4) / (b + 0.4)), t * (t + 1) // 2 + a
+            level[s] = np.searchsorted([0, 1, 2, 5], t)
+            if a:
+                less[s] = (t - 1) * t // 2 + b
+    for size in range(4):
+        for r in range(31):
+            s = PAIRS + size * 31 + r
+            logit[s], mirror[s], level[s] = (r - 15) / 2, PAIRS + size * 31 + 30 - r, 5 if size < 2 else 6
+    return logit, level, mirror, less
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers of 64 bits, compressed by places of their bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
 
+STATE_LOGIT, STATE_LEVEL, MIRROR, LESS = _state_tables()
 
-def _of_planes(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
+# ---- mixing
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -18, 18)))
 
+@dataclass
+class Mixer:
+    """Weights of the three logits by gate, and the counts of own outcomes by (kind, level, bin of the mixed logit)."""
+
+    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.9, 0.3, 0.3], np.float32), (KINDS * LEVELS * LEVELS, 1)))
+    own: np.ndarray = field(default_factory=lambda: np.zeros(KINDS * LEVELS * BINS))
+
+    def logit(self, kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mixed logits of the own outcome, given the first predictor's and the contexts' states; and the refining cell."""
+        level = STATE_LEVEL[two]
+        gate = (kind * np.int64(LEVELS) + STATE_LEVEL[one]) * LEVELS + level
+        w = self.weights[gate]
+        mixed = w[:, 0] * x + w[:, 1] * STATE_LOGIT[one] + w[:, 2] * STATE_LOGIT[two]
+        return mixed, (kind * np.int64(LEVELS) + level) * BINS + np.rint(np.clip(mixed * 2, -24, 24)).astype(np.int64) + 24
+
+    def log10(self, kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 probability of each decision's own outcome. With own and other exchanged the two sum to 1."""
+        mixed, cell = self.logit(kind, x, one, two)
+        p = 1 / (1 + np.exp(-np.clip(mixed.astype(np.float64), -16, 16)))
+        turned = cell - 2 * (cell % BINS - 24)
+        refined = (self.own[cell] + 20 * p) / (self.own[cell] + self.own[turned] + 20)
+        return np.log10(np.clip((p + refined) / 2, 1e-7, 1 - 1e-7))
+
+
+def cell_of(kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Number of a joint state: kind of decision, first logit in steps of a half, and both contexts' states."""
+    step = np.clip(np.rint(x * 2), -LOGITS // 2, LOGITS // 2 - 1).astype(np.int64) + LOGITS // 2
+    return ((kind * np.int64(LOGITS) + step) * STATES + one) * STATES + two
+
+
+def learn(cell: np.ndarray, n: np.ndarray, epochs: int = 30, batch: int = 512, rate: float = 0.05) -> Mixer:
+    """Online: joint states come in a pseudorandom order, and each small batch moves the weights along its gradient."""
+    mixer = Mixer()
+    if not len(cell):
+        return mixer
+    order = np.argsort(_mix(cell.astype(np.uint64) * _M), kind="stable")
+    cell, n = cell[order], n[order].astype(np.float64)
+    rest, two = np.divmod(cell, STATES)
+    rest, one = np.divmod(rest, STATES)
+    kind, step = np.divmod(rest, LOGITS)
+    x = ((step - LOGITS // 2) / 2).astype(np.float32)
+    gate = (kind * LEVELS + STATE_LEVEL[one]) * LEVELS + STATE_LEVEL[two]
+    inputs = np.stack([x, STATE_LOGIT[one], STATE_LOGIT[two]], 1).astype(np.float64)
+    square = np.full(mixer.weights.shape, 1e-3)
+    weights = mixer.weights.astype(np.float64)
+    for epoch in range(epochs):
+        for a in range(0, len(cell), batch):
+            b = slice(a, a + batch)
+            error = (1 - 1 / (1 + np.exp(-np.clip((weights[gate[b]] * inputs[b]).sum(1), -16, 16)))) * n[b]
+            gates, at = np.unique(gate[b], return_inverse=True)
+            mass = np.bincount(at, weights=n[b])
+            for k in range(3):
+                g = np.bincount(at, weights=error * inputs[b, k]) / mass
+                square[gates, k] += g * g
+                weights[gates, k] += rate * g / np.sqrt(square[gates, k])
+    mixer.weights = weights.astype(np.float32)
+    _, at = mixer.logit(kind, x, one, two)
+    mixer.own = np.bincount(at, weights=n, minlength=len(mixer.own)).astype(np.float64)
+    return mixer
+
+
+def tally(cells: Iterator[np.ndarray]) -> pa.RecordBatch:
+    """Joint states met, and how often."""
+    total = np.zeros(KINDS * LOGITS * STATES * STATES, np.int32)
+    for cell in cells:
+        at, n = np.unique(cell, return_counts=True)
+        total[at] += n.astype(np.int32)
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["cell", "n"])
+
+
+def learn_from(counted: DataFrame) -> Mixer:
+    """counted: (cell, n) rows; there are no more different cells than joint states."""
+    found = counted.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
+    return learn(found["cell"].to_numpy(), found["n"].to_numpy())
+
+
+# ---- words by rank
+
+
+def huffman(mass: list[float]) -> list[str]:
+    """A code for each of the given masses."""
+    if not mass:
+        return []
+    heap = [(m + 1e-3, i, (i,)) for i, m in enumerate(mass)]
+    heapq.heapify(heap)
+    codes = [""] * len(mass)
+    serial = len(mass)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        for bit, part in (("0", a), ("1", b)):
+            for i in part[2]:
+                codes[i] = bit + codes[i]
+        heapq.heappush(heap, (a[0] + b[0], serial, a[2] + b[2]))
+        serial += 1
+    return codes
+
+
+class Words:
+    """Counts of the training words by rank (from 1; 0 is an unknown word), by the different counts and how many words have each."""
+
+    def __init__(self, count: np.ndarray, words: np.ndarray) -> None:
+        """count: falling. words: how many have it."""
+        self.count = count
+        self.first = np.cumsum(words) - words + 1
+        self.before = np.cumsum(count * words) - count * words
+        self.different, self.total = int(words.sum()), int((count * words).sum())
+        self.singles = int(words[count == 1].sum())
+        edges = self.upto(2 ** np.arange(self.different.bit_length() + 1)) if self.different else np.zeros(1, np.int64)
+        self.mass = np.diff(edges)
+        codes = huffman(self.mass.astype(float).tolist())
+        self.size = np.array([len(c) for c in codes], np.int64)
+        self.value = np.array([int(c or "0", 2) for c in codes], np.uint64)
+        self.own, self.other = np.zeros((len(codes), max([1, *self.size])), np.int64), np.zeros((len(codes), max([1, *self.size])), np.int64)
+        for o, c in enumerate(codes):
+            for j in range(len(c)):
+                node = sum(int(m) for x, m in zip(codes, self.mass) if x.startswith(c[:j]))
+                self.own[o, j] = sum(int(m) for x, m in zip(codes, self.mass) if x.startswith(c[: j + 1]))
+                self.other[o, j] = node - self.own[o, j]
+
+    def upto(self, rank: np.ndarray) -> np.ndarray:
+        """Training tokens of lesser rank."""
+        if not self.different:
+            return np.zeros(len(rank), np.int64)
+        rank = np.minimum(rank, self.different + 1)
+        i = np.maximum(np.searchsorted(self.first, rank, "right") - 1, 0)
+        return self.before[i] + (rank - self.first[i]) * self.count[i]
+
+    def count_of(self, rank: np.ndarray) -> np.ndarray:
+        """Training tokens of that rank; 0 of none."""
+        if not self.different:
+            return np.zeros(len(rank), np.int64)
+        i = np.maximum(np.searchsorted(self.first, rank, "right") - 1, 0)
+        return np.where((rank > 0) & (rank <= self.different), self.count[i], 0)
+
+    def octave(self, rank: np.ndarray) -> np.ndarray:
+        return np.frexp(np.maximum(rank, 1).astype(np.float64))[1].astype(np.int64) - 1
+
+    def codes(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Decisions after the flag: bits (from the 63rd down), how many of them tell the octave, and how many there are."""
+        known = rank > 0
+        if not self.different:
+            return np.full(len(rank), 2**63 - 1), np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        o = self.octave(rank)
+        size = self.size[o]
+        shift = (63 - size).astype(np.uint64)
+        bits = (self.value[o] << shift) | ((rank.astype(np.uint64) ^ (np.uint64(1) << o.astype(np.uint64))) << (shift - o.astype(np.uint64)))
+        return np.where(known, bits.astype(np.int64), 2**63 - 1), np.where(known, size, 0), np.where(known, size + o, 0)
+
+    def decisions(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of different words: decisions each, and of every decision its kind and the counts of its own and other outcome."""
+        _, octave_size, size = self.codes(rank)
+        size = size + 1
+        start, row, step = spread(size)
+        kind = np.where(step == 0, FLAG, np.where(step <= octave_size[row], OCTAVE, RANK)).astype(np.uint8)
+        own, other = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        known = rank > 0
+        own[start] = np.where(known, self.total - self.singles, self.singles)
+        other[start] = np.where(known, self.singles, self.total - self.singles)
+        at = np.flatnonzero(kind == OCTAVE)
+        if len(at):
+            o = self.octave(rank[row[at]])
+            own[at], other[at] = self.own[o, step[at] - 1], self.other[o, step[at] - 1]
+        # halves of the octave, one after another: what lies below and above is known, the middle is looked up
+        word = np.flatnonzero(size - 1 > octave_size)
+        r, o = rank[word], self.octave(rank[word])
+        low, width = np.int64(1) << o, np.int64(1) << o
+        below, above = self.upto(low), self.upto(low + width)
+        place = start[word] + 1 + octave_size[word]
+        while len(word):
+            width = width >> 1
+            middle = self.upto(low + width)
+            upper = (r & width) > 0
+            own[place], other[place] = np.where(upper, above - middle, middle - below), np.where(upper, middle - below, above - middle)
+            low, below, above = np.where(upper, low + width, low), np.where(upper, middle, below), np.where(upper, above, middle)
+            on = width > 1
+            word, r, low, width, below, above, place = (v[on] for v in (word, r, low, width, below, above, place + 1))
+        return size, kind, own, other
+
+
+# ---- bytes of unknown words
+
+
+class Bytes:
+    """Counts of the byte after each two bytes of the training words, each word once. Bounded by the alphabet."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray) -> None:
+        """key: sorted; two bytes to base 257 (0: before the word) times 256, and the next byte."""
+        self.tables = []
+        for base in (256, 257 * 256, None):
+            k = key % base if base else key
+            unique, at = np.unique(k, return_inverse=True)
+            self.tables.append((unique, np.concatenate([[0], np.cumsum(np.bincount(at, weights=n, minlength=len(unique)))]).astype(np.int64)))
+
+    @staticmethod
+    def keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all bytes of the words and their closing spaces, and each word's length."""
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)[: int(size.sum())].astype(np.int64)
+        _, _, step = spread(size)
+        one, two = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        one[1:], two[2:] = raw[:-1] + 1, raw[:-2] + 1
+        return (np.where(step > 1, two, 0) * 257 + np.where(step > 0, one, 0)) * 256 + raw, size
+
+    def decisions(self, key: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First logit and both states of each byte's eight bits. less: 1 predicts as if the byte had been met once less."""
+        out = []
+        for k, (base, (unique, before)) in enumerate(zip((256, 257 * 256, None), self.tables)):
+            own, other = np.zeros((len(key), 8), np.int64), np.zeros((len(key), 8), np.int64)
+            full = key % base if base else key
+            low = full - full % 256
+            at = lambda x: before[np.searchsorted(unique, x)]  # noqa: B023, E731
+            below, above = at(low), at(low + 256)
+            for j in range(8):
+                width = 128 >> j
+                middle = at(low + width)
+                upper = (full & width) > 0
+                own[:, j], other[:, j] = np.where(upper, above - middle, middle - below), np.where(upper, middle - below, above - middle)
+                low, below, above = np.where(upper, low + width, low), np.where(upper, middle, below), np.where(upper, above, middle)
+            own = np.maximum(own - less, 0).ravel()
+            out.append(np.log((own + 0.4) / (other.ravel() + 0.4)).astype(np.float32) if k == 0 else state_of(own, other.ravel()))
+        return tuple(out)
+
+    def log10(self, words: list[bytes], mixer: Mixer) -> np.ndarray:
+        key, size = self.keys(words)
+        each = mixer.log10(np.full(8 * len(key), BYTE), *self.decisions(key)).reshape(-1, 8).sum(1)
+        return np.add.reduceat(each, np.cumsum(size) - size) if len(size) else np.zeros(0)
+
+
+def byte_model(known: DataFrame) -> tuple[Bytes, Mixer]:
+    """From (token) rows, each training word once; the end has no bytes."""
+
+    def words_in(batch: pa.RecordBatch) -> list[bytes]:
+        return [w for w in batch.column(0).to_pylist() if w != b" "]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = np.unique(Bytes.keys(words_in(batch))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-class Low:
-    """Counts after one and two bytes, those after two also by class: bounded by the alphabet, so they may be broadcast."""
+    found = known.select("token").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    model = Bytes(found["key"].to_numpy(), found["n"].to_numpy())
+    sent = known.sparkSession.sparkContext.broadcast(model)
 
-    def __init__(self, packed: tuple[bytes, bytes], code: Code) -> None:
-        key, n = _of_planes(packed[0]), _of_planes(packed[1]).reshape(-1, CLASSES)
-        at, node, bit = steps(key % 256, code)
-        two = (key // 256).astype(np.uint64)[at]
-        self.by_class = Counts.of(two * np.uint64(256) + node, bit, n[at].astype(np.float64))
-        self.two = Counts(self.by_class.keys, self.by_class.n.sum(2))
-        self.one = Counts.of(two // np.uint64(257) * np.uint64(256) + node, bit, n[at].sum(1).astype(np.float64))
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells() -> Iterator[np.ndarray]:
+            for batch in batches:
+                words = words_in(batch)
+                for a in range(0, len(words), 20_000):
+                    key, _ = Bytes.keys(words[a : a + 20_000])
+                    yield cell_of(np.full(8 * len(key), BYTE), *sent.value.decisions(key, 1))
 
+        yield tally(cells())
 
-def class_odds(n: np.ndarray, d: Decisions, tokens: int, share: np.ndarray) -> np.ndarray:
-    """Each class's probability given a token's bytes: class shares, and counts n of each class after two bytes."""
-    out = np.empty((tokens, CLASSES))
-    rows = np.arange(len(d.bit))
-    for k in range(CLASSES):
-        p = (n[rows, d.bit, k] + 0.2) / (n[:, :, k].sum(1) + 0.4)
-        out[:, k] = np.bincount(d.token, weights=np.log(p), minlength=tokens) + np.log(share[k])
-    out = np.exp(out - out.max(1, keepdims=True))
-    return np.maximum(out / out.sum(1, keepdims=True), 1e-3)
+    return model, learn_from(known.select("token").mapInArrow(states, "cell long, n long"))
 
 
-@dataclass
-class Model:
-    """weights by gate; refine: counts by (step, last byte); tables: of a small model, (slots, 2) counts of each predictor."""
-
-    code: Code
-    tables: list[np.ndarray]
-    weights: np.ndarray
-    refine: np.ndarray
-
-    def inputs(self, d: Decisions, counts: list[np.ndarray] | None = None, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the predictors and a bias, and the gate. counts: of each predictor, by default from the model's tables.
-
-        without: predict as if one count of the seen bit were gone."""
-        counts = counts or [table[slots] for table, slots in zip(self.tables, d.slots)]
-        x = np.ones((len(d.bit), ORDERS + 1), np.float32)
-        total = None
-        levels = []
-        for k in range(ORDERS):
-            n = counts[k]
-            n0, n1 = n[:, 0], n[:, 1]
-            if without is not None:
-                n1 = np.maximum(n1 - d.bit * without, 0)
-                n0 = np.maximum(n0 - (1 - d.bit) * without, 0)
-            total = n0 + n1
-            x[:, k] = np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
-            if k >= ORDERS - 2:
-                levels.append(total)
-        high = np.searchsorted(np.array([0.5, 1.5, 3.5, 8.5, 30.5, 300.5]), levels[1])
-        low = np.searchsorted(np.array([0.5, 10.5, 300.5]), levels[0])
-        return x, np.minimum(high, 5) * 4 + low
-
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return (x * self.weights[gate]).sum(1)
-
-    def cell(self, logit: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return np.clip(np.round(logit * 1.5) + STEPS // 2, 0, STEPS - 1).astype(np.int64) * 256 + last
-
-    def log10(self, tokens: list[bytes], d: Decisions | None = None, counts: list[np.ndarray] | None = None) -> np.ndarray:
-        """log10 of each token's probability."""
-        d = d or decisions(tokens, self.code)
-        x, gate = self.inputs(d, counts)
-        logit = self.mixed(x, gate)
-        cell = self.cell(logit, d.last)
-        p = _squash(logit)
-        n0, n1 = self.refine[cell, 0], self.refine[cell, 1]
-        refined = (n1 + 20 * p) / (n0 + n1 + 20)
-        p = np.clip((p + refined) / 2, 1e-7, 1 - 1e-7)
-        return np.bincount(d.token, weights=np.log10(np.where(d.bit > 0, p, 1 - p)), minlength=len(tokens))
-
-
-def fresh(code: Code, tables: list[np.ndarray], share: np.ndarray) -> Model:
-    """A model that has learned no weights. tables: those of a small model, none where counts are joined."""
-    return Model(code, tables[:ORDERS], np.full((GATES, ORDERS + 1), 0.25, np.float32) * np.array([1] * ORDERS + [0], np.float32), np.zeros((STEPS * 256, 2)))
-
-
-def learn(model: Model, batches: Iterator[tuple[np.ndarray, Decisions, list[np.ndarray]]], rate: float = 0.06) -> float:
-    """Online: after each small batch the weights move along the gradient of its code length; returns the occurrences seen."""
-    square = np.full(model.weights.shape, 1e-4, np.float64)
-    seen = 0.0
-    for counts, d, met in batches:
-        c = counts[d.token].astype(np.float32)
-        x, gate = model.inputs(d, met, np.float32(1))
-        logit = model.mixed(x, gate)
-        error = (d.bit - _squash(logit)) * c
-        cell = model.cell(logit, d.last)
-        for bit in (0, 1):
-            model.refine[:, bit] += np.bincount(cell[d.bit == bit], weights=c[d.bit == bit], minlength=STEPS * 256)
-        mass = np.maximum(np.bincount(gate, weights=c, minlength=GATES), 1)
-        for k in range(ORDERS + 1):
-            g = np.bincount(gate, weights=error * x[:, k], minlength=GATES) / mass
-            square[:, k] += g * g
-            model.weights[:, k] += (rate * g / np.sqrt(square[:, k])).astype(np.float32)
-        seen += float(counts.sum())
-    return seen
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[bytes], np.ndarray, list]]:
-    """Tokens, counts and rows of about `size` bytes at a time."""
-    for batch in batches:
-        tokens, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-        at = 0
-        while at < len(tokens):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
-            yield tokens[at:stop], counts[at:stop], batch.slice(at, stop - at)
-            at = stop
+# ---- blocks
 
 
 def held_out(docs: DataFrame) -> Column:
     return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _feature(token: bytes) -> int:
-    return zlib.crc32(token) % FEATURES
-
-
-def fit_classes(docs: DataFrame, classes: int = CLASSES, sample: int = SAMPLE, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and class centres, by spherical k-means over at most `sample` training texts picked by hash."""
-    picked = docs.where(~held_out(docs)).select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.unique([_feature(w) for w in (t or b"").lower().split()], return_counts=True) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (0, 1))], ["doc_id", "at", "n"])
-
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
-    found = texts.mapInArrow(run, "doc_id long, at array<int>, n array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    x = np.zeros((len(found), FEATURES), np.float32)
-    for row, (at, n) in enumerate(zip(found["at"], found["n"])):
-        x[row, at.values.to_numpy()] = n.values.to_numpy()
-    # words that many texts share tell languages and registers apart; rare ones tell topics
-    common = np.sqrt(np.count_nonzero(x, axis=0) / max(len(x), 1)).astype(np.float32)
-    x = np.log1p(x) * common
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-    centres = np.zeros((classes, FEATURES), np.float32)
-    if len(x):
-        rng, far = np.random.default_rng(seed), np.full(len(x), 2.0)
-        for k in range(classes):  # each next centre far from those before
-            centres[k] = x[rng.choice(len(x), p=far / far.sum())] if far.sum() > 1e-6 else x[0]
-            far = np.minimum(far, np.maximum(1 - x @ centres[k], 0)).astype(float)
-        for _ in range(15):
-            own = (x @ centres.T).argmax(1)
-            for k in range(classes):
-                if (own == k).any():
-                    centres[k] = x[own == k].sum(0)
-            centres /= np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-9)
-    return common, centres
-
-
-def gather(docs: DataFrame, common: np.ndarray, centres: np.ndarray) -> DataFrame:
-    """Documents as token numbers of their block, and the blocks' vocabularies, in one table.
+def gather(docs: DataFrame) -> DataFrame:
+    """Documents as token numbers of their block, a row a block, and the blocks' vocabularies, in one table.
 
     A block is what one task reads, or a part of it, so texts are not shuffled. A task's rows are written together, so
-    its numbers fit whatever attempt they come from.
-    kind 0: block, doc_id, held_out, n_tokens, n_bytes, ids (compressed numbers). kind 1: block, id, token, and n0 to
-    n7, its count in the training texts of each class.
+    its numbers fit whatever attempt they come from. Token 0 is the end.
+    Blocks: block, docs (doc_id, held_out, n_bytes, n_tokens), ids (compressed). Words: block, id, token, n in training.
     """
-    small_batches(docs.sparkSession)
     dealt = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), held_out(docs).alias("held"))
-    counts = [f"n{k}" for k in range(CLASSES)]
-    names = ["kind", "block", "doc_id", "held_out", "n_tokens", "n_bytes", "ids", "id", "token", *counts]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), *[pa.int64()] * CLASSES]
+    doc = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+    types = {"block": pa.int64(), "docs": pa.list_(doc), "ids": pa.binary(), "id": pa.int32(), "token": pa.binary(), "n": pa.int64()}
 
     def rows(length: int, **given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(given[n], t) if n in given else pa.nulls(length, t) for n, t in zip(names, types)], names)
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(length, t) for c, t in types.items()], list(types))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
         block = TaskContext.get().partitionId() << 24
-        numbers: dict[bytes, int] = {b" ": 0}
-        features = [0]
-        train = np.zeros((1, CLASSES), np.int64)
+
+        def fresh() -> tuple[dict, list, list]:
+            numbers: dict[bytes, int] = defaultdict()
+            numbers.default_factory = numbers.__len__
+            numbers[b" "]
+            return numbers, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate(parts)
+            taught = [p for p, d in zip(parts, given) if not d["held_out"]]
+            train = np.bincount(np.concatenate(taught), minlength=len(numbers)) if taught else np.zeros(len(numbers), np.int64)
+            yield rows(1, block=pa.array([block]), docs=pa.array([given], types["docs"]), ids=pa.array([zstandard.ZstdCompressor(level=3).compress(ids.tobytes())], pa.binary()))
             tokens = list(numbers)
             for at in range(0, len(tokens), 20_000):
                 part = tokens[at : at + 20_000]
-                own = train[at : at + len(part)]
-                yield rows(len(part), kind=[1] * len(part), block=[block] * len(part), id=np.arange(at, at + len(part), dtype=np.int32), token=part, **{c: own[:, k].copy() for k, c in enumerate(counts)})
+                size = len(part)
+                yield rows(size, block=pa.array(np.full(size, block)), id=pa.array(np.arange(at, at + size, dtype=np.int32)), token=pa.array(part, pa.binary()), n=pa.array(train[at : at + size]))
 
+        numbers, parts, given = fresh()
+        tokens = 0
         for batch in batches:
-            packed, sizes, taught = [], [], []
-            for text, out in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for doc_id, text, out in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
-                for w in words:
-                    if w not in numbers:
-                        numbers[w] = len(numbers)
-                        features.append(_feature(w))
                 ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-                ids = np.append(ids, np.int32(0))
-                if not out:
-                    of_words = np.bincount(np.fromiter(map(features.__getitem__, ids[:-1].tolist()), np.int64, len(words)), minlength=FEATURES)
-                    taught.append(ids.astype(np.int64) * CLASSES + int((centres @ (np.log1p(of_words.astype(np.float32)) * common)).argmax()))
-                packed.append(pack.compress(ids.tobytes()))
-                sizes.append(len(ids))
-            if len(numbers) > len(train):
-                train = np.concatenate([train, np.zeros((len(numbers) + 50_000 - len(train), CLASSES), np.int64)])
-            if taught:
-                train += np.bincount(np.concatenate(taught), minlength=train.size).reshape(train.shape)
-            yield rows(len(sizes), kind=[0] * len(sizes), block=[block] * len(sizes), doc_id=batch.column(0).cast(pa.int64()), held_out=batch.column(2), n_tokens=sizes, n_bytes=[len(t) for t in batch.column(1).to_pylist()], ids=packed)
-            if len(numbers) >= BLOCK_TOKENS:
-                yield from flush()
-                block += 1
-                numbers, features, train = {b" ": 0}, [0], np.zeros((1, CLASSES), np.int64)
-        yield from flush()
-
-    schema = "kind int, block long, doc_id long, held_out boolean, n_tokens long, n_bytes long, ids binary, id int, token binary, " + ", ".join(f"{c} long" for c in counts)
-    return cut(dealt.mapInArrow(run, schema), "blocks")
-
-
-def _shared(a: bytes, b: bytes) -> bytes:
-    """What two byte strings begin with alike."""
-    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return a[:n]
-
-
-def code_of(known: DataFrame) -> Code:
-    """Huffman code of the bytes of (token, n)."""
-
-    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256)
-        for tokens, counts, _ in _pieces(batches, PIECE):
-            words = [b"" if t == b" " else t for t in tokens]
-            flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-            total += np.bincount(flat, weights=np.repeat(counts, [len(w) + 1 for w in words]), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
-
-    per_byte = np.zeros(256)
-    for byte, n in known.mapInArrow(bytes_of, "byte long, n double").groupBy("byte").agg(F.sum("n")).collect():
-        per_byte[byte] = n
-    return Code.of(per_byte)
-
-
-def context_counts(vocabulary: DataFrame, code: Code) -> tuple[DataFrame, Broadcast, tuple[np.ndarray, ...]]:
-    """Counts of what follows each context, over (token, n, chunk, counts by class), sorted in chunks.
-
-    Gives the chunks' rows (chunk, gram, paths): folded counts after three and four bytes, for every gram of a chunk's
-    tokens; the counts after two bytes by class; and (whole, byte, n) of the words' beginnings that several chunks share.
-    """
-    spark = vocabulary.sparkSession
-    ends = vocabulary.groupBy("chunk").agg(*[F.substring(f("token"), 1, FAR) for f in (F.min, F.max)]).orderBy("chunk").collect()
-    edges = [np.zeros(0, np.uint64)]
-    for a, b in zip(ends, ends[1:]):
-        d = decisions([_shared(*(b"" if x == b" " else bytes(x) for x in (a[2], b[1])))], None)
-        edges.append(d.whole[d.offset < FAR])
-    edge = np.unique(np.concatenate(edges))
-
-    def follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: int, chunk: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), v, np.int32)) for v in (kind, chunk)] + [pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "chunk", "key", "n"])
-
-        def sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            unique, at = np.unique(key, return_inverse=True)
-            return unique, np.bincount(at, weights=n, minlength=len(unique))
-
-        for tokens, counts, part in _pieces(batches, PIECE):
-            d = decisions([b"" if t == b" " else t for t in tokens], None)
-            grams, n, chunk = d.grams(), counts[d.token], part.column(2).to_numpy()[d.token]
-            for c in np.unique(chunk):
-                here = chunk == c
-                yield from rows(0, int(c), *sums(grams[here], n[here]))
-            shared = np.isin(d.whole, edge) & (d.offset < FAR) & (n > 0)
-            for b in np.unique(d.byte[shared]):
-                here = shared & (d.byte == b)
-                yield from rows(1, int(b), *sums(d.whole[here], n[here]))
-            two = (d.contexts[1] * np.uint64(256) + d.byte.astype(np.uint64)).astype(np.int64)
-            for k in range(CLASSES):
-                own = part.column(3 + k).to_numpy()[d.token]
-                if (here := own > 0).any():
-                    yield from rows(2 + k, 0, *sums(two[here], own[here]))
-
-    schema = "kind int, chunk int, key long, n long"
-    found = cut(vocabulary.mapInArrow(follows, schema).groupBy("kind", "chunk", "key").agg(F.sum("n").alias("n")), "follows")
-    shared = found.where("kind = 1").orderBy("key", "chunk").toArrow()
-    border = (shared["key"].to_numpy().view(np.uint64), shared["chunk"].to_numpy().astype(np.int64), shared["n"].to_numpy())
-    after_two = found.where("kind > 1").select("kind", "key", "n").toArrow()
-    key, at = np.unique(after_two["key"].to_numpy(), return_inverse=True)
-    by_class = np.zeros((len(key), CLASSES), np.int64)
-    by_class[at, after_two["kind"].to_numpy() - 2] = after_two["n"].to_numpy()
-    low = spark.sparkContext.broadcast((_planes(key), _planes(by_class.ravel())))
-
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by their first three bytes; what has them all in common (at most 257 * 256 rows) is held back until it is whole."""
-
-        def done(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            at, node, bit = steps(gram % 256, code)
-            four = (gram // 256).astype(np.uint64)[at]
-            parts = []
-            for context in (four // np.uint64(257), four):
-                keys = context * np.uint64(256) + node
-                parts.append(fold(Counts.of(keys, bit, n[at].astype(np.float64)).get(keys), bit, at, len(gram)))
-            size = code.length[gram % 256]
-            stop = np.cumsum(2 * size + 2)
-            start = stop - 2 * size - 2
-            flat = np.empty(int(stop[-1]) if len(stop) else 0, np.int64)
-            step = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-            for i, (other, own) in enumerate(parts):
-                flat[start + i] = own
-                flat[start[at] + 2 + 2 * step + i] = other
-            packed = pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(np.append(0, stop * 8).astype(np.int32)), pa.py_buffer(flat)])
-            return pa.RecordBatch.from_arrays([pa.array(gram), packed], ["key", "paths"])
-
-        gram, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            gram, n = np.append(gram, batch.column(0).to_numpy()), np.append(n, batch.column(1).to_numpy())
-            if len(gram) and (at := int(np.searchsorted(gram, gram[-1] // (256 * 257) * (256 * 257)))):
-                yield done(gram[:at], n[:at])
-                gram, n = gram[at:], n[at:]
-        if len(gram):
-            yield done(gram, n)
+                parts.append(np.append(ids, np.int32(0)))
+                given.append({"doc_id": doc_id, "held_out": out, "n_bytes": len(text), "n_tokens": len(words) + 1})
+                tokens += len(words) + 1
+                if tokens >= BLOCK_TOKENS or len(numbers) >= BLOCK_WORDS:
+                    yield from flush()
+                    (numbers, parts, given), tokens, block = fresh(), 0, block + 1
+        if parts:
+            yield from flush()
+
+    schema = "block long, docs array<struct<doc_id: long, held_out: boolean, n_bytes: long, n_tokens: long>>, ids binary, id int, token binary, n long"
+    with arrow_rows(docs.sparkSession, 256):
+        return cut(dealt.mapInArrow(run, schema), "blocks")
+
+
+def rank_words(words: DataFrame) -> tuple[DataFrame, Words]:
+    """token, n, rank of all tokens of (token, n): ranks by falling count, then token; none of tokens that training has not."""
+    order = [F.desc("n"), F.asc("token")]
+    summed = words.groupBy("token").agg(F.sum("n").alias("n")).repartitionByRange(*order).sortWithinPartitions(*order)
+    summed = cut(summed.select("token", "n", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("at")), "vocabulary")
+    parts = summed.where("n > 0").groupBy("part").agg(F.count(F.lit(1)).alias("rows")).orderBy("part").collect()
+    starts = np.cumsum([0, *(p["rows"] for p in parts)]).tolist()
+    by_part = words.sparkSession.createDataFrame([(p["part"], s) for p, s in zip(parts, starts)], "part int, start long")
+    ranked = summed.join(F.broadcast(by_part), "part", "left").select("token", "n", F.when(F.col("n") > 0, F.col("start") + F.col("at") + 1).alias("rank"))
+    steps = summed.where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toArrow()
+    return ranked, Words(steps["n"].to_numpy(), steps["words"].to_numpy())
+
+
+class Block:
+    """The tokens of a block in order, and its different pairs: (previous word, word), and (previous pair, word)."""
+
+    def __init__(self, row: dict, words: Words) -> None:
+        self.words, self.docs = words, row["docs"]
+        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), np.int32).astype(np.int64)
+        self.rank, self.cost = np.zeros(len(row["vocabulary"]), np.int64), np.zeros(len(row["vocabulary"]))
+        self.rank[row["vocabulary"].field("id").to_numpy()] = row["vocabulary"].field("rank").to_numpy()
+        self.cost[row["vocabulary"].field("id").to_numpy()] = row["vocabulary"].field("cost").to_numpy()
+        self.sizes = self.docs.field("n_tokens").to_numpy()
+        self.train = np.repeat(~np.asarray(self.docs.field("held_out").to_pylist(), bool), self.sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        wide = len(self.rank) + 1
+        before = np.empty_like(self.ids)
+        before[1:] = self.ids[:-1]
+        before[self.first] = wide - 1
+        self.pair, self.of_pair = np.unique(before * wide + self.ids, return_inverse=True)
+        self.pair_word, self.pair_before = self.pair % wide, self.pair // wide
+        self.start = words.different + 1  # stands for a text's beginning
+        self.before_rank = np.append(self.rank, self.start)[self.pair_before]
+
+    def counts(self, of: np.ndarray, size: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Training and other tokens of each pair."""
+        train = self.train if at is None else self.train[at]
+        n = np.bincount(of[train], minlength=size)
+        return n, np.bincount(of, minlength=size) - n
+
+    def thirds(self, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions whose previous pair others have too (met > 1), the different (pair, word), and each position's; pairs as contexts."""
+        last = np.zeros_like(self.of_pair)
+        last[1:] = self.of_pair[:-1]
+        asks = np.ones(len(self.ids), bool)
+        asks[self.first] = False
+        asks &= met[last] > 1
+        at = np.flatnonzero(asks)
+        key, of = np.unique(last[at] * (len(self.rank) + 1) + self.ids[at], return_inverse=True)
+        return at, key % (len(self.rank) + 1), key // (len(self.rank) + 1), of
+
+
+class Asked:
+    """Different (context, word) pairs as they are sent to buckets: hot contexts' in two parts, the octave and the rest."""
+
+    def __init__(self, context: np.ndarray, rank: np.ndarray, hot: np.ndarray, words: Words, buckets: int) -> None:
+        _, octave_size, size = words.codes(rank)
+        cold = np.flatnonzero(~hot)
+        warm = np.flatnonzero(hot)
+        lower = np.flatnonzero(hot & (rank > 0))
+        octave = words.octave(rank)
+        self.event = np.concatenate([cold, warm, lower])
+        self.part = np.repeat(np.array([0, 1, 2]), [len(cold), len(warm), len(lower)])
+        self.context = np.concatenate([context[cold], context[warm], _mix(context[lower] * _M + octave[lower].astype(np.uint64) + np.uint64(1))])
+        top = np.where(rank[warm] > 0, np.int64(1) << octave[warm], 0)
+        self.rank = np.concatenate([rank[cold], top, rank[lower]])
+        bucket = (_mix(self.context ^ np.uint64(0x5BD1E995)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((self.rank, self.context, bucket))
+        self.event, self.part, self.context, self.rank, self.bucket = (v[order] for v in (self.event, self.part, self.context, self.rank, bucket))
+        own = 1 + size
+        self.size = np.where(self.part == 0, own[self.event], np.where(self.part == 1, 1 + octave_size[self.event], (size - octave_size)[self.event]))
+        self.skip = np.where(self.part == 2, 1 + octave_size[self.event], 0)
+        self.own = own
+
+    def sent(self, block: int, n: np.ndarray, others: np.ndarray, single: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A packed row a bucket. n, others: tokens of each pair, in training and elsewhere. single: pairs of a word that training has once."""
+        pack = zstandard.ZstdCompressor(level=3)
+        n, others, once = n[self.event], others[self.event], (n * single)[self.event]
+        edges = np.flatnonzero(np.diff(self.bucket)) + 1
+        spans = list(zip([0, *edges], [*edges, len(self.bucket)])) if len(self.bucket) else []
+        rows = []
+        for a, b in spans:
+            steps = np.diff(self.context[a:b], prepend=np.uint64(0))
+            columns = [steps.view(np.int64), self.rank[a:b], n[a:b], others[a:b], once[a:b], self.part[a:b]]
+            rows.append((int(self.bucket[a]), pack.compress(_planes(np.concatenate(columns)))))
+        for a in range(0, len(rows), 256):
+            part = rows[a : a + 256]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([block] * len(part), pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["bucket", "block", "packed"])
+
+    def answers(self, told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the buckets' rows, in their order: first place of each pair in the states, the states, and each pair's tokens (3: very many)."""
+        unpack = zstandard.ZstdDecompressor()
+        parts = [np.frombuffer(unpack.decompress(x), np.uint8) for x in told]
+        edges = np.append(np.flatnonzero(np.diff(self.bucket)) + 1, len(self.bucket)) if len(self.bucket) else np.zeros(0, np.int64)
+        met, states, at = [], [], 0
+        for x, stop in zip(parts, edges):
+            met.append(x[: stop - at])
+            states.append(x[stop - at :])
+            at = stop
+        met, states = np.concatenate([np.zeros(0, np.uint8), *met]), np.concatenate([np.zeros(0, np.uint8), *states])
+        start = np.cumsum(self.own) - self.own
+        out, total = np.zeros(int(self.own.sum()), np.uint8), np.zeros(len(self.own), np.uint8)
+        _, row, step = spread(self.size)
+        out[(start[self.event] + self.skip)[row] + step] = states
+        whole = (self.part != 1) | (self.rank == 0)
+        total[self.event[whole]] = met[whole]
+        return start, out, total
 
-    grams = found.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"))
-    counted = grams.repartition(F.floor(F.col("key") / (256 * 257))).sortWithinPartitions("key").mapInArrow(paths, "key long, paths binary")
-    return found.where("kind = 0").select("chunk", "key").join(counted.hint("merge"), "key"), low, border
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits by places of their bytes, which compress better."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def meet(vocabulary: DataFrame, share: np.ndarray, code: Code) -> tuple[DataFrame, Broadcast]:
-    """Pieces of the vocabulary with the counts of their decisions: tokens, n, ratios of classes, and folded counts of the longer contexts.
 
-    A row is a piece of about 20 KB. Each chunk's rows meet in one task; its words' counts by beginnings are complete
-    there, except for beginnings that lie across a border, which come from `border`.
+def _of_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Number of binary places, exact for all positive 64-bit numbers."""
+    high = x >> 32
+    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((x & 0xFFFFFFFF).astype(np.float64))[1])
+
+
+def count_paths(context: np.ndarray, rank: np.ndarray, n: np.ndarray, others: np.ndarray, once: np.ndarray, part: np.ndarray, words: Words, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (context, word) pairs, which may repeat: tokens (2: more than one, 3: hot), decisions, and the states of these in a row.
+
+    Pairs of a context are sorted by the bits of their words, so that a node of the code is a stretch of them; going
+    down the code, a stretch's sum is the node's count and that of the part that goes on alike the own outcome's.
     """
-    paths, low, border = context_counts(vocabulary, code)
-    counts = [f"n{k}" for k in range(CLASSES)]
-
-    def pieces(chunk: int, grams: list[pa.RecordBatch], given: list[pa.RecordBatch], near: Low) -> Iterator[pa.RecordBatch]:
-        key = np.concatenate([np.zeros(0, np.int64), *(b.column(2).to_numpy() for b in grams)])
-        flat = np.frombuffer(b"".join(x for b in grams for x in b.column(3).to_pylist()), np.int64)
-        start = np.cumsum(2 * code.length[key % 256] + 2) - 2 * code.length[key % 256] - 2
-        raw = [x for b in given for x in b.column(4).to_pylist()]
-        n = np.concatenate([b.column(5).to_numpy() for b in given])
-        own = np.stack([np.concatenate([b.column(6 + k).to_numpy() for b in given]) for k in range(CLASSES)], 1)
-        order = np.random.default_rng(chunk + 1).permutation(len(raw))
-        raw, n, own = [raw[i] for i in order], n[order], own[order]
-        tokens = [b"" if t == b" " else t for t in raw]
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-        cuts = [0]
-        while cuts[-1] < len(tokens):
-            at = cuts[-1]
-            cuts.append(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 20_000, "right"))))
-        spans, parts, met = list(zip(cuts, cuts[1:])), [], np.zeros(0, np.uint64)
-        for a, b in spans:
-            d = decisions(tokens[a:b], code)
-            across = np.isin(d.whole, border[0])
-            met = np.union1d(met, d.whole[across])
-            use = ((d.offset < FAR) & ~across)[d.at]
-            parts.append(Counts.of(d.whole_keys()[use], d.bit[use], n[a:b][d.token[use]].astype(np.float64)))
-        mine = np.isin(border[0], met)
-        at, node, bit = steps(border[1][mine], code)
-        whole = Counts.merged([*parts, Counts.of(_mix(border[0][mine][at] * _M + node), bit, border[2][mine][at].astype(np.float64))])
-        for a, b in spans:
-            d = decisions(tokens[a:b], code)
-            sizes = code.length[d.byte]
-            step = np.arange(len(d.at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            first = start[np.searchsorted(key, d.grams())]
-            long = [(flat[first[d.at] + 2 + 2 * step + i], flat[first + i]) for i in (0, 1)]
-            other, last = fold(whole.get(d.whole_keys()), d.bit, d.at, len(d.byte))
-            far = d.offset >= FAR
-            other[far[d.at]], last[far] = long[1][0][far[d.at]], long[1][1][far]
-            odds = class_odds(near.by_class.get(d.keys(2)), d, b - a, share)
-            ratio = np.log10((own[a:b] + SMOOTH * odds) / ((n[a:b, None] + SMOOTH) * share))
-            packed = np.clip(np.round(ratio * 16), -127, 127).astype(np.int8).view(np.int64)[:, 0]
-            folded = _planes(np.concatenate([x for pair in (*long, (other, last)) for x in pair]))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((raw[a:b], pa.list_(pa.binary())), (n[a:b], pa.list_(pa.int64())), (packed, pa.list_(pa.int64())), (folded, pa.binary()))], ["tokens", "n", "ratios", "folded"])
+    bits, octave_size, size = words.codes(rank)
+    order = np.lexsort((bits, context))
+    c, k = context[order], bits[order]
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
+    first = np.flatnonzero(new)
+    event = np.empty(len(c), np.int64)
+    event[order] = np.cumsum(new) - 1
+    if not len(first):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    n_of, others_of, once_of = (np.add.reduceat(v[order], first) for v in (n, others, once))
+    c, k, kind, octave_size, size, r = c[first], k[first], part[order][first], octave_size[order][first], size[order][first], rank[order][first]
+    begins = np.ones(len(c), bool)
+    begins[1:] = c[1:] != c[:-1]
+    group = np.cumsum(begins) - 1
+    of_group = np.flatnonzero(begins)
+    all_n, all_once = np.add.reduceat(n_of, of_group)[group], np.add.reduceat(once_of, of_group)[group]
+    # the flag, then octave and rank; a hot context's first part ends with the octave, its second begins after it
+    flag = kind != 2
+    low, high = np.where(kind == 2, octave_size, 0), np.where(kind == 1, octave_size, size)
+    length = flag + high - low
+    start, row, _ = spread(length)
+    out = state_of(n_of, np.zeros(len(n_of), np.int64))[row]
+    known = r > 0
+    f = np.flatnonzero(flag)
+    out[start[f]] = state_of(np.where(known, all_n - all_once, all_once)[f], np.where(known, all_once, all_n - all_once)[f])
+    several = np.diff(np.append(of_group, len(c)))[group] > 1
+    alive = np.flatnonzero(several & (high > 0))
+    same = np.full(len(c), -1, np.int64)  # bits shared with the pair before, of the same context
+    same[1:] = np.where(begins[1:], -1, 63 - _bits(k[1:] ^ k[:-1]))
+    shared = same
+    at = alive
+    depth = 0
+    while len(at):
+        # what was left out between two pairs may part them
+        shared = np.minimum.reduceat(shared, np.append(0, at[:-1] + 1))[: len(at)] if len(at) < len(shared) else shared
+        total, tops = n_of[alive], high[alive]
+        node = np.flatnonzero(shared < depth)
+        below = np.flatnonzero(shared < depth + 1)
+        node_n = np.repeat(np.add.reduceat(total, node), np.diff(np.append(node, len(alive))))
+        own = np.repeat(np.add.reduceat(total, below), np.diff(np.append(below, len(alive))))
+        write = np.flatnonzero(low[alive] <= depth)
+        e = alive[write]
+        out[start[e] + flag[e] + depth - low[e]] = state_of(own[write], (node_n - own)[write])
+        depth += 1
+        at = np.flatnonzero(tops > depth)
+        alive = alive[at]
+    met = np.minimum(n_of + others_of, 2).astype(np.uint8)
+    met[n_of >= hot] = 3
+    _, row, step = spread(length[event])
+    return met[event], length[event], out[start[event][row] + step]
+
+
+def ask(events: DataFrame, words: Words, buckets: int, name: str) -> DataFrame:
+    """(bucket, block, packed) to (block, told): what buckets answer to each block, in the order of buckets."""
+    spark = events.sparkSession
+    sent = spark.sparkContext.broadcast(words)
+    hot = max(64, words.total // HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = now = None
-        held: tuple[list, list] = ([], [])
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        held: list[tuple[int, np.ndarray]] = []
+
+        def done(bucket: int) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate([x[i] for _, x in held]) for i in range(6)]
+            sizes = [x.shape[1] for _, x in held]
+            context = columns[0].view(np.uint64)
+            met, length, states = count_paths(context, *columns[1:], words=sent.value, hot=hot)
+            at = place = 0
+            ends = np.cumsum(length)
+            rows = []
+            for (block, _), size in zip(held, sizes):
+                stop = int(ends[at + size - 1])
+                rows.append((block, pack.compress(met[at : at + size].tobytes() + states[place:stop].tobytes())))
+                at, place = at + size, stop
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "told"])
+
+        now = None
         for batch in batches:
-            chunks, turns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(turns) != 0)) + 1
-            for a, b in zip([0, *edges], [*edges, len(chunks)]):
-                if a == b:
-                    continue
-                near = near or Low(low.value, code)
-                if chunks[a] != now:
-                    if held[1]:
-                        yield from pieces(now, *held, near)
-                    now, held = int(chunks[a]), ([], [])
-                held[turns[a]].append(batch.slice(a, b - a))
-        if held[1]:
-            yield from pieces(now, *held, near)
-
-    null = lambda c, t: F.lit(None).cast(t).alias(c)
-    tokens = vocabulary.select("chunk", F.lit(1).alias("turn"), null("key", "long"), null("paths", "binary"), "token", "n", *counts)
-    rows = paths.select("chunk", F.lit(0).alias("turn"), "key", "paths", null("token", "binary"), null("n", "long"), *[null(c, "long") for c in counts]).unionByName(tokens)
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "turn", "key", "token")
-    return cut(rows.mapInArrow(run, "tokens array<binary>, n array<long>, ratios array<long>, folded binary"), "met"), low
-
-
-def _read(batches: Iterator[pa.RecordBatch], code: Code, low: Broadcast) -> Iterator[tuple]:
-    """tokens, n, ratios, decisions and the counts of each predictor, of pieces as `meet` writes them."""
-    near = None
+            for bucket, block, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now:
+                    if held:
+                        yield from done(now)
+                    now, held = bucket, []
+                x = _of_planes(unpack.decompress(packed)).reshape(6, -1).copy()
+                x[0] = np.cumsum(x[0].view(np.uint64)).view(np.int64)
+                held.append((block, x))
+        if held:
+            yield from done(now)
+
+    dealt = events.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, told binary")
+    told = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "told"))).alias("told"))
+    with arrow_rows(spark, 64):
+        return cut(told.select("block", F.col("told.told").alias(name)), name)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        near = near or Low(low.value, code)
         for i in range(len(batch)):
-            raw, (n, ratios) = batch.column(0)[i].as_py(), (batch.column(k)[i].values.to_numpy() for k in (1, 2))
-            d = decisions([b"" if t == b" " else t for t in raw], code, whole=False)
-            x = _of_planes(batch.column(3)[i].as_py()).reshape(3, -1)
-            long = [unfold(r[: len(d.at)], r[len(d.at) :], d.bit, d.at) for r in x]
-            yield raw, n, ratios, d, [near.one.get(d.keys(1)).astype(np.float32), near.two.get(d.keys(2)).astype(np.float32), *long]
-
-
-def train_model(met: DataFrame, code: Code, low: Broadcast) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and refinement, of fixed size, gathered over all training tokens."""
-
-    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fresh(code, [], None)
-        small: list = []
-
-        def stream() -> Iterator[tuple]:
-            for _, n, _, d, counts in _read(batches, code, low):
-                if not n.any():
-                    continue
-                if len(small) < 60:
-                    small.append((n, d, counts))
-                yield n, d, counts
-
-        seen = learn(model, stream())
-        if 0 < len(small) < 60:  # a task of few batches goes over them again
-            for _ in range(60 // len(small)):
-                keep = model.refine.copy()
-                learn(model, iter(small))
-                model.refine = keep
-        if seen:
-            flat = np.concatenate([model.weights.ravel() * seen, model.refine.ravel(), [seen]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64))], ["i", "v"])
-
-    sums = dict(met.mapInArrow(teach, "i long, v double").groupBy("i").agg(F.sum("v")).collect())
-    model = fresh(code, [], None)
-    w, r = model.weights.size, model.refine.size
-    if sums:
-        model.weights = (np.array([sums[i] for i in range(w)]) / sums[w + r]).reshape(model.weights.shape).astype(np.float32)
-        model.refine = np.array([sums[w + i] for i in range(r)]).reshape(model.refine.shape)
-    return model.weights, model.refine
+            yield {c: (batch.column(c)[i].values if pa.types.is_list(batch.schema.field(c).type) and c in ("docs", "vocabulary") else batch.column(c)[i].as_py()) for c in batch.schema.names}
+
+
+@dataclass
+class Corpus:
+    """A corpus with its counts. coded: blocks, with the rank of each token; one, two: what contexts answered."""
+
+    words: Words
+    bytes_: Bytes
+    spelling: Mixer
+    coded: DataFrame
+    one: DataFrame
+    two: DataFrame
+    buckets: int
+
+
+def _first(block: Block, words: Words, buckets: int) -> Asked:
+    hot = (block.before_rank == 0) | (block.before_rank == block.start) | (words.count_of(block.before_rank) >= max(64, words.total // HOT))
+    return Asked(block.before_rank.astype(np.uint64), block.rank[block.pair_word], hot, words, buckets)
+
+
+def _second(block: Block, words: Words, buckets: int, met: np.ndarray) -> tuple[Asked, np.ndarray, np.ndarray]:
+    at, word, pair, of = block.thirds(met)
+    places = np.uint64(max(0, 64 - (max(words.total, 1).bit_length() + 16)))
+    context = _mix(_mix(block.before_rank[pair].astype(np.uint64) * _M) + block.rank[block.pair_word[pair]].astype(np.uint64) * _M) >> places
+    return Asked(context, block.rank[word], met[pair] == 3, words, buckets), at, of
+
+
+def count_corpus(docs: DataFrame) -> Corpus:
+    """All counts: of words, of bytes in words, and of words after one and two others."""
+    spark = docs.sparkSession
+    gathered = gather(docs)
+    listed = gathered.where("token IS NOT NULL").select("block", "id", "token", "n")
+    ranked, words = rank_words(listed.select("token", "n"))
+    bytes_, spelling = byte_model(ranked.where("n > 0"))
+    sent = spark.sparkContext.broadcast((bytes_, spelling))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(0).to_pylist()
+            cost = sent.value[0].log10([b"" if t == b" " else t for t in tokens], sent.value[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(tokens), np.int64)), pa.array(cost)], ["token", "rank", "cost"])
+
+    unknown = ranked.where("n = 0").select("token").mapInArrow(spell, "token binary, rank long, cost double")
+    told = ranked.where("n > 0").select("token", "rank", F.lit(0.0).alias("cost")).unionByName(unknown)
+    met = listed.select("block", "id", "token").join(told.hint("merge"), "token").groupBy("block").agg(F.collect_list(F.struct("id", "rank", "cost")).alias("vocabulary"))
+    coded = cut(gathered.where("docs IS NOT NULL").select("block", "docs", "ids").join(met.hint("merge"), "block"), "coded")
+    drop_cut(gathered)
+    tokens = coded.select(F.explode("docs.n_tokens").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = int(max(8, tokens // BUCKET))
+    known = spark.sparkContext.broadcast(words)
+    release(spark)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block = Block(row, known.value)
+            asked = _first(block, known.value, buckets)
+            yield from asked.sent(row["block"], *block.counts(block.of_pair, len(block.pair)), known.value.count_of(block.rank[block.pair_word]) == 1)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block = Block(row, known.value)
+            _, _, met = _first(block, known.value, buckets).answers(row["one"])
+            asked, at, of = _second(block, known.value, buckets, met)
+            word = block.rank[block.thirds(met)[1]]
+            yield from asked.sent(row["block"], *block.counts(of, len(asked.own), at), known.value.count_of(word) == 1)
+
+    schema = "bucket int, block long, packed binary"
+    with arrow_rows(spark, 1):
+        events = cut(coded.mapInArrow(first, schema), "pairs")
+    one = ask(events, words, buckets, "one")
+    drop_cut(events)
+    release(spark)
+    with arrow_rows(spark, 1):
+        events = cut(coded.join(one.hint("merge"), "block").mapInArrow(second, schema), "thirds")
+    release(spark)
+    two = ask(events, words, buckets, "two")
+    drop_cut(events)
+    release(spark)
+    return Corpus(words, bytes_, spelling, coded, one, two, buckets)
+
+
+def _strides(block: Block, row: dict, words: Words, buckets: int) -> Iterator[tuple]:
+    """Documents in order, some at a time: from, to, tokens' decisions, kinds, own and other counts, states after one word and after two."""
+    asked = _first(block, words, buckets)
+    start1, states1, met = asked.answers(row["one"])
+    asked, at, of = _second(block, words, buckets, met)
+    start2, states2, _ = asked.answers(row["two"] or [])
+    of_third = np.full(len(block.ids), -1, np.int64)
+    of_third[at] = of
+    size, kind, own, other = words.decisions(block.rank)
+    start = np.cumsum(size) - size
+    seen = np.cumsum(size[block.ids])
+    stops = seen[block.first + block.sizes - 1]
+    a = 0
+    while a < len(block.sizes):
+        b = max(a + 1, int(np.searchsorted(stops, (stops[a - 1] if a else 0) + STRIDE, "right")))
+        t = slice(int(block.first[a]), int(block.first[b - 1] + block.sizes[b - 1]))
+        ids = block.ids[t]
+        _, token, step = spread(size[ids])
+        flat = start[ids][token] + step
+        one = states1[start1[block.of_pair[t]][token] + step]
+        # a pair of words that only this place has tells of itself alone, in training
+        third = of_third[t]
+        alone = np.where(block.train[t], 1, 0)
+        lone = np.ones(len(ids), bool)
+        begins = block.first[a:b] - t.start
+        lone[begins] = False
+        two = np.where(lone & (third < 0), alone, 0).astype(np.uint8)[token]
+        asks = (third >= 0)[token]
+        two[asks] = states2[(start2[np.maximum(third, 0)] if len(start2) else third)[token[asks]] + step[asks]]
+        yield a, b, t, ids, token, step, kind[flat], own[flat], other[flat], one, two
+        a = b
+
+
+def learn_weights(corpus: Corpus) -> Mixer:
+    """Weights and refinement over all training tokens, each predicted without itself: a word that training has once is unknown."""
+    words, buckets = corpus.coded.sparkSession.sparkContext.broadcast(corpus.words), corpus.buckets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells() -> Iterator[np.ndarray]:
+            for row in _rows(batches):
+                block = Block(row, words.value)
+                single = words.value.count_of(block.rank) == 1
+                for _, _, t, ids, token, step, kind, own, other, one, two in _strides(block, row, words.value, buckets):
+                    once = single[ids][token]
+                    use = block.train[t][token] & ~(once & (step > 0))
+                    kind, own, other, one, two, once = (v[use] for v in (kind, own, other, one, two, once))
+                    own, other = np.where(once, other, own), np.where(once, own, other)
+                    x = np.log((np.maximum(own - 1, 0) + 0.4) / (other + 0.4))
+                    one, two = (LESS[np.where(once, MIRROR[s], s)] for s in (one, two))
+                    yield cell_of(kind, x, one, two)
+
+        yield tally(cells())
+
+    with arrow_rows(corpus.coded.sparkSession, 1):
+        return learn_from(_met(corpus).mapInArrow(run, "cell long, n long"))
+
+
+def _met(corpus: Corpus) -> DataFrame:
+    return corpus.coded.join(corpus.one.hint("merge"), "block").join(corpus.two.hint("merge"), "block", "left")
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -671,71 +800,40 @@ def score_texts(docs: DataFrame) -> DataFrame:
     Null texts count as empty: one token, the end. Repeated rows are rows of their own, and count each as training
     text. Without training tokens the counts are 0 and the model is that of no data. An empty table gives no rows;
     rows without a doc_id are training text; other columns are ignored. Scores are log10 probabilities; bits_per_byte
-    divides the score's bits by the text's bytes, one at least. The model is fixed before texts are scored, so a score
-    does not depend on the order of texts. doc_id is an integer.
+    divides the score's bits by the text's bytes, one at least. A score depends on the rows of the table, not on their
+    order or partitions. doc_id is an integer.
     """
-    spark = docs.sparkSession
-    rows = gather(docs, *fit_classes(docs))
-    counts = [f"n{k}" for k in range(CLASSES)]
-    words = rows.where("kind = 1")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    vocabulary = words.groupBy("token").agg(*[F.sum(c).alias(c) for c in counts])
-    chunks = max(1, words.agg(F.approx_count_distinct("token")).first()[0] // CHUNK)
-    vocabulary = vocabulary.repartitionByRange(chunks, "token").sortWithinPartitions("token")
-    vocabulary = cut(vocabulary.select("token", sum(F.col(c) for c in counts).alias("n"), F.spark_partition_id().alias("chunk"), *counts), "vocabulary")
-    totals = vocabulary.agg(F.count_if(F.col("n") > 0), *[F.coalesce(F.sum(c), F.lit(0)) for c in counts]).first()
-    different, by_class = totals[0], np.array(totals[1:], np.float64)
-    all_tokens = int(by_class.sum())
-    share = (by_class + 1) / (by_class + 1).sum()
-    code = code_of(vocabulary.select("token", "n").where("n > 0"))
-    met, low = meet(vocabulary, share, code)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    weights, refine = train_model(met, code, low)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(code, [], weights, refine)
-        for raw, n, ratios, d, seen in _read(batches, code, low):
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(n), pa.array(model.log10(raw, d, seen)), pa.array(ratios)], ["token", "n", "p", "ratios"])
-
-    scored = cut(met.mapInArrow(score, "token binary, n long, p double, ratios long"), "scored")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    blank = lambda *named: [F.lit(None).cast(t).alias(c) for c, t in named]
-    found = words.select("block", "id", "token").join(scored, "token").select("block", F.lit(0).alias("turn"), "id", "n", "p", "ratios", *blank(("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("n_bytes", "long"), ("ids", "binary")))
-    texts = rows.where("kind = 0").select("block", F.lit(1).alias("turn"), *blank(("id", "int"), ("n", "long"), ("p", "double"), ("ratios", "long")), "doc_id", "held_out", "n_tokens", "n_bytes", "ids")
-    dealt = found.unionByName(texts).repartition("block").sortWithinPartitions("block", "turn")
-    base_of = float(np.log10(all_tokens + different + 1))
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        now = None
-        for batch in batches:
-            blocks, turns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(turns) != 0)) + 1
-            for a, b in zip([0, *edges], [*edges, len(blocks)]):
-                part = batch.slice(a, b - a)
-                if not len(part):
-                    continue
-                if blocks[a] != now:
-                    now, n, p, ratios = blocks[a], np.zeros(0, np.int64), np.zeros(0), np.zeros((0, CLASSES), np.int8)
-                if turns[a] == 0:
-                    ids = part.column(2).to_numpy()
-                    if (more := int(ids.max()) + 1 - len(n)) > 0:
-                        n, p, ratios = np.append(n, np.zeros(more, np.int64)), np.append(p, np.zeros(more)), np.concatenate([ratios, np.zeros((more, CLASSES), np.int8)])
-                    n[ids], p[ids] = part.column(3).to_numpy(), part.column(4).to_numpy()
-                    ratios[ids] = part.column(5).to_numpy().copy().view(np.int8).reshape(-1, CLASSES)
-                    continue
-                known, base = n > 0, np.log10(n + 1) - base_of
-                out = []
-                for packed in part.column(10).to_pylist():
-                    ids = np.frombuffer(unpack.decompress(packed), np.int32)
-                    gate = np.log10(share) + ratios[ids].sum(0, dtype=np.int64) / 16
-                    top = gate.max()
-                    out.append((int(known[ids].sum()), float(base[ids].sum()), float(p[ids].sum() + top + np.log10((10 ** (gate - top)).sum()))))
-                bits = [-s / np.log10(2) / max(1, size) for (_, _, s), size in zip(out, part.column(9).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(6), part.column(7), part.column(8), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64()))), pa.array(bits, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
-
-    done = dealt.mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+    corpus = count_corpus(docs)
+    return score_corpus(corpus, learn_weights(corpus))
+
+
+def score_corpus(corpus: Corpus, mixer: Mixer) -> DataFrame:
+    words, buckets = corpus.words, corpus.buckets
+    spark = corpus.coded.sparkSession
+    sent = spark.sparkContext.broadcast((words, mixer))
+    base_of = float(np.log10(words.total + words.different + 1))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, mixer = sent.value
+        for row in _rows(batches):
+            block = Block(row, words)
+            n = words.count_of(block.rank)
+            base = np.log10(n + 1.0) - base_of
+            score = np.zeros(len(block.sizes))
+            for a, b, t, _, token, _, kind, own, other, one, two in _strides(block, row, words, buckets):
+                x = np.log((own + 0.4) / (other + 0.4)).astype(np.float32)
+                each = np.bincount(token, weights=mixer.log10(kind, x, one, two), minlength=t.stop - t.start)
+                score[a:b] = np.add.reduceat(each, block.first[a:b] - t.start)
+            score += np.add.reduceat(block.cost[block.ids], block.first)
+            known = np.add.reduceat((n > 0)[block.ids].astype(np.int64), block.first)
+            bits = -score / np.log10(2) / np.maximum(block.docs.field("n_bytes").to_numpy(), 1)
+            columns = [block.docs.field("doc_id"), block.docs.field("held_out"), pa.array(block.sizes), pa.array(known), pa.array(np.add.reduceat(base[block.ids], block.first)), pa.array(score), pa.array(bits)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    with arrow_rows(spark, 1):
+        done = cut(_met(corpus).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"), "scores")
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
