@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, cut, drop_cut, release, table
 
 #: Tokens of a block and of its vocabulary, about: a task begins another block beyond them.
-BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 400_000
+BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 250_000
 #: Pairs of a bucket, about.
-BUCKET = 4_000_000
+BUCKET = 2_000_000
 #: A context is dealt by octaves from this share of all tokens on.
 HOT = 1024
 #: Decisions handled at a time.
-STRIDE = 1_500_000
+STRIDE = 500_000
 #: States of a context: all counts (own, other) of up to EXACT in sum, then 4 steps of size by 31 of ratio.
 EXACT = 12
 PAIRS = (EXACT + 1) * (EXACT + 2) // 2
@@ -329,8 +329,15 @@ class Bytes:
 
     def log10(self, words: list[bytes], mixer: Mixer) -> np.ndarray:
         key, size = self.keys(words)
-        each = mixer.log10(np.full(8 * len(key), BYTE), *self.decisions(key)).reshape(-1, 8).sum(1)
-        return np.add.reduceat(each, np.cumsum(size) - size) if len(size) else np.zeros(0)
+        unique, at = np.unique(key, return_inverse=True)
+        each = mixer.log10(np.full(8 * len(unique), BYTE), *self.decisions(unique)).reshape(-1, 8).sum(1)
+        return np.add.reduceat(each[at], np.cumsum(size) - size) if len(size) else np.zeros(0)
+
+    def learn(self, n: np.ndarray) -> Mixer:
+        """Weights for the keys that the tables are made of, n times each, every one predicted as if it were not counted."""
+        key = self.tables[2][0]
+        cell, at = np.unique(cell_of(np.full(8 * len(key), BYTE), *self.decisions(key, 1)), return_inverse=True)
+        return learn(cell, np.bincount(at, weights=np.repeat(n, 8)).astype(np.int64))
 
 
 def byte_model(known: DataFrame) -> tuple[Bytes, Mixer]:
@@ -346,19 +353,7 @@ def byte_model(known: DataFrame) -> tuple[Bytes, Mixer]:
 
     found = known.select("token").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
     model = Bytes(found["key"].to_numpy(), found["n"].to_numpy())
-    sent = known.sparkSession.sparkContext.broadcast(model)
-
-    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cells() -> Iterator[np.ndarray]:
-            for batch in batches:
-                words = words_in(batch)
-                for a in range(0, len(words), 20_000):
-                    key, _ = Bytes.keys(words[a : a + 20_000])
-                    yield cell_of(np.full(8 * len(key), BYTE), *sent.value.decisions(key, 1))
-
-        yield tally(cells())
-
-    return model, learn_from(known.select("token").mapInArrow(states, "cell long, n long"))
+    return model, model.learn(found["n"].to_numpy())
 
 
 # ---- blocks
@@ -514,20 +509,21 @@ class Asked:
     def answers(self, told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """From the buckets' rows, in their order: first place of each pair in the states, the states, and each pair's tokens (3: very many)."""
         unpack = zstandard.ZstdDecompressor()
-        parts = [np.frombuffer(unpack.decompress(x), np.uint8) for x in told]
         edges = np.append(np.flatnonzero(np.diff(self.bucket)) + 1, len(self.bucket)) if len(self.bucket) else np.zeros(0, np.int64)
-        met, states, at = [], [], 0
-        for x, stop in zip(parts, edges):
-            met.append(x[: stop - at])
-            states.append(x[stop - at :])
-            at = stop
-        met, states = np.concatenate([np.zeros(0, np.uint8), *met]), np.concatenate([np.zeros(0, np.uint8), *states])
         start = np.cumsum(self.own) - self.own
-        out, total = np.zeros(int(self.own.sum()), np.uint8), np.zeros(len(self.own), np.uint8)
-        _, row, step = spread(self.size)
-        out[(start[self.event] + self.skip)[row] + step] = states
-        whole = (self.part != 1) | (self.rank == 0)
-        total[self.event[whole]] = met[whole]
+        out, total, at = np.zeros(int(self.own.sum()), np.uint8), np.zeros(len(self.own), np.uint8), 0
+        for packed, stop in zip(told, edges.tolist()):
+            x = np.frombuffer(unpack.decompress(packed), np.uint8)
+            event, first = self.event[at:stop], stop - at
+            for a in range(at, stop, 50_000):  # places of some pairs at a time
+                b = min(a + 50_000, stop)
+                size = self.size[a:b]
+                place = np.repeat((start[self.event[a:b]] + self.skip[a:b]) - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                out[place] = x[first : first + len(place)]
+                first += len(place)
+            whole = (self.part[at:stop] != 1) | (self.rank[at:stop] == 0)
+            total[event[whole]] = x[: stop - at][whole]
+            at = stop
         return start, out, total
 
 
@@ -546,8 +542,9 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((x & 0xFFFFFFFF).astype(np.float64))[1])
 
 
-def count_paths(context: np.ndarray, rank: np.ndarray, n: np.ndarray, others: np.ndarray, once: np.ndarray, part: np.ndarray, words: Words, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (context, word) pairs, which may repeat: tokens (2: more than one, 3: hot), decisions, and the states of these in a row.
+def count_paths(context: np.ndarray, rank: np.ndarray, n: np.ndarray, others: np.ndarray, once: np.ndarray, part: np.ndarray, words: Words, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (context, word) pairs, which may repeat: the different pair of each; and of different pairs, tokens (2: more than one,
+    3: hot), first place in the states, decisions, and the states of these in a row.
 
     Pairs of a context are sorted by the bits of their words, so that a node of the code is a stretch of them; going
     down the code, a stretch's sum is the node's count and that of the part that goes on alike the own outcome's.
@@ -561,7 +558,7 @@ def count_paths(context: np.ndarray, rank: np.ndarray, n: np.ndarray, others: np
     event = np.empty(len(c), np.int64)
     event[order] = np.cumsum(new) - 1
     if not len(first):
-        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        return event, np.zeros(0, np.uint8), first, first, np.zeros(0, np.uint8)
     n_of, others_of, once_of = (np.add.reduceat(v[order], first) for v in (n, others, once))
     c, k, kind, octave_size, size, r = c[first], k[first], part[order][first], octave_size[order][first], size[order][first], rank[order][first]
     begins = np.ones(len(c), bool)
@@ -573,8 +570,8 @@ def count_paths(context: np.ndarray, rank: np.ndarray, n: np.ndarray, others: np
     flag = kind != 2
     low, high = np.where(kind == 2, octave_size, 0), np.where(kind == 1, octave_size, size)
     length = flag + high - low
-    start, row, _ = spread(length)
-    out = state_of(n_of, np.zeros(len(n_of), np.int64))[row]
+    start = np.cumsum(length) - length
+    out = np.repeat(state_of(n_of, np.zeros(len(n_of), np.int64)), length)
     known = r > 0
     f = np.flatnonzero(flag)
     out[start[f]] = state_of(np.where(known, all_n - all_once, all_once)[f], np.where(known, all_once, all_n - all_once)[f])
@@ -601,8 +598,7 @@ def count_paths(context: np.ndarray, rank: np.ndarray, n: np.ndarray, others: np
         alive = alive[at]
     met = np.minimum(n_of + others_of, 2).astype(np.uint8)
     met[n_of >= hot] = 3
-    _, row, step = spread(length[event])
-    return met[event], length[event], out[start[event][row] + step]
+    return event, met, start, length, out
 
 
 def ask(events: DataFrame, words: Words, buckets: int, name: str) -> DataFrame:
@@ -619,14 +615,17 @@ def ask(events: DataFrame, words: Words, buckets: int, name: str) -> DataFrame:
             columns = [np.concatenate([x[i] for _, x in held]) for i in range(6)]
             sizes = [x.shape[1] for _, x in held]
             context = columns[0].view(np.uint64)
-            met, length, states = count_paths(context, *columns[1:], words=sent.value, hot=hot)
-            at = place = 0
-            ends = np.cumsum(length)
-            rows = []
-            for (block, _), size in zip(held, sizes):
-                stop = int(ends[at + size - 1])
-                rows.append((block, pack.compress(met[at : at + size].tobytes() + states[place:stop].tobytes())))
-                at, place = at + size, stop
+            event, met, start, length, states = count_paths(context, *columns[1:], words=sent.value, hot=hot)
+            blocks, rows = [block for block, _ in held], []
+            del columns, context
+            held.clear()
+            at = 0
+            for block, size in zip(blocks, sizes):
+                e = event[at : at + size]
+                many = length[e]
+                place = np.repeat(start[e] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                rows.append((block, pack.compress(met[e].tobytes() + states[place].tobytes())))
+                at += size
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "told"])
 
         now = None
@@ -733,8 +732,9 @@ def count_corpus(docs: DataFrame) -> Corpus:
     return Corpus(words, bytes_, spelling, coded, one, two, buckets)
 
 
-def _strides(block: Block, row: dict, words: Words, buckets: int) -> Iterator[tuple]:
-    """Documents in order, some at a time: from, to, tokens' decisions, kinds, own and other counts, states after one word and after two."""
+def _strides(block: Block, row: dict, words: Words, buckets: int, less: bool = False) -> Iterator[tuple]:
+    """Documents in order, some at a time: from, to, their tokens, and of each decision its token and number there, kind, first logit
+    (less: as if the token were not counted), and states after one word and after two."""
     asked = _first(block, words, buckets)
     start1, states1, met = asked.answers(row["one"])
     asked, at, of = _second(block, words, buckets, met)
@@ -742,6 +742,13 @@ def _strides(block: Block, row: dict, words: Words, buckets: int) -> Iterator[tu
     of_third = np.full(len(block.ids), -1, np.int64)
     of_third[at] = of
     size, kind, own, other = words.decisions(block.rank)
+    if less:  # a word that training has once is unknown without itself, and ends with the flag
+        once = words.count_of(block.rank) == 1
+        begins = (np.cumsum(size) - size)[once]
+        own[begins], other[begins] = other[begins], own[begins]
+        own = np.maximum(own - 1, 0)
+    x = np.log((own + 0.4) / (other + 0.4)).astype(np.float32)
+    del own, other
     start = np.cumsum(size) - size
     seen = np.cumsum(size[block.ids])
     stops = seen[block.first + block.sizes - 1]
@@ -762,7 +769,7 @@ def _strides(block: Block, row: dict, words: Words, buckets: int) -> Iterator[tu
         two = np.where(lone & (third < 0), alone, 0).astype(np.uint8)[token]
         asks = (third >= 0)[token]
         two[asks] = states2[(start2[np.maximum(third, 0)] if len(start2) else third)[token[asks]] + step[asks]]
-        yield a, b, t, ids, token, step, kind[flat], own[flat], other[flat], one, two
+        yield a, b, t, ids, token, step, kind[flat], x[flat], one, two
         a = b
 
 
@@ -775,12 +782,10 @@ def learn_weights(corpus: Corpus) -> Mixer:
             for row in _rows(batches):
                 block = Block(row, words.value)
                 single = words.value.count_of(block.rank) == 1
-                for _, _, t, ids, token, step, kind, own, other, one, two in _strides(block, row, words.value, buckets):
+                for _, _, t, ids, token, step, kind, x, one, two in _strides(block, row, words.value, buckets, less=True):
                     once = single[ids][token]
                     use = block.train[t][token] & ~(once & (step > 0))
-                    kind, own, other, one, two, once = (v[use] for v in (kind, own, other, one, two, once))
-                    own, other = np.where(once, other, own), np.where(once, own, other)
-                    x = np.log((np.maximum(own - 1, 0) + 0.4) / (other + 0.4))
+                    kind, x, one, two, once = (v[use] for v in (kind, x, one, two, once))
                     one, two = (LESS[np.where(once, MIRROR[s], s)] for s in (one, two))
                     yield cell_of(kind, x, one, two)
 
@@ -821,8 +826,7 @@ def score_corpus(corpus: Corpus, mixer: Mixer) -> DataFrame:
             n = words.count_of(block.rank)
             base = np.log10(n + 1.0) - base_of
             score = np.zeros(len(block.sizes))
-            for a, b, t, _, token, _, kind, own, other, one, two in _strides(block, row, words, buckets):
-                x = np.log((own + 0.4) / (other + 0.4)).astype(np.float32)
+            for a, b, t, _, token, _, kind, x, one, two in _strides(block, row, words, buckets):
                 each = np.bincount(token, weights=mixer.log10(kind, x, one, two), minlength=t.stop - t.start)
                 score[a:b] = np.add.reduceat(each, block.first[a:b] - t.start)
             score += np.add.reduceat(block.cost[block.ids], block.first)
