@@ -27,7 +27,23 @@ UNITS = (
     ("f", "temperature", 5.0 / 9.0, 273.15 - 32.0 * 5.0 / 9.0),
 )
 #: Spellings that mean one of the units above, after unit_key's cleaning.
-UNIT_ALIASES = {"cms": "m3/s", "cumecs": "m3/s", "m3s-1": "m3/s", "cfs": "ft3/s", "mm/day": "mm/d", "mmd-1": "mm/d", "cm/day": "cm/d", "in/day": "in/d", "degc": "c", "celsius": "c", "degf": "f", "fahrenheit": "f", "kelvin": "k", "degk": "k", "sqmi": "mi2", "sqkm": "km2", "feet": "ft", "inch": "in"}
+UNIT_SPELLINGS = {
+    "m3/s": "cms cumecs m3s-1 m3/sec m3sec-1 cubicmeterspersecond cubicmetrespersecond cubicmeterpersecond cubicmetrepersecond",
+    "ft3/s": "cfs ft3s-1 ft3/sec cubicfeetpersecond cubicfootpersecond cuft/s",
+    "l/s": "ls-1 litrespersecond literspersecond",
+    "mm/d": "mm/day mmd-1 mmday-1 millimetersperday millimetresperday",
+    "cm/d": "cm/day cmd-1 cmday-1",
+    "in/d": "in/day ind-1 inchesperday",
+    "mm": "millimeters millimetres",
+    "in": "inch inches",
+    "ft": "feet foot",
+    "mi2": "sqmi",
+    "km2": "sqkm",
+    "k": "kelvin degk",
+    "c": "degc degreec degreesc degreecelsius degreescelsius celsius",
+    "f": "degf degreef degreesf degreesfahrenheit fahrenheit",
+}
+UNIT_ALIASES = {spelling: unit for unit, spellings in UNIT_SPELLINGS.items() for spelling in spellings.split()}
 
 
 def finite(value: Column) -> Column:
@@ -54,7 +70,7 @@ def to_mm_per_day(discharge: Column, area_km2: Column) -> Column:
 
 def unit_key(unit: Column) -> Column:
     """Spelling-free key of a unit: case, blanks, superscripts, degree signs and `_ ^ *` do not count."""
-    key = F.translate(F.lower(F.trim(unit)), "²³⁻¹°_^* ", "23-1")
+    key = F.translate(F.lower(F.translate(F.trim(unit), "²³¹⁻−µ", "231--u")), "°_^* ", "")
     table = F.create_map(*[F.lit(x) for pair in UNIT_ALIASES.items() for x in pair])
     return F.coalesce(F.try_element_at(table, key), key)
 
@@ -118,6 +134,42 @@ def normalised_difference(a: Column, b: Column) -> Column:
     return F.try_divide(a - b, a + b)
 
 
+#: The two bands of each index (Rouse 1974, McFeeters 1996, Xu 2006, Key and Benson 2006, Zha 2003), and
+#: the class that it has above its usual threshold.
+INDICES = {
+    "ndvi": ("nir", "red", 0.2, "vegetation"),
+    "ndwi": ("green", "nir", 0.3, "open_water"),
+    "mndwi": ("green", "swir1", 0.0, "open_water"),
+    "nbr": ("nir", "swir2", 0.1, "unburned"),
+    "ndbi": ("swir1", "nir", 0.0, "built_up"),
+}
+
+
+def spectral_index(name: str) -> Column:
+    """The named index (in any case) of the band columns."""
+    a, b, _, _ = INDICES[name.lower()]
+    return normalised_difference(F.col(a).cast("double"), F.col(b).cast("double"))
+
+
+def index_class(name: str, value: Column) -> Column:
+    """The index's class above its threshold, else `other`; NULL without a value."""
+    _, _, least, kind = INDICES[name.lower()]
+    return F.when(value > least, kind).when(value.isNotNull(), "other")
+
+
+def polygon_area_km2(ring: Column) -> Column:
+    """Area of a ring of (lon, lat) structs, the last as the first, on a sphere of 6371 km (trapezoids of its edges)."""
+    n = F.size(ring)
+    part = lambda a, b: F.radians(b["lon"] - a["lon"]) * (2 + F.sin(F.radians(a["lat"])) + F.sin(F.radians(b["lat"])))
+    parts = F.zip_with(F.slice(ring, 1, F.greatest(n - 1, F.lit(0))), F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), part)
+    return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)) * 6371.0 * 6371.0 / 2
+
+
+def json_number(document: Column, path: str) -> Column:
+    """A number at a path such as `a.b.c` of a JSON text; NULL if there is none."""
+    return finite(F.get_json_object(document, "$." + path).try_cast("double"))
+
+
 def wetness_index(upslope_area: Column, slope_degrees: Column) -> Column:
     """ln(a / tan b) after Beven and Kirkby (1979); NULL on flat cells and without area."""
     t = F.tan(F.radians(slope_degrees))
@@ -149,6 +201,29 @@ def kirpich_hours(length_m: Column, slope: Column) -> Column:
     return 0.0663 * F.pow(length_m / 1000, 0.77) * F.pow(slope, -0.385)
 
 
+def triangular_hydrograph(area_km2: Column, tc_hours: Column, runoff_mm: Column) -> dict[str, Column]:
+    """Duration, time to peak, peak (m3/s), base time (hours) and volume (m3) of the SCS triangular unit hydrograph."""
+    duration = 0.133 * tc_hours
+    peak_time = duration / 2 + 0.6 * tc_hours
+    peak = F.when(runoff_mm > 0, 0.208 * area_km2 * runoff_mm / peak_time).otherwise(0.0)
+    return {"duration_hr": duration, "time_to_peak_hr": peak_time, "peak_cms": peak, "base_time_hr": 2.67 * peak_time, "volume_m3": runoff_mm * area_km2 * 1000}
+
+
+#: Typical cover factors by land cover, in the order in which parts of a name are looked for; other covers have 0.1.
+COVER_FACTORS = {"water": 0.0, "wetland": 0.001, "forest": 0.003, "shrub": 0.03, "grass": 0.01, "pasture": 0.02, "cropland": 0.24, "crops": 0.24, "orchard": 0.1, "developed": 0.03, "urban": 0.03, "barren": 0.45, "bare": 0.45}
+
+
+def cover_factor(name: Column, table: dict[str, float] = COVER_FACTORS, unknown: float = 0.1) -> Column:
+    """A land cover's factor by its exact name, else by the first name of the table that it contains, else `unknown`."""
+    text = F.lower(F.trim(name))
+    part = F.lit(None).cast("double")
+    for key, value in reversed(table.items()):
+        part = F.when(F.contains(text, F.lit(key)), F.lit(float(value))).otherwise(part)
+    for key, value in table.items():
+        part = F.when(text == key, F.lit(float(value))).otherwise(part)
+    return F.coalesce(part, F.lit(unknown))
+
+
 def soil_erodibility(sand: Column, silt: Column, clay: Column, organic_carbon: Column) -> Column:
     """EPIC soil erodibility (Williams 1990) from percentages, in t ha h / (ha MJ mm)."""
     sn1 = 1 - sand / 100

@@ -68,10 +68,15 @@ def water_balance(forcing: DataFrame, key: str = K) -> DataFrame:
     return out.withColumn("aridity", F.when(F.col("annual_prcp") > 0, F.col("annual_pet") / F.col("annual_prcp"))).withColumn("wet_day_frequency", F.col("wet_days") / 365.25)
 
 
-def completeness(forcing: DataFrame, variables: list[str], key: str = K) -> DataFrame:
-    """Valued and missing days of each variable, and whether the site's forcing is complete."""
-    long = forcing.unpivot([key, "date"], variables, "variable", "value")
+def completeness(forcing: DataFrame, requested: list[str], key: str = K) -> DataFrame:
+    """Valued and missing days of each requested variable, whether it was served, and whether the site's forcing is complete.
+
+    A variable that forcing has no column of, or no value, was not served. Complete: all were, and no day is missing.
+    """
+    there = [v for v in requested if v in forcing.columns]
+    long = forcing.select(key, "date", *[F.col(v).cast("double") if v in there else F.lit(None).cast("double").alias(v) for v in requested]).unpivot([key, "date"], requested, "variable", "value")
     g = long.groupBy(key, "variable").agg(F.count("value").alias("finite_days"), F.count_if(F.col("value").isNull()).alias("missing_days"))
+    g = g.withColumn("served", F.col("finite_days") > 0)
     return g.withColumn("forcing_complete", F.max("missing_days").over(Window.partitionBy(key)) == 0)
 
 
@@ -106,6 +111,21 @@ def no_leap_calendar(series: DataFrame, key: str = K) -> DataFrame:
     return span.select(key).join(g, key, "left").select(key, F.coalesce("no_leap", F.lit(False)).alias("no_leap"), F.coalesce("leap_years", F.lit(0)).alias("leap_years"))
 
 
+def monthly_totals(series: DataFrame, min_month_fraction: float = 1.0, key: str = K) -> DataFrame:
+    """Each calendar month of a site's record with its total, share of days with a value, and whether that share will do."""
+    g = series.groupBy(key, F.year("date").alias("year"), F.month("date").alias("month")).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    span = series.groupBy(key).agg(F.trunc(F.min("date"), "MM").alias("lo"), F.trunc(F.max("date"), "MM").alias("hi"))
+    months = span.select(key, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("m"))
+    months = months.select(key, F.year("m").alias("year"), F.month("m").alias("month"), F.dayofmonth(F.last_day("m")).alias("days"))
+    met = months.join(g, [key, "year", "month"], "left").withColumn("share", F.coalesce("n", F.lit(0)) / F.col("days"))
+    return met.select(key, "year", "month", "total", "share", (F.col("share") >= min_month_fraction).alias("kept"))
+
+
+def whole_periods(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Periods that the range does not clip, and those that are dropped for it."""
+    return rows.where("NOT clipped").drop("clipped"), rows.where("clipped").drop("clipped")
+
+
 def periods(start: str, end: str, unit: str, frame: DataFrame) -> DataFrame:
     """Months or years between start and end of each row of frame, clipped to the range."""
     floor, step = {"monthly": ("MM", "INTERVAL 1 MONTH"), "yearly": ("YEAR", "INTERVAL 1 YEAR")}[unit]

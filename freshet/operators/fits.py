@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import scalars as S
+from .climate import monthly_totals
 from .series import K
 from .signatures import water_years
 
@@ -76,6 +77,12 @@ def drought_index(monthly: DataFrame, scale: int = 3, kind: str = "spi", key: st
     return out.withColumn("value", S.finite(F.col("value")))
 
 
+def drought_from_days(series: DataFrame, scale: int = 3, kind: str = "spi", min_month_fraction: float = 1.0, key: str = K) -> tuple[DataFrame, DataFrame]:
+    """The index of a daily series, of months with enough days, and the months that were left out (year, month, share)."""
+    months = monthly_totals(series, min_month_fraction, key)
+    return drought_index(months.where("kept").select(key, "year", "month", "total"), scale, kind, key), months.where("NOT kept").select(key, "year", "month", "share")
+
+
 def drought_extremes(index: DataFrame, key: str = K) -> DataFrame:
     """Latest, driest and wettest month, the first of equals."""
     no = F.col("year") * 12 + F.col("month")

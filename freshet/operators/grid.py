@@ -91,6 +91,20 @@ def curve_numbers(landcover: DataFrame, soils: DataFrame, drained: bool = False)
     return met.join(F.broadcast(table), ["class", "hsg"], "left")
 
 
+def curve_number_statistics(cells: DataFrame, valid: str = "valid") -> DataFrame:
+    """Mean, median, least, greatest, deviation and percentiles of cn over a basin's polygon (valid cells) and over the whole
+    extent of its raster; a row for each basis."""
+    both = cells.where(valid).select(B, F.lit("polygon").alias("basis"), "cn").unionByName(cells.select(B, F.lit("raster_extent").alias("basis"), "cn"))
+    v = F.col("cn")
+    return both.groupBy(B, "basis").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), *[F.percentile(v, F.lit(p / 100)).alias(f"p{p}") for p in (10, 25, 75, 90)])
+
+
+def mean_texture(cells: DataFrame) -> DataFrame:
+    """Mean sand, silt and clay of a basin's cells that have all three."""
+    parts = ("sand", "silt", "clay")
+    return cells.where(" AND ".join(f"{c} IS NOT NULL" for c in parts)).groupBy(B).agg(*[F.avg(c).alias(c) for c in parts], F.count(F.lit(1)).alias("n"))
+
+
 def nearest_epoch(rows: DataFrame, epochs: list[int], year: str = "year") -> DataFrame:
     """The epoch nearest to a year, the earlier of two as near."""
     options = F.array_sort(F.array(*[F.struct(F.abs(F.col(year) - e).alias("away"), F.lit(e).alias("epoch")) for e in epochs]))
@@ -114,6 +128,19 @@ def decode_mask(masks: DataFrame, columns: int, by: str = B) -> DataFrame:
     return each.select(by, F.floor(F.col("at") / columns).cast("int").alias("row"), (F.col("at") % columns).cast("int").alias("col"), "value")
 
 
+def surrogate_samples(summaries: DataFrame, inputs: DataFrame, targets: DataFrame, columns: int, cell_m: float, by: str = "sample_id") -> DataFrame:
+    """Training samples: a summary's features (discharge, stage, area), the input mask and the target mask as run lengths.
+
+    summaries: by, discharge_m3s, stage_m, area_km2, method, status. inputs, targets: full grids (by, row, col, value).
+    Samples without one of the masks are left out.
+    """
+    shape = inputs.groupBy(by).agg((F.max("row") + 1).alias("_rows"))
+    masks = encode_mask(inputs, columns, by).withColumnRenamed("counts", "input_counts").join(encode_mask(targets, columns, by).withColumnRenamed("counts", "target_counts"), by).join(shape, by)
+    met = summaries.join(masks, by)
+    features = F.struct("discharge_m3s", "stage_m", "area_km2", F.lit(float(cell_m)).alias("cell_m"), F.array("_rows", F.lit(columns)).alias("shape"))
+    return met.select(by, features.alias("features"), "input_counts", F.struct("method", "status", F.col("target_counts").alias("counts")).alias("target"))
+
+
 def dilate(mask: DataFrame, grid: DataFrame, times: int = 1) -> DataFrame:
     """Cells of the grid within `times` king's moves of a mask cell, one join whatever the number of times."""
     steps = F.sequence(F.lit(-times), F.lit(times))
@@ -133,7 +160,10 @@ def best_dilation(mask: DataFrame, target: DataFrame, grid: DataFrame, most: int
 
 
 def manning_stage(discharge: Column, width: Column, slope: Column, roughness: Column, top: float = 50.0, steps: int = 60) -> Column:
-    """Depth of a rectangular channel that carries the discharge, by bisection between 0 and top."""
+    """Depth of a rectangular channel that carries the discharge, by bisection between 0 and top, which is also the most.
+
+    Widths under 1 m, slopes under 1e-6 and roughness under 0.01 count as these."""
+    width, slope, roughness = F.greatest(width, F.lit(1.0)), F.greatest(slope, F.lit(1e-6)), F.greatest(roughness, F.lit(0.01))
 
     def flow(depth: Column) -> Column:
         area = width * depth
@@ -146,7 +176,7 @@ def manning_stage(discharge: Column, width: Column, slope: Column, roughness: Co
         return F.struct(F.when(flow(mid) < discharge, mid).otherwise(s["lo"]).alias("lo"), F.when(flow(mid) < discharge, s["hi"]).otherwise(mid).alias("hi"))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
-    return F.when(discharge <= 0, 0.0).otherwise(found)
+    return F.when(discharge <= 0, 0.0).when(flow(F.lit(top)) < discharge, F.lit(top)).otherwise(found)
 
 
 def channel_geometry(cells: DataFrame, cell_m: float) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
+#: The signatures whose values may conflict, and other names of them.
+SIGNATURES = "q_mean q_std q5 q95 q_median baseflow_index runoff_ratio stream_elas high_q_freq high_q_dur low_q_freq low_q_dur zero_q_freq flow_variability hfd_mean half_flow_date_std slope_fdc slope_fdc_sawicz2011".split()
+METRIC_ALIASES = {"bfi": "baseflow_index", "base_flow_index": "baseflow_index", "bfi_mean": "baseflow_index", "rr": "runoff_ratio", "runoff_coefficient": "runoff_ratio"}
+
 
 def span_problems(spans: DataFrame, runs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Evidence spans (claim_id, source_id, metric_ref) to what keeps them from resolving, NULL if nothing does.
@@ -36,16 +40,25 @@ def scope_overreach(answers: DataFrame, scopes: DataFrame) -> DataFrame:
     return named.join(scopes.select("session_id").distinct(), "session_id", "left_semi").join(scopes, ["session_id", "gauge_id"], "left_anti")
 
 
-def metric_conflicts(metrics: DataFrame, tolerance: float = 0.01) -> DataFrame:
+def canonical_metric(name: Column) -> Column:
+    """One name for each metric: lower case, other signs than letters and digits as `_`, aliases resolved."""
+    key = F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in METRIC_ALIASES.items() for x in pair]), key), key)
+
+
+def metric_conflicts(metrics: DataFrame, tolerance: float = 0.01, only: list[str] | None = SIGNATURES) -> DataFrame:
     """(metric, feature, period, tool, method, ts, run_id, value): of the latest run of each tool and method, groups whose
-    spread exceeds the tolerance of the larger magnitude; periods must be known."""
+    spread exceeds the tolerance of the larger magnitude; periods must be known. Metrics go by their canonical names; of
+    others than `only` (None: any) two values are no conflict."""
+    metrics = metrics.withColumn("metric", canonical_metric(F.col("metric")))
+    metrics = metrics if only is None else metrics.where(F.col("metric").isin(only))
     w = Window.partitionBy("metric", "feature", "period", "tool", "method").orderBy(F.desc("ts"), F.desc("run_id"))
     last = metrics.where("period IS NOT NULL AND value IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1")
     g = last.groupBy("metric", "feature", "period").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
     return g.where((F.col("n") > 1) & (F.col("high") - F.col("low") > tolerance * F.greatest(F.abs("low"), F.abs("high"))))
 
 
-def runs_of_gauge(runs: DataFrame, most: int = 5) -> DataFrame:
+def runs_of_gauge(runs: DataFrame, most: int = 50) -> DataFrame:
     """(study, gauge_id, run_id, ts): for each gauge and study the number of runs, the newest ones (a report's length) and
     whether there are more."""
     w = Window.partitionBy("gauge_id", "study")
@@ -54,13 +67,30 @@ def runs_of_gauge(runs: DataFrame, most: int = 5) -> DataFrame:
     return ranked.groupBy("gauge_id", "study").agg(F.max("n").alias("n_runs"), newest.alias("newest"), (F.max("n") > most).alias("truncated"))
 
 
+def studies_of_gauge(runs: DataFrame, bound: DataFrame, most: int = 50, runs_most: int = 50) -> DataFrame:
+    """Studies bound to a gauge (gauge_id, study), or with runs that name it: bound flag, number of runs, the newest, rank.
+
+    Of each gauge the first `most` studies are listed, bound ones first, then by number of runs and name; n_studies and
+    studies_truncated tell of all.
+    """
+    own = bound.select("gauge_id", "study").distinct().withColumn("bound_to_gauge", F.lit(True))
+    met = runs_of_gauge(runs, runs_most).join(own, ["gauge_id", "study"], "full").fillna(False, ["bound_to_gauge", "truncated"]).fillna(0, ["n_runs"])
+    w = Window.partitionBy("gauge_id")
+    ranked = met.withColumn("rank", F.row_number().over(w.orderBy(F.desc("bound_to_gauge"), F.desc("n_runs"), "study"))).withColumn("n_studies", F.count(F.lit(1)).over(w))
+    return ranked.where(F.col("rank") <= most).withColumn("studies_truncated", F.col("n_studies") > most)
+
+
 def edge_states(runs: DataFrame) -> DataFrame:
-    """(run_id, parents, acquires, has_record) classified by whether declared parents resolve."""
-    ids = runs.select(F.col("run_id").alias("parent"), F.lit(True).alias("_there"))
-    gone = runs.select("run_id", F.explode("parents").alias("parent")).join(ids, "parent", "left").groupBy("run_id").agg(F.count_if(F.col("_there").isNull()).alias("gone"))
-    met = runs.join(gone, "run_id", "left")
-    state = F.when(~F.col("has_record"), "no_record").when(F.coalesce(F.size("parents"), F.lit(0)) > 0, F.when(F.col("gone") > 0, "declared_unresolved").otherwise("declared")).when(F.col("acquires"), "acquisition_root").otherwise("undeclared")
-    return met.select("run_id", state.alias("state"))
+    """(run_id, parents, input_refs, parent_unresolved, acquires, has_record) to what each run says of its own inputs.
+
+    declared: it lists parents, or refers to another run of the log; declared_unresolved: it says that it could not name
+    its parent; acquisition_root: it fetched outside data; undeclared: none of these; no_record: it has no record.
+    """
+    ids = runs.select(F.col("run_id").alias("ref")).distinct()
+    named = runs.select("run_id", F.explode("input_refs").alias("ref")).where("ref <> run_id").join(ids, "ref", "left_semi").select("run_id").distinct().withColumn("_refers", F.lit(True))
+    declared = (F.coalesce(F.size("parents"), F.lit(0)) > 0) | F.coalesce("_refers", F.lit(False))
+    state = F.when(~F.col("has_record"), "no_record").when(declared, "declared").when(F.col("parent_unresolved").isNotNull(), "declared_unresolved").when(F.col("acquires"), "acquisition_root").otherwise("undeclared")
+    return runs.join(named, "run_id", "left").select("run_id", state.alias("state"))
 
 
 def ledger_listing(claims: DataFrame) -> DataFrame:
@@ -84,11 +114,24 @@ def experiment_summary(table: DataFrame, names: list[str]) -> DataFrame:
 
 
 def merge_shards(slots: DataFrame) -> DataFrame:
-    """(session_id, slot, shard_id, mtime, value): the newest shard's value of each slot, and the shards that lost."""
-    w = Window.partitionBy("session_id", "slot")
-    ranked = slots.withColumn("i", F.row_number().over(w.orderBy(F.desc("mtime"), F.desc("shard_id"))))
-    lost = F.array_sort(F.collect_set(F.when(F.col("i") > 1, F.col("shard_id"))))
-    return ranked.groupBy("session_id", "slot").agg(F.max(F.when(F.col("i") == 1, F.col("shard_id"))).alias("shard_id"), F.max(F.when(F.col("i") == 1, F.col("value"))).alias("value"), lost.alias("overridden"))
+    """(session_id, slot, shard_id, mtime, value): the newest shard's value of each slot, and how many shards lost."""
+    newest = F.max(F.struct("mtime", "shard_id", "value")).alias("x")
+    g = slots.groupBy("session_id", "slot").agg(newest, F.count(F.lit(1)).alias("n"))
+    return g.select("session_id", "slot", "x.shard_id", "x.value", (F.col("n") - 1).alias("n_overridden"))
+
+
+def shard_conflicts(slots: DataFrame) -> DataFrame:
+    """A row for each value that a later shard's replaced: session_id, slot, shard_id, replaced_by."""
+    w = Window.partitionBy("session_id", "slot").orderBy("mtime", "shard_id")
+    return slots.withColumn("replaced_by", F.lead("shard_id").over(w)).where("replaced_by IS NOT NULL").select("session_id", "slot", "shard_id", "replaced_by")
+
+
+def union_of_items(items: DataFrame) -> DataFrame:
+    """(session_id, shard_id, mtime, place, kind, item) of notes and citations: each session's different items of a kind, in
+    the order in which its shards brought them (position from 1)."""
+    first = items.groupBy("session_id", "kind", "item").agg(F.min(F.struct("mtime", "shard_id", "place")).alias("at"))
+    w = Window.partitionBy("session_id", "kind").orderBy("at", "item")
+    return first.select("session_id", "kind", "item", F.row_number().over(w).alias("position"))
 
 
 def holm(tests: DataFrame, family: str = "family") -> DataFrame:
@@ -110,6 +153,15 @@ def hydrograph_frames(steps: DataFrame, most: int, key: str = "event_id") -> Dat
     return rows.join(g.select(key, F.explode(picks).alias("i")), [key, "i"]).select(key, "i", "time_hr", "until", "discharge")
 
 
+def hydrograph_ordinates(events: DataFrame, step_hr: float = 0.25, key: str = "event_id") -> DataFrame:
+    """(time_to_peak_hr, peak_cms, base_time_hr) to key, i, time_hr, discharge: a linear rise to the peak and fall to the base
+    time, at every step and at the base time."""
+    n = F.ceil(F.col("base_time_hr") / step_hr).cast("int")
+    each = events.withColumn("i", F.explode(F.sequence(F.lit(0), n))).withColumn("time_hr", F.least(F.col("i") * step_hr, F.col("base_time_hr")))
+    t, tp, tb = F.col("time_hr"), F.col("time_to_peak_hr"), F.col("base_time_hr")
+    return each.select(key, "i", "time_hr", (F.col("peak_cms") * F.when(t <= tp, t / tp).otherwise((tb - t) / (tb - tp))).alias("discharge"))
+
+
 def values_match(shown: Column, stored: Column) -> Column:
     """Whether a printed number is the stored one within half a unit of its last place; percent signs may stand for fractions."""
     digits = F.regexp_extract(shown, r"^-?[\d,]*\.?(\d*)%?$", 1)
@@ -125,6 +177,12 @@ def check_marked_numbers(markers: DataFrame, outputs: DataFrame) -> DataFrame:
     return met.withColumn("verdict", F.when(F.col("value").isNull(), "unresolved").when(values_match(F.col("shown"), F.col("value")), "match").otherwise("mismatch"))
 
 
+def citation_coverage(numbers: DataFrame) -> DataFrame:
+    """(answer_id, counted, marker) of the numbers in answers: how many count, how many of them are cited, and the share."""
+    counted, cited = F.count_if("counted"), F.count_if(F.col("counted") & F.col("marker").isNotNull())
+    return numbers.groupBy("answer_id").agg(counted.alias("counted"), cited.alias("cited"), F.try_divide(cited, counted).alias("coverage"))
+
+
 def stale_claims_cited(markers: DataFrame, claims: DataFrame) -> DataFrame:
     """Claim markers whose claim is stale, retracted or unknown."""
     met = markers.where("kind = 'claim'").join(claims.select(F.col("claim_id").alias("id"), "status"), "id", "left")
@@ -138,30 +196,79 @@ def report_verdict(issues: DataFrame, sessions: DataFrame) -> DataFrame:
     return sessions.join(g, "session_id", "left").select("session_id", F.when(F.col("bad"), "flagged").when(F.col("n") > 0, "advisory").otherwise("clean").alias("verdict"))
 
 
-def lineage(edges: DataFrame, starts: DataFrame, depth: int = 8) -> DataFrame:
-    """(child, parent) edges walked upwards from the starts: start, run_id and the least number of steps, cycles cut.
+def assumption_violations(assumptions: DataFrame, claims: DataFrame) -> DataFrame:
+    """High-risk assumptions (session_id, assumption_id, risk, validated) not validated in sessions with supported claims
+    (session_id, status), with the number of these."""
+    held = claims.where("status IN ('supported', 'weakly_supported')").groupBy("session_id").agg(F.count(F.lit(1)).alias("n_supported"))
+    return assumptions.where("risk = 'high' AND NOT coalesce(validated, false)").join(held, "session_id").select("session_id", "assumption_id", "n_supported")
+
 
-    Each round joins the frontier with the edges and drops what was reached before; depth bounds the rounds.
+def lineage(edges: DataFrame, starts: DataFrame, depth: int = 8, most: int = 10_000, down: bool = False) -> DataFrame:
+    """(child, parent) edges walked up (or down) from the starts: start, run_id, the least number of steps, and whether the
+    start's walk stopped before the end of the graph (at depth, or with more than `most` runs). Cycles are cut.
+
+    Each round joins the frontier with the edges, drops what was reached before and is written, so that no round's plan
+    holds an earlier one; the walk ends when a round reaches nothing new.
     """
-    seen = starts.select("start", F.col("start").alias("run_id"), F.lit(0).alias("steps"))
-    frontier = seen
-    for step in range(1, depth + 1):
-        frontier = frontier.join(edges, frontier["run_id"] == edges["child"]).select("start", F.col("parent").alias("run_id")).distinct().join(seen, ["start", "run_id"], "left_anti").withColumn("steps", F.lit(step))
+    here, there = ("parent", "child") if down else ("child", "parent")
+    steps_of = written(edges.select(F.col(here).alias("run_id"), F.col(there).alias("next")).where("next IS NOT NULL").distinct(), "edges")
+    seen = frontier = written(starts.select("start", F.col("start").alias("run_id"), F.lit(0).alias("steps")).distinct(), "walk")
+    open_ = None
+    for step in range(1, depth + 2):
+        many = seen.groupBy("start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("start")
+        ahead = frontier.join(steps_of, "run_id").select("start", F.col("next").alias("run_id")).distinct().join(seen, ["start", "run_id"], "left_anti")
+        if step > depth:
+            open_ = written(ahead.select("start").unionByName(many).distinct(), "open")
+            break
+        frontier = written(ahead.join(many, "start", "left_anti").withColumn("steps", F.lit(step)), "walk")
+        if frontier.isEmpty():
+            open_ = written(many, "open")
+            break
         seen = seen.unionByName(frontier)
-    return seen
+    return seen.join(open_.withColumn("_open", F.lit(True)), "start", "left").select("start", "run_id", "steps", F.coalesce("_open", F.lit(False)).alias("stopped"))
+
+
+def lineage_states(walk: DataFrame, runs: DataFrame) -> DataFrame:
+    """What each start of an upward walk rests on, of runs (run_id, has_record, acquires, parent_unresolved, n_parents, basis).
+
+    observed: the walk meets a run that fetched outside data; unknown: it stopped early, or meets a run that is not in the
+    log, has no record or could not name its parent; declared_unobserved: it has several runs, and those without parents
+    say so (basis); undeclared: all others.
+    """
+    met = walk.join(runs.withColumn("_there", F.lit(True)), "run_id", "left")
+    there = F.coalesce("_there", F.lit(False)) & F.coalesce("has_record", F.lit(False))
+    doubt = F.bool_or(~there | F.col("parent_unresolved").isNotNull() | F.col("stopped"))
+    end = there & (F.col("n_parents") == 0)
+    g = met.groupBy("start").agg(F.bool_or(there & F.col("acquires")).alias("seen"), doubt.alias("doubt"), F.count(F.lit(1)).alias("walked"), F.count_if(end).alias("ends"), F.count_if(end & F.col("basis")).alias("based"))
+    state = F.when(F.col("seen"), "observed").when(F.col("doubt"), "unknown").when((F.col("walked") > 1) & (F.col("ends") > 0) & (F.col("ends") == F.col("based")), "declared_unobserved").otherwise("undeclared")
+    return g.select("start", state.alias("state"), "walked")
 
 
 def series_digest(series: DataFrame, key: str = "site_id") -> DataFrame:
-    """SHA-256 of a site's lines `YYYY-MM-DD<TAB>repr(value)<LF>` in date order."""
+    """`sha256:` and the SHA-256 of a site's lines `YYYY-MM-DD<TAB>repr(value)<LF>` in date order; a missing value is `nan`.
+
+    Python's repr of a float is made from a column at a time; the lines of a site are joined in Spark and hashed there.
+    """
+
+    @F.pandas_udf("string")
+    def text(value: pd.Series) -> pd.Series:
+        return value.map(repr)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        h = hashlib.sha256()
-        for day, value in frame.sort_values("date")[["date", "value"]].itertuples(index=False):
-            h.update(f"{day:%Y-%m-%d}\t{float(value)!r}\n".encode())
-        return pd.DataFrame({key: [frame[key].iloc[0]], "digest": [h.hexdigest()]})
+    line = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("\t"), text(F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))), F.lit("\n"))
+    lines = F.array_sort(F.collect_list(F.struct("date", line.alias("line"))))
+    g = series.groupBy(key).agg(lines.alias("s"))
+    return g.select(key, F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.col("s.line"), ""), 256)).alias("digest"))
 
-    t = series.schema[key].dataType.simpleString()
-    return series.where("value IS NOT NULL").select(key, "date", "value").groupBy(key).applyInPandas(run, f"`{key}` {t}, digest string")
+
+def verified_series(series: DataFrame, recorded: DataFrame, key: str = "site_id") -> DataFrame:
+    """Days of the sites whose digest is the recorded one (site_id, digest); others are refused, with their verdict alone.
+
+    Gives site_id, date, value, verdict: verified, mismatch (no days), or unrecorded (no days).
+    """
+    own = series_digest(series, key).join(recorded.select(key, F.col("digest").alias("_then")), key, "left")
+    verdict = own.select(key, F.when(F.col("_then").isNull(), "unrecorded").when(F.col("_then") == F.col("digest"), "verified").otherwise("mismatch").alias("verdict"))
+    good = series.select(key, "date", "value").join(verdict.where("verdict = 'verified'"), key)
+    return good.unionByName(verdict.where("verdict <> 'verified'").select(key, F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("value"), "verdict"))
 
 
 def search_results(results: DataFrame, text: str) -> DataFrame:

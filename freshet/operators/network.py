@@ -36,17 +36,27 @@ def record_status(sites: DataFrame, asked: DataFrame, metadata: DataFrame) -> Da
     return met.withColumn("status", F.when(F.col("begin").isNotNull(), "yes").when(F.col("asked"), "none").otherwise("unknown")).drop("asked")
 
 
-def neighbours(edges: DataFrame, sites: DataFrame, per_side: int = 20) -> DataFrame:
+def network_members(up: DataFrame, down: DataFrame, key: str = "member_id") -> DataFrame:
+    """Features of two directions (origin_id, key, ...), each once for its origin: the upstream one of those found twice."""
+    both = up.withColumn("direction", F.lit("upstream")).unionByName(down.withColumn("direction", F.lit("downstream")))
+    w = Window.partitionBy("origin_id", key).orderBy(F.desc("direction"))
+    return both.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def neighbours(edges: DataFrame, sites: DataFrame, per_side: int = 20, candidates: int = 80) -> DataFrame:
     """Members up and down the network of each origin, nearest first (unknown positions last), capped for each side by
-    per_side, the report's length; with distance, area ratio to the origin and how many were left out."""
+    per_side, the report's length; with distance, area ratio to the origin and how many of the side were left out.
+    Only the `candidates` nearest members of both sides together are looked at; not_checked counts the others."""
     o = sites.select(F.col("gauge_id").alias("origin_id"), F.col("lon").alias("olon"), F.col("lat").alias("olat"), F.col("area").alias("oarea"))
     m = sites.select(F.col("gauge_id").alias("member_id"), "name", "lon", "lat", "area")
     met = edges.select("origin_id", "direction", "member_id").distinct().join(m, "member_id").join(o, "origin_id")
     met = met.withColumn("distance_km", S.haversine_km(F.col("olon"), F.col("olat"), F.col("lon"), F.col("lat")))
+    near = Window.partitionBy("origin_id").orderBy(F.asc_nulls_last("distance_km"), "member_id")
+    met = met.withColumn("_near", F.dense_rank().over(near)).withColumn("not_checked", F.greatest(F.max("_near").over(Window.partitionBy("origin_id")) - candidates, F.lit(0))).where(F.col("_near") <= candidates)
     w = Window.partitionBy("origin_id", "direction")
     ranked = met.withColumn("rank", F.row_number().over(w.orderBy(F.asc_nulls_last("distance_km"), "member_id"))).withColumn("n", F.count(F.lit(1)).over(w))
     out = ranked.where(F.col("rank") <= per_side)
-    return out.select("origin_id", "direction", "rank", "member_id", "name", "distance_km", F.try_divide("area", "oarea").alias("area_ratio"), F.greatest(F.col("n") - per_side, F.lit(0)).alias("excluded"))
+    return out.select("origin_id", "direction", "rank", "member_id", "name", "distance_km", F.try_divide("area", "oarea").alias("area_ratio"), F.greatest(F.col("n") - per_side, F.lit(0)).alias("excluded"), "not_checked")
 
 
 def inside(lon: Column, lat: Column, ring: Column) -> Column:
@@ -90,6 +100,14 @@ def compare_reference(values: DataFrame, reference: DataFrame, names: list[str],
     return met.withColumn("diff", F.col("value") - F.col("reference")).withColumn("percent", F.try_divide(100 * F.col("diff"), F.abs("reference")))
 
 
+def reference_context(values: DataFrame, reference: DataFrame, key: str = "site_id", area_within: float = 0.05) -> DataFrame:
+    """(area_km2, start, end) of a comparison beside the reference's: the ratio of areas, whether it is off by more than
+    area_within, and whether the periods differ."""
+    r = reference.select(key, F.col("area_km2").alias("area_ref_km2"), F.col("start").alias("start_ref"), F.col("end").alias("end_ref"))
+    ratio = F.try_divide("area_km2", "area_ref_km2")
+    return values.join(r, key).withColumn("area_ratio", ratio).withColumn("area_differs", F.abs(ratio - 1) > area_within).withColumn("period_differs", ~(F.col("start").eqNullSafe(F.col("start_ref")) & F.col("end").eqNullSafe(F.col("end_ref"))))
+
+
 def flowline_totals(lines: DataFrame, rows: int = 500) -> DataFrame:
     """Count, length and box of an origin's flowlines by direction; a comid counts once, lines without one each."""
     w = Window.partitionBy("origin_id", "direction", F.coalesce(F.col("comid"), F.concat(F.lit("#"), F.col("line_id")))).orderBy("line_id")

@@ -54,9 +54,9 @@ def a16(spark, d):
     return rounded(rounded(out, "annual_prcp", "annual_pet", "wet_days", digits=4), "snow_fraction", "aridity", "wet_day_frequency")
 
 
-@query("a17_completeness", f"SELECT site_id, variable, finite_days, missing_days, max(missing_days) OVER (PARTITION BY site_id) = 0 AS forcing_complete FROM (SELECT site_id, 'prcp' AS variable, count(prcp) AS finite_days, count(*) - count(prcp) AS missing_days FROM {FORCING} GROUP BY 1 UNION ALL SELECT site_id, 'pet', count(pet), count(*) - count(pet) FROM {FORCING} GROUP BY 1)")
+@query("a17_completeness", f"SELECT site_id, variable, finite_days, missing_days, finite_days > 0 AS served, max(missing_days) OVER (PARTITION BY site_id) = 0 AS forcing_complete FROM (SELECT site_id, 'prcp' AS variable, count(prcp) AS finite_days, count(*) - count(prcp) AS missing_days FROM {FORCING} GROUP BY 1 UNION ALL SELECT site_id, 'pet', count(pet), count(*) - count(pet) FROM {FORCING} GROUP BY 1 UNION ALL SELECT site_id, 'srad', 0, count(*) FROM {FORCING} GROUP BY 1)")
 def a17(spark, d):
-    return C.completeness(forcing(spark, d), ["prcp", "pet"])
+    return C.completeness(forcing(spark, d), ["prcp", "pet", "srad"])
 
 
 PARTS = "(SELECT CAST(l_suppkey % 9 AS VARCHAR) AS site_id, l_linenumber AS chunk_no, CAST(count(*) % 5 AS INTEGER) AS head, CAST(count(*) % 3 AS INTEGER) AS tail, CAST(count(*) % 2 AS INTEGER) AS internal, CASE WHEN count(*) % 11 = 0 THEN NULL ELSE count(*) % 7 <> 0 END AS complete, min(l_shipdate) AS s FROM lineitem GROUP BY ALL)"
@@ -91,11 +91,21 @@ def a23(spark, d):
     return C.periods("lo", "hi", "monthly", span).select("site_id", "period_start", "period_end", "clipped")
 
 
-@query("p8_forcing_units", "SELECT site_id, date, round(CASE WHEN avg(a) OVER w > 200 THEN a - 273.15 ELSE a END, 4) AS tmin_C, round(CASE WHEN avg(b) OVER w > 200 THEN b - 273.15 ELSE b END, 4) AS tmax_C FROM (SELECT site_id, date, prcp * 20 + CASE WHEN site_id = 'A' THEN 260 ELSE 0 END AS a, prcp * 25 + CASE WHEN site_id = 'A' THEN 260 ELSE 0 END AS b FROM daily) WINDOW w AS (PARTITION BY site_id)")
+YEARS = "(SELECT site_id, greatest(p, lo) AS period_start, least(make_date(CAST(year(p) AS INTEGER), 12, 31), hi) AS period_end, greatest(p, lo) > p OR make_date(CAST(year(p) AS INTEGER), 12, 31) > hi AS clipped FROM (SELECT site_id, min(date) AS lo, max(date) AS hi, CAST(unnest(generate_series(date_trunc('year', min(date)), max(date), INTERVAL 1 YEAR)) AS DATE) AS p FROM gappy GROUP BY site_id))"
+
+
+@query("a23_whole_years", f"SELECT site_id, period_start, period_end, CASE WHEN clipped THEN 'dropped' ELSE 'kept' END AS state FROM {YEARS}")
+def a23_years(spark, d):
+    span = gappy(spark, d).groupBy("site_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    kept, dropped = C.whole_periods(C.periods("lo", "hi", "yearly", span).select("site_id", "period_start", "period_end", "clipped"))
+    return kept.withColumn("state", F.lit("kept")).unionByName(dropped.withColumn("state", F.lit("dropped")))
+
+
+@query("p8_forcing_units", "SELECT site_id, date, round(CASE WHEN avg(a) OVER w > 200 THEN a - 273.15 ELSE a END, 4) AS tmin_C, round(CASE WHEN avg(b) OVER w > 200 THEN b - 273.15 ELSE b END, 4) AS tmax_C, round((CASE WHEN avg(a) OVER w > 200 THEN a - 273.15 ELSE a END + CASE WHEN avg(b) OVER w > 200 THEN b - 273.15 ELSE b END) / 2, 4) AS tavg_C FROM (SELECT site_id, date, prcp * 20 + CASE WHEN site_id = '0' THEN 260 ELSE 0 END AS a, prcp * 25 + CASE WHEN site_id = '0' THEN 260 ELSE 0 END AS b FROM daily) WINDOW w AS (PARTITION BY site_id)")
 def p8(spark, d):
-    shift = F.when(F.col("site_id") == "A", 260).otherwise(0)
+    shift = F.when(F.col("site_id") == "0", 260).otherwise(0)
     rows = daily(spark, d).select("site_id", "date", (F.col("prcp") * 20 + shift).alias("tmin"), (F.col("prcp") * 25 + shift).alias("tmax"))
-    return rounded(C.forcing_units(rows).drop("tavg_C"), "tmin_C", "tmax_C", digits=4)
+    return rounded(C.forcing_units(rows), "tmin_C", "tmax_C", "tavg_C", digits=4)
 
 
 @query("p9_hargreaves_pet", "SELECT site_id, date, round(greatest(0.0023 * coalesce(srad * 0.0864 * 1.5, 15 + 10 * sin(2 * pi() * (dayofyear(date) - 81) / 365)) * ((lo + hi) / 2 + 17.8) * sqrt(greatest(hi - lo, 0)), 0), 6) AS pet FROM (SELECT site_id, date, prcp * 20 - 5 AS lo, prcp * 30 - 6 AS hi, CASE WHEN value > 1000 THEN value / 8 END AS srad FROM daily)")
@@ -124,9 +134,16 @@ def w10_rolling(spark, d):
     return rounded(fits.rolling_months(monthly(spark, d), 3), "rolled", digits=4)
 
 
+@query("w10_excluded_months", "SELECT site_id, CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, round(n / day(last_day(m)), 6) AS share FROM (SELECT x.site_id, x.m, count(d.prcp) AS n FROM (SELECT site_id, CAST(unnest(generate_series(date_trunc('month', min(date)), max(date), INTERVAL 1 MONTH)) AS DATE) AS m FROM daily GROUP BY site_id) x LEFT JOIN daily d ON d.site_id = x.site_id AND date_trunc('month', d.date) = x.m GROUP BY x.site_id, x.m) WHERE n / day(last_day(m)) < 0.9")
+def w10_excluded(spark, d):
+    p = daily(spark, d).select("site_id", "date", F.col("prcp").alias("value"))
+    return rounded(fits.drought_from_days(p, 3, "spi", 0.9)[1], "share")
+
+
 @query("w10_spi")
 def w10_spi(spark, d):
-    return rounded(fits.drought_index(monthly(spark, d), 3, "spi"), "value", "rolled")
+    p = daily(spark, d).select("site_id", "date", F.col("prcp").alias("value"))
+    return rounded(fits.drought_from_days(p, 3, "spi", 0.9)[0], "value", "rolled")
 
 
 @query("w10_spei")
@@ -135,9 +152,9 @@ def w10_spei(spark, d):
     return rounded(fits.drought_index(m, 3, "spei"), "value", "rolled")
 
 
-@query("k2_drought_extremes")
+@query("k2_drought_extremes", f"SELECT site_id, arg_max(p, no) AS latest, arg_min(p, (value, no)) AS driest, arg_max(p, (value, -no)) AS wettest FROM (SELECT site_id, round(total, 1) AS value, year * 12 + month AS no, printf('%d-%02d', year, month) AS p FROM {MONTHLY}) GROUP BY site_id")
 def k2(spark, d):
-    return fits.drought_extremes(rounded(fits.drought_index(monthly(spark, d), 3, "spi"), "value"))
+    return fits.drought_extremes(rounded(monthly(spark, d).withColumnRenamed("total", "value"), "value", digits=1))
 
 
 @query("w11_no_leap_calendar", "SELECT s.site_id, coalesce(bool_and(g.date IS NULL) FILTER (e.date IS NOT NULL), false) AS no_leap, count(e.date) AS leap_years FROM (SELECT site_id, min(date) AS lo, max(date) AS hi FROM gappy GROUP BY 1) s LEFT JOIN (SELECT make_date(y, 12, 31) AS date FROM (SELECT CAST(unnest(range(1990, 2010)) AS INTEGER) AS y) WHERE y % 4 = 0) e ON e.date BETWEEN lo AND hi LEFT JOIN (SELECT * FROM gappy WHERE value IS NOT NULL) g ON g.site_id = s.site_id AND g.date = e.date GROUP BY 1")
@@ -155,7 +172,15 @@ def w12_bfi(spark, d):
     return rounded(fits.baseflow_index(fits.baseflow(daily(spark, d))), "bfi")
 
 
-@query("w13_smoothed_minima")
+MINIMA = """WITH daily AS (SELECT CAST(l_suppkey // 33 AS VARCHAR) AS site_id, CAST(l_shipdate AS DATE) AS date, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY ALL),
+rows_ AS (SELECT *, (row_number() OVER (PARTITION BY site_id ORDER BY date) - 1) // 5 AS block FROM daily WHERE value IS NOT NULL),
+lows AS (SELECT site_id, block, min(value) AS m, arg_min(date, (value, date)) AS date FROM rows_ GROUP BY ALL HAVING count(*) = 5),
+turning AS (SELECT site_id, date, m FROM lows QUALIFY 0.9 * m <= lag(m) OVER (PARTITION BY site_id ORDER BY block) AND 0.9 * m <= lead(m) OVER (PARTITION BY site_id ORDER BY block)),
+ends AS (SELECT r.site_id, r.date, r.value, max(t.date) FILTER (t.date <= r.date) AS a, min(t.date) FILTER (t.date >= r.date) AS z FROM rows_ r JOIN turning t ON t.site_id = r.site_id GROUP BY ALL)
+SELECT e.site_id, e.date, e.value, round(least(e.value, CASE WHEN a = z THEN x.m ELSE x.m + (y.m - x.m) * datediff('day', a, e.date) / datediff('day', a, z) END), 6) AS baseflow FROM ends e JOIN turning x ON x.site_id = e.site_id AND x.date = a JOIN turning y ON y.site_id = e.site_id AND y.date = z"""
+
+
+@query("w13_smoothed_minima", MINIMA.replace("FROM daily", "FROM daily_").replace("WITH daily AS", "WITH daily_ AS"))
 def w13(spark, d):
     return rounded(fits.smoothed_minima(daily(spark, d)), "baseflow")
 
@@ -190,15 +215,21 @@ def a35(spark, d):
     return rounded(fits.stationarity(daily(spark, d)), "tau", "p", "slope")
 
 
-YEARLY = "(SELECT site_id, year(date) AS t, round(avg(value), 4) AS value FROM gappy GROUP BY ALL)"
+YEARLY = "(SELECT site_id, year(date) AS t, avg(value) AS value FROM gappy GROUP BY ALL)"
 
 
 @query("a36_trend_slope", f"SELECT a.site_id, any_value(n) AS n, CAST(sum(sign(b.value - a.value)) AS BIGINT) AS s, round(sum(sign(b.value - a.value)) / (any_value(n) * (any_value(n) - 1) / 2), 6) AS tau, round(median((b.value - a.value) / (b.t - a.t)), 6) AS slope FROM {YEARLY} a JOIN {YEARLY} b ON a.site_id = b.site_id AND a.t < b.t JOIN (SELECT site_id, CAST(count(*) AS INTEGER) AS n FROM {YEARLY} GROUP BY 1) c ON c.site_id = a.site_id GROUP BY a.site_id")
 def a36(spark, d):
-    points = gappy(spark, d).groupBy("site_id", F.year("date").alias("t")).agg(F.round(F.avg("value"), 4).alias("value"))
+    points = gappy(spark, d).groupBy("site_id", F.year("date").alias("t")).agg(F.avg("value").alias("value"))
     return rounded(fits.mann_kendall(points).drop("p"), "tau", "slope")
 
 
+@query("a36_trend_test")
+def a36_test(spark, d):
+    points = gappy(spark, d).groupBy("site_id", F.year("date").alias("t")).agg(F.avg("value").alias("value"))
+    return rounded(fits.mann_kendall(points), "tau", "p", "slope")
+
+
 @query("a37_seasonal_trend")
 def a37(spark, d):
     rows = gappy(spark, d).groupBy("site_id", F.year("date").alias("year"), F.month("date").alias("month")).agg(F.avg("value").alias("value"))
@@ -210,11 +241,12 @@ def a31(spark, d):
     return gappy(spark, d).groupBy("site_id").agg(F.count("value").alias("n")).select("site_id", V.record_length(F.col("n") * 4).alias("status"))
 
 
-@query("a32_qualification", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'empty' WHEN 2 THEN 'provisional' WHEN 3 THEN 'other_codes' WHEN 4 THEN 'estimated' ELSE 'pass' END AS status FROM orders")
+@query("a32_qualification", "SELECT o_orderkey, CASE WHEN n IS NULL THEN 'unreadable' WHEN n = 0 THEN 'empty' WHEN p > 0 THEN 'provisional' WHEN x > 0 THEN 'other_codes' WHEN e > 0 THEN 'estimated' ELSE 'pass' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_quantity > 25) AS n, count(*) FILTER (l_returnflag = 'A' AND l_tax > 0.06) AS p, count(*) FILTER (l_returnflag = 'R' AND l_tax > 0.06) AS x, count(*) FILTER (l_linestatus = 'F' AND l_discount > 0.08) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def a32(spark, d):
-    k = F.col("o_orderkey") % 6
-    n = F.when(k == 0, None).when(k == 1, 0).otherwise(10)
-    return read(spark, d, "orders").select("o_orderkey", V.qualification(n, F.when(k == 2, 3).otherwise(0), F.when(k.isin(2, 3), 1).otherwise(0), F.when(k.isin(3, 4), 1).otherwise(0)).alias("status"))
+    high = F.col("l_tax") > 0.06
+    g = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_quantity") > 25).alias("n"), F.count_if((F.col("l_returnflag") == "A") & high).alias("p"), F.count_if((F.col("l_returnflag") == "R") & high).alias("x"), F.count_if((F.col("l_linestatus") == "F") & (F.col("l_discount") > 0.08)).alias("e"))
+    met = read(spark, d, "orders").join(g, "o_orderkey", "left")
+    return met.select("o_orderkey", V.qualification(F.col("n"), F.col("p"), F.col("x"), F.col("e")).alias("status"))
 
 
 @query("a33_water_balance_verdict", "SELECT o_orderkey, CASE WHEN r < 1e-3 OR r > 3 THEN 'insufficient_data' WHEN r > 1 THEN 'warning' ELSE 'pass' END AS status, CASE WHEN r > 1 AND r <= 3 THEN CASE WHEN r < 1.1 THEN 'medium' ELSE 'high' END END AS severity FROM (SELECT o_orderkey, o_totalprice / 50000 - 0.5 AS r FROM orders)")
@@ -223,19 +255,22 @@ def a33(spark, d):
     return read(spark, d, "orders").select("o_orderkey", status.alias("status"), severity.alias("severity"))
 
 
-@query("a34_unit_consistency", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'insufficient_data' WHEN p_partkey % 3 = 1 THEN 'pass' ELSE 'fail' END AS status FROM part")
+@query("a34_unit_consistency", "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) NOT IN ('red', 'blue', 'small') THEN 'insufficient_data' WHEN split_part(p_name, ' ', 1) = 'red' THEN 'pass' ELSE 'fail' END AS status FROM part")
 def a34(spark, d):
-    unit = F.when(F.col("p_partkey") % 3 == 1, "mm/d").when(F.col("p_partkey") % 3 == 2, "m3/s")
+    unit = F.try_element_at(F.create_map(*map(F.lit, ("red", "mm/d", "blue", "m3/s", "small", "ft3/s"))), F.split_part("p_name", F.lit(" "), F.lit(1)))
     return read(spark, d, "part").select("p_partkey", V.unit_consistency(unit, F.lit("mm/d")).alias("status"))
 
 
-@query("j12_temporal_alignment", "SELECT CAST(c_custkey AS VARCHAR) AS site_id, CASE WHEN c_custkey % 5 = 0 THEN 'warning' WHEN c_custkey % 5 = 1 THEN 'insufficient_data' WHEN c_custkey % 5 = 2 THEN 'fail' ELSE 'pass' END AS status FROM customer")
+SLOTS = "(SELECT o_custkey AS k, CAST(min(CAST(o_orderdate AS DATE)) FILTER ({0}) AS VARCHAR) AS s, CAST(max(CAST(o_orderdate AS DATE)) FILTER ({0}) AS VARCHAR) AS e FROM orders GROUP BY 1)"
+
+
+@query("j12_temporal_alignment", f"SELECT CAST(a.k AS VARCHAR) AS site_id, CASE WHEN a.s IS NULL OR b.s IS NULL THEN 'warning' WHEN a.s = b.s AND a.e = b.e THEN 'pass' ELSE 'fail' END AS status FROM {SLOTS.format('true')} a JOIN {SLOTS.format('o_totalprice > 60000')} b ON b.k = a.k")
 def j12(spark, d):
-    k = F.col("c_custkey") % 5
-    rows = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("site_id"), k.alias("k"))
-    a = rows.select("site_id", F.lit("2000-01-01").alias("start"), F.lit("2009-12-31").alias("end"))
-    b = rows.select("site_id", F.when(F.col("k") == 0, None).otherwise("2000-01-01").alias("start"), F.when(F.col("k") == 1, "1999-13-01").when(F.col("k") == 2, "2009-12-30").otherwise("2009-12-31").alias("end"))
-    return V.temporal_alignment(a, b).select("site_id", "status")
+    def slot(keep):
+        day = F.when(keep, F.to_date("o_orderdate"))
+        return read(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("site_id")).agg(F.min(day).cast("string").alias("start"), F.max(day).cast("string").alias("end"))
+
+    return V.temporal_alignment(slot(F.lit(True)), slot(F.col("o_totalprice") > 60000)).select("site_id", "status")
 
 
 @query("a45_uncertainty_present", "SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A') THEN 'pass' ELSE 'warning' END AS status FROM orders")

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources import files
+from ..sources.scratch import shared_folder
 from ..streaming import feeds
-from .registry import daily, gappy, instants, query, read
+from .registry import daily, gappy, instants, passages, query, read, sites
 from .series import rounded
 
 
+def place(spark, name):
+    """A new folder among the shared ones."""
+    return f"{shared_folder(spark)}/freshet/{name}-{uuid.uuid4().hex}"
+
+
 def readings(spark, d):
     """Events as instantaneous values, with an approval state."""
     return read(spark, d, "events").select(F.col("user_id").cast("string").alias("site_id"), F.col("ts").cast("timestamp").alias("ts"), "value", F.when(F.col("event_id") % 3 == 0, "A").otherwise("P").alias("approval"))
@@ -58,3 +66,48 @@ def io7(spark, d):
 @query("io9_served_csv", "SELECT site_id, date, value AS q_cms FROM gappy")
 def io9(spark, d):
     return files.served_csv(gappy(spark, d))
+
+
+@query("io2_features", "SELECT gauge_id AS id, name, lon, lat FROM sites")
+def io2(spark, d):
+    path = place(spark, "io2")
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("lon").cast("double"), F.col("lat").cast("double")).alias("coordinates"))
+    feature = F.struct(F.col("gauge_id").alias("id"), F.create_map(F.lit("name"), "name").alias("properties"), point.alias("geometry"))
+    pages = sites(spark, d).withColumn("page", F.floor(F.col("gauge_id").cast("int") / 20)).groupBy("page").agg(F.collect_list(feature).alias("features"))
+    pages.select("features").write.option("maxRecordsPerFile", 1).json(path)
+    return files.read_features(spark, path).select("id", F.element_at("properties", "name").alias("name"), "lon", "lat")
+
+
+@query("io3_attributes", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS gauge_id, CASE WHEN s_nationkey < 20 THEN s_acctbal END AS area, CASE WHEN s_nationkey >= 10 THEN s_nationkey END AS zone FROM supplier")
+def io3(spark, d):
+    s, folder = read(spark, d, "supplier"), place(spark, "io3")
+    s.where("s_nationkey < 20").select(F.col("s_suppkey").alias("gauge_id"), F.col("s_acctbal").alias("area")).write.option("sep", ";").option("header", True).csv(f"{folder}/a")
+    s.where("s_nationkey >= 10").select(F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("gauge_id"), F.col("s_nationkey").alias("zone")).write.option("sep", ";").option("header", True).csv(f"{folder}/b")
+    return files.read_attributes(spark, {f"{folder}/a": "gauge_id string, area double", f"{folder}/b": "gauge_id string, zone int"})
+
+
+@query("io4_texts", "SELECT sha256(string_agg(o_orderkey || ' ' || o_orderstatus || chr(10), '' ORDER BY o_orderkey)) AS digest, count(*) AS n_lines FROM orders GROUP BY o_orderpriority")
+def io4(spark, d):
+    path = place(spark, "io4")
+    rows = read(spark, d, "orders").repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
+    rows.select("o_orderpriority", F.concat_ws(" ", "o_orderkey", "o_orderstatus").alias("value")).write.partitionBy("o_orderpriority").text(path)
+    return files.read_texts(spark, path).select(F.sha2("text", 256).alias("digest"), F.regexp_count("text", F.lit("\n")).cast("long").alias("n_lines"))
+
+
+@query("io5_forcing_csv", "SELECT site_id, date, value / 100 AS prcp_mm FROM daily")
+def io5(spark, d):
+    path = place(spark, "io5")
+    files.write_forcing_csv(forcing(spark, d).select("site_id", "date", "prcp_mm"), path)
+    return spark.read.schema("date date, prcp_mm double, site_id string").option("header", True).csv(path).select("site_id", "date", "prcp_mm")
+
+
+@query("io8_passages", "SELECT substr(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 1, 16) AS passage_hash, min(doc_name) AS doc_name FROM docs_ GROUP BY 1")
+def io8(spark, d):
+    from ..functions import scalars as S
+
+    path = place(spark, "io8")
+    p = passages(spark, d).select(S.text_hash(F.col("text")).alias("passage_hash"), "doc_name", F.lit(0).alias("chunk_idx"), "text")
+    first = p.groupBy("passage_hash").agg(F.min_by(F.struct("doc_name", "chunk_idx", "text"), "doc_name").alias("x")).select("passage_hash", "x.*")
+    files.write_passages(first.where("doc_name < '5'"), path)
+    files.write_passages(first, path, rebuild=False)
+    return files.read_passages(spark, path).select("passage_hash", "doc_name")

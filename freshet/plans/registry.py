@@ -26,8 +26,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 #: SQL twins of the adapters below.
 VIEWS = {
-    "daily": "daily AS (SELECT l_returnflag AS site_id, CAST(l_shipdate AS DATE) AS date, round(sum(l_quantity), 2) AS value, round(sum(l_tax), 4) AS prcp FROM lineitem GROUP BY ALL)",
-    "gappy": "gappy AS (SELECT 'g' || CAST(o_custkey % 5 AS VARCHAR) AS site_id, CAST(o_orderdate AS DATE) AS date, CASE WHEN min(o_orderkey) % 11 = 0 THEN NULL ELSE floor(sum(o_totalprice) + 0.001) / 1000 END AS value FROM orders GROUP BY ALL)",
+    "daily": "daily AS (SELECT CAST(l_suppkey // 33 AS VARCHAR) AS site_id, CAST(l_shipdate AS DATE) AS date, round(sum(l_quantity), 2) AS value, round(sum(l_tax), 4) AS prcp FROM lineitem GROUP BY ALL)",
+    "gappy": "gappy AS (SELECT 'g' || CAST(o_custkey // 300 AS VARCHAR) AS site_id, CAST(o_orderdate AS DATE) AS date, CASE WHEN min(o_orderkey) % 11 = 0 THEN NULL ELSE floor(sum(o_totalprice) + 0.001) / 1000 END AS value FROM orders GROUP BY ALL)",
     "m": "m AS (SELECT site_id, count(value) AS n, median(value) AS med, avg(value) AS mean, stddev_samp(value) AS sd, count(*) FILTER (value <= 0) AS z FROM gappy GROUP BY site_id)",
     "instants": "instants AS (SELECT CAST(user_id AS VARCHAR) AS site_id, ts, value, event_type FROM events)",
     "cells": "cells AS (SELECT CAST(p_size % 4 AS VARCHAR) AS basin_id, CAST(p_partkey // 50 AS INTEGER) AS \"row\", CAST(p_partkey % 50 AS INTEGER) AS col, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE round(p_retailprice / 100 - 9, 3) END AS hand, CAST(p_size AS INTEGER) AS lulc, p_brand AS brand, p_partkey AS id, p_retailprice AS price FROM part)",
@@ -48,16 +48,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily flow (value) and precipitation (prcp) of three sites."""
+    """Daily flow (value) and precipitation (prcp); a site is 33 suppliers, so sites grow with the table."""
     rows = read(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_returnflag").alias("site_id"), F.to_date("l_shipdate").alias("date")).agg(F.round(F.sum("l_quantity"), 2).alias("value"), F.round(F.sum("l_tax"), 4).alias("prcp"))
+    return rows.groupBy(F.floor(F.col("l_suppkey") / 33).cast("string").alias("site_id"), F.to_date("l_shipdate").alias("date")).agg(F.round(F.sum("l_quantity"), 2).alias("value"), F.round(F.sum("l_tax"), 4).alias("prcp"))
 
 
 def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A series with missing days and NULL values, of five sites."""
+    """A series with missing days and NULL values; a site is 300 customers, so sites grow with the table."""
     rows = read(spark, sf_dir, "orders")
     value = F.when(F.min("o_orderkey") % 11 != 0, F.floor(F.sum("o_totalprice") + 0.001) / 1000)
-    return rows.groupBy(F.concat(F.lit("g"), (F.col("o_custkey") % 5).cast("string")).alias("site_id"), F.to_date("o_orderdate").alias("date")).agg(value.alias("value"))
+    return rows.groupBy(F.concat(F.lit("g"), F.floor(F.col("o_custkey") / 300).cast("string")).alias("site_id"), F.to_date("o_orderdate").alias("date")).agg(value.alias("value"))
 
 
 def instants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,13 +57,13 @@ def p4_null_report(spark, d):
     return O.drop_null(gappy(spark, d))[1].withColumn("null_dates", F.array_join("null_dates", ","))
 
 
-AREA = "CASE site_id WHEN 'A' THEN 120.5 WHEN 'R' THEN 88.0 ELSE 0.0 END"
+AREA = "CASE site_id WHEN '0' THEN 120.5 WHEN '1' THEN 88.0 ELSE 0.0 END"
 
 
 @query("p5_depth", f"SELECT site_id, date, CASE WHEN {AREA} > 0 THEN round(value * 86.4 / {AREA}, 6) END AS mm FROM daily")
 def p5_depth(spark, d):
-    area = spark.createDataFrame([("A", 120.5), ("R", 88.0), ("N", 0.0)], "site_id string, area double")
-    return daily(spark, d).join(F.broadcast(area), "site_id").select("site_id", "date", F.round(S.to_mm_per_day(F.col("value"), F.col("area")), 6).alias("mm"))
+    area = spark.createDataFrame([("0", 120.5), ("1", 88.0)], "site_id string, area double")
+    return daily(spark, d).join(F.broadcast(area), "site_id", "left").select("site_id", "date", F.round(S.to_mm_per_day(F.col("value"), F.coalesce("area", F.lit(0.0))), 6).alias("mm"))
 
 
 SPELLINGS = ("cfs", " M^3/S", "m³/s", "CUMECS", "mm d^-1", "°C", "deg F", "Kelvin", "in/day", "furlong", "km²")
@@ -167,9 +167,9 @@ def a46_skill_rating(spark, d):
     return O.agreement(s, b).select("site_id", O.skill_rating(F.col("nse")).alias("rating"))
 
 
-@query("j1_pairs", "SELECT a.site_id, a.date, a.value AS value_a, b.value AS value_b FROM gappy a JOIN (SELECT 'g0' AS site_id, date, value FROM daily WHERE site_id = 'A') b ON a.site_id = b.site_id AND a.date = b.date")
+@query("j1_pairs", "SELECT a.site_id, a.date, a.value AS value_a, b.value AS value_b FROM gappy a JOIN (SELECT 'g0' AS site_id, date, value FROM daily WHERE site_id = '0') b ON a.site_id = b.site_id AND a.date = b.date")
 def j1_pairs(spark, d):
-    b = daily(spark, d).where("site_id = 'A'").select(F.lit("g0").alias("site_id"), "date", "value")
+    b = daily(spark, d).where("site_id = '0'").select(F.lit("g0").alias("site_id"), "date", "value")
     return O.pair(gappy(spark, d), b)
 
 

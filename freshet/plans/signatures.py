@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import ledger as L
 from ..operators import signatures as O
 from .registry import daily, gappy, query, read
 from .series import rounded
@@ -27,9 +28,21 @@ def a8(spark, d):
 RUNS = "SELECT site_id, {n} AS hit, count(*) AS length FROM (SELECT *, date - CAST(row_number() OVER (PARTITION BY site_id ORDER BY date) AS INTEGER) AS island FROM (SELECT g.* FROM gappy g JOIN m USING (site_id) WHERE {cond})) GROUP BY site_id, island"
 
 
-@query("a9_flow_events", "SELECT m.site_id, round(coalesce(h.d, 0) / n * 365.25, 6) AS high_q_freq, round(coalesce(h.l, 0), 6) AS high_q_dur, round(coalesce(w.d, 0) / n * 365.25, 6) AS low_q_freq, round(coalesce(w.l, 0), 6) AS low_q_dur, round(z / n, 6) AS zero_q_fraction, round(sd / mean, 6) AS flow_variability FROM m LEFT JOIN (SELECT site_id, sum(length) AS d, avg(length) AS l FROM (" + RUNS.format(n=1, cond="value > 2 * med") + ") GROUP BY 1) h USING (site_id) LEFT JOIN (SELECT site_id, sum(length) AS d, avg(length) AS l FROM (" + RUNS.format(n=0, cond="value < 0.5 * mean") + ") GROUP BY 1) w USING (site_id)")
+EVENT_COLUMNS = ("high_q_freq", "high_q_dur", "low_q_freq", "low_q_dur", "zero_q_fraction", "flow_variability")
+
+
+def events_sql(high: float, low: float) -> str:
+    return ("SELECT m.site_id, round(coalesce(h.d, 0) / n * 365.25, 6) AS high_q_freq, round(coalesce(h.l, 0), 6) AS high_q_dur, round(coalesce(w.d, 0) / n * 365.25, 6) AS low_q_freq, round(coalesce(w.l, 0), 6) AS low_q_dur, round(z / n, 6) AS zero_q_fraction, round(sd / mean, 6) AS flow_variability FROM m LEFT JOIN (SELECT site_id, sum(length) AS d, avg(length) AS l FROM (" + RUNS.format(n=1, cond=f"value > {high} * med") + ") GROUP BY 1) h USING (site_id) LEFT JOIN (SELECT site_id, sum(length) AS d, avg(length) AS l FROM (" + RUNS.format(n=0, cond=f"value < {low} * mean") + ") GROUP BY 1) w USING (site_id)")
+
+
+@query("a9_flow_events", events_sql(9.0, 0.2))
 def a9(spark, d):
-    return rounded(O.flow_events(gappy(spark, d), high=2.0, low=0.5), "high_q_freq", "high_q_dur", "low_q_freq", "low_q_dur", "zero_q_fraction", "flow_variability")
+    return rounded(O.flow_events(gappy(spark, d)), *EVENT_COLUMNS)
+
+
+@query("a9_flow_events_near", events_sql(2.0, 0.5))
+def a9_near(spark, d):
+    return rounded(O.flow_events(gappy(spark, d), high=2.0, low=0.5), *EVENT_COLUMNS)
 
 
 @query("a10_a11_slope_fdc", "SELECT site_id, round((quantile_cont(value, 0.66) - quantile_cont(value, 0.33)) / (avg(value) * 0.33), 6) AS slope_fdc, round((ln(quantile_cont(value, 0.67) FILTER (value > 0)) - ln(quantile_cont(value, 0.34) FILTER (value > 0))) / 0.33, 6) AS slope_fdc_log FROM gappy GROUP BY site_id")
@@ -79,11 +92,11 @@ def f3(spark, d):
     return rounded(O.design_rainfall(p, 50), "rain_mm")
 
 
-@query("j13_design_discharge", "SELECT x.site_id, x.t AS return_period, round(CASE WHEN x.t = 5 AND x.site_id = 'A' THEN 1234.5 ELSE coalesce(level, CASE WHEN x.site_id <> 'N' THEN 99.0 END, mx) END, 4) AS discharge, CASE WHEN x.t = 5 AND x.site_id = 'A' THEN 'explicit' WHEN level IS NOT NULL THEN 'return_level' WHEN x.site_id <> 'N' THEN 'design_peak' ELSE 'series_max' END AS origin FROM (SELECT site_id, max(value) AS mx, CAST(unnest([5, 77, 100]) AS INTEGER) AS t FROM daily GROUP BY site_id) x LEFT JOIN (" + GUMBEL.format(v="max_value", full=FULL, t="5, 100") + ") g ON g.site_id = x.site_id AND g.return_period = x.t")
+@query("j13_design_discharge", "SELECT x.site_id, x.t AS return_period, round(CASE WHEN x.t = 5 AND x.site_id = '0' THEN 1234.5 ELSE coalesce(level, CASE WHEN x.site_id <> '1' THEN 99.0 END, mx) END, 4) AS discharge, CASE WHEN x.t = 5 AND x.site_id = '0' THEN 'explicit' WHEN level IS NOT NULL THEN 'return_level' WHEN x.site_id <> '1' THEN 'design_peak' ELSE 'series_max' END AS origin FROM (SELECT site_id, max(value) AS mx, CAST(unnest([5, 77, 100]) AS INTEGER) AS t FROM daily GROUP BY site_id) x LEFT JOIN (" + GUMBEL.format(v="max_value", full=FULL, t="5, 100") + ") g ON g.site_id = x.site_id AND g.return_period = x.t")
 def j13(spark, d):
     s = daily(spark, d)
     drivers = s.groupBy("site_id").agg(F.max("value").alias("series_max")).withColumn("return_period", F.explode(F.array(F.lit(5), F.lit(77), F.lit(100))))
-    drivers = drivers.withColumn("explicit", F.when((F.col("return_period") == 5) & (F.col("site_id") == "A"), 1234.5)).withColumn("peak", F.when(F.col("site_id") != "N", 99.0).otherwise(-1.0))
+    drivers = drivers.withColumn("explicit", F.when((F.col("return_period") == 5) & (F.col("site_id") == "0"), 1234.5)).withColumn("peak", F.when(F.col("site_id") != "1", 99.0).otherwise(-1.0))
     return rounded(O.pick_discharge(O.gumbel_moments(O.annual_maxima(s), (5, 100)), drivers), "discharge", digits=4)
 
 
@@ -105,8 +118,20 @@ def f4(spark, d):
 @query("f5_unit_hydrograph", "SELECT p_partkey, round(tc, 6) AS tc_h, round(0.133 * tc / 2 + 0.6 * tc, 6) AS tp_h, round(0.208 * p_size * 2 / (0.133 * tc / 2 + 0.6 * tc), 6) AS qp, round(2.67 * (0.133 * tc / 2 + 0.6 * tc), 6) AS tb_h FROM (SELECT *, 0.0663 * power(p_retailprice / 1000, 0.77) * power(0.001 * p_size, -0.385) AS tc FROM part)")
 def f5(spark, d):
     p = read(spark, d, "part").withColumn("tc", S.kirpich_hours(F.col("p_retailprice"), 0.001 * F.col("p_size")))
-    tp = 0.133 * F.col("tc") / 2 + 0.6 * F.col("tc")
-    return p.select("p_partkey", F.round("tc", 6).alias("tc_h"), F.round(tp, 6).alias("tp_h"), F.round(0.208 * F.col("p_size") * 2 / tp, 6).alias("qp"), F.round(2.67 * tp, 6).alias("tb_h"))
+    h = S.triangular_hydrograph(F.col("p_size").cast("double"), F.col("tc"), F.lit(2.0))
+    return p.select("p_partkey", F.round("tc", 6).alias("tc_h"), F.round(h["time_to_peak_hr"], 6).alias("tp_h"), F.round(h["peak_cms"], 6).alias("qp"), F.round(h["base_time_hr"], 6).alias("tb_h"))
+
+
+@query("f5_hydrograph_ordinates", "SELECT event_id, CAST(i AS INTEGER) AS i, round(t, 6) AS time_hr, round(qp * CASE WHEN t <= tp THEN t / tp ELSE (2.67 * tp - t) / (1.67 * tp) END, 6) AS discharge FROM (SELECT *, least(i * 0.25, 2.67 * tp) AS t FROM (SELECT *, unnest(range(CAST(ceil(2.67 * tp / 0.25) AS BIGINT) + 1)) AS i FROM (SELECT *, 0.208 * p_size * 2 / tp AS qp FROM (SELECT p_partkey AS event_id, p_size, 0.133 * tc / 2 + 0.6 * tc AS tp FROM (SELECT *, 0.0663 * power(p_retailprice / 1000, 0.77) * power(0.001 * p_size, -0.385) AS tc FROM part)))))")
+def f5_ordinates(spark, d):
+    p = read(spark, d, "part").withColumn("tc", S.kirpich_hours(F.col("p_retailprice"), 0.001 * F.col("p_size")))
+    events = p.select(F.col("p_partkey").alias("event_id"), *[c.alias(k) for k, c in S.triangular_hydrograph(F.col("p_size").cast("double"), F.col("tc"), F.lit(2.0)).items()])
+    return rounded(L.hydrograph_ordinates(events), "time_hr", "discharge")
+
+
+@query("f6_cover_factor", "SELECT p_partkey, CASE WHEN p_name LIKE '%water%' THEN 0.0 WHEN p_name LIKE '%red%' THEN 0.5 WHEN p_name LIKE '%ring%' THEN 0.25 ELSE 0.1 END AS c FROM part")
+def f6_cover(spark, d):
+    return read(spark, d, "part").select("p_partkey", S.cover_factor(F.col("p_name"), {"water": 0.0, "red": 0.5, "ring": 0.25}).alias("c"))
 
 
 @query("f6_soil_loss", """SELECT p_partkey, round(a, 6) AS soil_loss, CASE WHEN a < 2 THEN 'low' WHEN a < 10 THEN 'moderate' WHEN a < 50 THEN 'high' ELSE 'severe' END AS severity FROM (SELECT p_partkey, p_retailprice * k * ls * 0.1 AS a FROM (SELECT *, 0.1317 * (0.2 + 0.3 * exp(-0.0256 * sand * (1 - 0.3))) * power(30.0 / (70 - sand + 30), 0.3) * (1 - 0.25 * 1.5 / (1.5 + exp(3.72 - 2.95 * 1.5))) * (1 - 0.7 * (1 - sand / 100) / ((1 - sand / 100) + exp(-5.51 + 22.9 * (1 - sand / 100)))) AS k, power(80 / 22.13, CASE WHEN sl >= 5 THEN 0.5 WHEN sl >= 3.5 THEN 0.4 WHEN sl >= 1 THEN 0.3 ELSE 0.2 END) * (65.41 * power(sin(atan(sl / 100)), 2) + 4.56 * sin(atan(sl / 100)) + 0.065) AS ls FROM (SELECT *, CAST(10 + p_size AS DOUBLE) AS sand, p_size / 4.0 AS sl FROM part)))""")

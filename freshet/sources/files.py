@@ -75,8 +75,16 @@ def write_layout(rows: DataFrame, path: str, header: bool) -> None:
     rows.repartition("site_id").sortWithinPartitions("site_id", "_d").drop("_d").write.mode("overwrite").partitionBy("site_id").option("sep", "\t").option("header", header).csv(path)
 
 
-def write_passages(passages: DataFrame, path: str) -> None:
-    passages.write.mode("overwrite").json(path)
+def write_passages(passages: DataFrame, path: str, rebuild: bool = True) -> None:
+    """The passage index as JSON lines: built anew, or with passages added whose hash it does not have yet."""
+    rows = passages
+    if not rebuild:
+        rows = passages.join(read_passages(passages.sparkSession, path).select("passage_hash"), "passage_hash", "left_anti")
+    rows.write.mode("overwrite" if rebuild else "append").json(path)
+
+
+def read_passages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("passage_hash string, doc_name string, chunk_idx int, text string").json(path)
 
 
 def served_csv(series: DataFrame) -> DataFrame:
