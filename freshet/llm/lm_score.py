@@ -4,19 +4,20 @@ A text is a sequence of tokens: its words, A-Z lower-cased, and an end. A token
 training knows it, the octave of its frequency rank along a Huffman code, and the bits of its rank inside the octave.
 A word that training does not know goes on with its bytes, bit by bit, and a closing space.
 
-Three predictors give each decision a logit: the counts of all training tokens, those after the previous word, and
-those after a hash of the previous two. (Of bytes: all, after one, after two.) A gate, the kind of decision and how
-often both contexts were met, selects the weights that mix the logits; an adaptive map of the mixed logit refines the
-probability. The two outcomes of a decision always share a probability of 1, so a text's score is a log10 probability
-over all texts. The weights are learned online, in an order of its own making, over joint counts of what the predictors
-said and what came; in these each training token is predicted as if it had not been counted.
+Three predictors give each decision a logit: the counts of all training tokens, those of the tokens after the previous
+word, and those of the different words after it. (Of bytes: all, after one, after a hash of two.) A gate, the kind of
+decision and how often the contexts were met, selects the weights that mix the logits; an adaptive map of the mixed logit
+refines the probability. The two outcomes of a decision always share a probability of 1, so a text's score is a log10
+probability over all texts. The weights are learned online, in an order of its own making, over joint counts of what the
+predictors said and what came: training documents fall into two halves, and each half's tokens are predicted from the
+pairs of the other, as those of a new document are.
 
 Counts are exact sums over all training texts at every size, so scores do not depend on partitions. Words of equal
 count lie side by side in rank, so the first predictor is a table with a row for each different count: at most the
-square root of twice the tokens, small enough to broadcast. Contexts are a table that grows with the corpus. What one
-task reads is one or several blocks; a block asks for the counts of its different (context, word) pairs, packed by
-bucket of context, and gets back a byte for each decision. Contexts with a thousandth of all tokens are dealt by the
-octave of the word that follows. A pair of words that only one place in the corpus has is not asked for as a context.
+square root of twice the tokens, small enough to broadcast. Pairs of words are a table that grows with the corpus. What
+one task reads is one or several blocks; a block sends its different pairs, packed by bucket of the previous word, and
+each different pair of the corpus is scored once, in its bucket, and the result sent back. Previous words with a
+thousandth of all tokens are dealt by the octave of the word that follows; for these the third predictor is the second.
 """
 
 from __future__ import annotations
@@ -37,12 +38,10 @@ from .common import arrow_rows, cut, drop_cut, release, table
 
 #: Tokens of a block and of its vocabulary, about: a task begins another block beyond them.
 BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 250_000
-#: Pairs of a bucket, about.
+#: Tokens whose pairs are in a bucket, about.
 BUCKET = 2_000_000
-#: A context is dealt by octaves from this share of all tokens on.
-HOT = 1024
-#: Decisions handled at a time.
-STRIDE = 500_000
+#: A context is dealt by octaves from this share of all tokens on, and from HOT_LEAST tokens.
+HOT, HOT_LEAST = 1024, 64
 #: States of a context: all counts (own, other) of up to EXACT in sum, then 4 steps of size by 31 of ratio.
 EXACT = 12
 PAIRS = (EXACT + 1) * (EXACT + 2) // 2
@@ -110,28 +109,37 @@ class Mixer:
 
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.9, 0.3, 0.3], np.float32), (KINDS * LEVELS * LEVELS, 1)))
     own: np.ndarray = field(default_factory=lambda: np.zeros(KINDS * LEVELS * BINS))
+    _ready: tuple | None = field(default=None, repr=False)
 
     def logit(self, kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mixed logits of the own outcome, given the first predictor's and the contexts' states; and the refining cell."""
-        level = STATE_LEVEL[two]
-        gate = (kind * np.int64(LEVELS) + STATE_LEVEL[one]) * LEVELS + level
-        w = self.weights[gate]
-        mixed = w[:, 0] * x + w[:, 1] * STATE_LOGIT[one] + w[:, 2] * STATE_LOGIT[two]
-        return mixed, (kind * np.int64(LEVELS) + level) * BINS + np.rint(np.clip(mixed * 2, -24, 24)).astype(np.int64) + 24
+        scale, shift = self._tables()
+        at = (kind * np.int32(STATES) + one) * STATES + two
+        mixed = scale[at] * x + shift[at]
+        return mixed, (kind * np.int32(LEVELS) + STATE_LEVEL[two]) * BINS + np.rint(np.clip(mixed * 2, -24, 24)).astype(np.int32) + 24
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first logit's weight, and what the other two add, by kind and states."""
+        if self._ready is None:
+            kind, one, two = np.meshgrid(np.arange(KINDS), np.arange(STATES), np.arange(STATES), indexing="ij")
+            w = self.weights[(kind * LEVELS + STATE_LEVEL[one]) * LEVELS + STATE_LEVEL[two]]
+            self._ready = w[..., 0].ravel().copy(), (w[..., 1] * STATE_LOGIT[one] + w[..., 2] * STATE_LOGIT[two]).ravel()
+        return self._ready
 
     def log10(self, kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 probability of each decision's own outcome. With own and other exchanged the two sum to 1."""
         mixed, cell = self.logit(kind, x, one, two)
         p = 1 / (1 + np.exp(-np.clip(mixed.astype(np.float64), -16, 16)))
         turned = cell - 2 * (cell % BINS - 24)
-        refined = (self.own[cell] + 20 * p) / (self.own[cell] + self.own[turned] + 20)
+        own = self.own[cell]
+        refined = (own + 20 * p) / (own + self.own[turned] + 20)
         return np.log10(np.clip((p + refined) / 2, 1e-7, 1 - 1e-7))
 
 
 def cell_of(kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Number of a joint state: kind of decision, first logit in steps of a half, and both contexts' states."""
-    step = np.clip(np.rint(x * 2), -LOGITS // 2, LOGITS // 2 - 1).astype(np.int64) + LOGITS // 2
-    return ((kind * np.int64(LOGITS) + step) * STATES + one) * STATES + two
+    step = np.clip(np.rint(x * 2), -LOGITS // 2, LOGITS // 2 - 1).astype(np.int32) + LOGITS // 2
+    return ((kind * np.int32(LOGITS) + step) * STATES + one) * STATES + two
 
 
 def learn(cell: np.ndarray, n: np.ndarray, epochs: int = 30, batch: int = 512, rate: float = 0.05) -> Mixer:
@@ -148,31 +156,30 @@ def learn(cell: np.ndarray, n: np.ndarray, epochs: int = 30, batch: int = 512, r
     gate = (kind * LEVELS + STATE_LEVEL[one]) * LEVELS + STATE_LEVEL[two]
     inputs = np.stack([x, STATE_LOGIT[one], STATE_LOGIT[two]], 1).astype(np.float64)
     square = np.full(mixer.weights.shape, 1e-3)
+    mass = np.bincount(gate, weights=n, minlength=len(square)) * min(1.0, batch / len(cell))  # of a batch, on average
     weights = mixer.weights.astype(np.float64)
     for epoch in range(epochs):
         for a in range(0, len(cell), batch):
             b = slice(a, a + batch)
             error = (1 - 1 / (1 + np.exp(-np.clip((weights[gate[b]] * inputs[b]).sum(1), -16, 16)))) * n[b]
             gates, at = np.unique(gate[b], return_inverse=True)
-            mass = np.bincount(at, weights=n[b])
             for k in range(3):
-                g = np.bincount(at, weights=error * inputs[b, k]) / mass
+                g = np.bincount(at, weights=error * inputs[b, k]) / mass[gates]
                 square[gates, k] += g * g
                 weights[gates, k] += rate * g / np.sqrt(square[gates, k])
-    mixer.weights = weights.astype(np.float32)
+    mixer.weights, mixer._ready = weights.astype(np.float32), None
     _, at = mixer.logit(kind, x, one, two)
     mixer.own = np.bincount(at, weights=n, minlength=len(mixer.own)).astype(np.float64)
     return mixer
 
 
-def tally(cells: Iterator[np.ndarray]) -> pa.RecordBatch:
-    """Joint states met, and how often."""
-    total = np.zeros(KINDS * LOGITS * STATES * STATES, np.int32)
-    for cell in cells:
-        at, n = np.unique(cell, return_counts=True)
-        total[at] += n.astype(np.int32)
+def tally(cells: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Joint states met, and how often, from states and numbers of tokens."""
+    total = np.zeros(KINDS * LOGITS * STATES * STATES, np.int64)
+    for cell, n in cells:
+        np.add.at(total, cell, n)
     at = np.flatnonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["cell", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
 
 def learn_from(counted: DataFrame) -> Mixer:
@@ -242,6 +249,17 @@ class Words:
     def octave(self, rank: np.ndarray) -> np.ndarray:
         return np.frexp(np.maximum(rank, 1).astype(np.float64))[1].astype(np.int64) - 1
 
+    def place(self, rank: np.ndarray) -> np.ndarray:
+        """Each rank's place in the order of the codes' bits, from 0; unknown words come last."""
+        if not self.different:
+            return np.ones(len(rank), np.int64)
+        order = np.argsort(self.value << (np.uint64(63) - self.size.astype(np.uint64)), kind="stable")
+        count = np.minimum(2 ** (np.arange(len(self.size)) + 1), self.different + 1) - 2 ** np.arange(len(self.size))
+        before = np.empty(len(order), np.int64)
+        before[order] = np.cumsum(count[order]) - count[order]
+        o = self.octave(rank)
+        return np.where(rank > 0, before[o] + rank - (np.int64(1) << o), self.different + 1)
+
     def codes(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Decisions after the flag: bits (from the 63rd down), how many of them tell the octave, and how many there are."""
         known = rank > 0
@@ -267,22 +285,38 @@ class Words:
         if len(at):
             o = self.octave(rank[row[at]])
             own[at], other[at] = self.own[o, step[at] - 1], self.other[o, step[at] - 1]
-        # halves of the octave, one after another: what lies below and above is known, the middle is looked up
+        # halves of the octave, one after another: what lies below and above is known, the middle is looked up. Where all
+        # words of a stretch have one count, so have its parts.
         word = np.flatnonzero(size - 1 > octave_size)
         r, o = rank[word], self.octave(rank[word])
         low, width = np.int64(1) << o, np.int64(1) << o
         below, above = self.upto(low), self.upto(low + width)
+        first, last = self._step(low), self._step(low + width - 1)
         place = start[word] + 1 + octave_size[word]
         while len(word):
+            even = (first == last) & (low + width - 1 <= self.different)
+            if even.any():
+                _, at, k = spread(np.frexp(width[even].astype(np.float64))[1].astype(np.int64) - 1)
+                n = (self.count[first[even]][at] * (width[even][at] >> (k + 1)))
+                own[place[even][at] + k] = other[place[even][at] + k] = n
+                word, r, low, width, below, above, first, last, place = (v[~even] for v in (word, r, low, width, below, above, first, last, place))
+                if not len(word):
+                    break
             width = width >> 1
-            middle = self.upto(low + width)
+            mid = np.minimum(low + width, self.different + 1)
+            i = self._step(mid)
+            middle = self.before[i] + (mid - self.first[i]) * self.count[i]
             upper = (r & width) > 0
             own[place], other[place] = np.where(upper, above - middle, middle - below), np.where(upper, middle - below, above - middle)
-            low, below, above = np.where(upper, low + width, low), np.where(upper, middle, below), np.where(upper, above, middle)
+            last = np.where(upper, last, np.maximum(np.where(self.first[i] == mid, i - 1, i), 0))
+            low, below, above, first = np.where(upper, low + width, low), np.where(upper, middle, below), np.where(upper, above, middle), np.where(upper, i, first)
             on = width > 1
-            word, r, low, width, below, above, place = (v[on] for v in (word, r, low, width, below, above, place + 1))
+            word, r, low, width, below, above, first, last, place = (v[on] for v in (word, r, low, width, below, above, first, last, place + 1))
         return size, kind, own, other
 
+    def _step(self, rank: np.ndarray) -> np.ndarray:
+        return np.maximum(np.searchsorted(self.first, rank, "right") - 1, 0)
+
 
 # ---- bytes of unknown words
 
@@ -368,10 +402,11 @@ def gather(docs: DataFrame) -> DataFrame:
 
     A block is what one task reads, or a part of it, so texts are not shuffled. A task's rows are written together, so
     its numbers fit whatever attempt they come from. Token 0 is the end.
-    Blocks: block, docs (doc_id, held_out, n_bytes, n_tokens), ids (compressed). Words: block, id, token, n in training.
+    Blocks: block, docs (doc_id, half: 0 or 1, -1 of held-out ones, n_bytes, n_tokens), ids (compressed). Words: block, id, token, n in training.
     """
-    dealt = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), held_out(docs).alias("held"))
-    doc = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+    half = F.when(held_out(docs), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(2))).cast("int")
+    dealt = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), half.alias("half"))
+    doc = pa.struct([("doc_id", pa.int64()), ("half", pa.int32()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
     types = {"block": pa.int64(), "docs": pa.list_(doc), "ids": pa.binary(), "id": pa.int32(), "token": pa.binary(), "n": pa.int64()}
 
     def rows(length: int, **given) -> pa.RecordBatch:
@@ -388,7 +423,7 @@ def gather(docs: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             ids = np.concatenate(parts)
-            taught = [p for p, d in zip(parts, given) if not d["held_out"]]
+            taught = [p for p, d in zip(parts, given) if d["half"] >= 0]
             train = np.bincount(np.concatenate(taught), minlength=len(numbers)) if taught else np.zeros(len(numbers), np.int64)
             yield rows(1, block=pa.array([block]), docs=pa.array([given], types["docs"]), ids=pa.array([zstandard.ZstdCompressor(level=3).compress(ids.tobytes())], pa.binary()))
             tokens = list(numbers)
@@ -400,11 +435,11 @@ def gather(docs: DataFrame) -> DataFrame:
         numbers, parts, given = fresh()
         tokens = 0
         for batch in batches:
-            for doc_id, text, out in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc_id, text, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
                 ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
                 parts.append(np.append(ids, np.int32(0)))
-                given.append({"doc_id": doc_id, "held_out": out, "n_bytes": len(text), "n_tokens": len(words) + 1})
+                given.append({"doc_id": doc_id, "half": half, "n_bytes": len(text), "n_tokens": len(words) + 1})
                 tokens += len(words) + 1
                 if tokens >= BLOCK_TOKENS or len(numbers) >= BLOCK_WORDS:
                     yield from flush()
@@ -412,119 +447,91 @@ def gather(docs: DataFrame) -> DataFrame:
         if parts:
             yield from flush()
 
-    schema = "block long, docs array<struct<doc_id: long, held_out: boolean, n_bytes: long, n_tokens: long>>, ids binary, id int, token binary, n long"
+    schema = "block long, docs array<struct<doc_id: long, half: int, n_bytes: long, n_tokens: long>>, ids binary, id int, token binary, n long"
     with arrow_rows(docs.sparkSession, 256):
         return cut(dealt.mapInArrow(run, schema), "blocks")
 
 
-def rank_words(words: DataFrame) -> tuple[DataFrame, Words]:
-    """token, n, rank of all tokens of (token, n): ranks by falling count, then token; none of tokens that training has not."""
+def rank_words(listed: DataFrame) -> tuple[DataFrame, Words]:
+    """(block, id, token, n) to the vocabulary: token, n, places (block, id) and rank, by falling count, then token; a token that
+    training has not has no rank."""
+    spark = listed.sparkSession
+    summed = cut(listed.groupBy("token").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "id")).alias("places")), "tokens")
     order = [F.desc("n"), F.asc("token")]
-    summed = words.groupBy("token").agg(F.sum("n").alias("n")).repartitionByRange(*order).sortWithinPartitions(*order)
-    summed = cut(summed.select("token", "n", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("at")), "vocabulary")
-    parts = summed.where("n > 0").groupBy("part").agg(F.count(F.lit(1)).alias("rows")).orderBy("part").collect()
+    dealt = summed.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = cut(dealt.select("token", "n", "places", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("at")), "vocabulary")
+    drop_cut(summed)
+    parts = dealt.where("n > 0").groupBy("part").agg(F.count(F.lit(1)).alias("rows")).orderBy("part").collect()
     starts = np.cumsum([0, *(p["rows"] for p in parts)]).tolist()
-    by_part = words.sparkSession.createDataFrame([(p["part"], s) for p, s in zip(parts, starts)], "part int, start long")
-    ranked = summed.join(F.broadcast(by_part), "part", "left").select("token", "n", F.when(F.col("n") > 0, F.col("start") + F.col("at") + 1).alias("rank"))
-    steps = summed.where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toArrow()
+    by_part = spark.createDataFrame([(p["part"], s) for p, s in zip(parts, starts)], "part int, start long")
+    ranked = dealt.join(F.broadcast(by_part), "part", "left").select("token", "n", "places", F.when(F.col("n") > 0, F.col("start") + F.col("at") + 1).alias("rank"))
+    steps = dealt.where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toArrow()
     return ranked, Words(steps["n"].to_numpy(), steps["words"].to_numpy())
 
 
 class Block:
-    """The tokens of a block in order, and its different pairs: (previous word, word), and (previous pair, word)."""
+    """The tokens of a block in order, and its different pairs (previous word, word)."""
 
     def __init__(self, row: dict, words: Words) -> None:
-        self.words, self.docs = words, row["docs"]
+        self.docs = row["docs"]
         self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), np.int32).astype(np.int64)
         self.rank, self.cost = np.zeros(len(row["vocabulary"]), np.int64), np.zeros(len(row["vocabulary"]))
         self.rank[row["vocabulary"].field("id").to_numpy()] = row["vocabulary"].field("rank").to_numpy()
         self.cost[row["vocabulary"].field("id").to_numpy()] = row["vocabulary"].field("cost").to_numpy()
         self.sizes = self.docs.field("n_tokens").to_numpy()
-        self.train = np.repeat(~np.asarray(self.docs.field("held_out").to_pylist(), bool), self.sizes)
         self.first = np.cumsum(self.sizes) - self.sizes
         wide = len(self.rank) + 1
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
-        before[self.first] = wide - 1
-        self.pair, self.of_pair = np.unique(before * wide + self.ids, return_inverse=True)
-        self.pair_word, self.pair_before = self.pair % wide, self.pair // wide
-        self.start = words.different + 1  # stands for a text's beginning
-        self.before_rank = np.append(self.rank, self.start)[self.pair_before]
-
-    def counts(self, of: np.ndarray, size: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Training and other tokens of each pair."""
-        train = self.train if at is None else self.train[at]
-        n = np.bincount(of[train], minlength=size)
-        return n, np.bincount(of, minlength=size) - n
-
-    def thirds(self, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions whose previous pair others have too (met > 1), the different (pair, word), and each position's; pairs as contexts."""
-        last = np.zeros_like(self.of_pair)
-        last[1:] = self.of_pair[:-1]
-        asks = np.ones(len(self.ids), bool)
-        asks[self.first] = False
-        asks &= met[last] > 1
-        at = np.flatnonzero(asks)
-        key, of = np.unique(last[at] * (len(self.rank) + 1) + self.ids[at], return_inverse=True)
-        return at, key % (len(self.rank) + 1), key // (len(self.rank) + 1), of
-
-
-class Asked:
-    """Different (context, word) pairs as they are sent to buckets: hot contexts' in two parts, the octave and the rest."""
-
-    def __init__(self, context: np.ndarray, rank: np.ndarray, hot: np.ndarray, words: Words, buckets: int) -> None:
-        _, octave_size, size = words.codes(rank)
-        cold = np.flatnonzero(~hot)
-        warm = np.flatnonzero(hot)
-        lower = np.flatnonzero(hot & (rank > 0))
+        before[self.first] = wide - 1  # a text's beginning
+        pair, self.of_pair = np.unique(before * wide + self.ids, return_inverse=True)
+        self.word = self.rank[pair % wide]
+        self.context = np.append(self.rank, words.different + 1)[pair // wide]
+
+    def counts(self) -> list[np.ndarray]:
+        """Training tokens of each pair, of either half."""
+        half = np.repeat(self.docs.field("half").to_numpy(), self.sizes)
+        return [np.bincount(self.of_pair[half == h], minlength=len(self.word)) for h in (0, 1)]
+
+
+class Pairs:
+    """A block's different pairs as they are sent to buckets: those of hot contexts in two parts, the octave and the rest."""
+
+    def __init__(self, block: Block, words: Words, buckets: int) -> None:
+        context, rank = block.context, block.word
+        hot = (context == 0) | (context > words.different) | (words.count_of(context) >= max(HOT_LEAST, words.total // HOT))
+        cold, warm, lower = np.flatnonzero(~hot), np.flatnonzero(hot), np.flatnonzero(hot & (rank > 0))
         octave = words.octave(rank)
-        self.event = np.concatenate([cold, warm, lower])
+        self.pair = np.concatenate([cold, warm, lower])
         self.part = np.repeat(np.array([0, 1, 2]), [len(cold), len(warm), len(lower)])
-        self.context = np.concatenate([context[cold], context[warm], _mix(context[lower] * _M + octave[lower].astype(np.uint64) + np.uint64(1))])
-        top = np.where(rank[warm] > 0, np.int64(1) << octave[warm], 0)
-        self.rank = np.concatenate([rank[cold], top, rank[lower]])
-        bucket = (_mix(self.context ^ np.uint64(0x5BD1E995)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((self.rank, self.context, bucket))
-        self.event, self.part, self.context, self.rank, self.bucket = (v[order] for v in (self.event, self.part, self.context, self.rank, bucket))
-        own = 1 + size
-        self.size = np.where(self.part == 0, own[self.event], np.where(self.part == 1, 1 + octave_size[self.event], (size - octave_size)[self.event]))
-        self.skip = np.where(self.part == 2, 1 + octave_size[self.event], 0)
-        self.own = own
-
-    def sent(self, block: int, n: np.ndarray, others: np.ndarray, single: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """A packed row a bucket. n, others: tokens of each pair, in training and elsewhere. single: pairs of a word that training has once."""
+        # a part's context: the word, and the octave of the word that follows from 1 on
+        self.context = np.concatenate([context[cold], context[warm], context[lower]]) * 64 + np.concatenate([np.zeros(len(cold) + len(warm), np.int64), octave[lower] + 1])
+        self.rank = np.concatenate([rank[cold], np.where(rank[warm] > 0, np.int64(1) << octave[warm], 0), rank[lower]])
+        bucket = (_mix(self.context.astype(np.uint64) * _M) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable") if buckets > 60_000 else np.argsort(bucket.astype(np.uint16), kind="stable")
+        self.pair, self.part, self.context, self.rank, self.bucket = (v[order] for v in (self.pair, self.part, self.context, self.rank, bucket))
+
+    def spans(self) -> list[tuple[int, int]]:
+        """From where to where each bucket's pairs lie."""
+        edges = (np.flatnonzero(np.diff(self.bucket)) + 1).tolist()
+        return list(zip([0, *edges], [*edges, len(self.bucket)])) if len(self.bucket) else []
+
+    def sent(self, block: int, counts: list[np.ndarray], single: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A packed row a bucket. counts: tokens of each pair by half. single: pairs of a word that training has once."""
         pack = zstandard.ZstdCompressor(level=3)
-        n, others, once = n[self.event], others[self.event], (n * single)[self.event]
-        edges = np.flatnonzero(np.diff(self.bucket)) + 1
-        spans = list(zip([0, *edges], [*edges, len(self.bucket)])) if len(self.bucket) else []
+        given = [self.rank, *(n[self.pair] for n in counts), *((n * single)[self.pair] for n in counts), self.part]
         rows = []
-        for a, b in spans:
-            steps = np.diff(self.context[a:b], prepend=np.uint64(0))
-            columns = [steps.view(np.int64), self.rank[a:b], n[a:b], others[a:b], once[a:b], self.part[a:b]]
+        for a, b in self.spans():
+            columns = [np.diff(self.context[a:b], prepend=0), *(v[a:b] for v in given)]
             rows.append((int(self.bucket[a]), pack.compress(_planes(np.concatenate(columns)))))
         for a in range(0, len(rows), 256):
             part = rows[a : a + 256]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([block] * len(part), pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["bucket", "block", "packed"])
 
-    def answers(self, told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """From the buckets' rows, in their order: first place of each pair in the states, the states, and each pair's tokens (3: very many)."""
-        unpack = zstandard.ZstdDecompressor()
-        edges = np.append(np.flatnonzero(np.diff(self.bucket)) + 1, len(self.bucket)) if len(self.bucket) else np.zeros(0, np.int64)
-        start = np.cumsum(self.own) - self.own
-        out, total, at = np.zeros(int(self.own.sum()), np.uint8), np.zeros(len(self.own), np.uint8), 0
-        for packed, stop in zip(told, edges.tolist()):
-            x = np.frombuffer(unpack.decompress(packed), np.uint8)
-            event, first = self.event[at:stop], stop - at
-            for a in range(at, stop, 50_000):  # places of some pairs at a time
-                b = min(a + 50_000, stop)
-                size = self.size[a:b]
-                place = np.repeat((start[self.event[a:b]] + self.skip[a:b]) - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                out[place] = x[first : first + len(place)]
-                first += len(place)
-            whole = (self.part[at:stop] != 1) | (self.rank[at:stop] == 0)
-            total[event[whole]] = x[: stop - at][whole]
-            at = stop
-        return start, out, total
+    def scores(self, told: list[bytes], pairs: int) -> np.ndarray:
+        """Each pair's score from what the buckets tell, in their order."""
+        parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.float32) for x in told]
+        return np.bincount(self.pair, weights=np.concatenate([np.zeros(0, np.float32), *parts]), minlength=pairs)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -542,261 +549,190 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((x & 0xFFFFFFFF).astype(np.float64))[1])
 
 
-def count_paths(context: np.ndarray, rank: np.ndarray, n: np.ndarray, others: np.ndarray, once: np.ndarray, part: np.ndarray, words: Words, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (context, word) pairs, which may repeat: the different pair of each; and of different pairs, tokens (2: more than one,
-    3: hot), first place in the states, decisions, and the states of these in a row.
+class Bucket:
+    """All pairs of some contexts: the different ones, and the states of both contexts at each of their decisions.
 
-    Pairs of a context are sorted by the bits of their words, so that a node of the code is a stretch of them; going
-    down the code, a stretch's sum is the node's count and that of the part that goes on alike the own outcome's.
+    Pairs of a context are sorted by the bits of their words, so that a node of the code is a stretch of them; going down
+    the code, a stretch's sum is the node's count, and that of the part which goes on alike the own outcome's.
     """
-    bits, octave_size, size = words.codes(rank)
-    order = np.lexsort((bits, context))
-    c, k = context[order], bits[order]
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
-    first = np.flatnonzero(new)
-    event = np.empty(len(c), np.int64)
-    event[order] = np.cumsum(new) - 1
-    if not len(first):
-        return event, np.zeros(0, np.uint8), first, first, np.zeros(0, np.uint8)
-    n_of, others_of, once_of = (np.add.reduceat(v[order], first) for v in (n, others, once))
-    c, k, kind, octave_size, size, r = c[first], k[first], part[order][first], octave_size[order][first], size[order][first], rank[order][first]
-    begins = np.ones(len(c), bool)
-    begins[1:] = c[1:] != c[:-1]
-    group = np.cumsum(begins) - 1
-    of_group = np.flatnonzero(begins)
-    all_n, all_once = np.add.reduceat(n_of, of_group)[group], np.add.reduceat(once_of, of_group)[group]
-    # the flag, then octave and rank; a hot context's first part ends with the octave, its second begins after it
-    flag = kind != 2
-    low, high = np.where(kind == 2, octave_size, 0), np.where(kind == 1, octave_size, size)
-    length = flag + high - low
-    start = np.cumsum(length) - length
-    out = np.repeat(state_of(n_of, np.zeros(len(n_of), np.int64)), length)
-    known = r > 0
-    f = np.flatnonzero(flag)
-    out[start[f]] = state_of(np.where(known, all_n - all_once, all_once)[f], np.where(known, all_once, all_n - all_once)[f])
-    several = np.diff(np.append(of_group, len(c)))[group] > 1
-    alive = np.flatnonzero(several & (high > 0))
-    same = np.full(len(c), -1, np.int64)  # bits shared with the pair before, of the same context
-    same[1:] = np.where(begins[1:], -1, 63 - _bits(k[1:] ^ k[:-1]))
-    shared = same
-    at = alive
-    depth = 0
-    while len(at):
-        # what was left out between two pairs may part them
-        shared = np.minimum.reduceat(shared, np.append(0, at[:-1] + 1))[: len(at)] if len(at) < len(shared) else shared
-        total, tops = n_of[alive], high[alive]
-        node = np.flatnonzero(shared < depth)
-        below = np.flatnonzero(shared < depth + 1)
-        node_n = np.repeat(np.add.reduceat(total, node), np.diff(np.append(node, len(alive))))
-        own = np.repeat(np.add.reduceat(total, below), np.diff(np.append(below, len(alive))))
-        write = np.flatnonzero(low[alive] <= depth)
-        e = alive[write]
-        out[start[e] + flag[e] + depth - low[e]] = state_of(own[write], (node_n - own)[write])
-        depth += 1
-        at = np.flatnonzero(tops > depth)
-        alive = alive[at]
-    met = np.minimum(n_of + others_of, 2).astype(np.uint8)
-    met[n_of >= hot] = 3
-    return event, met, start, length, out
-
-
-def ask(events: DataFrame, words: Words, buckets: int, name: str) -> DataFrame:
-    """(bucket, block, packed) to (block, told): what buckets answer to each block, in the order of buckets."""
-    spark = events.sparkSession
-    sent = spark.sparkContext.broadcast(words)
-    hot = max(64, words.total // HOT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        held: list[tuple[int, np.ndarray]] = []
-
-        def done(bucket: int) -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate([x[i] for _, x in held]) for i in range(6)]
-            sizes = [x.shape[1] for _, x in held]
-            context = columns[0].view(np.uint64)
-            event, met, start, length, states = count_paths(context, *columns[1:], words=sent.value, hot=hot)
-            blocks, rows = [block for block, _ in held], []
-            del columns, context
-            held.clear()
-            at = 0
-            for block, size in zip(blocks, sizes):
-                e = event[at : at + size]
-                many = length[e]
-                place = np.repeat(start[e] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                rows.append((block, pack.compress(met[e].tobytes() + states[place].tobytes())))
-                at += size
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "told"])
-
-        now = None
-        for batch in batches:
-            for bucket, block, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != now:
-                    if held:
-                        yield from done(now)
-                    now, held = bucket, []
-                x = _of_planes(unpack.decompress(packed)).reshape(6, -1).copy()
-                x[0] = np.cumsum(x[0].view(np.uint64)).view(np.int64)
-                held.append((block, x))
-        if held:
-            yield from done(now)
-
-    dealt = events.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, told binary")
-    told = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "told"))).alias("told"))
-    with arrow_rows(spark, 64):
-        return cut(told.select("block", F.col("told.told").alias(name)), name)
+    def __init__(self, packed: list[bytes], words: Words) -> None:
+        unpack = zstandard.ZstdDecompressor()
+        columns = [_of_planes(unpack.decompress(x)).reshape(7, -1) for x in packed]
+        self.sizes = [x.shape[1] for x in columns]
+        context, rank, *given, part = (np.concatenate([np.cumsum(x[0]) if i == 0 else x[i] for x in columns]) for i in range(7))
+        del columns
+        self.words = words
+        place = words.place(rank)
+        _, dense = np.unique(context, return_inverse=True)
+        key = dense * np.int64(words.different + 2) + place
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        self.of = np.empty(len(key), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        #: Tokens of either half, and those of them whose word training has once.
+        self.n, self.once = ([np.add.reduceat(v[order], first) for v in given[i : i + 2]] for i in (0, 2))
+        self.rank, self.part, group = rank[order][first], part[order][first], dense[order][first]
+        self.bits, octave_size, size = words.codes(self.rank)
+        # the flag, then octave and rank; a hot context's first part ends with the octave, its second begins after it
+        self.flag = self.part != 2
+        self.low, self.high = np.where(self.part == 2, octave_size, 0), np.where(self.part == 1, octave_size, size)
+        self.octave_size = octave_size
+        self.size = self.flag + self.high - self.low
+        self.start = np.cumsum(self.size) - self.size
+        self.begins = np.ones(len(first), bool)
+        self.begins[1:] = group[1:] != group[:-1]
+
+    def states(self, n: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every decision the states after tokens, and after different words (in hot contexts the same again)."""
+        one = self._states(n, once, self.begins)
+        kinds = ((n > 0) & (self.part == 0)).astype(np.int64)
+        two = self._states(kinds, kinds * (once > 0), self.begins)
+        return one, np.where(np.repeat(self.part == 0, self.size), two, one)
+
+    def _states(self, n: np.ndarray, once: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        of_group = np.flatnonzero(begins)
+        group = np.cumsum(begins) - 1
+        all_n, all_once = np.add.reduceat(n, of_group)[group], np.add.reduceat(once, of_group)[group]
+        out = np.repeat(state_of(n, np.zeros(len(n), np.int64)), self.size)
+        known = self.rank > 0
+        f = np.flatnonzero(self.flag)
+        out[self.start[f]] = state_of(np.where(known, all_n - all_once, all_once)[f], np.where(known, all_once, all_n - all_once)[f])
+        same = np.full(len(n) + 1, -1, np.int64)  # bits shared with the pair before, of the same context
+        same[1:-1] = np.where(begins[1:], -1, 63 - _bits(self.bits[1:] ^ self.bits[:-1]))
+        # a pair that shares no bits with others any more keeps its first state from there on
+        high = np.minimum(self.high, np.maximum(same[:-1], same[1:]) + 1)
+        shared, alive, depth = same[:-1], np.flatnonzero(high > 0), 0
+        at = alive
+        while len(at):
+            # what was left out between two pairs may part them
+            shared = np.minimum.reduceat(shared, np.append(0, at[:-1] + 1))[: len(at)] if len(at) < len(shared) else shared
+            total = n[alive]
+            node, below = np.flatnonzero(shared < depth), np.flatnonzero(shared < depth + 1)
+            node_n = np.repeat(np.add.reduceat(total, node), np.diff(np.append(node, len(alive))))
+            own = np.repeat(np.add.reduceat(total, below), np.diff(np.append(below, len(alive))))
+            write = np.flatnonzero(self.low[alive] <= depth)
+            e = alive[write]
+            out[self.start[e] + self.flag[e] + depth - self.low[e]] = state_of(own[write], (node_n - own)[write])
+            depth += 1
+            at = np.flatnonzero(high[alive] > depth)
+            alive = alive[at]
+        return out
+
+    def walk(self, n: np.ndarray, once: np.ndarray, rows: np.ndarray, less: int = 0) -> Iterator[tuple]:
+        """The decisions of some pairs by their number: which pairs have one, kind, first logit, and both states of each.
+
+        n, once: the counts to predict from. less: 1 takes a token of each word off the counts of all.
+        """
+        ranks, at = np.unique(self.rank, return_inverse=True)
+        size, _, own, other = self.words.decisions(ranks)
+        x = np.log((np.maximum(own - less, 0) + 0.4) / (other + 0.4)).astype(np.float32)
+        first = (np.cumsum(size) - size)[at] + np.where(self.flag, 0, 1 + self.octave_size)
+        del own, other
+        first_state, second_state = self.states(n, once)
+        rows, step = rows[self.size[rows] > 0], 0
+        while len(rows):
+            number = np.where(self.flag[rows], step, step + 1 + self.octave_size[rows])
+            kind = np.where(number == 0, FLAG, np.where(number <= self.octave_size[rows], OCTAVE, RANK)).astype(np.int32)
+            place = self.start[rows] + step
+            yield rows, kind, x[first[rows] + step], first_state[place], second_state[place]
+            step += 1
+            rows = rows[self.size[rows] > step]
+
+    def cells(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Joint states of each half's tokens, predicted from the other half, and how many they are.
+
+        A word that training has once is unknown to the other half, and ends with the flag."""
+        for half in (0, 1):
+            n, once = self.n[half], self.once[half]
+            alone = np.flatnonzero(self.flag & (once > 0))
+            for rows, kind, x, one, two in self.walk(self.n[1 - half], self.once[1 - half], np.flatnonzero(n > 0), 1):
+                yield cell_of(kind, x, one, two), (n - once)[rows]
+                if len(alone):  # the first decisions
+                    at = np.searchsorted(rows, alone)
+                    at = at[kind[at] == FLAG]
+                    less = np.log((max(self.words.singles - 1, 0) + 0.4) / (self.words.total - self.words.singles + 0.4))
+                    yield cell_of(kind[at], np.full(len(at), less, np.float32), MIRROR[one[at]], MIRROR[two[at]]), once[rows[at]]
+                    alone = alone[:0]
+
+    def scores(self, mixer: Mixer) -> list[np.ndarray]:
+        """log10 probability of the word of each pair, as its block sent it."""
+        total = np.zeros(len(self.rank))
+        for rows, kind, x, one, two in self.walk(self.n[0] + self.n[1], self.once[0] + self.once[1], np.arange(len(self.rank))):
+            total[rows] += mixer.log10(kind, x, one, two)
+        edges = np.cumsum([0, *self.sizes])
+        return [total[self.of[a:b]].astype(np.float32) for a, b in zip(edges, edges[1:])]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(len(batch)):
-            yield {c: (batch.column(c)[i].values if pa.types.is_list(batch.schema.field(c).type) and c in ("docs", "vocabulary") else batch.column(c)[i].as_py()) for c in batch.schema.names}
+            yield {c: (batch.column(c)[i].values if c in ("docs", "vocabulary") else batch.column(c)[i].as_py()) for c in batch.schema.names}
 
 
 @dataclass
 class Corpus:
-    """A corpus with its counts. coded: blocks, with the rank of each token; one, two: what contexts answered."""
+    """A corpus with its counts. coded: blocks, with the rank of each token. pairs: buckets, with the pairs of each block."""
 
     words: Words
     bytes_: Bytes
     spelling: Mixer
     coded: DataFrame
-    one: DataFrame
-    two: DataFrame
+    pairs: DataFrame
     buckets: int
 
 
-def _first(block: Block, words: Words, buckets: int) -> Asked:
-    hot = (block.before_rank == 0) | (block.before_rank == block.start) | (words.count_of(block.before_rank) >= max(64, words.total // HOT))
-    return Asked(block.before_rank.astype(np.uint64), block.rank[block.pair_word], hot, words, buckets)
-
-
-def _second(block: Block, words: Words, buckets: int, met: np.ndarray) -> tuple[Asked, np.ndarray, np.ndarray]:
-    at, word, pair, of = block.thirds(met)
-    places = np.uint64(max(0, 64 - (max(words.total, 1).bit_length() + 16)))
-    context = _mix(_mix(block.before_rank[pair].astype(np.uint64) * _M) + block.rank[block.pair_word[pair]].astype(np.uint64) * _M) >> places
-    return Asked(context, block.rank[word], met[pair] == 3, words, buckets), at, of
-
-
 def count_corpus(docs: DataFrame) -> Corpus:
-    """All counts: of words, of bytes in words, and of words after one and two others."""
+    """All counts: of words, of bytes in words, and of words after others."""
     spark = docs.sparkSession
     gathered = gather(docs)
-    listed = gathered.where("token IS NOT NULL").select("block", "id", "token", "n")
-    ranked, words = rank_words(listed.select("token", "n"))
-    bytes_, spelling = byte_model(ranked.where("n > 0"))
+    vocabulary, words = rank_words(gathered.where("token IS NOT NULL").select("block", "id", "token", "n"))
+    bytes_, spelling = byte_model(vocabulary.where("n > 0"))
     sent = spark.sparkContext.broadcast((bytes_, spelling))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column(0).to_pylist()
             cost = sent.value[0].log10([b"" if t == b" " else t for t in tokens], sent.value[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(tokens), np.int64)), pa.array(cost)], ["token", "rank", "cost"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cost)], ["places", "cost"])
 
-    unknown = ranked.where("n = 0").select("token").mapInArrow(spell, "token binary, rank long, cost double")
-    told = ranked.where("n > 0").select("token", "rank", F.lit(0.0).alias("cost")).unionByName(unknown)
-    met = listed.select("block", "id", "token").join(told.hint("merge"), "token").groupBy("block").agg(F.collect_list(F.struct("id", "rank", "cost")).alias("vocabulary"))
+    kind = "places array<struct<block: long, id: int>>, cost double"
+    unknown = vocabulary.where("n = 0").select("token", "places").mapInArrow(spell, kind).select(F.explode("places").alias("p"), F.lit(0).cast("long").alias("rank"), "cost")
+    known = vocabulary.where("n > 0").select(F.explode("places").alias("p"), "rank", F.lit(0.0).alias("cost"))
+    met = known.unionByName(unknown).groupBy("p.block").agg(F.collect_list(F.struct("p.id", "rank", "cost")).alias("vocabulary"))
     coded = cut(gathered.where("docs IS NOT NULL").select("block", "docs", "ids").join(met.hint("merge"), "block"), "coded")
     drop_cut(gathered)
+    drop_cut(vocabulary)
     tokens = coded.select(F.explode("docs.n_tokens").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(max(8, tokens // BUCKET))
-    known = spark.sparkContext.broadcast(words)
+    shared = spark.sparkContext.broadcast(words)
     release(spark)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            block = Block(row, known.value)
-            asked = _first(block, known.value, buckets)
-            yield from asked.sent(row["block"], *block.counts(block.of_pair, len(block.pair)), known.value.count_of(block.rank[block.pair_word]) == 1)
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            block = Block(row, known.value)
-            _, _, met = _first(block, known.value, buckets).answers(row["one"])
-            asked, at, of = _second(block, known.value, buckets, met)
-            word = block.rank[block.thirds(met)[1]]
-            yield from asked.sent(row["block"], *block.counts(of, len(asked.own), at), known.value.count_of(word) == 1)
+            block = Block(row, shared.value)
+            yield from Pairs(block, shared.value, buckets).sent(row["block"], block.counts(), shared.value.count_of(block.word) == 1)
 
-    schema = "bucket int, block long, packed binary"
     with arrow_rows(spark, 1):
-        events = cut(coded.mapInArrow(first, schema), "pairs")
-    one = ask(events, words, buckets, "one")
-    drop_cut(events)
-    release(spark)
-    with arrow_rows(spark, 1):
-        events = cut(coded.join(one.hint("merge"), "block").mapInArrow(second, schema), "thirds")
-    release(spark)
-    two = ask(events, words, buckets, "two")
-    drop_cut(events)
+        rows = coded.mapInArrow(send, "bucket int, block long, packed binary")
+        grouped = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("block", "packed"))).alias("sent"))
+        pairs = cut(grouped.select("bucket", "sent.block", "sent.packed"), "pairs")
     release(spark)
-    return Corpus(words, bytes_, spelling, coded, one, two, buckets)
-
-
-def _strides(block: Block, row: dict, words: Words, buckets: int, less: bool = False) -> Iterator[tuple]:
-    """Documents in order, some at a time: from, to, their tokens, and of each decision its token and number there, kind, first logit
-    (less: as if the token were not counted), and states after one word and after two."""
-    asked = _first(block, words, buckets)
-    start1, states1, met = asked.answers(row["one"])
-    asked, at, of = _second(block, words, buckets, met)
-    start2, states2, _ = asked.answers(row["two"] or [])
-    of_third = np.full(len(block.ids), -1, np.int64)
-    of_third[at] = of
-    size, kind, own, other = words.decisions(block.rank)
-    if less:  # a word that training has once is unknown without itself, and ends with the flag
-        once = words.count_of(block.rank) == 1
-        begins = (np.cumsum(size) - size)[once]
-        own[begins], other[begins] = other[begins], own[begins]
-        own = np.maximum(own - 1, 0)
-    x = np.log((own + 0.4) / (other + 0.4)).astype(np.float32)
-    del own, other
-    start = np.cumsum(size) - size
-    seen = np.cumsum(size[block.ids])
-    stops = seen[block.first + block.sizes - 1]
-    a = 0
-    while a < len(block.sizes):
-        b = max(a + 1, int(np.searchsorted(stops, (stops[a - 1] if a else 0) + STRIDE, "right")))
-        t = slice(int(block.first[a]), int(block.first[b - 1] + block.sizes[b - 1]))
-        ids = block.ids[t]
-        _, token, step = spread(size[ids])
-        flat = start[ids][token] + step
-        one = states1[start1[block.of_pair[t]][token] + step]
-        # a pair of words that only this place has tells of itself alone, in training
-        third = of_third[t]
-        alone = np.where(block.train[t], 1, 0)
-        lone = np.ones(len(ids), bool)
-        begins = block.first[a:b] - t.start
-        lone[begins] = False
-        two = np.where(lone & (third < 0), alone, 0).astype(np.uint8)[token]
-        asks = (third >= 0)[token]
-        two[asks] = states2[(start2[np.maximum(third, 0)] if len(start2) else third)[token[asks]] + step[asks]]
-        yield a, b, t, ids, token, step, kind[flat], x[flat], one, two
-        a = b
+    return Corpus(words, bytes_, spelling, coded, pairs, buckets)
 
 
 def learn_weights(corpus: Corpus) -> Mixer:
-    """Weights and refinement over all training tokens, each predicted without itself: a word that training has once is unknown."""
-    words, buckets = corpus.coded.sparkSession.sparkContext.broadcast(corpus.words), corpus.buckets
+    """Weights and refinement over all training tokens, those of each half predicted from the other."""
+    words = corpus.coded.sparkSession.sparkContext.broadcast(corpus.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cells() -> Iterator[np.ndarray]:
-            for row in _rows(batches):
-                block = Block(row, words.value)
-                single = words.value.count_of(block.rank) == 1
-                for _, _, t, ids, token, step, kind, x, one, two in _strides(block, row, words.value, buckets, less=True):
-                    once = single[ids][token]
-                    use = block.train[t][token] & ~(once & (step > 0))
-                    kind, x, one, two, once = (v[use] for v in (kind, x, one, two, once))
-                    one, two = (LESS[np.where(once, MIRROR[s], s)] for s in (one, two))
-                    yield cell_of(kind, x, one, two)
-
-        yield tally(cells())
+        yield tally(x for row in _rows(batches) for x in Bucket(row["packed"], words.value).cells())
 
     with arrow_rows(corpus.coded.sparkSession, 1):
-        return learn_from(_met(corpus).mapInArrow(run, "cell long, n long"))
-
-
-def _met(corpus: Corpus) -> DataFrame:
-    return corpus.coded.join(corpus.one.hint("merge"), "block").join(corpus.two.hint("merge"), "block", "left")
+        return learn_from(corpus.pairs.select("packed").mapInArrow(run, "cell long, n long"))
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -813,31 +749,43 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
 
 def score_corpus(corpus: Corpus, mixer: Mixer) -> DataFrame:
-    words, buckets = corpus.words, corpus.buckets
-    spark = corpus.coded.sparkSession
-    sent = spark.sparkContext.broadcast((words, mixer))
-    base_of = float(np.log10(words.total + words.different + 1))
+    """The scores as score_texts gives them; the corpus's tables are deleted."""
+    spark, buckets = corpus.coded.sparkSession, corpus.buckets
+    sent = spark.sparkContext.broadcast((corpus.words, mixer))
+    base_of = float(np.log10(corpus.words.total + corpus.words.different + 1))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, mixer = sent.value
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for row in _rows(batches):
+            found = Bucket(row["packed"], sent.value[0]).scores(sent.value[1])
+            for a in range(0, len(found), 64):
+                part = [pack.compress(x.tobytes()) for x in found[a : a + 64]]
+                yield pa.RecordBatch.from_arrays([pa.array(row["block"][a : a + 64], pa.int64()), pa.array([row["bucket"]] * len(part), pa.int32()), pa.array(part, pa.binary())], ["block", "bucket", "told"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value[0]
         for row in _rows(batches):
             block = Block(row, words)
+            each = Pairs(block, words, buckets).scores(row["told"], len(block.word))
             n = words.count_of(block.rank)
             base = np.log10(n + 1.0) - base_of
-            score = np.zeros(len(block.sizes))
-            for a, b, t, _, token, _, kind, x, one, two in _strides(block, row, words, buckets):
-                each = np.bincount(token, weights=mixer.log10(kind, x, one, two), minlength=t.stop - t.start)
-                score[a:b] = np.add.reduceat(each, block.first[a:b] - t.start)
-            score += np.add.reduceat(block.cost[block.ids], block.first)
+            score = np.add.reduceat(each[block.of_pair] + block.cost[block.ids], block.first)
             known = np.add.reduceat((n > 0)[block.ids].astype(np.int64), block.first)
             bits = -score / np.log10(2) / np.maximum(block.docs.field("n_bytes").to_numpy(), 1)
-            columns = [block.docs.field("doc_id"), block.docs.field("held_out"), pa.array(block.sizes), pa.array(known), pa.array(np.add.reduceat(base[block.ids], block.first)), pa.array(score), pa.array(bits)]
+            columns = [block.docs.field("doc_id"), pa.array(block.docs.field("half").to_numpy() < 0), pa.array(block.sizes), pa.array(known), pa.array(np.add.reduceat(base[block.ids], block.first)), pa.array(score), pa.array(bits)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     with arrow_rows(spark, 1):
-        done = cut(_met(corpus).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"), "scores")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+        rows = corpus.pairs.mapInArrow(tell, "block long, bucket int, told binary")
+        told = cut(rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "told"))).alias("t")).select("block", F.col("t.told").alias("told")), "told")
+        release(spark)
+        drop_cut(corpus.pairs)
+        met = corpus.coded.join(told.hint("merge"), "block")
+        done = cut(met.mapInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"), "scores")
+    drop_cut(corpus.coded)
+    drop_cut(told)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.words.total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
