@@ -1,80 +1,148 @@
-"""Main text of web pages: rules for page furniture, and site templates found by counting subtrees per host.
-
-Each page is parsed into elements with a hash of their whole subtree. Spark counts, for every host, on how many of its
-different pages a subtree stands; subtrees that recur on many are the site's template and are deleted, with what known
-tags, roles and class names mark as furniture. Paragraphs and headings of an article are never deleted for recurring.
+"""Main text of web pages: site templates found by counting subtrees per host, then rules for what is of one page alone.
+
+Each page is parsed once, into lines of text and the elements that they stand in, with a hash of each element's whole
+subtree, and outside the article also one of its form: tags and names without the text, since menus, adverts and footers
+may say something else on each page. Spark counts on how many of its different pages a host has a subtree; those that
+recur on many are the site's template, and all lines in them go, whether inside the article or not. What remains is held
+against tags, roles and class names that mark furniture (of rare kinds, and in articles), and against the article's
+bounds. Paragraphs and headings of an article are never deleted for recurring.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, salted_join, small_batches, table
+from .common import arrow_rows, cut, drop_cut, hot_keys, salted_join, table
 
 DROP_TAGS = frozenset("nav aside footer form script style noscript template iframe svg button select textarea dialog menu head object canvas".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent banner notice notices popup modal comment comments disqus share sharing social related newsletter subscribe login widget pagination masthead skip".split()
 )
-BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Content as such: inside an article these are kept even if other pages have the same.
+BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Content as such: inside an article (or anywhere in a page without one) these are kept even if other pages have the same.
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption summary".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose content is no markup.
+RAW = frozenset("script style textarea title noscript iframe".split())
 #: An open element of the second set ends where one of the first begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A subtree is of the template if on this many pages of its host; where that is under this share of them, the number
 #: grows with the logarithm of the host's pages.
 LEAST_PAGES, LEAST_SHARE = 8, 0.05
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>|<[a-zA-Z/!?][^<>]*$", re.S | re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _NAME = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _GAP = re.compile(r"\s+")
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*>", re.I) for t in RAW}
+
+
+def _end_of_tag(html: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at `at`; -1 if one of its quotes is never closed."""
+    while at < len(html):
+        at = _PLAIN.match(html, at).end()
+        if at == len(html):
+            break
+        if html[at] == ">":
+            return at
+        at = html.find(html[at], at + 1) + 1
+        if not at:
+            break
+    return -1
+
+
+def markup(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes): kind is `text`, `open` or `close`. In one pass over the page, whatever its quotes.
+
+    Comments and declarations are left out, raw elements come without their content. A tag that the page breaks off in is
+    left out. From a tag on with a quote that is never closed, tags end at the next `>`, whatever quotes they have.
+    """
+    at, size, last, quotes = 0, len(html), html.rfind(">"), True
+    while at < size:
+        start = html.find("<", at)
+        if start < 0 or start + 1 == size:
+            yield "text", html[at:], ""
+            return
+        m = _TAG.match(html, start)
+        if not m and html[start + 1] not in "!?/":
+            yield "text", html[at : start + 1], ""
+            at = start + 1
+            continue
+        if start > at:
+            yield "text", html[at:start], ""
+        if html.startswith("<!--", start):
+            stop = html.find("-->", start + 4)
+            at = size if stop < 0 else stop + 3
+            continue
+        if start > last:
+            return
+        if not m:
+            at = html.index(">", start) + 1
+            continue
+        stop = _end_of_tag(html, m.end()) if quotes else html.index(">", m.end())
+        if stop < 0:
+            stop, quotes = html.index(">", m.end()), False
+        name = m[2].lower()
+        at = stop + 1
+        yield "close" if m[1] else "open", name, html[m.end() : stop]
+        if name in RAW and not m[1]:
+            end = _CLOSE[name].search(html, at)
+            at = end.end() if end else size
+            yield "close", name, ""
 
 
 class Page:
-    """Elements in page order (tag, parent, names, dropped by rule) and their text; hashes on demand."""
+    """Lines of a page (text, element, whether a rule drops it) and its elements (parent, hash, whether it may be of a template)."""
 
     def __init__(self, html: str) -> None:
-        self.tags, self.parents, self.dropped, self.in_article, self.content = ["#"], [-1], [False], [False], [[]]
-        self.roots: dict[str, list[int]] = {"article": [], "main": []}
-        stack, at = [0], 0
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
-                self.content[stack[-1]].append(html[at : m.start()])
-            at = m.end()
-            tag = m[3]
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if m[2]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[depth]] == tag:
-                        del stack[depth:]
-                        break
-                continue
-            ends = {"p"} if tag in BLOCKS else set()
-            ends |= ENDS.get(tag, set())
-            if ends:
-                for depth in range(len(stack) - 1, 0, -1):
+        self.tags, self.parents, self.dropped, self.article, self.inside = ["#"], [-1], [False], [False], [False]
+        self.content: list[list] = [[]]
+        self.names = [""]
+        self.has = Counter()
+        stack, blocks, names = [0], [], Counter()
+
+        def close(depth: int) -> None:
+            for node in stack[depth:]:
+                names[self.tags[node]] -= 1
+            del stack[depth:]
+            while blocks and blocks[-1] >= depth:
+                blocks.pop()
+
+        for kind, name, rest in markup(html):
+            if kind == "text":
+                self.content[stack[-1]].append(name)
+            elif kind == "close":
+                if names[name]:
+                    depth = len(stack) - 1
+                    while self.tags[stack[depth]] != name:
+                        depth -= 1
+                    close(depth)
+            else:
+                ends = ({"p"} if name in BLOCKS else set()) | ENDS.get(name, set())
+                for depth in reversed(blocks[-2:]):
                     own = self.tags[stack[depth]]
                     if own in ends:
-                        del stack[depth:]
+                        close(depth)
                         break
-                    if own in BLOCKS and own not in {"p"}:
+                    if own != "p":
                         break
-            node = self._open(tag, m[4], stack[-1])
-            if tag not in VOID and not m[4].endswith("/"):
-                stack.append(node)
-        if at < len(html):
-            self.content[stack[-1]].append(html[at:])
+                node = self._open(name, rest, stack[-1])
+                if name not in VOID and not rest.endswith("/"):
+                    if name in BLOCKS:
+                        blocks.append(len(stack))
+                    stack.append(node)
+                    names[name] += 1
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         node = len(self.tags)
@@ -88,174 +156,179 @@ class Page:
                     hidden = True
                 else:
                     names.update(_PART.findall(value))
-        inside = self.in_article[parent] or tag in ("article", "main")
+        inside = self.inside[parent] or tag in ("article", "main") or role == "main"
         large = tag in ("html", "body", "main", "article")
         drop = tag in DROP_TAGS or role in DROP_ROLES or hidden or (tag == "header" and not inside)
         drop = drop or bool(names & (DROP_NAMES if not large else {"comment", "comments"})) or ("header" in names and not inside and not large)
+        drop = drop or self.dropped[parent]
         self.tags.append(tag)
+        self.names.append(" ".join(sorted(names)) + "\2" + role)
         self.parents.append(parent)
-        self.dropped.append(drop or self.dropped[parent])
-        self.in_article.append(inside)
+        self.dropped.append(drop)
+        self.article.append(self.article[parent] or (tag == "article" and not drop))
+        self.inside.append(inside)
         self.content[parent].append(node)
         self.content.append([])
-        if not self.dropped[node]:
-            if tag == "article":
-                self.roots["article"].append(node)
-            elif tag == "main" or role == "main":
-                self.roots["main"].append(node)
+        if not drop:
+            self.has["article"] += tag == "article"
+            self.has["main"] += inside
         return node
 
-    def root(self) -> list[int]:
-        """Where the main text is: the outermost articles, else main, else the page."""
-        for kind in ("article", "main"):
-            if found := self.roots[kind]:
-                own = set(found)
-                return [n for n in found if not any(p in own for p in self._up(n))]
-        return [0]
-
-    def _up(self, node: int) -> Iterator[int]:
-        while (node := self.parents[node]) >= 0:
-            yield node
-
-    def hashes(self) -> list[int]:
-        """A hash of each element's subtree: tags and text with white space made equal."""
-        out = [0] * len(self.tags)
+    def hashes(self) -> tuple[list[int], list[int]]:
+        """Of each element's subtree a hash of tags and text, with white space made equal, and one of tags and names alone."""
+        whole, form = [0] * len(self.tags), [0] * len(self.tags)
         for node in range(len(self.tags) - 1, -1, -1):
-            parts = [self.tags[node]]
+            parts, names = [self.tags[node]], [self.tags[node], self.names[node]]
             for x in self.content[node]:
                 if isinstance(x, int):
-                    parts.append(f"\1{out[x]:x}")
+                    parts.append(f"\1{whole[x]:x}")
+                    names.append(f"\1{form[x]:x}")
                 elif text := _GAP.sub(" ", x).strip():
                     parts.append(text)
-            out[node] = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "replace")) - 2**63
-        return out
-
-    def candidates(self) -> list[int]:
-        """Elements that may be of the template: blocks under the main text's root that no rule drops, not content of an article."""
-        roots = set(self.root())
-        under = [False] * len(self.tags)
-        found = []
-        for node, (tag, parent) in enumerate(zip(self.tags, self.parents)):
-            under[node] = node in roots or (parent >= 0 and under[parent])
-            if under[node] and node not in roots and not self.dropped[node] and tag in BLOCKS and tag not in ("html", "body", "main", "article"):
-                if not (self.in_article[node] and tag in CONTENT):
-                    found.append(node)
-        return found
-
-    def text(self, gone: set[int]) -> str:
-        """Blocks of the main text, one a line, without dropped elements and those in gone."""
-        blocks: list[str] = []
+            whole[node] = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "replace")) - 2**63
+            form[node] = xxhash.xxh64_intdigest("\0".join(names).encode("utf-8", "replace"), seed=1) - 2**63
+        return whole, form
+
+    def candidates(self) -> list[bool]:
+        """Which elements may be of the template: all blocks of the page but its large ones and the content of an article."""
+        bounded = self.has["main"] > 0
+        large = ("html", "body", "main", "article")
+        return [tag in BLOCKS and tag not in large and not (tag in CONTENT and (inside or not bounded)) for tag, inside in zip(self.tags, self.inside)]
+
+    def outside(self, node: int) -> bool:
+        """Whether an element lies outside the outermost articles, else outside main, of a page that has them."""
+        if self.has["article"]:
+            return not self.article[node]
+        return bool(self.has["main"]) and not self.inside[node]
+
+    def lines(self) -> list[tuple[str, int]]:
+        """Text of each block in page order, and the element it stands in. Elements of other kinds do not break a line; what
+        rules drop stands in lines of its own."""
+        found: list[tuple[str, int]] = []
         now: list[str] = []
+        own = 0
 
         def flush() -> None:
             if now:
                 if line := _GAP.sub(" ", unescape("".join(now))).strip():
-                    blocks.append(line)
+                    found.append((line, own))
                 now.clear()
 
-        for root in self.root():
-            walk: list = [root]
-            while walk:
-                x = walk.pop()
-                if isinstance(x, str):
-                    now.append(x)
-                elif x < 0:
+        walk: list = [(0, 0)]
+        while walk:
+            x, block = walk.pop()
+            if isinstance(x, str):
+                if own != block:
                     flush()
-                elif not self.dropped[x] and x not in gone:
-                    if (tag := self.tags[x]) in BLOCKS:
-                        flush()
-                        walk.append(-1)
-                    elif tag == "br":
-                        now.append(" ")
-                    walk += reversed(self.content[x])
-                elif self.tags[x] in BLOCKS:
-                    flush()
-            flush()
-        return "\n".join(blocks)
+                    own = block
+                now.append(x)
+                continue
+            if x < 0:
+                flush()
+                continue
+            tag = self.tags[x]
+            apart = tag in BLOCKS or self.dropped[x] != self.dropped[block] or x == 0
+            if tag == "br":
+                now.append(" ")
+            if apart:
+                flush()
+                block = x
+                walk.append((-1, x))
+            walk += [(y, block) for y in reversed(self.content[x])]
+        return found
 
 
 def _host(url: str) -> str:
     return (re.match(r".*?://([^/?#]*)", url, re.S) or ["", ""])[1].lower() if "://" in url else ""
 
 
-def template_table(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, subtree: hashes of the template subtrees of each host. Equal pages of a host count as one page."""
-    small_batches(pages.sparkSession)
+def parse_pages(pages: DataFrame, key: str) -> DataFrame:
+    """key, url, and of each page: row (its number), host, page (hash), parents, hashes and forms of the elements that may be of
+    a template (parent: the next such element above, -1 if none; form: null inside an article, or in a page without one),
+    lines: text, element among these (-1: none), kept (whether no rule drops the line)."""
+    kind = pages.schema[key].dataType.simpleString()
+    line = pa.struct([("text", pa.string()), ("at", pa.int32()), ("kept", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            hosts, whole, parts = [], [], []
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hosts, whole, parents, hashes, forms, lines = [], [], [], [], [], []
+            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 page = Page(html or "")
-                hashes = page.hashes()
+                (all_hashes, all_forms), may = page.hashes(), page.candidates()
+                near, up, own, form, bounded = [-1] * len(may), [], [], [], page.has["main"] > 0
+                for node, parent in enumerate(page.parents):
+                    above = near[parent] if parent >= 0 else -1
+                    near[node] = above
+                    if may[node]:
+                        near[node] = len(own)
+                        up.append(above)
+                        own.append(all_hashes[node])
+                        form.append(all_forms[node] if bounded and not page.inside[node] else None)
                 hosts.append(_host(url or ""))
-                whole.append(hashes[0])
-                parts.append(sorted({hashes[n] for n in page.candidates()}))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["host", "page", "subtrees"])
+                whole.append(all_hashes[0])
+                parents.append(up)
+                hashes.append(own)
+                forms.append(form)
+                lines.append([{"text": t, "at": near[n], "kept": not page.dropped[n] and not page.outside(n)} for t, n in page.lines()])
+            rows = pa.array(range(number, number + len(hosts)), pa.int64())
+            number += len(hosts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows, pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(parents, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(forms, pa.list_(pa.int64())), pa.array(lines, pa.list_(line))], [key, "url", "row", "host", "page", "parents", "hashes", "forms", "lines"])
+
+    schema = f"`{key}` {kind}, url string, row long, host string, page long, parents array<int>, hashes array<long>, forms array<long>, lines array<struct<text: string, at: int, kept: boolean>>"
+    with arrow_rows(pages.sparkSession, 64):
+        return cut(pages.select(key, "url", "html").mapInArrow(run, schema), "parsed-pages")
 
-    seen = pages.select("url", "html").mapInArrow(run, "host string, page long, subtrees array<long>").groupBy("host", "page").agg(F.first("subtrees").alias("subtrees"))
-    seen = cut(seen, "page-subtrees")
-    totals = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+
+def subtrees() -> Column:
+    return F.array_compact(F.array_union("hashes", "forms")).alias("subtrees")
+
+
+def template_table(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """host, subtree: hashes of the template subtrees of each host. Equal pages of a host count as one page."""
+    seen = parsed.select("host", "page", subtrees()).dropDuplicates(["host", "page"])
+    totals = parsed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = seen.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     bound = least_pages * (1 + F.log(F.greatest(F.lit(1.0), F.col("pages") * least_share / least_pages)))
     return counts.join(totals, "host").where(F.col("n") >= bound).select("host", "subtree")
 
 
-def extract_text(pages: DataFrame, broadcast_rows: int = 200_000, key: str = "page_id") -> DataFrame:
-    """Main text of each whole page: key, url, text, n_chars (code points).
+def extract_text(pages: DataFrame, key: str = "page_id", rules: bool = True) -> DataFrame:
+    """Main text of each whole page: key, url, text, n_chars (code points), n_template (code points that templates took).
 
     Null html counts as empty and gives an empty text, as do pages without main text. Unclosed elements end with their
     parents, a tag that the page breaks off in is left out. Line breaks inside a block are white space. Null urls share
     the empty host. Repeated rows are rows of their own, an empty table gives none, other columns are ignored.
-    The templates are broadcast if they have at most broadcast_rows rows; more are joined to the pages by a hash of url
-    and html, on which alone a page's text depends, so both ways give the same rows whatever the keys are.
+    rules: False deletes templates alone.
     """
-    small_batches(pages.sparkSession)
     pages = pages.select(key, "url", "html")
-    templates = cut(template_table(pages), "templates")
+    parsed = parse_pages(pages, key)
+    templates = cut(template_table(parsed), "templates")
+    each = parsed.select("row", "host", F.explode(subtrees()).alias("subtree"))
+    counts = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counts, ["host", "subtree"], "n", parsed.count())
+    # a template stands on many pages: its rows are dealt over many tasks, and each page gets back what it has of them
+    gone = salted_join(each, templates, ["host", "subtree"], hot, "row").groupBy("row").agg(F.collect_set("subtree").alias("gone"))
+    met = parsed.join(gone.hint("merge"), "row", "left")
     kind = pages.schema[key].dataType.simpleString()
 
-    def texts(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            gone_by_row = batch.column(3).to_pylist() if batch.num_columns > 3 else None
-            for row, (url, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                page = Page(html or "")
-                own = known.get(_host(url or "")) if gone_by_row is None else gone_by_row[row]
-                gone: set[int] = set()
-                if own:
-                    own, hashes = set(own), page.hashes()
-                    gone = {n for n in page.candidates() if hashes[n] in own}
-                out.append(page.text(gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [key, "url", "text", "n_chars"])
-
-    schema = f"`{key}` {kind}, url string, text string, n_chars long"
-    if templates.count() <= broadcast_rows:
-        by_host: dict[str, set[int]] = {}
-        for host, subtree in templates.collect():
-            by_host.setdefault(host, set()).add(subtree)
-        sent = pages.sparkSession.sparkContext.broadcast(by_host)
-        return pages.mapInArrow(lambda batches: texts(batches, sent.value), schema)
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for html in batch.column(2).to_pylist():
-                page = Page(html or "")
-                hashes = page.hashes()
-                parts.append(sorted({hashes[n] for n in page.candidates()}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_host(u or "") for u in batch.column(1).to_pylist()], pa.string()), pa.array(parts, pa.list_(pa.int64()))], ["_page", "host", "subtrees"])
-
-    whole = F.sha2(F.concat(F.coalesce("url", F.lit("")), F.lit("\0"), F.coalesce("html", F.lit(""))), 256).alias("_page")
-    each = pages.select(whole, "url", "html").mapInArrow(listed, "_page string, host string, subtrees array<long>")
-    each = cut(each.select("_page", "host", F.explode("subtrees").alias("subtree")), "subtrees")
-    counts = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, ["host", "subtree"], "n", each.count())
-    gone = salted_join(each, templates, ["host", "subtree"], hot, "_page").groupBy("_page").agg(F.collect_set("subtree").alias("gone"))
-    copies = cut(pages.groupBy(whole).agg(F.count(F.lit(1)).alias("n")), "page-copies")
-    hot = hot_keys(copies, ["_page"], "n", copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    numbered = pages.select("*", whole, F.monotonically_increasing_id().alias("_at"))
-    return salted_join(numbered, gone, ["_page"], hot, "_at", how="left").select(key, "url", "html", "gone").mapInArrow(lambda batches: texts(batches, {}), schema)
+            texts, taken = [], []
+            for parents, hashes, forms, lines, gone in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
+                gone, dead = set(gone or ()), []
+                for parent, h, form in zip(parents, hashes, forms):
+                    dead.append(h in gone or form in gone or (parent >= 0 and dead[parent]))
+                left = [x for x in lines if x["at"] < 0 or not dead[x["at"]]]
+                taken.append(sum(len(x["text"]) for x in lines) - sum(len(x["text"]) for x in left))
+                texts.append("\n".join(x["text"] for x in left if x["kept"] or not rules))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(taken, pa.int64())], [key, "url", "text", "n_chars", "n_template"])
+
+    with arrow_rows(pages.sparkSession, 256):
+        done = cut(met.select(key, "url", "parents", "hashes", "forms", "lines", "gone").mapInArrow(run, f"`{key}` {kind}, url string, text string, n_chars long, n_template long"), "texts")
+    drop_cut(parsed)
+    drop_cut(templates)
+    return done
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
