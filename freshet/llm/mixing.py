@@ -1,9 +1,11 @@
 """Mixing sources to target weights over fixed-length blocks.
 
 Each source's words, its documents one after another, are cut into blocks of a fixed number of words. A target number of
-words is set for each source; output shards draw their counts of each source's blocks from a multinomial, and the slots
-so drawn are mapped through a pseudorandom permutation of the source's block numbers, a new one for each pass. Blocks
-and slots meet in a join by source and block number. All of it moves numbers only; texts are read where they are used.
+words is set for each source. Output shards have a fixed number of slots, and each draws its counts of the sources from a
+multinomial; as the sources' slots are used up in the end, the draws go down a tree of halves of the shards, each half
+from what is left for it, so any shard can be drawn on its own. The slots so drawn are mapped through a pseudorandom
+permutation of the source's block numbers, a new one for each pass. Blocks and slots meet in a join by source and block
+number. All of it moves numbers only; texts are read where they are used.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from .common import SPACE, WORD, cut, table
 
 #: Words of a block.
 BLOCK = 128
-#: Slots of an output shard, about.
+#: Slots of an output shard; the last one has what is left.
 SHARD = 4096
 #: Documents of a bucket, about: the unit in which running totals are formed.
-BUCKET = 4096
+BUCKET = 1024
 MOST = 3
 
 
@@ -78,46 +80,72 @@ def _keys(*what: object) -> np.ndarray:
     return np.frombuffer(digest, np.uint64)
 
 
+def draw(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial counts of `size` slots over sources with `left` slots each, none above what is left."""
+    out = np.zeros_like(left)
+    while (open_ := size - int(out.sum())) > 0:
+        rest = left - out
+        out = np.minimum(out + rng.multinomial(open_, rest / rest.sum()), left)
+    return out
+
+
+def draw_shards(slots: np.ndarray, shards: range, of: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each of `shards` among `of`: its number, the first slot of each source that falls to it, and its counts.
+
+    The shards are halved again and again; each halving draws what falls to the first half, by a generator of its own.
+    """
+    total = int(slots.sum())
+    walk = [(0, of, np.zeros_like(slots), slots)]
+    while walk:
+        low, high, first, left = walk.pop()
+        if low >= shards.stop or high <= shards.start:
+            continue
+        if high - low == 1:
+            yield low, first, left
+            continue
+        middle = (low + high) // 2
+        mine = draw(left, min(middle * SHARD, total) - low * SHARD, np.random.default_rng(_keys(seed, low, high)))
+        walk += [(middle, high, first + mine, left - mine), (low, middle, first, mine)]
+
+
 def draw_slots(sources: DataFrame, block: int, seed: int) -> DataFrame:
     """Slots of the mix: source, shard, slot, pass, block, take (words).
 
     sources: source, source_size, take_words. A source of n words has n // block full blocks and a rest; a pass takes
     its full blocks in permuted order, then the rest. The last pass ends when take_words are reached, inside a block if
-    need be. The source's slots fall to shards by one multinomial draw; shards are dealt out, then unrolled.
+    need be. Shards are drawn and unrolled in as many tasks as there are eight shards; a row a source is sent to each.
     """
+    spark = sources.sparkSession
     full, rest = F.floor(F.col("source_size") / block), F.col("source_size") % block
     passes, left = F.floor(F.col("take_words") / F.col("source_size")), F.col("take_words") % F.col("source_size")
     a_pass = full + F.when(rest > 0, 1).otherwise(0)
     plan = sources.where("take_words > 0").withColumn("blocks", full).withColumn("per_pass", a_pass).withColumn("slots", passes * a_pass + F.ceil(left / block))
-    plan = plan.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / SHARD)).cast("long"))
-
-    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                rng = np.random.default_rng(_keys(seed, row.source))
-                drawn = rng.multinomial(row.slots, np.full(row.shards, 1 / row.shards))
-                start = np.cumsum(drawn) - drawn
-                used = np.flatnonzero(drawn)
-                yield pd.DataFrame({"source": row.source, "source_size": row.source_size, "take_words": row.take_words, "blocks": row.blocks, "per_pass": row.per_pass, "shard": used, "first": start[used], "n": drawn[used]}).astype({"source": object})
-
-    kind = "source string, source_size long, take_words long, blocks long, per_pass long"
-    shards = plan.select("source", "source_size", "take_words", "blocks", "per_pass", "slots", "shards").mapInPandas(counts, f"{kind}, shard long, first long, n long")
+    rows = plan.select("source", "source_size", "take_words", "blocks", "per_pass", "slots").orderBy(F.col("source").asc_nulls_last()).collect()
+    names = [r["source"] for r in rows]
+    size, words, blocks, per_pass, slots = (np.array([r[c] for r in rows], np.int64) for c in ("source_size", "take_words", "blocks", "per_pass", "slots"))
+    shards = -(-int(slots.sum()) // SHARD)
 
     def unroll(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                slot = np.arange(row.first, row.first + row.n)
-                turn, place = slot // row.per_pass, slot % row.per_pass
-                number = np.full(row.n, row.blocks)
-                for t in np.unique(turn):
-                    own = (turn == t) & (place < row.blocks)
-                    if own.any():
-                        number[own] = _feistel(place[own], row.blocks, _keys(seed, row.source, int(t)))
-                length = np.where(place < row.blocks, block, row.source_size - row.blocks * block)
-                take = np.minimum(length, row.take_words - turn * row.source_size - place * block)
-                yield pd.DataFrame({"source": row.source, "shard": row.shard, "slot": slot, "pass": turn, "block": number, "take": take}).astype({"source": object})
-
-    return shards.repartition("source", "shard").mapInPandas(unroll, "source string, shard long, slot long, pass long, block long, take long")
+            if not len(frame):
+                continue
+            for shard, first, count in draw_shards(slots, range(int(frame["id"].min()), int(frame["id"].max()) + 1), shards, seed):
+                out = []
+                for i in np.flatnonzero(count):
+                    slot = np.arange(first[i], first[i] + count[i])
+                    turn, place = slot // per_pass[i], slot % per_pass[i]
+                    number = np.full(len(slot), blocks[i])
+                    for t in np.unique(turn):
+                        own = (turn == t) & (place < blocks[i])
+                        if own.any():
+                            number[own] = _feistel(place[own], int(blocks[i]), _keys(seed, names[i], int(t)))
+                    length = np.where(place < blocks[i], block, size[i] - blocks[i] * block)
+                    take = np.minimum(length, words[i] - turn * size[i] - place * block)
+                    out.append(pd.DataFrame({"source": names[i], "shard": shard, "slot": slot, "pass": turn, "block": number, "take": take}).astype({"source": object}))
+                yield pd.concat(out)
+
+    tasks = min(max(1, shards // 8), 10_000)
+    return spark.range(0, shards, 1, tasks).mapInPandas(unroll, "source string, shard long, slot long, pass long, block long, take long")
 
 
 def mix_sources(docs: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most: float = MOST, block: int = BLOCK, seed: int = 11) -> tuple[DataFrame, DataFrame]:
