@@ -11,23 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
+
 #: ASCII white space as the contracts spell it: space and 0x09 to 0x0D.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, spark.checkpoint.dir. There is no other: a local one would lose data on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return folder.rstrip("/")
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/freshet/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/freshet/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -37,7 +31,7 @@ def drop_cut(df: DataFrame) -> None:
     """Delete a table that `cut` wrote, when nothing reads it any more."""
     spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(scratch_dir(spark)) or "/freshet/" in path:
+        if "/freshet/" in path:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

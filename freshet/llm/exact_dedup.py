@@ -2,16 +2,20 @@
 
 A text's fingerprint is the sum of (byte + 1) * base**i modulo two primes. Chunks are hashed by themselves and combined
 by shifting each with the length before it, so a huge text can be hashed in parts, in any order, by several tasks.
+Texts of over HUGE code points become a row a piece, so that several tasks hash them, and an aggregate combines the parts.
 Rows whose fingerprints and lengths agree are then compared byte by byte, chunk after chunk, against one row of their
-run; nothing is dropped on a fingerprint's word alone.
+run; nothing is dropped on a fingerprint's word alone. Only these rows' texts are shuffled: a bit map of fixed size over
+their keys meets all rows by broadcast, and lets few others pass.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,10 @@ BASES = (911382323, 972663749)
 CHUNK = 4096
 #: Bytes compared at a time.
 COMPARE = 1 << 16
+#: Code points from which on a text is hashed in pieces of as many, by several tasks.
+HUGE = 1 << 22
+#: Bits of the map of keys whose texts are compared: 2 MB to broadcast, at most.
+BITS = 1 << 24
 
 _POWERS = [np.array([pow(b, i, p) for i in range(CHUNK)], np.int64) for b, p in zip(BASES, PRIMES)]
 _SPACE = np.zeros(256, bool)
@@ -87,6 +95,36 @@ def fingerprint_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_points long, norm_len long, fp long, {'norm' if with_text else 'sha'} binary")
 
 
+def huge_rows(docs: DataFrame, key: str, text: str, huge: int) -> DataFrame:
+    """As fingerprint_rows, of texts over `huge` code points: each piece is hashed by itself, and the parts are combined."""
+    kind = docs.schema[key].dataType.simpleString()
+    n = F.length(text)
+    norm = F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]", "")
+    whole = docs.where(n > huge).select(F.monotonically_increasing_id().alias("row"), key, n.cast("long").alias("n_points"), F.sha2(norm, 256).alias("sha"), text)
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(n / huge).cast("int") - 1), lambda i: F.substring(F.col(text), i * huge + 1, F.lit(huge)))
+    dealt = whole.select("row", key, "n_points", "sha", F.posexplode(pieces).alias("pos", "piece")).repartition("row", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, ends = utf8_bytes(batch.column(5))
+            norm, at = normalise(raw, ends)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.diff(at)), pa.array(fingerprints(norm, at))], ["row", key, "n_points", "sha", "pos", "length", "fp"])
+
+    parts = dealt.mapInArrow(run, f"row long, `{key}` {kind}, n_points long, sha string, pos int, length long, fp long")
+    listed = parts.groupBy("row").agg(F.first(key).alias(key), F.first("n_points").alias("n_points"), F.first("sha").alias("sha"), F.array_sort(F.collect_list(F.struct("pos", "length", "fp"))).alias("p"))
+
+    @F.pandas_udf("struct<length: long, fp: long>")
+    def joined(lengths: pd.Series, prints: pd.Series) -> pd.DataFrame:
+        out = []
+        for n, f in zip(lengths, prints):
+            whole = reduce(combine, [(int(a), int(b) >> 31, int(b) & 0x7FFFFFFF) for a, b in zip(n, f)])
+            out.append((whole[0], whole[1] << 31 | whole[2]))
+        return pd.DataFrame(out, columns=["length", "fp"])
+
+    met = listed.withColumn("w", joined("p.length", "p.fp"))
+    return met.select(key, "n_points", F.col("w.length").alias("norm_len"), F.col("w.fp").alias("fp"), F.unhex("sha").alias("sha"))
+
+
 def _same(a: bytes, b: bytes) -> bool:
     return len(a) == len(b) and all(a[i : i + COMPARE] == b[i : i + COMPARE] for i in range(0, len(a), COMPARE))
 
@@ -116,24 +154,31 @@ def compare_runs(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "fp", "norm_len", "norm").mapInArrow(run, f"`{key}` {kind}, fp long, norm_len long, same {kind}, norm binary")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", huge: int = HUGE) -> DataFrame:
     """Groups of equal texts: key, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical without ASCII white space. Null counts as empty, and all empty texts are one group.
     The row with the most code points in the original text stays, then the smallest key. Repeated rows (one key
     twice) each count in group_size and share keep_id and kept; rows without a key stand alone. An empty table gives no rows; further columns are
     ignored. Groups of any size are dealt over many tasks: large fingerprints by a salt of their rows.
+    huge: code points from which on a text is hashed in pieces.
     """
     ids = ["fp", "norm_len"]
     docs = docs.select(key, text)
-    prints = cut(fingerprint_rows(docs, key, text), "fingerprints")
+    short = docs.where(F.coalesce(F.length(text), F.lit(0)) <= huge)
+    prints = cut(fingerprint_rows(short, key, text).unionByName(huge_rows(docs, key, text, huge)), "fingerprints")
     total = prints.count()
     many = prints.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     many = cut(many, "fingerprint-groups")
     hot = hot_keys(many, ids, "n", total)
 
     # byte-wise: rows meet the others of their fingerprint (and salt), then the firsts of each run meet
-    rows = salted_join(fingerprint_rows(docs, key, text, with_text=True).select(key, *ids, "norm"), many.select(*ids), ids, hot, key)
+    slot = F.pmod(F.xxhash64(key), F.lit(BITS))
+    word, bit = F.floor(slot / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    asked = salted_join(prints.select(key, *ids), many.select(*ids), ids, hot, key)
+    bits = cut(asked.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), "key-bits")  # at most BITS / 64 rows
+    passed = docs.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).select(key, text)
+    rows = salted_join(fingerprint_rows(passed, key, text, with_text=True).select(key, *ids, "norm"), many.select(*ids), ids, hot, key)
     runs = cut(compare_runs(rows.sortWithinPartitions(*ids, "_salt", key), key), "compared")
     firsts = runs.where("norm is not null").select(key, *ids, "norm")
     several = firsts.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ids)

@@ -4,12 +4,11 @@ A text is a sequence of tokens: its words, A-Z lower-cased, and an end. A token
 training knows it, the octave of its frequency rank along a Huffman code, and the bits of its rank inside the octave.
 A word that training does not know goes on with its bytes, bit by bit, and a closing space.
 
-Three predictors give each decision a logit: the counts of all training tokens, those of the tokens after the previous
-word, and those of the different words after it. (Of bytes: all, after one, after a hash of two.) A gate, the kind of
-decision and how often the contexts were met, selects the weights that mix the logits; an adaptive map of the mixed logit
-refines the probability. The two outcomes of a decision always share a probability of 1, so a text's score is a log10
+Several predictors give each decision a logit: of words the counts of all training tokens and those after the previous
+word, of bytes the counts of all, after one byte and after two. A gate, the kind of decision and how often the contexts
+were met, selects the weights that mix the logits; an adaptive map of the mixed logit refines the probability. The two outcomes of a decision always share a probability of 1, so a text's score is a log10
 probability over all texts. The weights are learned online, in an order of its own making, over joint counts of what the
-predictors said and what came: training documents fall into two halves, and each half's tokens are predicted from the
+predictors said and what came: training documents fall into two halves, and the tokens of one are predicted from the
 pairs of the other, as those of a new document are.
 
 Counts are exact sums over all training texts at every size, so scores do not depend on partitions. Words of equal
@@ -17,7 +16,7 @@ count lie side by side in rank, so the first predictor is a table with a row for
 square root of twice the tokens, small enough to broadcast. Pairs of words are a table that grows with the corpus. What
 one task reads is one or several blocks; a block sends its different pairs, packed by bucket of the previous word, and
 each different pair of the corpus is scored once, in its bucket, and the result sent back. Previous words with a
-thousandth of all tokens are dealt by the octave of the word that follows; for these the third predictor is the second.
+thousandth of all tokens are dealt by the octave of the word that follows.
 """
 
 from __future__ import annotations
@@ -37,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, cut, drop_cut, release, table
 
 #: Tokens of a block and of its vocabulary, about: a task begins another block beyond them.
-BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 250_000
+BLOCK_TOKENS, BLOCK_WORDS = 1_500_000, 350_000
 #: Tokens whose pairs are in a bucket, about.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: A context is dealt by octaves from this share of all tokens on, and from HOT_LEAST tokens.
 HOT, HOT_LEAST = 1024, 64
 #: States of a context: all counts (own, other) of up to EXACT in sum, then 4 steps of size by 31 of ratio.
@@ -47,6 +46,8 @@ EXACT = 12
 PAIRS = (EXACT + 1) * (EXACT + 2) // 2
 STATES = PAIRS + 4 * 31
 KINDS, LOGITS, LEVELS = 4, 32, 7
+#: The state of a context that was never met, or that a decision does not have.
+NONE = np.uint8(0)
 FLAG, OCTAVE, RANK, BYTE = range(KINDS)
 BINS = 49
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -67,16 +68,18 @@ def spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ---- states of contexts: how often the decision's own outcome and the other one were met
 
 
+_SIDE = EXACT + 2
+_FEW = np.array([(a + b) * (a + b + 1) // 2 + b if a + b <= EXACT else 255 for a in range(_SIDE) for b in range(_SIDE)], np.uint8)
+
+
 def state_of(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    total = own + other
-    out = np.zeros(len(own), np.uint8)
-    few = total <= EXACT
-    t = total[few]
-    out[few] = t * (t + 1) // 2 + other[few]
-    if not few.all():
-        a, b = own[~few] + 0.4, other[~few] + 0.4
-        size = np.searchsorted(np.array([32, 256, 4096]), total[~few], "right")
-        out[~few] = PAIRS + size * 31 + np.rint(np.clip(np.log(a / b) * 2, -15, 15)).astype(np.int64) + 15
+    out = _FEW[np.minimum(own, _SIDE - 1) * _SIDE + np.minimum(other, _SIDE - 1)]
+    many = np.flatnonzero(out == 255)
+    if len(many):
+        own, other = own[many], other[many]
+        size = np.searchsorted(np.array([32, 256, 4096]), own + other, "right")
+        ratio = np.log((own + 0.4) / (other + 0.4)) * 2
+        out[many] = PAIRS + size * 31 + np.rint(np.clip(ratio, -15, 15)).astype(np.int64) + 15
     return out
 
 
@@ -110,13 +113,14 @@ class Mixer:
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.9, 0.3, 0.3], np.float32), (KINDS * LEVELS * LEVELS, 1)))
     own: np.ndarray = field(default_factory=lambda: np.zeros(KINDS * LEVELS * BINS))
     _ready: tuple | None = field(default=None, repr=False)
+    _refined: tuple | None = field(default=None, repr=False)
 
     def logit(self, kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mixed logits of the own outcome, given the first predictor's and the contexts' states; and the refining cell."""
         scale, shift = self._tables()
         at = (kind * np.int32(STATES) + one) * STATES + two
         mixed = scale[at] * x + shift[at]
-        return mixed, (kind * np.int32(LEVELS) + STATE_LEVEL[two]) * BINS + np.rint(np.clip(mixed * 2, -24, 24)).astype(np.int32) + 24
+        return mixed, (kind * np.int32(LEVELS) + STATE_LEVEL[one]) * BINS + np.rint(np.clip(mixed * 2, -24, 24)).astype(np.int32) + 24
 
     def _tables(self) -> tuple[np.ndarray, np.ndarray]:
         """The first logit's weight, and what the other two add, by kind and states."""
@@ -130,10 +134,16 @@ class Mixer:
         """log10 probability of each decision's own outcome. With own and other exchanged the two sum to 1."""
         mixed, cell = self.logit(kind, x, one, two)
         p = 1 / (1 + np.exp(-np.clip(mixed.astype(np.float64), -16, 16)))
-        turned = cell - 2 * (cell % BINS - 24)
-        own = self.own[cell]
-        refined = (own + 20 * p) / (own + self.own[turned] + 20)
-        return np.log10(np.clip((p + refined) / 2, 1e-7, 1 - 1e-7))
+        share, weight = self._refinement()
+        return np.log10(np.clip((p + share[cell] + weight[cell] * p) / 2, 1e-7, 1 - 1e-7))
+
+    def _refinement(self) -> tuple[np.ndarray, np.ndarray]:
+        """By cell: the refined probability is the first, and so much of the mixed one."""
+        if self._refined is None:
+            cell = np.arange(len(self.own))
+            total = self.own + self.own[cell - 2 * (cell % BINS - 24)] + 20
+            self._refined = self.own / total, 20 / total
+        return self._refined
 
 
 def cell_of(kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -169,7 +179,7 @@ def learn(cell: np.ndarray, n: np.ndarray, epochs: int = 30, batch: int = 512, r
                 weights[gates, k] += rate * g / np.sqrt(square[gates, k])
     mixer.weights, mixer._ready = weights.astype(np.float32), None
     _, at = mixer.logit(kind, x, one, two)
-    mixer.own = np.bincount(at, weights=n, minlength=len(mixer.own)).astype(np.float64)
+    mixer.own, mixer._refined = np.bincount(at, weights=n, minlength=len(mixer.own)).astype(np.float64), None
     return mixer
 
 
@@ -177,7 +187,10 @@ def tally(cells: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """Joint states met, and how often, from states and numbers of tokens."""
     total = np.zeros(KINDS * LOGITS * STATES * STATES, np.int64)
     for cell, n in cells:
-        np.add.at(total, cell, n)
+        if len(cell) * 8 > len(total):
+            total += np.bincount(cell, weights=n, minlength=len(total)).astype(np.int64)
+        else:
+            np.add.at(total, cell, n)
     at = np.flatnonzero(total)
     return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -272,16 +285,17 @@ class Words:
         return np.where(known, bits.astype(np.int64), 2**63 - 1), np.where(known, size, 0), np.where(known, size + o, 0)
 
     def decisions(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of different words: decisions each, and of every decision its kind and the counts of its own and other outcome."""
+        """Of different words: decisions each, from which on these are even (as all words there have one count), and of every
+        decision the counts of its own and other outcome; of even ones they are left out as 0."""
         _, octave_size, size = self.codes(rank)
         size = size + 1
         start, row, step = spread(size)
-        kind = np.where(step == 0, FLAG, np.where(step <= octave_size[row], OCTAVE, RANK)).astype(np.uint8)
+        even_from = size.copy()
         own, other = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
         known = rank > 0
         own[start] = np.where(known, self.total - self.singles, self.singles)
         other[start] = np.where(known, self.singles, self.total - self.singles)
-        at = np.flatnonzero(kind == OCTAVE)
+        at = np.flatnonzero((step > 0) & (step <= octave_size[row]))
         if len(at):
             o = self.octave(rank[row[at]])
             own[at], other[at] = self.own[o, step[at] - 1], self.other[o, step[at] - 1]
@@ -296,9 +310,7 @@ class Words:
         while len(word):
             even = (first == last) & (low + width - 1 <= self.different)
             if even.any():
-                _, at, k = spread(np.frexp(width[even].astype(np.float64))[1].astype(np.int64) - 1)
-                n = (self.count[first[even]][at] * (width[even][at] >> (k + 1)))
-                own[place[even][at] + k] = other[place[even][at] + k] = n
+                even_from[word[even]] = (place - start[word])[even]
                 word, r, low, width, below, above, first, last, place = (v[~even] for v in (word, r, low, width, below, above, first, last, place))
                 if not len(word):
                     break
@@ -312,7 +324,7 @@ class Words:
             low, below, above, first = np.where(upper, low + width, low), np.where(upper, middle, below), np.where(upper, above, middle), np.where(upper, i, first)
             on = width > 1
             word, r, low, width, below, above, first, last, place = (v[on] for v in (word, r, low, width, below, above, first, last, place + 1))
-        return size, kind, own, other
+        return size, even_from, own, other
 
     def _step(self, rank: np.ndarray) -> np.ndarray:
         return np.maximum(np.searchsorted(self.first, rank, "right") - 1, 0)
@@ -550,7 +562,7 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 class Bucket:
-    """All pairs of some contexts: the different ones, and the states of both contexts at each of their decisions.
+    """All pairs of some contexts: the different ones, and the state of the context at each of their decisions.
 
     Pairs of a context are sorted by the bits of their words, so that a node of the code is a stretch of them; going down
     the code, a stretch's sum is the node's count, and that of the part which goes on alike the own outcome's.
@@ -581,88 +593,98 @@ class Bucket:
         self.flag = self.part != 2
         self.low, self.high = np.where(self.part == 2, octave_size, 0), np.where(self.part == 1, octave_size, size)
         self.octave_size = octave_size
-        self.size = self.flag + self.high - self.low
-        self.start = np.cumsum(self.size) - self.size
         self.begins = np.ones(len(first), bool)
         self.begins[1:] = group[1:] != group[:-1]
+        same = np.full(len(first) + 1, -1, np.int64)  # bits shared with the pair before, of the same context
+        same[1:-1] = np.where(self.begins[1:], -1, 63 - _bits(self.bits[1:] ^ self.bits[:-1]))
+        self.same, alone = same[:-1], np.maximum(same[:-1], same[1:]) + 1
+        # a pair that shares no bits with others any more keeps its first state from there on; where the word's decisions
+        # are even too, the rest are alike, and are known by their number alone
+        ranks, at = np.unique(self.rank, return_inverse=True)
+        sizes, even, self.all_own, self.all_other = words.decisions(ranks)
+        self.first = (np.cumsum(sizes) - sizes)[at] + np.where(self.flag, 0, 1 + octave_size)
+        begun = np.maximum(even[at] - 1, alone)
+        self.rest = np.where(self.part == 1, 0, np.maximum(self.high - np.maximum(begun, self.low), 0))
+        self.size = self.flag + self.high - self.low - self.rest
+        self.start = np.cumsum(self.size) - self.size
+        self.busy = np.minimum(self.high, alone)
 
     def states(self, n: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of every decision the states after tokens, and after different words (in hot contexts the same again)."""
-        one = self._states(n, once, self.begins)
-        kinds = ((n > 0) & (self.part == 0)).astype(np.int64)
-        two = self._states(kinds, kinds * (once > 0), self.begins)
-        return one, np.where(np.repeat(self.part == 0, self.size), two, one)
-
-    def _states(self, n: np.ndarray, once: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        of_group = np.flatnonzero(begins)
-        group = np.cumsum(begins) - 1
-        all_n, all_once = np.add.reduceat(n, of_group)[group], np.add.reduceat(once, of_group)[group]
-        out = np.repeat(state_of(n, np.zeros(len(n), np.int64)), self.size)
-        known = self.rank > 0
-        f = np.flatnonzero(self.flag)
-        out[self.start[f]] = state_of(np.where(known, all_n - all_once, all_once)[f], np.where(known, all_once, all_n - all_once)[f])
-        same = np.full(len(n) + 1, -1, np.int64)  # bits shared with the pair before, of the same context
-        same[1:-1] = np.where(begins[1:], -1, 63 - _bits(self.bits[1:] ^ self.bits[:-1]))
-        # a pair that shares no bits with others any more keeps its first state from there on
-        high = np.minimum(self.high, np.maximum(same[:-1], same[1:]) + 1)
-        shared, alive, depth = same[:-1], np.flatnonzero(high > 0), 0
-        at = alive
+        """Of counts of each pair's tokens, and of those of words that training has once: the state of every decision, and that of
+        each pair's rest."""
+        of_group = np.flatnonzero(self.begins)
+        members = np.diff(np.append(of_group, len(self.begins)))
+        known, f = self.rank > 0, np.flatnonzero(self.flag)
+        rest = state_of(n, np.zeros(len(n), np.int64))
+        out = np.repeat(rest, self.size)
+        total, single = (np.repeat(np.add.reduceat(v, of_group), members)[f] for v in (n, once))
+        out[self.start[f]] = state_of(np.where(known[f], total - single, single), np.where(known[f], single, total - single))
+        high, shared, depth = self.busy, self.same, 0
+        alive = np.flatnonzero(high > 0)
+        at, n = alive, n[alive]
+        ends, place = high[alive], (self.start + self.flag - self.low)[alive]
+        low = self.low[alive]
         while len(at):
             # what was left out between two pairs may part them
-            shared = np.minimum.reduceat(shared, np.append(0, at[:-1] + 1))[: len(at)] if len(at) < len(shared) else shared
-            total = n[alive]
+            shared = np.minimum.reduceat(shared[: at[-1] + 1], np.append(0, at[:-1] + 1)) if len(at) < len(shared) else shared
             node, below = np.flatnonzero(shared < depth), np.flatnonzero(shared < depth + 1)
-            node_n = np.repeat(np.add.reduceat(total, node), np.diff(np.append(node, len(alive))))
-            own = np.repeat(np.add.reduceat(total, below), np.diff(np.append(below, len(alive))))
-            write = np.flatnonzero(self.low[alive] <= depth)
-            e = alive[write]
-            out[self.start[e] + self.flag[e] + depth - self.low[e]] = state_of(own[write], (node_n - own)[write])
+            node_size, below_size = np.diff(np.append(node, len(at))), np.diff(np.append(below, len(at)))
+            write = low <= depth
+            target = place[write] + depth
+            own = np.repeat(np.add.reduceat(n, below), below_size)
+            total = np.repeat(np.add.reduceat(n, node), node_size)
+            out[target] = state_of(own[write], (total - own)[write])
             depth += 1
-            at = np.flatnonzero(high[alive] > depth)
-            alive = alive[at]
-        return out
+            at = np.flatnonzero(ends > depth)
+            if len(at) < len(ends):
+                ends, place, low, n = ends[at], place[at], low[at], n[at]
+        return out, rest
 
-    def walk(self, n: np.ndarray, once: np.ndarray, rows: np.ndarray, less: int = 0) -> Iterator[tuple]:
-        """The decisions of some pairs by their number: which pairs have one, kind, first logit, and both states of each.
+    def walk(self, states: tuple[np.ndarray, np.ndarray], rows: np.ndarray, less: int = 0) -> Iterator[tuple]:
+        """The decisions of some pairs by their number, then the rests: which pairs have one, kind, first logit, state after the
+        previous word, and how many such decisions each has.
 
-        n, once: the counts to predict from. less: 1 takes a token of each word off the counts of all.
+        less: 1 takes a token of each word off the counts of all.
         """
-        ranks, at = np.unique(self.rank, return_inverse=True)
-        size, _, own, other = self.words.decisions(ranks)
-        x = np.log((np.maximum(own - less, 0) + 0.4) / (other + 0.4)).astype(np.float32)
-        first = (np.cumsum(size) - size)[at] + np.where(self.flag, 0, 1 + self.octave_size)
-        del own, other
-        first_state, second_state = self.states(n, once)
+        rest = rows[self.rest[rows] > 0]
+        x = np.log((np.maximum(self.all_own - less, 0) + 0.4) / (self.all_other + 0.4)).astype(np.float32)
         rows, step = rows[self.size[rows] > 0], 0
+        size, first, start = self.size[rows], self.first[rows], self.start[rows]
+        octave, skip = self.octave_size[rows].astype(np.int32), np.where(self.flag[rows], 0, 1 + self.octave_size[rows]).astype(np.int32)
         while len(rows):
-            number = np.where(self.flag[rows], step, step + 1 + self.octave_size[rows])
-            kind = np.where(number == 0, FLAG, np.where(number <= self.octave_size[rows], OCTAVE, RANK)).astype(np.int32)
-            place = self.start[rows] + step
-            yield rows, kind, x[first[rows] + step], first_state[place], second_state[place]
+            number = skip + np.int32(step)
+            kind = (number > 0).astype(np.int32) + (number > octave)
+            place = start + step
+            yield rows, kind, x[first + step], states[0][place], 1
             step += 1
-            rows = rows[self.size[rows] > step]
+            on = size > step
+            if not on.all():
+                rows, size, first, start, octave, skip = (v[on] for v in (rows, size, first, start, octave, skip))
+        if len(rest):
+            yield rest, np.full(len(rest), RANK, np.int32), np.zeros(len(rest), np.float32), states[1][rest], self.rest[rest]
 
     def cells(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Joint states of each half's tokens, predicted from the other half, and how many they are.
+        """Joint states of the second half's tokens, predicted from the first half, and how many they are.
 
         A word that training has once is unknown to the other half, and ends with the flag."""
-        for half in (0, 1):
-            n, once = self.n[half], self.once[half]
-            alone = np.flatnonzero(self.flag & (once > 0))
-            for rows, kind, x, one, two in self.walk(self.n[1 - half], self.once[1 - half], np.flatnonzero(n > 0), 1):
-                yield cell_of(kind, x, one, two), (n - once)[rows]
-                if len(alone):  # the first decisions
-                    at = np.searchsorted(rows, alone)
-                    at = at[kind[at] == FLAG]
-                    less = np.log((max(self.words.singles - 1, 0) + 0.4) / (self.words.total - self.words.singles + 0.4))
-                    yield cell_of(kind[at], np.full(len(at), less, np.float32), MIRROR[one[at]], MIRROR[two[at]]), once[rows[at]]
-                    alone = alone[:0]
+        states = self.states(self.n[0], self.once[0])
+        less = np.log((max(self.words.singles - 1, 0) + 0.4) / (self.words.total - self.words.singles + 0.4))
+        n, once = self.n[1], self.once[1]
+        alone = np.flatnonzero(self.flag & (once > 0))
+        for rows, kind, x, one, times in self.walk(states, np.flatnonzero(n > 0), 1):
+            yield cell_of(kind, x, one, NONE), (n - once)[rows] * times
+            if len(alone):  # the first decisions
+                at = np.searchsorted(rows, alone)
+                at = at[kind[at] == FLAG]
+                yield cell_of(kind[at], np.full(len(at), less, np.float32), MIRROR[one[at]], NONE), once[rows[at]]
+                alone = alone[:0]
 
     def scores(self, mixer: Mixer) -> list[np.ndarray]:
         """log10 probability of the word of each pair, as its block sent it."""
         total = np.zeros(len(self.rank))
-        for rows, kind, x, one, two in self.walk(self.n[0] + self.n[1], self.once[0] + self.once[1], np.arange(len(self.rank))):
-            total[rows] += mixer.log10(kind, x, one, two)
+        states = self.states(self.n[0] + self.n[1], self.once[0] + self.once[1])
+        for rows, kind, x, one, times in self.walk(states, np.arange(len(self.rank))):
+            total[rows] += mixer.log10(kind, x, one, NONE) * times
         edges = np.cumsum([0, *self.sizes])
         return [total[self.of[a:b]].astype(np.float32) for a, b in zip(edges, edges[1:])]
 
@@ -725,7 +747,7 @@ def count_corpus(docs: DataFrame) -> Corpus:
 
 
 def learn_weights(corpus: Corpus) -> Mixer:
-    """Weights and refinement over all training tokens, those of each half predicted from the other."""
+    """Weights and refinement over all training documents: what those of one half tell of those of the other."""
     words = corpus.coded.sparkSession.sparkContext.broadcast(corpus.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

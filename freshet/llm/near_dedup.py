@@ -249,7 +249,8 @@ def near_duplicate_classes(docs: DataFrame, options: Options = Options()) -> Dat
 
     Words are runs of letters, digits and underscores, lower-cased, so case and punctuation do not tell texts apart.
     Texts without words are equal only if identical; null counts as empty; texts of under five words are equal only if
-    their words are. Repeated rows share their class. Rows without a doc_id are left out, for nothing could name them.
+    their words are. Rows of one doc_id are one document: they share their class, and if their texts differ it has the
+    links of all of them. Rows without a doc_id are left out, for nothing could name them.
     An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
@@ -260,7 +261,7 @@ def near_duplicate_classes(docs: DataFrame, options: Options = Options()) -> Dat
 
     # buckets of different texts; a row of sketches stands for its words
     firsts = equal.select(F.col("first").alias("doc_id"), *whole)
-    one = sketches.join(firsts, ["doc_id", *whole], "left_semi").select("doc_id", "keys").dropDuplicates(["doc_id"])
+    one = sketches.join(firsts, ["doc_id", *whole], "left_semi").select("doc_id", *whole, "keys").dropDuplicates(["doc_id", *whole])
     entries = one.select("doc_id", F.posexplode("keys").alias("band", "key"))
     bucket = ["band", "key"]
     rank = F.struct(F.xxhash64("doc_id", "band", "key").alias("h"), F.col("doc_id").alias("hub"))
@@ -277,6 +278,10 @@ def near_duplicate_classes(docs: DataFrame, options: Options = Options()) -> Dat
     group = ["hub", "salts", "salt"]
     rows = pairs.select(*group, F.lit(1).alias("kind"), "doc_id").unionByName(pairs.select(*group).distinct().select(*group, F.lit(0).alias("kind"), F.col("hub").alias("doc_id")))
     links = cut(_verify(rows.hint("merge").join(texts, "doc_id").withColumn("label", F.col("doc_id")), group, options), "links")
+    # a doc_id with several texts joins their groups
+    shared = sketches.groupBy("doc_id").agg(F.min(F.struct(*whole)).alias("low"), F.max(F.struct(*whole)).alias("high")).where("low <> high").select("doc_id")
+    firsts = sketches.join(shared, "doc_id", "left_semi").select("doc_id", *whole).distinct().join(equal, whole).select("doc_id", "first")
+    links = links.unionByName(firsts.join(firsts.groupBy("doc_id").agg(F.min("first").alias("a")), "doc_id").select("a", F.col("first").alias("b")).where("a <> b"))
     labels = connected_components(links)
 
     # texts outside the largest component of a bucket, against all others there

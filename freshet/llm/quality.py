@@ -27,7 +27,7 @@ _PUNCT = re.compile(r"(.)\1+", re.S)
 
 
 def _shape(token: str) -> str:
-    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64])
+    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token)
     return _PUNCT.sub(r"\1", kinds)
 
 
@@ -79,16 +79,22 @@ class Model:
         return z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9)
 
     def score(self, block: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest vectors, by cosine to the given power; without any, the share among all."""
+        """Share of label 1 among the nearest vectors, and all as near as the last of them, by cosine to the given power; without
+        any, the share among all."""
         prior = float(self.labels.mean()) if len(self.labels) else 0.5
         if not len(self.labels):
             return np.full(len(block), prior)
         cosine = self.latent(block) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** self.power
-        total = weight.sum(1)
-        return np.where(total > 1e-12, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12), prior)
+        close = np.take_along_axis(cosine, near, 1)
+        weight = np.maximum(close, 0).astype(np.float64) ** self.power
+        total, share = weight.sum(1), (weight * self.labels[near]).sum(1)
+        last = close.min(1)
+        for row in np.flatnonzero((cosine >= last[:, None]).sum(1) > k):  # all that are as near as the last one vote
+            weight = np.where(cosine[row] >= last[row], np.maximum(cosine[row], 0), 0).astype(np.float64) ** self.power
+            total[row], share[row] = weight.sum(), (weight * self.labels).sum()
+        return np.where(total > 1e-12, share / np.maximum(total, 1e-12), prior)
 
 
 def fit(features: np.ndarray, labels: np.ndarray, dimensions: int = 64, neighbours: int = 24, power: float = 8.0, seed: int = 7) -> Model:
@@ -115,7 +121,8 @@ def held_out(key: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """Count rows and labels of at most `bound` labelled documents outside the held-out fold, picked by hash.
 
-    A document with several labels takes the smallest; labels that are null or lack a document are left out.
+    A document with several labels takes the smallest; labels that are null or lack a document are left out. Of several
+    texts with one doc_id, that with the smallest hash counts.
     """
     picked = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -131,10 +138,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[np.
         for batch in batches:
             rows = [counts(t or "", memo) for t in batch.column(2).to_pylist()]
             at = [np.flatnonzero(r) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(rows, at)], pa.list_(pa.float32()))], ["doc_id", "quality", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(rows, at)], pa.list_(pa.float32())), pa.array([zlib.crc32((t or "").encode("utf-8", "replace")) for t in batch.column(2).to_pylist()], pa.int64())], ["doc_id", "quality", "at", "n", "h"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
-    found = texts.mapInArrow(run, "doc_id long, quality int, at array<int>, n array<float>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = texts.mapInArrow(run, "doc_id long, quality int, at array<int>, n array<float>, h long")
+    found = rows.groupBy("doc_id").agg(F.min_by(F.struct("quality", "at", "n"), F.struct("h", "at", "n")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     features = np.zeros((len(found), WORDS + SHAPES), np.float32)
     for row, (at, n) in enumerate(zip(found["at"], found["n"])):
         features[row, at.values.to_numpy()] = n.values.to_numpy()

@@ -2,7 +2,7 @@
 
 Lines that start with `>` are quotes, as deep as their marks are many. Adjacent lines of one depth are a passage. A
 passage is found in earlier messages of its conversation by hashes of normalised text: the passage as a whole, or else
-its lines. Every lookup takes the latest earlier message with the hash, by running maxima over buckets of turns, so a
+its lines and sentences, so parts of a line and paragraphs that were wrapped anew are found too. Every lookup takes the latest earlier message with the hash, by running maxima over buckets of turns, so a
 sentence that everybody repeats makes no pairs. Messages follow the thread that they answer.
 """
 
@@ -33,6 +33,10 @@ def normalised(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+def sentences(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: x != "")
+
+
 def own_lines(lines: Column) -> Column:
     """Lines that are not quoted, without the line that names the author of the quote below it."""
     return F.filter(lines, lambda x, i: ~is_quote(x) & ~(x.rlike(ATTRIBUTION) & F.coalesce(is_quote(F.get(lines, i + 1)), F.lit(False))))
@@ -67,14 +71,16 @@ def _links(base: DataFrame) -> DataFrame | None:
     if passages.isEmpty():
         return None
     tag = lambda w: lambda t: F.struct(F.lit(w).alias("weight"), F.sha2(t, 256).alias("h"))
-    line_keys = F.transform(F.filter(F.transform("parts", normalised), lambda t: t != ""), tag(0))
+    lines_of = F.filter(F.transform("parts", normalised), lambda t: t != "")
+    line_keys = F.transform(F.concat(lines_of, F.array_except(sentences(F.col("whole")), lines_of)), tag(0))
     keys = passages.select(*message, "passage", "level", "hash", F.explode(F.concat(F.array(tag(1)(F.col("whole"))), line_keys)).alias("k")).select(*message, "passage", "level", "hash", "k.weight", "k.h")
     keys = cut(keys.groupBy(*message, "passage", "level", "hash", "weight", "h").agg(F.count(F.lit(1)).alias("times")), "quote-keys")
-    texts = F.filter(F.array_distinct(F.concat(F.array(normalised(F.array_join("own", " "))), F.transform("own", normalised))), lambda t: t != "")
+    mine = normalised(F.array_join("own", " "))
+    texts = F.filter(F.array_distinct(F.concat(F.array(mine), F.transform("own", normalised), sentences(mine))), lambda t: t != "")
     originals = base.select("conv", "turn", F.explode(F.transform(texts, lambda t: F.sha2(t, 256))).alias("h")).join(keys.select("conv", "h").distinct(), ["conv", "h"], "left_semi").distinct()
     asked = keys.select("conv", "h", "turn").distinct()
     found = latest_before(originals.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1))))
-    # of a passage's sources: one that has all of it, else one with most of its lines, else the latest
+    # of a passage's sources: one that has all of it, else one with most of its lines and sentences, else the latest
     hits = keys.join(found, ["conv", "h", "turn"]).groupBy(*message, "passage", "level", "hash", "source").agg(F.struct(F.max("weight"), F.sum("times"), F.col("source").alias("turn")).alias("best"))
     best = hits.groupBy(*message, "passage", "level", "hash").agg(F.max("best")["turn"].alias("source"))
     every = passages.select(*message, "passage", "level", "hash").join(best, [*message, "passage", "level", "hash"], "left")
