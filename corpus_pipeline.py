@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from freshet.llm.common import cut, scratch_dir, table
+from freshet.llm.common import cut, table
+from freshet.sources.scratch import shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents, each stage's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{scratch_dir(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
