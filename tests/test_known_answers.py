@@ -1,7 +1,11 @@
 """Known answers of single operators on tiny tables."""
 
+import collections
 import datetime as dt
+import hashlib
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -157,15 +161,135 @@ def test_search(spark):
     assert text.grep_rank(p, q).where("rank = 1").first().passage_id == "1"
 
 
+def test_rankers_are_brute_force(spark):
+    """Rare and common stems, queries with few or no rare ones, and none at all."""
+    r = random.Random(4)
+    words = ["river", "rivers", "flow", "flows", "flowing", "basin", "stage", "art", "start", "flood", "gauges", "rain"] + [f"rare{i}" for i in range(30)]
+    weights = [9] * 5 + [3] * 7 + [1] * 30
+    passages = [(f"{i:03d}", " ".join(r.choices(words, weights, k=r.randrange(0, 40)))) for i in range(120)]
+    asked = ["river flow", "What is a flow of rivers?", "rare3 rare4 basin river", "rare7", "the and of", "art", "unknown words", "flood stage rain rare29 rare28 rare1 gauge"]
+    p = spark.createDataFrame(passages, "passage_id string, text string").repartition(3)
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, question string")
+    terms = lambda t: list(dict.fromkeys(w for w in re.findall(r"\w+", t.lower()) if len(w) >= 2 and w not in text.STOP_WORDS))
+    tf = {i: collections.Counter(map(stem, re.findall(r"\w+", t.lower()))) for i, t in passages}
+    length = {i: len(re.findall(r"\w+", t)) for i, t in passages}
+    mean, n = sum(length.values()) / len(passages), len(passages)
+    df = collections.Counter(x for c in tf.values() for x in c)
+    want = {}
+    for k, question in enumerate(asked):
+        scores = {}
+        for i, c in tf.items():
+            parts = [max(math.log((n - df[x] + 0.5) / (df[x] + 0.5)), 1e-6) * c[x] * 2.2 / (c[x] + 1.2 * (0.25 + 0.75 * length[i] / mean)) for x in {stem(w) for w in terms(question)} if c[x]]
+            if parts:
+                scores[i] = sum(parts)
+        want[k] = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:5]  # noqa: B023
+    got = collections.defaultdict(list)
+    for x in text.bm25(p, q).orderBy("query_id", "rank").collect():
+        got[x.query_id].append(x.passage_id)
+    assert {k: v for k, v in want.items() if v} == got
+    grep = collections.defaultdict(list)
+    for x in text.grep_rank(p, q).orderBy("query_id", "rank").collect():
+        grep[x.query_id].append((x.passage_id, x.distinct_words, x.occurrences))
+    for k, question in enumerate(asked):
+        rows = sorted((-sum(t.count(w) > 0 for w in terms(question)), -sum(t.count(w) for w in terms(question)), i) for i, t in passages)
+        assert grep[k] == [(i, -a, -b) for a, b, i in rows if a][:5]
+    dense = collections.defaultdict(list)
+    for x in text.density_rank(p, q).orderBy("query_id", "rank").collect():
+        dense[x.query_id].append(x.passage_id)
+    for k, question in enumerate(asked):
+        parts = [w for w in re.split(r"\W+", question.lower()) if len(w) >= 3]
+        share = {i: sum(any(w in x for w in parts) for x in t.split()) / max(1, len(t.split())) for i, t in passages}
+        assert dense[k] == sorted(share, key=lambda i: (-share[i], i))[:5]  # noqa: B023
+
+
+def test_recall_by_ranker(spark):
+    p = spark.createDataFrame([("1", "alpha beta gamma delta"), ("2", "alpha alpha beta"), ("3", "gamma")], "passage_id string, text string")
+    gold = spark.createDataFrame([(1, "alpha beta", "gamma delta"), (2, "omega", "gamma")], "query_id int, question string, answer_phrase string")
+    got = {r.ranker: (r.n, r.recall_1, r.recall_3) for r in text.recall_by_ranker(p, gold).collect()}
+    assert got["bm25"] == (2, 0.0, 0.5) and got["grep"] == (2, 0.0, 0.5) and got["density"][0] == 2 and got["density"][2] == 1.0
+
+
 @pytest.mark.parametrize("word,want", [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("relational", "relat"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("generalizations", "gener"), ("oscillators", "oscil"), ("controll", "control"), ("sky", "sky")])
 def test_stemmer(word, want):
     assert stem(word) == want
 
 
 def test_lineage_survives_cycles(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "child long, parent long")
-    got = {r.run_id: r.steps for r in ledger.lineage(edges, spark.createDataFrame([(1,)], "start long")).collect()}
-    assert got == {1: 0, 2: 1, 3: 2, 4: 3}
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (7, None)], "child long, parent long")
+    one = spark.createDataFrame([(1,), (7,)], "start long")
+    got = {(r.start, r.run_id): (r.steps, r.stopped) for r in ledger.lineage(edges, one).collect()}
+    assert got == {(1, 1): (0, False), (1, 2): (1, False), (1, 3): (2, False), (1, 4): (3, False), (1, 5): (4, False), (7, 7): (0, False)}
+    short = {(r.start, r.run_id): r.stopped for r in ledger.lineage(edges, one, depth=3).collect()}
+    assert short == {(1, 1): True, (1, 2): True, (1, 3): True, (1, 4): True, (7, 7): False}
+    assert all(r.stopped for r in ledger.lineage(edges, one, most=2).where("start = 1").collect())
+    down = ledger.lineage(edges, spark.createDataFrame([(5,)], "start long"), down=True).collect()
+    assert {r.run_id: r.steps for r in down} == {5: 0, 4: 1, 3: 2, 2: 3, 1: 4}
+
+
+def test_lineage_states(spark):
+    edges = [("a", "b"), ("b", "root"), ("c", "d"), ("e", "gone"), ("f", "g"), ("h", "i")]
+    runs = [("a", True, False, None, 1, False), ("b", True, False, None, 1, False), ("root", True, True, None, 0, False), ("c", True, False, None, 1, False), ("d", True, False, None, 0, True), ("e", True, False, None, 1, False), ("f", True, False, None, 1, False), ("g", True, False, None, 0, False), ("h", True, False, "lost", 1, False), ("i", True, False, None, 0, True), ("j", True, False, None, 0, True), ("k", False, True, None, 0, False)]
+    log = spark.createDataFrame(runs, "run_id string, has_record boolean, acquires boolean, parent_unresolved string, n_parents int, basis boolean")
+    walk = ledger.lineage(spark.createDataFrame(edges, "child string, parent string"), log.select(F.col("run_id").alias("start")))
+    got = {r.start: r.state for r in ledger.lineage_states(walk, log).collect()}
+    assert got == {"a": "observed", "b": "observed", "root": "observed", "c": "declared_unobserved", "d": "undeclared", "e": "unknown", "f": "undeclared", "g": "undeclared", "h": "unknown", "i": "undeclared", "j": "undeclared", "k": "unknown"}
+
+
+def test_digests_bind_series(spark):
+    values = [1.0, 0.1 + 0.2, None, 1e-7, 1e22, -3.5]
+    s = daily(spark, values)
+    lines = "".join(f"{D + dt.timedelta(i):%Y-%m-%d}\t{float('nan') if v is None else v!r}\n" for i, v in enumerate(values))
+    want = "sha256:" + hashlib.sha256(lines.encode()).hexdigest()
+    assert ledger.series_digest(s.repartition(3)).first().digest == want
+    then = spark.createDataFrame([("a", want)], "site_id string, digest string")
+    assert ledger.verified_series(s, then).where("verdict = 'verified'").count() == 6
+    changed = ledger.verified_series(s.withColumn("value", F.col("value") + 1), then).collect()
+    assert [(r.value, r.verdict) for r in changed] == [(None, "mismatch")]
+    assert ledger.verified_series(s, then.limit(0)).first().verdict == "unrecorded"
+
+
+def test_flood_anchors(spark):
+    """The published levels of one flood a year drawn from Gumbel(300, 60), seed 0: with and without two partial years."""
+    rng = np.random.default_rng(0)
+    peaks = [(y, float(rng.gumbel(300, 60))) for y in range(2001, 2015)]
+    for rows, q100, q2 in ((peaks, 688.2, 335.5), ([(2000, 5.0), *peaks, (2015, 5.0)], 988.1, 292.5)):
+        maxima = spark.createDataFrame([("a", y, v, True) for y, v in rows], "site_id string, year int, annual_max double, complete boolean")
+        levels = {r.return_period: r.level for r in fits.flood_frequency(maxima, resamples=5).collect()}
+        assert levels[100] == pytest.approx(q100, abs=0.1) and levels[2] == pytest.approx(q2, abs=0.1)
+
+
+def test_hydrograph_keeps_its_volume(spark):
+    h = S.triangular_hydrograph(F.lit(80.0), F.lit(6.0), F.lit(40.0))
+    event = spark.range(1).select(F.lit("e").alias("event_id"), *[c.alias(k) for k, c in h.items()])
+    rows = ledger.hydrograph_ordinates(event, 0.05).orderBy("i").collect()
+    t, q = np.array([r.time_hr for r in rows]), np.array([r.discharge for r in rows])
+    volume = event.first().volume_m3
+    assert volume == pytest.approx(40 / 1000 * 80e6) and np.trapezoid(q, t * 3600) == pytest.approx(volume, rel=0.02)
+    assert q.max() == pytest.approx(event.first().peak_cms, rel=0.01) and q[-1] == pytest.approx(0, abs=1e-9)
+
+
+def test_cover_units_and_indices(spark):
+    row = spark.range(1).select(*[S.cover_factor(F.lit(x)).alias(k) for k, x in (("a", "forest"), ("b", "Deciduous Forest"), ("c", "water"), ("d", "unobtanium"))], *[S.unit_key(F.lit(x)).alias(f"u{i}") for i, x in enumerate(("m3/sec", "Cubic Meters per Second", "m³ s⁻¹", "L s**-1", "inches", "Degrees Celsius", "mm day^-1", "furlong", "Millimetres"))], S.json_number(F.lit('{"a": {"b": 2.5, "c": "x"}}'), "a.b").alias("n"), S.json_number(F.lit('{"a": 1}'), "a.b").alias("none")).first()
+    assert (row.a, row.b, row.c, row.d) == (S.COVER_FACTORS["forest"], S.COVER_FACTORS["forest"], 0.0, 0.1)
+    assert tuple(row)[4:13] == ("m3/s", "m3/s", "m3/s", "l/s", "in", "c", "mm/d", "furlong", "mm") and row.n == 2.5 and row.none is None
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    area = spark.range(1).select(S.polygon_area_km2(ring).alias("a")).first().a
+    assert area == pytest.approx(6371**2 * math.radians(1) * math.sin(math.radians(1)), rel=1e-3)
+
+
+def test_months_and_variables(spark):
+    s = daily(spark, [1.0] * 31 + [1.0] * 20 + [None] * 9 + [1.0] * 31)
+    spi, left = fits.drought_from_days(s, 1, "spi", 0.9)
+    assert [(r.year, r.month) for r in left.collect()] == [(2000, 2)]
+    got = {r.variable: (r.finite_days, r.missing_days, r.served, r.forcing_complete) for r in climate.completeness(s.withColumnRenamed("value", "prcp"), ["prcp", "pet"]).collect()}
+    assert got == {"prcp": (82, 9, True, False), "pet": (0, 91, False, False)}
+    assert set(spi.columns) == {"site_id", "year", "month", "rolled", "value"}
+
+
+def test_metric_names(spark):
+    rows = [("BFI", "g", "p", "t1", "m", 1, "r1", 0.5), ("baseflow-index", "g", "p", "t2", "m", 1, "r2", 0.6), ("nse", "g", "p", "t1", "m", 1, "r1", 0.1), ("nse", "g", "p", "t2", "m", 1, "r2", 0.9), ("rr", "g", None, "t1", "m", 1, "r1", 0.1)]
+    df = spark.createDataFrame(rows, "metric string, feature string, period string, tool string, method string, ts int, run_id string, value double")
+    assert [(r.metric, r.low, r.high) for r in ledger.metric_conflicts(df).collect()] == [("baseflow_index", 0.5, 0.6)]
 
 
 def test_verdicts(spark):
