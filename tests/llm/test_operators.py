@@ -264,7 +264,7 @@ def test_urls(spark):
 
 def test_urls_are_brute_force_bayes(spark):
     """A host without a seed word is blocked for what a rule says of its pages; scores are those of a plain naive Bayes."""
-    urls = [f"http://lucky-casino.example.com/{lang}/{i}" for i in range(40) for lang in ("de", "en")] + [f"http://river{i % 5}.example.net/en/{i}" for i in range(60)] + [f"http://a.org/{i}" for i in range(20)]
+    urls = [f"http://lucky-casino.example.com/{'en' if i % 6 == 0 else 'de'}/{i}" for i in range(80)] + [f"http://river{i % 5}.example.net/en/{i}" for i in range(60)] + [f"http://a.org/{i}" for i in range(20)]
     df = spark.createDataFrame([(i, u, "<title>lucky river</title>") for i, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r.page_id: r for r in url_filter.filter_urls(df, seeds={"none": ["pills"]}).collect()}
     assert all(r.verdict == "block" for i, r in got.items() if "casino" in urls[i]) and all(r.verdict == "allow" for i, r in got.items() if "casino" not in urls[i])
