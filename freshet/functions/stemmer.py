@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-_VOWEL = re.compile(r"[aeiou]|(?<=[^aeiou])y")
-
 
 def _forms(stem: str) -> str:
     """The stem's letters as v and c; y is a vowel after a consonant."""

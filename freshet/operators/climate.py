@@ -57,14 +57,13 @@ def annual_total(clim: DataFrame, key: str = K) -> DataFrame:
 
 def water_balance(forcing: DataFrame, key: str = K) -> DataFrame:
     """(prcp, pet, tavg) to annual totals, aridity, wet days above 1 mm and the share of snow (tavg <= 0 on wet days)."""
-    def total(column: Column, name: str) -> DataFrame:
-        s = forcing.select(key, "date", column.alias("value"))
-        return annual_total(climatology(valid_months(s, key=key), key=key), key).select(key, F.col("annual").alias(name))
-
-    p, pet = total(F.col("prcp"), "annual_prcp"), total(F.col("pet"), "annual_pet")
-    wet = total((F.col("prcp") > 1).cast("double"), "wet_days")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), c.cast("double").alias("value")) for n, c in (("prcp", F.col("prcp")), ("pet", F.col("pet")), ("wet", F.col("prcp") > 1))]))
+    long = forcing.select(key, "date", each.alias("x")).select(F.struct(F.col(key).alias("site"), "x.variable").alias("_k"), "date", "x.value")
+    totals = annual_total(climatology(valid_months(long, key="_k"), key="_k"), "_k").select("_k.site", "_k.variable", "annual")
+    pick = lambda v: F.max(F.when(F.col("variable") == v, F.col("annual")))
+    wide_totals = totals.groupBy(F.col("site").alias(key)).agg(pick("prcp").alias("annual_prcp"), pick("pet").alias("annual_pet"), pick("wet").alias("wet_days"))
     snow = forcing.where("prcp IS NOT NULL AND tavg IS NOT NULL").groupBy(key).agg(F.try_divide(F.sum(F.when(F.col("tavg") <= 0, F.col("prcp")).otherwise(0.0)), F.sum("prcp")).alias("snow_fraction"))
-    out = p.join(pet, key).join(wet, key).join(snow, key, "left")
+    out = wide_totals.join(snow, key, "left")
     return out.withColumn("aridity", F.when(F.col("annual_prcp") > 0, F.col("annual_pet") / F.col("annual_prcp"))).withColumn("wet_day_frequency", F.col("wet_days") / 365.25)
 
 

@@ -28,8 +28,12 @@ def window(series: DataFrame, start: str, end: str) -> DataFrame:
 
 def drop_null(series: DataFrame, keep_dates: int = 20, key: str = K) -> tuple[DataFrame, DataFrame]:
     """Series without NULL values, and for each site their count and first dates."""
-    dates = F.slice(F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.col("date")))), 1, keep_dates)
-    return series.where("value IS NOT NULL"), series.groupBy(key).agg(F.count_if(F.col("value").isNull()).alias("n_null"), dates.alias("null_dates"))
+    order = F.row_number().over(Window.partitionBy(key).orderBy("date"))
+    first = series.where("value IS NULL").withColumn("_i", order).where(F.col("_i") <= keep_dates)
+    first = first.groupBy(key).agg(F.array_sort(F.collect_list("date")).alias("null_dates"))
+    counts = series.groupBy(key).agg(F.count_if(F.col("value").isNull()).alias("n_null"))
+    met = counts.join(first, key, "left").withColumn("null_dates", F.coalesce("null_dates", F.array().cast("array<date>")))
+    return series.where("value IS NOT NULL"), met
 
 
 def spine(series: DataFrame, start: str | None = None, end: str | None = None, key: str = K) -> DataFrame:
