@@ -1,9 +1,11 @@
 """Exact top-k search by inner product: ball trees per shard, branch and bound, kth scores shared.
 
-Vectors are dealt into shards by a hash of their id; every shard builds a ball tree. A block of queries descends it best
-bound first: a node waits in a heap under its largest inner-product bound q.c + |q|r over the queries that still need
-it, and is left out for each query whose kth score so far exceeds its bound there. A first round only follows each
-query to its best leaf; the largest kth score that any shard found is then shared with all shards for the full round.
+Vectors are dealt into cells by the nearest of a bounded number of pivots, and large cells into shards by a hash of the
+id; every shard builds a ball tree. Cells are balls too, the top of the tree: a query goes only to the cells whose bound
+reaches its kth score so far. Inside a shard a block of queries descends best bound first: a node waits in a heap under
+its largest inner-product bound q.c + |q|r over the queries that still need it, and is left out for each query whose kth
+score exceeds its bound there. A first round only follows each query to its best cell, and there to its best leaf; the
+largest kth score that any shard found is then shared with all for the full round.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import arrow_rows, cut, table
 
 LEAF = 128
 LOW = np.iinfo(np.int64).min
 #: Rows of a shard, at least and at most.
 SHARD_ROWS = (4096, 131072)
+#: Pivots, at most: these and the cells' radii are broadcast.
+PIVOTS = 256
 
 
 @dataclass
@@ -132,16 +136,65 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int |
     nor is another row with the query's id; a repeated query id is asked once, with its least vector, while repeated
     candidates are rows of their own. Empty tables give no rows. Scores are 64-bit integers and assumed to fit.
 
-    A shard's points are held in memory (shard_rows of them), queries stream through it in batches. Query rows are
-    copied once a shard; their number times that of the shards is what an exact search has to ask.
+    A shard's points are held in memory (shard_rows of them), queries stream through it in batches. A query is copied to
+    the shards of the cells that it has to ask, which grow fewer as cells grow smaller.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     vectors, queries = cut(vectors, "vectors"), cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     rows = vectors.count()
     per_shard = shard_rows or min(max(rows // (4 * spark.sparkContext.defaultParallelism), SHARD_ROWS[0]), SHARD_ROWS[1])
-    shards = max(1, -(-rows // per_shard))
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(LOW).alias("kth"))
+    cells = min(max(1, -(-rows // per_shard)), PIVOTS)
+    width = vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    chosen = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(cells).select("v").collect()
+    pivots = np.zeros((max(1, len(chosen)), width), np.float64)
+    for i, r in enumerate(chosen):
+        pivots[i, : len(r["v"])] = r["v"]
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        square = (own**2).sum(1)
+        for batch in batches:
+            x = _matrix(batch.column(1), own.shape[1]).astype(np.float64)
+            cell = (square - 2 * (x @ own.T)).argmin(1)
+            away = np.sqrt(((x - own[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)], ["vec_id", "v", "cell", "away"])
+
+    with arrow_rows(spark, 1024):
+        placed = cut(vectors.mapInArrow(nearest, "vec_id long, v array<long>, cell int, away double"), "cells")
+    balls = {r["cell"]: (r["away"], r["n"]) for r in placed.groupBy("cell").agg(F.max("away").alias("away"), F.count(F.lit(1)).alias("n")).collect()}
+    parts = np.array([-(-balls[c][1] // per_shard) if c in balls else 0 for c in range(len(pivots))], np.int64)
+    radii = np.array([balls[c][0] if c in balls else 0.0 for c in range(len(pivots))])
+    first_shard, shards = np.cumsum(parts) - parts, max(1, int(parts.sum()))
+    base = F.element_at(F.array(*[F.lit(int(x)) for x in first_shard]), F.col("cell") + 1)
+    many = F.element_at(F.array(*[F.lit(int(max(1, x))) for x in parts]), F.col("cell") + 1)
+    shard = (base + F.pmod(F.xxhash64("vec_id"), many)).cast("int")
+    dealt = placed.select(shard.alias("shard"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(LOW).alias("kth"))
+
+    def ask(first: bool):
+        """Rows of queries for the shards of their best cell, or of all cells that may hold a score as high as kth."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            for batch in batches:
+                q = _matrix(batch.column(1), max(own.shape[1], int(np.diff(batch.column(1).offsets.to_numpy()).max(initial=0))))[:, : own.shape[1]].astype(np.float64)
+                norms = np.sqrt((q**2).sum(1))[:, None]
+                reach = norms * radii
+                bound = q @ own.T + reach + 1e-9 * (reach + norms * np.sqrt((own**2).sum(1))) + 1e-6
+                bound[:, parts == 0] = -np.inf
+                if first:
+                    wanted = np.zeros(bound.shape, bool)
+                    if len(q):
+                        wanted[np.arange(len(q)), bound.argmax(1)] = True
+                else:
+                    wanted = bound >= batch.column(2).to_numpy()[:, None]
+                i, c = np.nonzero(wanted & (parts > 0))
+                row = np.repeat(i, parts[c])
+                number = np.arange(len(row)) - np.repeat(np.cumsum(parts[c]) - parts[c], parts[c])
+                taken = [batch.column(k).take(pa.array(row)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array((np.repeat(first_shard[c], parts[c]) + number).astype(np.int32)), pa.array(np.ones(len(row), np.int32)), *taken], ["shard", "kind", "vec_id", "v", "kth"])
+
+        return run
 
     def visit(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +227,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int |
 
         return run
 
-    def asked(with_kth: DataFrame) -> DataFrame:
-        each = with_kth.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v", "kth")
+    def asked(with_kth: DataFrame, first: bool) -> DataFrame:
+        each = with_kth.select("vec_id", "v", "kth").mapInArrow(ask(first), "shard int, kind int, vec_id long, v array<long>, kth long")
         return dealt.unionByName(each).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id")
 
-    shared = asked(queries.withColumn("kth", F.lit(LOW))).mapInArrow(visit(True), "vec_id long, kth long").groupBy("vec_id").agg(F.max("kth").alias("kth"))
-    known = queries.join(shared, "vec_id", "left").withColumn("kth", F.coalesce("kth", F.lit(LOW)))
-    hits = asked(known).mapInArrow(visit(False), "query_id long, vec_id long, score long")
+    with arrow_rows(spark, 1024):
+        shared = cut(asked(queries.withColumn("kth", F.lit(LOW)), True).mapInArrow(visit(True), "vec_id long, kth long").groupBy("vec_id").agg(F.max("kth").alias("kth")), "kth")
+        known = queries.join(shared, "vec_id", "left").withColumn("kth", F.coalesce("kth", F.lit(LOW)))
+        hits = cut(asked(known, False).mapInArrow(visit(False), "query_id long, vec_id long, score long"), "hits")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
