@@ -14,7 +14,7 @@ pairs of the other, as those of a new document are.
 Counts are exact sums over all training texts at every size, so scores do not depend on partitions. Words of equal
 count lie side by side in rank, so the first predictor is a table with a row for each different count: at most the
 square root of twice the tokens, small enough to broadcast. Pairs of words are a table that grows with the corpus. What
-one task reads is one or several blocks; a block sends its different pairs, packed by bucket of the previous word, and
+one task reads is one or several groups with a vocabulary, of a few blocks each; a block sends its different pairs, packed by bucket of the previous word, and
 each different pair of the corpus is scored once, in its bucket, and the result sent back. Previous words with a
 thousandth of all tokens are dealt by the octave of the word that follows.
 """
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, drop_cut, release, table
 
-#: Tokens of a block and of its vocabulary, about: a task begins another block beyond them.
-BLOCK_TOKENS, BLOCK_WORDS = 1_500_000, 350_000
+#: Tokens of a block, about, and blocks and vocabulary of a group, about: a task begins another one beyond them.
+BLOCK_TOKENS, GROUP_BLOCKS, GROUP_WORDS = 1_500_000, 3, 500_000
 #: Tokens whose pairs are in a bucket, about.
 BUCKET = 1_000_000
 #: A context is dealt by octaves from this share of all tokens on, and from HOT_LEAST tokens.
@@ -133,16 +133,16 @@ class Mixer:
     def log10(self, kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 probability of each decision's own outcome. With own and other exchanged the two sum to 1."""
         mixed, cell = self.logit(kind, x, one, two)
-        p = 1 / (1 + np.exp(-np.clip(mixed.astype(np.float64), -16, 16)))
+        p = 1 / (1 + np.exp(np.clip(-mixed, -16, 16)))
         share, weight = self._refinement()
-        return np.log10(np.clip((p + share[cell] + weight[cell] * p) / 2, 1e-7, 1 - 1e-7))
+        return np.log10(np.clip(share[cell] + weight[cell] * p, np.float32(1e-6), np.float32(1 - 1e-6)))
 
     def _refinement(self) -> tuple[np.ndarray, np.ndarray]:
-        """By cell: the refined probability is the first, and so much of the mixed one."""
+        """By cell: the mean of the refined probability and the mixed one is the first, and so much of the mixed one."""
         if self._refined is None:
             cell = np.arange(len(self.own))
             total = self.own + self.own[cell - 2 * (cell % BINS - 24)] + 20
-            self._refined = self.own / total, 20 / total
+            self._refined = (self.own / total / 2).astype(np.float32), (10 / total + 0.5).astype(np.float32)
         return self._refined
 
 
@@ -376,7 +376,7 @@ class Bytes:
     def log10(self, words: list[bytes], mixer: Mixer) -> np.ndarray:
         key, size = self.keys(words)
         unique, at = np.unique(key, return_inverse=True)
-        each = mixer.log10(np.full(8 * len(unique), BYTE), *self.decisions(unique)).reshape(-1, 8).sum(1)
+        each = mixer.log10(np.full(8 * len(unique), BYTE), *self.decisions(unique)).reshape(-1, 8).sum(1, dtype=np.float64)
         return np.add.reduceat(each[at], np.cumsum(size) - size) if len(size) else np.zeros(0)
 
     def learn(self, n: np.ndarray) -> Mixer:
@@ -410,42 +410,50 @@ def held_out(docs: DataFrame) -> Column:
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """Documents as token numbers of their block, a row a block, and the blocks' vocabularies, in one table.
+    """Documents as token numbers of their group, a row a group with a list of blocks, and the groups' vocabularies, in one table.
 
-    A block is what one task reads, or a part of it, so texts are not shuffled. A task's rows are written together, so
+    A group is what one task reads, or a part of it, so texts are not shuffled. A task's rows are written together, so
     its numbers fit whatever attempt they come from. Token 0 is the end.
-    Blocks: block, docs (doc_id, half: 0 or 1, -1 of held-out ones, n_bytes, n_tokens), ids (compressed). Words: block, id, token, n in training.
+    Groups: block (the group's number), docs and ids (compressed) of each block; docs: doc_id, half (0 or 1, -1 of held-out
+    ones), n_bytes, n_tokens. Words: block, id, token, n in training.
     """
     half = F.when(held_out(docs), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(2))).cast("int")
     dealt = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), half.alias("half"))
     doc = pa.struct([("doc_id", pa.int64()), ("half", pa.int32()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-    types = {"block": pa.int64(), "docs": pa.list_(doc), "ids": pa.binary(), "id": pa.int32(), "token": pa.binary(), "n": pa.int64()}
+    types = {"block": pa.int64(), "docs": pa.list_(pa.list_(doc)), "ids": pa.list_(pa.binary()), "id": pa.int32(), "token": pa.binary(), "n": pa.int64()}
 
     def rows(length: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(length, t) for c, t in types.items()], list(types))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
+        group = TaskContext.get().partitionId() << 24
+        pack = zstandard.ZstdCompressor(level=1)
 
-        def fresh() -> tuple[dict, list, list]:
+        def fresh() -> dict:
             numbers: dict[bytes, int] = defaultdict()
             numbers.default_factory = numbers.__len__
             numbers[b" "]
-            return numbers, [], []
+            return numbers
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate(parts)
+        numbers, blocks, packed, parts, given, tokens, train = fresh(), [], [], [], [], 0, np.zeros(0, np.int64)
+
+        def end_block() -> None:
+            nonlocal parts, given, tokens, train
             taught = [p for p, d in zip(parts, given) if d["half"] >= 0]
-            train = np.bincount(np.concatenate(taught), minlength=len(numbers)) if taught else np.zeros(len(numbers), np.int64)
-            yield rows(1, block=pa.array([block]), docs=pa.array([given], types["docs"]), ids=pa.array([zstandard.ZstdCompressor(level=3).compress(ids.tobytes())], pa.binary()))
-            tokens = list(numbers)
-            for at in range(0, len(tokens), 20_000):
-                part = tokens[at : at + 20_000]
+            n = np.bincount(np.concatenate(taught), minlength=len(numbers)) if taught else np.zeros(len(numbers), np.int64)
+            n[: len(train)] += train
+            blocks.append(given)
+            packed.append(pack.compress(np.concatenate(parts).tobytes()))
+            parts, given, tokens, train = [], [], 0, n
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield rows(1, block=pa.array([group]), docs=pa.array([blocks], types["docs"]), ids=pa.array([packed], types["ids"]))
+            words = list(numbers)
+            for at in range(0, len(words), 20_000):
+                part = words[at : at + 20_000]
                 size = len(part)
-                yield rows(size, block=pa.array(np.full(size, block)), id=pa.array(np.arange(at, at + size, dtype=np.int32)), token=pa.array(part, pa.binary()), n=pa.array(train[at : at + size]))
+                yield rows(size, block=pa.array(np.full(size, group)), id=pa.array(np.arange(at, at + size, dtype=np.int32)), token=pa.array(part, pa.binary()), n=pa.array(train[at : at + size]))
 
-        numbers, parts, given = fresh()
-        tokens = 0
         for batch in batches:
             for doc_id, text, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
@@ -453,13 +461,18 @@ def gather(docs: DataFrame) -> DataFrame:
                 parts.append(np.append(ids, np.int32(0)))
                 given.append({"doc_id": doc_id, "half": half, "n_bytes": len(text), "n_tokens": len(words) + 1})
                 tokens += len(words) + 1
-                if tokens >= BLOCK_TOKENS or len(numbers) >= BLOCK_WORDS:
-                    yield from flush()
-                    (numbers, parts, given), tokens, block = fresh(), 0, block + 1
+                full = len(numbers) >= GROUP_WORDS
+                if tokens >= BLOCK_TOKENS or full:
+                    end_block()
+                    if full or len(blocks) == GROUP_BLOCKS:
+                        yield from flush()
+                        numbers, blocks, packed, train, group = fresh(), [], [], np.zeros(0, np.int64), group + 1
         if parts:
+            end_block()
+        if blocks:
             yield from flush()
 
-    schema = "block long, docs array<struct<doc_id: long, half: int, n_bytes: long, n_tokens: long>>, ids binary, id int, token binary, n long"
+    schema = "block long, docs array<array<struct<doc_id: long, half: int, n_bytes: long, n_tokens: long>>>, ids array<binary>, id int, token binary, n long"
     with arrow_rows(docs.sparkSession, 256):
         return cut(dealt.mapInArrow(run, schema), "blocks")
 
@@ -484,12 +497,10 @@ def rank_words(listed: DataFrame) -> tuple[DataFrame, Words]:
 class Block:
     """The tokens of a block in order, and its different pairs (previous word, word)."""
 
-    def __init__(self, row: dict, words: Words) -> None:
-        self.docs = row["docs"]
-        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), np.int32).astype(np.int64)
-        self.rank, self.cost = np.zeros(len(row["vocabulary"]), np.int64), np.zeros(len(row["vocabulary"]))
-        self.rank[row["vocabulary"].field("id").to_numpy()] = row["vocabulary"].field("rank").to_numpy()
-        self.cost[row["vocabulary"].field("id").to_numpy()] = row["vocabulary"].field("cost").to_numpy()
+    def __init__(self, docs: pa.StructArray, ids: bytes, rank: np.ndarray, cost: np.ndarray, words: Words) -> None:
+        """rank, cost: of the group's tokens by their numbers."""
+        self.docs, self.rank, self.cost = docs, rank, cost
+        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.int32).astype(np.int64)
         self.sizes = self.docs.field("n_tokens").to_numpy()
         self.first = np.cumsum(self.sizes) - self.sizes
         wide = len(self.rank) + 1
@@ -500,6 +511,16 @@ class Block:
         self.word = self.rank[pair % wide]
         self.context = np.append(self.rank, words.different + 1)[pair // wide]
 
+    @classmethod
+    def of(cls, row: dict, words: Words) -> Iterator[Block]:
+        """The blocks of a group."""
+        known = row["vocabulary"]
+        rank, cost = np.zeros(len(known), np.int64), np.zeros(len(known))
+        at = known.field("id").to_numpy()
+        rank[at], cost[at] = known.field("rank").to_numpy(), known.field("cost").to_numpy()
+        for i, ids in enumerate(row["ids"]):
+            yield cls(row["docs"][i].values, ids, rank, cost, words)
+
     def counts(self) -> list[np.ndarray]:
         """Training tokens of each pair, of either half."""
         half = np.repeat(self.docs.field("half").to_numpy(), self.sizes)
@@ -528,7 +549,7 @@ class Pairs:
         edges = (np.flatnonzero(np.diff(self.bucket)) + 1).tolist()
         return list(zip([0, *edges], [*edges, len(self.bucket)])) if len(self.bucket) else []
 
-    def sent(self, block: int, counts: list[np.ndarray], single: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def sent(self, group: int, number: int, counts: list[np.ndarray], single: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A packed row a bucket. counts: tokens of each pair by half. single: pairs of a word that training has once."""
         pack = zstandard.ZstdCompressor(level=3)
         given = [self.rank, *(n[self.pair] for n in counts), *((n * single)[self.pair] for n in counts), self.part]
@@ -538,7 +559,7 @@ class Pairs:
             rows.append((int(self.bucket[a]), pack.compress(_planes(np.concatenate(columns)))))
         for a in range(0, len(rows), 256):
             part = rows[a : a + 256]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([block] * len(part), pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["bucket", "block", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([group] * len(part), pa.int64()), pa.array([number] * len(part), pa.int32()), pa.array([r[1] for r in part], pa.binary())], ["bucket", "block", "number", "packed"])
 
     def scores(self, told: list[bytes], pairs: int) -> np.ndarray:
         """Each pair's score from what the buckets tell, in their order."""
@@ -576,8 +597,9 @@ class Bucket:
         del columns
         self.words = words
         place = words.place(rank)
-        _, dense = np.unique(context, return_inverse=True)
-        key = dense * np.int64(words.different + 2) + place
+        wide = words.different + 2
+        dense = context if wide * wide * 64 < 2**63 else np.unique(context, return_inverse=True)[1]
+        key = dense * np.int64(wide) + place
         order = np.argsort(key, kind="stable")
         key = key[order]
         new = np.ones(len(key), bool)
@@ -728,20 +750,20 @@ def count_corpus(docs: DataFrame) -> Corpus:
     coded = cut(gathered.where("docs IS NOT NULL").select("block", "docs", "ids").join(met.hint("merge"), "block"), "coded")
     drop_cut(gathered)
     drop_cut(vocabulary)
-    tokens = coded.select(F.explode("docs.n_tokens").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tokens = coded.select(F.explode(F.flatten("docs")).alias("d")).select("d.n_tokens").toDF("n").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(max(8, tokens // BUCKET))
     shared = spark.sparkContext.broadcast(words)
     release(spark)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            block = Block(row, shared.value)
-            yield from Pairs(block, shared.value, buckets).sent(row["block"], block.counts(), shared.value.count_of(block.word) == 1)
+            for number, block in enumerate(Block.of(row, shared.value)):
+                yield from Pairs(block, shared.value, buckets).sent(row["block"], number, block.counts(), shared.value.count_of(block.word) == 1)
 
     with arrow_rows(spark, 1):
-        rows = coded.mapInArrow(send, "bucket int, block long, packed binary")
-        grouped = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("block", "packed"))).alias("sent"))
-        pairs = cut(grouped.select("bucket", "sent.block", "sent.packed"), "pairs")
+        rows = coded.mapInArrow(send, "bucket int, block long, number int, packed binary")
+        grouped = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("block", "number", "packed"))).alias("sent"))
+        pairs = cut(grouped.select("bucket", "sent.block", "sent.number", "sent.packed"), "pairs")
     release(spark)
     return Corpus(words, bytes_, spelling, coded, pairs, buckets)
 
@@ -783,24 +805,28 @@ def score_corpus(corpus: Corpus, mixer: Mixer) -> DataFrame:
             found = Bucket(row["packed"], sent.value[0]).scores(sent.value[1])
             for a in range(0, len(found), 64):
                 part = [pack.compress(x.tobytes()) for x in found[a : a + 64]]
-                yield pa.RecordBatch.from_arrays([pa.array(row["block"][a : a + 64], pa.int64()), pa.array([row["bucket"]] * len(part), pa.int32()), pa.array(part, pa.binary())], ["block", "bucket", "told"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["block"][a : a + 64], pa.int64()), pa.array(row["number"][a : a + 64], pa.int32()), pa.array([row["bucket"]] * len(part), pa.int32()), pa.array(part, pa.binary())], ["block", "number", "bucket", "told"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value[0]
         for row in _rows(batches):
-            block = Block(row, words)
-            each = Pairs(block, words, buckets).scores(row["told"], len(block.word))
-            n = words.count_of(block.rank)
-            base = np.log10(n + 1.0) - base_of
-            score = np.add.reduceat(each[block.of_pair] + block.cost[block.ids], block.first)
-            known = np.add.reduceat((n > 0)[block.ids].astype(np.int64), block.first)
-            bits = -score / np.log10(2) / np.maximum(block.docs.field("n_bytes").to_numpy(), 1)
-            columns = [block.docs.field("doc_id"), pa.array(block.docs.field("half").to_numpy() < 0), pa.array(block.sizes), pa.array(known), pa.array(np.add.reduceat(base[block.ids], block.first)), pa.array(score), pa.array(bits)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            told: dict[int, list[bytes]] = defaultdict(list)
+            for number, packed in zip(row["number"], row["told"]):
+                told[number].append(packed)
+            for number, block in enumerate(Block.of(row, words)):
+                each = Pairs(block, words, buckets).scores(told.pop(number), len(block.word))
+                n = words.count_of(block.rank)
+                base = np.log10(n + 1.0) - base_of
+                score = np.add.reduceat(each[block.of_pair] + block.cost[block.ids], block.first)
+                known = np.add.reduceat((n > 0)[block.ids].astype(np.int64), block.first)
+                bits = -score / np.log10(2) / np.maximum(block.docs.field("n_bytes").to_numpy(), 1)
+                columns = [block.docs.field("doc_id"), pa.array(block.docs.field("half").to_numpy() < 0), pa.array(block.sizes), pa.array(known), pa.array(np.add.reduceat(base[block.ids], block.first)), pa.array(score), pa.array(bits)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     with arrow_rows(spark, 1):
-        rows = corpus.pairs.mapInArrow(tell, "block long, bucket int, told binary")
-        told = cut(rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "told"))).alias("t")).select("block", F.col("t.told").alias("told")), "told")
+        rows = corpus.pairs.mapInArrow(tell, "block long, number int, bucket int, told binary")
+        listed = F.array_sort(F.collect_list(F.struct("number", "bucket", "told"))).alias("t")
+        told = cut(rows.groupBy("block").agg(listed).select("block", "t.number", "t.told"), "told")
         release(spark)
         drop_cut(corpus.pairs)
         met = corpus.coded.join(told.hint("merge"), "block")
