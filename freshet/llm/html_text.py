@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, drop_cut, hot_keys, salted_join, table
+from .common import arrow_rows, cut, hot_keys, salted_join, table
 
 DROP_TAGS = frozenset("nav aside footer form script style noscript template iframe svg button select textarea dialog menu head object canvas".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
@@ -293,42 +293,48 @@ def template_table(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_shar
     return counts.join(totals, "host").where(F.col("n") >= bound).select("host", "subtree")
 
 
-def extract_text(pages: DataFrame, key: str = "page_id", rules: bool = True) -> DataFrame:
+def extract_text(pages: DataFrame, key: str = "page_id", rules: bool = True, broadcast_rows: int = 200_000) -> DataFrame:
     """Main text of each whole page: key, url, text, n_chars (code points), n_template (code points that templates took).
 
     Null html counts as empty and gives an empty text, as do pages without main text. Unclosed elements end with their
     parents, a tag that the page breaks off in is left out. Line breaks inside a block are white space. Null urls share
     the empty host. Repeated rows are rows of their own, an empty table gives none, other columns are ignored.
-    rules: False deletes templates alone.
+    rules: False deletes templates alone. The templates are broadcast if they have at most broadcast_rows rows; more are
+    joined to the pages, each of which gets those that it has. Both ways give the same rows.
     """
     pages = pages.select(key, "url", "html")
     parsed = parse_pages(pages, key)
     templates = cut(template_table(parsed), "templates")
+    kind = pages.schema[key].dataType.simpleString()
+    by_host: dict[str, set[int]] = {}
+
+    def texts(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), 256):
+                batch = whole.slice(a, 256)
+                found, taken = [], []
+                for host, parents, hashes, forms, lines, gone in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
+                    gone, dead = set(gone or ()) if known is None else known.get(host, ()), []
+                    for parent, h, form in zip(parents, hashes, forms):
+                        dead.append(h in gone or form in gone or (parent >= 0 and dead[parent]))
+                    left = [x for x in lines if x["at"] < 0 or not dead[x["at"]]]
+                    taken.append(sum(len(x["text"]) for x in lines) - sum(len(x["text"]) for x in left))
+                    found.append("\n".join(x["text"] for x in left if x["kept"] or not rules))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64()), pa.array(taken, pa.int64())], [key, "url", "text", "n_chars", "n_template"])
+
+    columns = [key, "url", "host", "parents", "hashes", "forms", "lines"]
+    schema = f"`{key}` {kind}, url string, text string, n_chars long, n_template long"
+    if templates.count() <= broadcast_rows:
+        for host, subtree in templates.collect():
+            by_host.setdefault(host, set()).add(subtree)
+        sent = pages.sparkSession.sparkContext.broadcast(by_host)
+        return parsed.select(*columns, F.lit(None).cast("array<long>").alias("gone")).mapInArrow(lambda batches: texts(batches, sent.value), schema)
     each = parsed.select("row", "host", F.explode(subtrees()).alias("subtree"))
     counts = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     hot = hot_keys(counts, ["host", "subtree"], "n", parsed.count())
     # a template stands on many pages: its rows are dealt over many tasks, and each page gets back what it has of them
     gone = salted_join(each, templates, ["host", "subtree"], hot, "row").groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    met = parsed.join(gone.hint("merge"), "row", "left")
-    kind = pages.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, taken = [], []
-            for parents, hashes, forms, lines, gone in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
-                gone, dead = set(gone or ()), []
-                for parent, h, form in zip(parents, hashes, forms):
-                    dead.append(h in gone or form in gone or (parent >= 0 and dead[parent]))
-                left = [x for x in lines if x["at"] < 0 or not dead[x["at"]]]
-                taken.append(sum(len(x["text"]) for x in lines) - sum(len(x["text"]) for x in left))
-                texts.append("\n".join(x["text"] for x in left if x["kept"] or not rules))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(taken, pa.int64())], [key, "url", "text", "n_chars", "n_template"])
-
-    with arrow_rows(pages.sparkSession, 256):
-        done = cut(met.select(key, "url", "parents", "hashes", "forms", "lines", "gone").mapInArrow(run, f"`{key}` {kind}, url string, text string, n_chars long, n_template long"), "texts")
-    drop_cut(parsed)
-    drop_cut(templates)
-    return done
+    return parsed.join(gone.hint("merge"), "row", "left").select(*columns, "gone").mapInArrow(lambda batches: texts(batches, None), schema)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
