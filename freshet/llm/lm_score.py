@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, cut, drop_cut, release, table
 
 #: Tokens of a block, about, and blocks and vocabulary of a group, about: a task begins another one beyond them.
-BLOCK_TOKENS, GROUP_BLOCKS, GROUP_WORDS = 1_500_000, 3, 500_000
+BLOCK_TOKENS, GROUP_BLOCKS, GROUP_WORDS = 1_000_000, 4, 350_000
 #: Tokens whose pairs are in a bucket, about.
 BUCKET = 1_000_000
 #: A context is dealt by octaves from this share of all tokens on, and from HOT_LEAST tokens.
@@ -507,7 +507,10 @@ class Block:
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
         before[self.first] = wide - 1  # a text's beginning
-        pair, self.of_pair = np.unique(before * wide + self.ids, return_inverse=True)
+        before *= wide
+        before += self.ids
+        pair, self.of_pair = np.unique(before, return_inverse=True)
+        del before
         self.word = self.rank[pair % wide]
         self.context = np.append(self.rank, words.different + 1)[pair // wide]
 
@@ -553,12 +556,12 @@ class Pairs:
         """A packed row a bucket. counts: tokens of each pair by half. single: pairs of a word that training has once."""
         pack = zstandard.ZstdCompressor(level=3)
         given = [self.rank, *(n[self.pair] for n in counts), *((n * single)[self.pair] for n in counts), self.part]
-        rows = []
-        for a, b in self.spans():
-            columns = [np.diff(self.context[a:b], prepend=0), *(v[a:b] for v in given)]
-            rows.append((int(self.bucket[a]), pack.compress(_planes(np.concatenate(columns)))))
-        for a in range(0, len(rows), 256):
-            part = rows[a : a + 256]
+        spans = self.spans()
+        for at in range(0, len(spans), 64):
+            part = []
+            for a, b in spans[at : at + 64]:
+                columns = [np.diff(self.context[a:b], prepend=0), *(v[a:b] for v in given)]
+                part.append((int(self.bucket[a]), pack.compress(_planes(np.concatenate(columns)))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([group] * len(part), pa.int64()), pa.array([number] * len(part), pa.int32()), pa.array([r[1] for r in part], pa.binary())], ["bucket", "block", "number", "packed"])
 
     def scores(self, told: list[bytes], pairs: int) -> np.ndarray:
