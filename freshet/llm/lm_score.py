@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, cut, drop_cut, release, table
 
 #: Tokens of a block, about, and blocks and vocabulary of a group, about: a task begins another one beyond them.
-BLOCK_TOKENS, GROUP_BLOCKS, GROUP_WORDS = 1_000_000, 4, 350_000
+BLOCK_TOKENS, GROUP_BLOCKS, GROUP_WORDS = 1_000_000, 3, 300_000
 #: Tokens whose pairs are in a bucket, about.
 BUCKET = 1_000_000
 #: A context is dealt by octaves from this share of all tokens on, and from HOT_LEAST tokens.
@@ -482,10 +482,12 @@ def rank_words(listed: DataFrame) -> tuple[DataFrame, Words]:
     training has not has no rank."""
     spark = listed.sparkSession
     summed = cut(listed.groupBy("token").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "id")).alias("places")), "tokens")
+    release(spark)
     order = [F.desc("n"), F.asc("token")]
     dealt = summed.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = cut(dealt.select("token", "n", "places", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("at")), "vocabulary")
     drop_cut(summed)
+    release(spark)
     parts = dealt.where("n > 0").groupBy("part").agg(F.count(F.lit(1)).alias("rows")).orderBy("part").collect()
     starts = np.cumsum([0, *(p["rows"] for p in parts)]).tolist()
     by_part = spark.createDataFrame([(p["part"], s) for p, s in zip(parts, starts)], "part int, start long")
