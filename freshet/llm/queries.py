@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, lm_score, mixing, near_dedup, quality, quotes, spelling, topk, url_filter, whitening
+from . import bpe, exact_dedup, html_text, lm_score, mixing, near_dedup, perplexity, quality, quotes, spelling, topk, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": topk.op1_topk,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_urls": url_filter.op9_urls,
     "op10_html": html_text.op10_html,
+    "op11_rules": perplexity.op11_rules,
     "op12_spelling": spelling.op12_spelling,
     "op13_whitening": whitening.op13_whitening,
 }
