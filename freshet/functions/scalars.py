@@ -88,9 +88,21 @@ def convert(value: Column, from_unit: Column, to_unit: Column) -> Column:
 
 
 def gauge_key(raw: Column) -> Column:
-    """Eight or more digits as text: agency prefix off, short numbers padded with zeros; NULL if it is no number."""
-    digits = F.regexp_extract(F.trim(raw.cast("string")), r"^(?:[A-Za-z]+-)?(\d+)$", 1)
-    return F.when(digits == "", None).when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(digits)
+    """A station number of 8 to 15 digits from text with or without `USGS-`; NULL for anything else."""
+    digits = F.regexp_extract(F.trim(raw.cast("string")), r"^(?:USGS-)?([0-9]{8,15})$", 1)
+    return F.when(digits != "", digits)
+
+
+def gauge_of_number(raw: Column) -> Column:
+    """The same from an integer that lost its leading zeros: 7 to 15 digits; smaller numbers are counts, not stations."""
+    text = raw.cast("bigint").cast("string")
+    return F.when((raw >= 1_000_000) & (raw < 10**15), F.when(F.length(text) < 8, F.lpad(text, 8, "0")).otherwise(text))
+
+
+def attribute_gauge(raw: Column) -> Column:
+    """The 8 digits by which attribute tables go, of 7 or 8; NULL for anything else."""
+    digits = F.regexp_extract(F.trim(raw.cast("string")), r"^([0-9]{7,8})$", 1)
+    return F.when(digits != "", F.lpad(digits, 8, "0"))
 
 
 def code_tokens(cell: Column) -> Column:
@@ -102,10 +114,17 @@ def approval_tokens(cell: Column) -> Column:
     return F.filter(code_tokens(cell), lambda x: x.isin("A", "P"))
 
 
-def information_class(product: Column, source: Column) -> Column:
-    """observation, model_simulation or unclassified, by what product and source are called."""
-    text = F.lower(F.concat_ws(" ", product, source))
-    return F.when(text.rlike("observ|gauge|nwis"), "observation").when(text.rlike("model|simulat|reanalysis|forecast"), "model_simulation").otherwise("unclassified")
+#: Products that are a station's measurements, and sources that are a model's output.
+OBSERVATION_PRODUCTS = ("NWIS_STREAMFLOW",)
+MODEL_SOURCES = ("cds_glofas", "geoglows_retro", "openmeteo_flood")
+
+
+def information_class(product: Column, source: Column, site_resolution: Column | None = None) -> Column:
+    """observation (of a known product, or resolved to a site), model_simulation (of a known source), else unclassified."""
+    observed = product.isin(*OBSERVATION_PRODUCTS)
+    if site_resolution is not None:
+        observed = (F.coalesce(site_resolution.cast("string"), F.lit("")) != "") | observed
+    return F.when(observed, "observation").when(source.isin(*MODEL_SOURCES), "model_simulation").otherwise("unclassified")
 
 
 def water_year(day: Column) -> Column:

@@ -80,8 +80,13 @@ def completeness(forcing: DataFrame, requested: list[str], key: str = K) -> Data
 
 
 def merge_coverage(parts: DataFrame, key: str = K) -> DataFrame:
-    """Coverage of chunks (chunk_no, head, tail, internal, complete, ranges) to that of the whole fetch."""
-    inner = F.sum("internal") + F.sum("head") - F.min_by("head", "chunk_no") + F.sum("tail") - F.max_by("tail", "chunk_no")
+    """Coverage of chunks (chunk_no, head, tail, internal, complete, ranges) to that of the whole fetch.
+
+    internal is NULL if one chunk's is; an inner edge that is NULL counts as no missing day. complete looks at known flags.
+    """
+    edge = lambda c: F.coalesce(F.col(c), F.lit(0))
+    inner = F.sum("internal") + F.sum(edge("head")) - F.min_by(edge("head"), "chunk_no") + F.sum(edge("tail")) - F.max_by(edge("tail"), "chunk_no")
+    inner = F.when(F.bool_and(F.col("internal").isNotNull()), inner)
     ranges = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "ranges"))), lambda x: x["ranges"]))
     return parts.groupBy(key).agg(F.min_by("head", "chunk_no").alias("head"), F.max_by("tail", "chunk_no").alias("tail"), inner.alias("internal"), F.every("complete").alias("complete"), ranges.alias("ranges"))
 

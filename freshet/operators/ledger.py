@@ -143,13 +143,16 @@ def holm(tests: DataFrame, family: str = "family") -> DataFrame:
 
 
 def hydrograph_frames(steps: DataFrame, most: int, key: str = "event_id") -> DataFrame:
-    """(time_hr, discharge) to at most `most` frames: evenly spaced steps with first, peak and last, cut to the first
-    `most` of them; each frame lasts to the next step, the last a quarter of an hour."""
+    """(time_hr, discharge) to at most `most` frames: all steps if there are no more, else evenly spaced ones (one less than
+    `most`, 3 at least, their places rounded down) with first, peak and last, cut to the first `most` of them. Each frame
+    lasts to the next step, the last a quarter of an hour."""
     w = Window.partitionBy(key).orderBy("time_hr")
     rows = steps.withColumn("i", F.row_number().over(w) - 1).withColumn("until", F.coalesce(F.lead("time_hr").over(w), F.col("time_hr") + 0.25))
     g = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max_by("i", F.struct(F.col("discharge"), -F.col("i"))).alias("peak"))
-    stride = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("int")
-    picks = F.slice(F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("n").cast("int") - 1, stride), F.array(F.lit(0), F.col("peak").cast("int"), F.col("n").cast("int") - 1)))), 1, most)
+    some, last = max(3, most - 1), F.col("n").cast("int") - 1
+    even = F.transform(F.sequence(F.lit(0), F.lit(some - 1)), lambda i: F.when(i == some - 1, last).otherwise(F.floor(i * (last / F.lit(some - 1))).cast("int")))
+    spread = F.slice(F.array_sort(F.array_distinct(F.concat(even, F.array(F.lit(0), F.col("peak").cast("int"), last)))), 1, most)
+    picks = F.when(F.col("n") <= most, F.sequence(F.lit(0), last)).otherwise(spread)
     return rows.join(g.select(key, F.explode(picks).alias("i")), [key, "i"]).select(key, "i", "time_hr", "until", "discharge")
 
 
@@ -162,13 +165,38 @@ def hydrograph_ordinates(events: DataFrame, step_hr: float = 0.25, key: str = "e
     return each.select(key, "i", "time_hr", (F.col("peak_cms") * F.when(t <= tp, t / tp).otherwise((tb - t) / (tb - tp))).alias("discharge"))
 
 
+#: Superscript digits, and what they stand for.
+SUPERSCRIPTS, PLAIN = "⁰¹²³⁴⁵⁶⁷⁸⁹⁻−", "0123456789--"
+
+
+def printed_number(shown: Column) -> tuple[Column, Column]:
+    """The value of a printed number and the unit of its last place, NULL for what is no number: 1,234.5, 42%, -3e-2,
+    3.2×10⁻³ (also with x, * or a middle dot, with or without ^) and powers such as 10^6, which are exact to 1."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(shown), "−", "-"), "[, ]", "")
+    text = F.regexp_replace(text, "%+$", "")
+    power = F.regexp_extract_all(text, F.lit(r"^(-?[0-9.]+)\^(-?[0-9]+)$"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"^(-?[0-9.]+)\^(-?[0-9]+)$"), F.lit(2))
+    tens = r"[×x*·]10\^?([-⁻]?[0-9⁰¹²³⁴⁵⁶⁷⁸⁹]+)$"
+    ten = F.coalesce(F.translate(F.regexp_extract(text, tens, 1), SUPERSCRIPTS, PLAIN).try_cast("int"), F.lit(0))
+    rest = F.regexp_replace(text, tens, "")
+    e = F.coalesce(F.regexp_extract(rest, "[eE]([-+]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    mantissa = F.regexp_replace(rest, "[eE][-+]?[0-9]+$", "")
+    good = mantissa.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    places = F.length(F.regexp_extract(mantissa, r"\.([0-9]*)$", 1))
+    scale = lambda n: F.pow(F.lit(10.0), n)
+    is_power = F.size(power[0]) > 0
+    base, by = F.get(power[0], F.lit(0)).try_cast("double"), F.get(power[1], F.lit(0)).try_cast("double")
+    value = F.when(is_power, F.when(~((base == 0) & (by < 0)), F.pow(base, by))).when(good, rest.try_cast("double") * scale(ten))
+    return value, F.when(is_power, 1.0).when(good, scale(ten + e - places))
+
+
 def values_match(shown: Column, stored: Column) -> Column:
-    """Whether a printed number is the stored one within half a unit of its last place; percent signs may stand for fractions."""
-    digits = F.regexp_extract(shown, r"^-?[\d,]*\.?(\d*)%?$", 1)
-    number = F.regexp_replace(shown, "[,%]", "").try_cast("double")
-    half = 0.5 * F.pow(F.lit(10.0), -F.length(digits)) + 1e-9
+    """Whether a printed number is the stored one within half a unit of its last place; percent signs may stand for
+    fractions. What is no number matches nothing."""
+    number, unit = printed_number(shown)
+    half = 0.5 * unit + 1e-9
     near = lambda a: F.abs(a - stored) <= half
-    return F.when(F.endswith(shown, F.lit("%")), near(number) | (F.abs(number / 100 - stored) <= half / 100)).otherwise(near(number))
+    percent = F.endswith(F.rtrim(shown), F.lit("%"))
+    return F.coalesce(F.when(percent, near(number) | (F.abs(number / 100 - stored) <= half / 100)).otherwise(near(number)), F.lit(False))
 
 
 def check_marked_numbers(markers: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ from ..functions import scalars as S
 
 
 def search_sites(sites: DataFrame, text: str | None = None, box: tuple[float, float, float, float] | None = None, limit: int = 50) -> DataFrame:
-    """Sites by exact id, exact name or part of either (in that order), inside a box of (west, south, east, north)."""
-    rows = sites
-    if box:
-        rows = rows.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
-    q = (text or "").lower()
-    rank = F.when(F.lower("gauge_id") == q, 0).when(F.lower("name") == q, 1).when(F.contains(F.lower("name"), F.lit(q)) | F.contains(F.lower("gauge_id"), F.lit(q)), 2)
-    found = rows.withColumn("rank", rank).where("rank IS NOT NULL")
+    """The site of an id wherever it lies; then those of an exact name, then of a part of id or name, inside a box of (west,
+    south, east, north). An id is also found without its leading zeros. Texts under 2 signs find nothing."""
+    q = (text or "").strip().lower()
+    exact = (F.lower("gauge_id") == q) | (F.lower("gauge_id") == q.zfill(8)) if q.isdigit() else F.lower("gauge_id") == q
+    rank = F.when(exact, 0).when(F.lower("name") == q, 1).when(F.contains(F.lower("name"), F.lit(q)) | F.contains(F.lower("gauge_id"), F.lit(q)), 2)
+    inside_box = F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]) if box else F.lit(True)
+    found = sites.withColumn("rank", rank).where((F.col("rank") == 0) | inside_box).where("rank IS NOT NULL" if len(q) >= 2 else "false")
     first = found.withColumn("n", F.row_number().over(Window.partitionBy("gauge_id").orderBy("rank", "name"))).where("n = 1").drop("n")
     return first.orderBy("rank", "gauge_id").limit(limit)
 
@@ -134,7 +134,8 @@ def error_summary(errors: DataFrame, by: str = "method") -> DataFrame:
 
 
 def class_breaks(values: DataFrame, classes: int, method: str = "quantile", value: str = "value", by: str = "layer") -> DataFrame:
-    """Upper class limits: equal steps, or the values at places floor(i n / classes) - 1, each once; 2 to 12 classes."""
+    """Upper class limits: equal steps, or the values at places (i / classes) * n, cut to a whole number, less 1, each once; 2
+    to 12 classes. The product is that of doubles, in this order: 7 of 10 classes of 90 values end at place 62."""
     k = min(max(classes, 2), 12)
     rows = values.where(F.col(value).isNotNull())
     if method == "equal":
@@ -142,6 +143,6 @@ def class_breaks(values: DataFrame, classes: int, method: str = "quantile", valu
         return g.select(by, F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / k).alias("breaks"))
     w = Window.partitionBy(by)
     ranked = rows.withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    places = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.greatest(F.floor(i * F.col("n") / k) - 1, F.lit(0)))
+    places = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.greatest(F.floor((i / F.lit(float(k))) * F.col("n")) - 1, F.lit(0)))
     picked = ranked.where(F.array_contains(places, F.col("i").cast("long")))
     return picked.groupBy(by).agg(F.array_sort(F.collect_set(value)).alias("breaks"))

@@ -138,7 +138,7 @@ def agreement(a: DataFrame, b: DataFrame, key: str = K) -> DataFrame:
     spread = (F.col("n_pairs") >= 2) & (F.col("sd_a") > 1e-12) & (F.col("sd_b") > 1e-12)
     r = F.when(spread, F.col("cov") / (F.col("sd_a") * F.col("sd_b")))
     alpha, beta = F.when(F.col("sd_a") > 1e-12, F.col("sd_b") / F.col("sd_a")), F.when(F.abs("mean_a") > 1e-12, F.col("mean_b") / F.col("mean_a"))
-    kge = 1 - F.sqrt(F.pow(r - 1, 2) + F.pow(alpha - 1, 2) + F.pow(beta - 1, 2))
+    kge = F.when(F.col("mean_a") >= 1e-12, 1) - F.sqrt(F.pow(r - 1, 2) + F.pow(alpha - 1, 2) + F.pow(beta - 1, 2))
     bias = F.when(F.col("mean_a") != 0, 100 * (F.col("mean_b") - F.col("mean_a")) / F.col("mean_a"))
     nse = F.when(F.col("sd_a") > 1e-12, 1 - F.col("mse") / F.pow("sd_a", F.lit(2)))
     return m.select(key, "n_common", "n_pairs", "mean_a", "mean_b", bias.alias("percent_bias"), r.alias("r"), "sd_a", "sd_b", alpha.alias("sd_ratio"), beta.alias("beta"), kge.alias("kge"), nse.alias("nse"), F.sqrt("mse").alias("rmse"), "start", "end")

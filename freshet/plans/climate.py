@@ -59,13 +59,13 @@ def a17(spark, d):
     return C.completeness(forcing(spark, d), ["prcp", "pet", "srad"])
 
 
-PARTS = "(SELECT CAST(l_suppkey % 9 AS VARCHAR) AS site_id, l_linenumber AS chunk_no, CAST(count(*) % 5 AS INTEGER) AS head, CAST(count(*) % 3 AS INTEGER) AS tail, CAST(count(*) % 2 AS INTEGER) AS internal, CASE WHEN count(*) % 11 = 0 THEN NULL ELSE count(*) % 7 <> 0 END AS complete, min(l_shipdate) AS s FROM lineitem GROUP BY ALL)"
+PARTS = "(SELECT CAST(l_suppkey % 9 AS VARCHAR) AS site_id, l_linenumber AS chunk_no, CASE WHEN count(*) % 13 <> 0 THEN CAST(count(*) % 5 AS INTEGER) END AS head, CASE WHEN count(*) % 7 <> 0 THEN CAST(count(*) % 3 AS INTEGER) END AS tail, CASE WHEN count(*) % 17 <> 0 THEN CAST(count(*) % 2 AS INTEGER) END AS internal, CASE WHEN count(*) % 11 = 0 THEN NULL ELSE count(*) % 7 <> 0 END AS complete, min(l_shipdate) AS s FROM lineitem GROUP BY ALL)"
 
 
-@query("a18_coverage", f"SELECT site_id, arg_min(head, chunk_no) AS head, arg_max(tail, chunk_no) AS tail, CAST(sum(internal) + sum(head) - arg_min(head, chunk_no) + sum(tail) - arg_max(tail, chunk_no) AS BIGINT) AS internal, bool_and(complete) AS complete, string_agg(strftime(s, '%Y-%m-%d'), ',' ORDER BY chunk_no) AS ranges FROM {PARTS} GROUP BY site_id")
+@query("a18_coverage", f"SELECT site_id, any_value(head) FILTER (chunk_no = f) AS head, any_value(tail) FILTER (chunk_no = l) AS tail, CASE WHEN count(internal) = count(*) THEN CAST(sum(internal) + coalesce(sum(head) FILTER (chunk_no > f), 0) + coalesce(sum(tail) FILTER (chunk_no < l), 0) AS BIGINT) END AS internal, bool_and(complete) AS complete, string_agg(strftime(s, '%Y-%m-%d'), ',' ORDER BY chunk_no) AS ranges FROM (SELECT *, min(chunk_no) OVER (PARTITION BY site_id) AS f, max(chunk_no) OVER (PARTITION BY site_id) AS l FROM {PARTS}) GROUP BY site_id")
 def a18(spark, d):
     n = F.count(F.lit(1))
-    parts = read(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 9).cast("string").alias("site_id"), F.col("l_linenumber").alias("chunk_no")).agg((n % 5).cast("int").alias("head"), (n % 3).cast("int").alias("tail"), (n % 2).cast("int").alias("internal"), F.when(n % 11 != 0, n % 7 != 0).alias("complete"), F.array(F.date_format(F.min("l_shipdate"), "yyyy-MM-dd")).alias("ranges"))
+    parts = read(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 9).cast("string").alias("site_id"), F.col("l_linenumber").alias("chunk_no")).agg(F.when(n % 13 != 0, (n % 5).cast("int")).alias("head"), F.when(n % 7 != 0, (n % 3).cast("int")).alias("tail"), F.when(n % 17 != 0, (n % 2).cast("int")).alias("internal"), F.when(n % 11 != 0, n % 7 != 0).alias("complete"), F.array(F.date_format(F.min("l_shipdate"), "yyyy-MM-dd")).alias("ranges"))
     return C.merge_coverage(parts).withColumn("ranges", F.array_join("ranges", ","))
 
 
@@ -238,27 +238,29 @@ def a37(spark, d):
 
 @query("a31_record_length", "SELECT site_id, CASE WHEN n * 4 < 3650 THEN 'fail' WHEN n * 4 < 7300 THEN 'warning' ELSE 'pass' END AS status FROM (SELECT site_id, count(value) AS n FROM gappy GROUP BY 1)")
 def a31(spark, d):
-    return gappy(spark, d).groupBy("site_id").agg(F.count("value").alias("n")).select("site_id", V.record_length(F.col("n") * 4).alias("status"))
+    return gappy(spark, d).groupBy("site_id").agg(F.count("value").alias("n")).select("site_id", V.record_length(F.col("n") * 4)["status"].alias("status"))
 
 
-@query("a32_qualification", "SELECT o_orderkey, CASE WHEN n IS NULL THEN 'unreadable' WHEN n = 0 THEN 'empty' WHEN p > 0 THEN 'provisional' WHEN x > 0 THEN 'other_codes' WHEN e > 0 THEN 'estimated' ELSE 'pass' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_quantity > 25) AS n, count(*) FILTER (l_returnflag = 'A' AND l_tax > 0.06) AS p, count(*) FILTER (l_returnflag = 'R' AND l_tax > 0.06) AS x, count(*) FILTER (l_linestatus = 'F' AND l_discount > 0.08) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+@query("a32_qualification", "SELECT o_orderkey, CASE WHEN coalesce(p, 0) + coalesce(x, 0) + coalesce(e, 0) = 0 AND coalesce(n, 0) = 0 THEN 'insufficient_data' WHEN p + x + e > 0 THEN 'warning' ELSE 'pass' END AS status, CASE WHEN p > 0 OR x > 0 THEN 'medium' WHEN e > 0 THEN 'low' END AS severity, CASE WHEN p > 0 THEN 'provisional_data' WHEN x > 0 THEN 'other_qualifiers' WHEN e > 0 THEN 'estimated_data' WHEN n IS NULL THEN 'qualification_codes_unreadable' WHEN n = 0 THEN 'qualification_codes_absent' END AS quality_flag FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_quantity > 25) AS n, count(*) FILTER (l_returnflag = 'A' AND l_tax > 0.06) AS p, count(*) FILTER (l_returnflag = 'R' AND l_tax > 0.06) AS x, count(*) FILTER (l_linestatus = 'F' AND l_discount > 0.08) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def a32(spark, d):
     high = F.col("l_tax") > 0.06
     g = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_quantity") > 25).alias("n"), F.count_if((F.col("l_returnflag") == "A") & high).alias("p"), F.count_if((F.col("l_returnflag") == "R") & high).alias("x"), F.count_if((F.col("l_linestatus") == "F") & (F.col("l_discount") > 0.08)).alias("e"))
     met = read(spark, d, "orders").join(g, "o_orderkey", "left")
-    return met.select("o_orderkey", V.qualification(F.col("n"), F.col("p"), F.col("x"), F.col("e")).alias("status"))
+    told = met.select("o_orderkey", V.qualification(F.col("n"), F.col("p"), F.col("x"), F.col("e")).alias("v"))
+    return told.select("o_orderkey", "v.status", "v.severity", "v.quality_flag")
 
 
 @query("a33_water_balance_verdict", "SELECT o_orderkey, CASE WHEN r < 1e-3 OR r > 3 THEN 'insufficient_data' WHEN r > 1 THEN 'warning' ELSE 'pass' END AS status, CASE WHEN r > 1 AND r <= 3 THEN CASE WHEN r < 1.1 THEN 'medium' ELSE 'high' END END AS severity FROM (SELECT o_orderkey, o_totalprice / 50000 - 0.5 AS r FROM orders)")
 def a33(spark, d):
-    status, severity = V.water_balance(F.col("o_totalprice") / 50000 - 0.5)
-    return read(spark, d, "orders").select("o_orderkey", status.alias("status"), severity.alias("severity"))
+    told = read(spark, d, "orders").select("o_orderkey", V.water_balance(F.col("o_totalprice") / 50000 - 0.5).alias("v"))
+    return told.select("o_orderkey", "v.status", "v.severity")
 
 
-@query("a34_unit_consistency", "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) NOT IN ('red', 'blue', 'small') THEN 'insufficient_data' WHEN split_part(p_name, ' ', 1) = 'red' THEN 'pass' ELSE 'fail' END AS status FROM part")
+@query("a34_unit_consistency", "SELECT p_partkey, CASE WHEN p_size > 45 THEN 'insufficient_data' WHEN split_part(p_name, ' ', 1) NOT IN ('red', 'blue', 'small') THEN 'warning' WHEN split_part(p_name, ' ', 1) = 'red' THEN 'pass' ELSE 'fail' END AS status, CASE WHEN p_size > 45 THEN NULL WHEN split_part(p_name, ' ', 1) NOT IN ('red', 'blue', 'small') THEN 'low' WHEN split_part(p_name, ' ', 1) = 'red' THEN NULL ELSE 'high' END AS severity FROM part")
 def a34(spark, d):
     unit = F.try_element_at(F.create_map(*map(F.lit, ("red", "mm/d", "blue", "m3/s", "small", "ft3/s"))), F.split_part("p_name", F.lit(" "), F.lit(1)))
-    return read(spark, d, "part").select("p_partkey", V.unit_consistency(unit, F.lit("mm/d")).alias("status"))
+    told = read(spark, d, "part").select("p_partkey", V.unit_consistency(unit, F.lit("mm/d"), F.col("p_size") <= 45).alias("v"))
+    return told.select("p_partkey", "v.status", "v.severity")
 
 
 SLOTS = "(SELECT o_custkey AS k, CAST(min(CAST(o_orderdate AS DATE)) FILTER ({0}) AS VARCHAR) AS s, CAST(max(CAST(o_orderdate AS DATE)) FILTER ({0}) AS VARCHAR) AS e FROM orders GROUP BY 1)"
@@ -277,3 +279,41 @@ def j12(spark, d):
 def a45(spark, d):
     intervals = read(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey"))
     return V.uncertainty_present(read(spark, d, "orders").select("o_orderkey"), intervals, ["o_orderkey"])
+
+
+FACTS = """(SELECT o_custkey AS site_id, CASE WHEN count(*) % 7 <> 0 THEN count(*) * 500 END AS n_days, count(*) FILTER (o_orderstatus = 'P' AND o_totalprice > 480000) AS p, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 470000) AS x, count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 440000) AS e, count(*) AS coded, avg(o_totalprice) / 150000 AS ratio, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS a0, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS a1, CAST(min(CAST(o_orderdate AS DATE)) FILTER (o_totalprice > 60000) AS VARCHAR) AS b0, CAST(max(CAST(o_orderdate AS DATE)) FILTER (o_totalprice > 60000) AS VARCHAR) AS b1, any_value(c_mktsegment) AS segment, any_value(c_acctbal) AS acctbal FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)"""
+PROBLEM = "CASE WHEN acctbal < -800 THEN 'series_mismatch' END"
+VERDICTS = f"""SELECT CAST(site_id AS VARCHAR) AS site_id, validator, status, severity, quality_flag, round(metric, 6) AS metric FROM (
+SELECT site_id, 'record_length' AS validator, CASE WHEN {PROBLEM} IS NOT NULL OR n_days IS NULL THEN 'insufficient_data' WHEN n_days < 3650 THEN 'fail' WHEN n_days < 7300 THEN 'warning' ELSE 'pass' END AS status, CASE WHEN {PROBLEM} IS NOT NULL THEN NULL WHEN n_days < 3650 THEN 'high' WHEN n_days < 7300 THEN 'medium' END AS severity, CASE WHEN {PROBLEM} IS NOT NULL THEN {PROBLEM} WHEN n_days < 3650 THEN 'record_too_short' WHEN n_days < 7300 THEN 'record_length_low' END AS quality_flag, CASE WHEN {PROBLEM} IS NULL THEN CAST(n_days AS DOUBLE) END AS metric FROM {FACTS}
+UNION ALL SELECT site_id, 'usgs_qualification_codes', CASE WHEN {PROBLEM} IS NOT NULL THEN 'insufficient_data' WHEN p + x + e > 0 THEN 'warning' ELSE 'pass' END, CASE WHEN {PROBLEM} IS NOT NULL THEN NULL WHEN p + x > 0 THEN 'medium' WHEN e > 0 THEN 'low' END, CASE WHEN {PROBLEM} IS NOT NULL THEN {PROBLEM} WHEN p > 0 THEN 'provisional_data' WHEN x > 0 THEN 'other_qualifiers' WHEN e > 0 THEN 'estimated_data' END, CASE WHEN {PROBLEM} IS NULL THEN p / coded END FROM {FACTS}
+UNION ALL SELECT site_id, 'regulated_basin', CASE WHEN {PROBLEM} IS NOT NULL OR segment = 'BUILDING' THEN 'insufficient_data' WHEN segment = 'MACHINERY' THEN 'warning' ELSE 'pass' END, CASE WHEN {PROBLEM} IS NULL AND segment = 'MACHINERY' THEN 'high' END, CASE WHEN {PROBLEM} IS NOT NULL THEN {PROBLEM} WHEN segment = 'BUILDING' THEN 'regulation_unknown' WHEN segment = 'MACHINERY' THEN 'regulated_basin' END, NULL FROM {FACTS}
+UNION ALL SELECT site_id, 'water_balance_consistency', CASE WHEN acctbal > 9000 OR ratio < 1e-3 OR ratio > 3 THEN 'insufficient_data' WHEN ratio > 1 THEN 'warning' ELSE 'pass' END, CASE WHEN acctbal > 9000 OR ratio > 3 OR ratio <= 1 THEN NULL WHEN ratio < 1.1 THEN 'medium' ELSE 'high' END, NULL, ratio FROM {FACTS}
+UNION ALL SELECT site_id, 'temporal_alignment', CASE WHEN b0 IS NULL THEN 'warning' WHEN a0 = b0 AND a1 = b1 THEN 'pass' ELSE 'fail' END, CASE WHEN b0 IS NULL THEN 'low' WHEN a0 = b0 AND a1 = b1 THEN NULL ELSE 'medium' END, NULL, NULL FROM {FACTS}
+UNION ALL SELECT site_id, 'unit_consistency', CASE segment WHEN 'FURNITURE' THEN 'warning' WHEN 'AUTOMOBILE' THEN 'fail' ELSE 'pass' END, CASE segment WHEN 'FURNITURE' THEN 'low' WHEN 'AUTOMOBILE' THEN 'high' END, NULL, NULL FROM {FACTS}
+UNION ALL SELECT site_id, 'uncertainty_present', 'insufficient_data', NULL, 'input_absent', NULL FROM {FACTS}
+UNION ALL SELECT site_id, 'credit', CASE WHEN acctbal < 0 THEN 'fail' ELSE 'pass' END, CASE WHEN acctbal < 0 THEN 'low' END, CASE WHEN acctbal < 0 THEN 'in_debt' END, acctbal FROM {FACTS})"""
+
+
+def facts(spark, d):
+    """A site a customer: counts, dates and units from its orders, what it says of regulation and units from its segment."""
+    day, price, segment = F.to_date("o_orderdate"), F.col("o_totalprice"), F.col("c_mktsegment")
+    met = read(spark, d, "orders").join(read(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    n, high = F.count(F.lit(1)), F.when(price > 60000, day)
+    g = met.groupBy(F.col("o_custkey").cast("string").alias("site_id")).agg(
+        F.when(n % 7 != 0, n * 500).alias("n_days"), n.alias("n_codes"), n.alias("n_coded"),
+        F.count_if((F.col("o_orderstatus") == "P") & (price > 480000)).alias("n_provisional"), F.count_if((F.col("o_orderstatus") == "F") & (price > 470000)).alias("n_other"), F.count_if((F.col("o_orderstatus") == "O") & (price > 440000)).alias("n_estimated"),
+        (F.avg(price) / 150000).alias("runoff_ratio"), F.min(day).cast("string").alias("a_start"), F.max(day).cast("string").alias("a_end"), F.min(high).cast("string").alias("b_start"), F.max(high).cast("string").alias("b_end"),
+        F.any_value(segment).alias("c_mktsegment"), F.any_value("c_acctbal").alias("c_acctbal"),
+    )
+    return g.select(
+        "*", F.when(segment != "BUILDING", segment == "MACHINERY").alias("regulated"), (F.col("c_acctbal") <= 9000).alias("precipitation_usable"),
+        F.when(segment == "AUTOMOBILE", "ft3/s").when(segment != "FURNITURE", "m3/s").alias("unit"), F.lit("m3/s").alias("expected_unit"), F.when(F.col("c_acctbal") < -800, "series_mismatch").alias("series_problem"),
+    )
+
+
+@query("a31_validator_table", VERDICTS)
+def validator_table(spark, d):
+    """Seven built-in validators, one of which lacks its input, and one of the caller's."""
+    credit = lambda: V.first_of((F.col("c_acctbal") < 0, "fail", "low", "in_debt"), metric=F.col("c_acctbal"))
+    only = ["record_length", "usgs_qualification_codes", "regulated_basin", "water_balance_consistency", "temporal_alignment", "unit_consistency", "uncertainty_present"]
+    return V.validator_table(facts(spark, d), only=only, own={"credit": credit}).withColumn("metric", F.round("metric", 6))

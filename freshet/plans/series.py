@@ -88,11 +88,11 @@ def p7_convert(spark, d):
     return s.select("id", F.round(S.convert(F.col("price"), F.col("unit"), F.lit("m3/s")), 6).alias("cms"), F.round(S.convert(F.col("price"), F.col("unit"), F.lit("degC")), 6).alias("celsius"))
 
 
-@query("p10_gauge_key", "SELECT c_custkey, CASE WHEN length(k) < 8 THEN lpad(k, 8, '0') ELSE k END AS gauge FROM (SELECT c_custkey, CAST(c_custkey * (CASE WHEN c_custkey % 3 = 0 THEN 1000003 ELSE 1 END) AS VARCHAR) AS k FROM customer)")
+@query("p10_gauge_key", "SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' AND length(k) BETWEEN 8 AND 15 THEN k END AS gauge, CASE WHEN c_custkey * 997 >= 1000000 THEN lpad(CAST(c_custkey * 997 AS VARCHAR), CAST(greatest(8, length(CAST(c_custkey * 997 AS VARCHAR))) AS INTEGER), '0') END AS of_number, CASE WHEN length(CAST(c_custkey * 1009 AS VARCHAR)) IN (7, 8) THEN lpad(CAST(c_custkey * 1009 AS VARCHAR), 8, '0') END AS of_table FROM (SELECT *, CAST(c_custkey * (CASE WHEN c_nationkey < 12 THEN 1000003 ELSE 99 END) AS VARCHAR) || CASE WHEN c_acctbal > 9000 THEN '00000000000' ELSE '' END AS k FROM customer)")
 def p10_gauge_key(spark, d):
-    k = (F.col("c_custkey") * F.when(F.col("c_custkey") % 3 == 0, 1000003).otherwise(1)).cast("string")
-    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("USGS-"), k)).otherwise(F.concat(F.lit(" "), k))
-    return read(spark, d, "customer").select("c_custkey", S.gauge_key(raw).alias("gauge"))
+    k = F.concat((F.col("c_custkey") * F.when(F.col("c_nationkey") < 12, 1000003).otherwise(99)).cast("string"), F.when(F.col("c_acctbal") > 9000, "00000000000").otherwise(""))
+    raw = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("XYZ-"), k)).when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit("USGS-"), k)).otherwise(F.concat(F.lit(" "), k))
+    return read(spark, d, "customer").select("c_custkey", S.gauge_key(raw).alias("gauge"), S.gauge_of_number(F.col("c_custkey") * 997).alias("of_number"), S.attribute_gauge(F.col("c_custkey") * 1009).alias("of_table"))
 
 
 @query("p11_code_tokens", "SELECT o_orderkey, array_to_string(list_filter(string_split_regex(replace(c, ',', ' '), '\\s+'), lambda x: x <> ''), '|') AS tokens, array_to_string(list_filter(string_split_regex(replace(c, ',', ' '), '\\s+'), lambda x: x IN ('A', 'P')), '|') AS approvals FROM (SELECT o_orderkey, o_orderstatus || ', ' || (CASE WHEN o_orderkey % 2 = 0 THEN 'A  e' ELSE ',A' END) AS c FROM orders)")
@@ -101,10 +101,12 @@ def p11_code_tokens(spark, d):
     return read(spark, d, "orders").select("o_orderkey", F.array_join(S.code_tokens(c), "|").alias("tokens"), F.array_join(S.approval_tokens(c), "|").alias("approvals"))
 
 
-@query("p12_information_class", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'observation' WHEN 1 THEN 'model_simulation' WHEN 2 THEN 'model_simulation' ELSE 'unclassified' END AS class FROM part")
+@query("p12_information_class", "SELECT p_partkey, CASE WHEN p_size > 40 OR p_brand LIKE 'Brand#1%' THEN 'observation' WHEN p_brand LIKE 'Brand#2%' OR p_brand LIKE 'Brand#3%' OR p_brand LIKE 'Brand#4%' THEN 'model_simulation' ELSE 'unclassified' END AS class FROM part")
 def p12_information_class(spark, d):
-    product = F.get(F.array(*map(F.lit, ("daily gauge", "Reanalysis v5", "simulated flow", "misc"))), (F.col("p_partkey") % 4).cast("int"))
-    return read(spark, d, "part").select("p_partkey", S.information_class(product, F.lit(None).cast("string")).alias("class"))
+    """Products and sources by brand, a resolved site by size."""
+    names = {"Brand#1": ("NWIS_STREAMFLOW", None), "Brand#2": ("reanalysis", "cds_glofas"), "Brand#3": (None, "geoglows_retro"), "Brand#4": ("forecast", "openmeteo_flood"), "Brand#5": ("daily gauge", "nwis model")}
+    pick = lambda i: F.try_element_at(F.create_map(*[x for m, v in names.items() for x in (F.lit(m), F.lit(v[i]).cast("string"))]), F.substring("p_brand", 1, 7))
+    return read(spark, d, "part").select("p_partkey", S.information_class(pick(0), pick(1), F.when(F.col("p_size") > 40, F.col("p_name"))).alias("class"))
 
 
 STEPS = "SELECT site_id, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY site_id ORDER BY ts)) / 3.6e9 AS step, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS no FROM instants"

@@ -89,13 +89,15 @@ def t9(spark, d):
     return T.citation_markers(answers(spark, d))
 
 
-@query("t10_marked_numbers", "SELECT o_orderkey AS answer_id, CASE o_orderkey % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'match' ELSE 'unresolved' END AS verdict FROM orders")
+@query("t10_marked_numbers", "SELECT o_orderkey AS answer_id, CASE WHEN o_orderstatus = 'P' THEN 'unresolved' WHEN o_orderpriority = '1-URGENT' THEN CASE WHEN abs(round(o_totalprice / 1000, 1) - o_totalprice / 1000) <= 0.05 + 1e-9 THEN 'match' ELSE 'mismatch' END WHEN o_orderpriority = '2-HIGH' THEN 'match' WHEN o_orderpriority = '3-MEDIUM' THEN CASE WHEN abs(floor(o_totalprice / 1000) - o_totalprice / 1000) <= 0.5 + 1e-9 OR abs(floor(o_totalprice / 1000) / 100 - o_totalprice / 1000) <= (0.5 + 1e-9) / 100 THEN 'match' ELSE 'mismatch' END WHEN o_orderpriority = '4-NOT SPECIFIED' THEN CASE WHEN abs(floor(o_totalprice) * 1e-3 - o_totalprice / 1000) <= 0.0005 + 1e-9 THEN 'match' ELSE 'mismatch' END ELSE 'mismatch' END AS verdict FROM orders")
 def t10(spark, d):
-    k = F.col("o_orderkey") % 4
-    shown = F.when(k == 0, "12.35").when(k == 1, "12.36").when(k == 2, "1,234.6%").otherwise("5")
-    markers = read(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), shown.alias("shown"), F.lit("r").alias("run_id"), F.when(k <= 1, "a").when(k == 2, "b").otherwise("z").alias("path"))
-    outputs = spark.createDataFrame([("r", "a", 12.3456), ("r", "b", 12.3458)], "run_id string, path string, value double")
-    return L.check_marked_numbers(markers, F.broadcast(outputs)).select("answer_id", "verdict")
+    """Each order's price in thousands, as printed in five ways: a decimal, a power of ten, a percentage, e-notation, no number."""
+    o = read(spark, d, "orders")
+    k, priority = F.col("o_totalprice") / 1000, F.col("o_orderpriority")
+    shown = F.when(priority == "1-URGENT", F.round(k, 1).cast("string")).when(priority == "2-HIGH", F.concat(F.format_number(F.col("o_totalprice"), 2), F.lit("×10⁻³"))).when(priority == "3-MEDIUM", F.concat(F.floor(k).cast("string"), F.lit("%"))).when(priority == "4-NOT SPECIFIED", F.concat(F.floor("o_totalprice").cast("string"), F.lit("e-3"))).otherwise("1.2.3")
+    markers = o.select(F.col("o_orderkey").alias("answer_id"), shown.alias("shown"), F.col("o_orderkey").cast("string").alias("run_id"), F.lit("q.mean").alias("path"))
+    outputs = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("run_id"), F.lit("q.mean").alias("path"), k.alias("value"))
+    return L.check_marked_numbers(markers, outputs).select("answer_id", "verdict")
 
 
 @query("t11_stale_claims_cited", "SELECT o_orderkey AS answer_id, 'c' || (o_orderkey % 30) AS id, CASE o_orderkey % 30 % 3 WHEN 0 THEN 'stale' ELSE 'unknown_claim' END AS problem FROM orders WHERE o_orderkey % 30 % 3 = 0 OR o_orderkey % 30 >= 25")
@@ -289,7 +291,7 @@ def w17(spark, d):
     return L.holm(rows).select("family", "test_id", F.round("p_holm", 9).alias("p_holm"))
 
 
-@query("w15_hydrograph_frames", "SELECT event_id, i, t AS time_hr, until, q AS discharge FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY i) AS r FROM (SELECT *, count(*) OVER (PARTITION BY event_id) AS n, i = min(i) FILTER (q = mx) OVER (PARTITION BY event_id) AS peak FROM (SELECT *, max(q) OVER (PARTITION BY event_id) AS mx FROM (SELECT CAST(o_custkey % 90 AS VARCHAR) AS event_id, row_number() OVER w - 1 AS i, CAST(o_orderkey AS DOUBLE) AS t, coalesce(lead(CAST(o_orderkey AS DOUBLE)) OVER w, o_orderkey + 0.25) AS until, o_totalprice AS q FROM orders WINDOW w AS (PARTITION BY o_custkey % 90 ORDER BY o_orderkey)))) WHERE i % CAST(greatest(1, ceil(n / 12)) AS BIGINT) = 0 OR peak OR i = n - 1) WHERE r <= 12")
+@query("w15_hydrograph_frames", "SELECT event_id, i, t AS time_hr, until, q AS discharge FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY i) AS r FROM (SELECT *, count(*) OVER (PARTITION BY event_id) AS n, i = min(i) FILTER (q = mx) OVER (PARTITION BY event_id) AS peak FROM (SELECT *, max(q) OVER (PARTITION BY event_id) AS mx FROM (SELECT CAST(o_custkey // 15 AS VARCHAR) AS event_id, row_number() OVER w - 1 AS i, CAST(o_orderkey AS DOUBLE) AS t, coalesce(lead(CAST(o_orderkey AS DOUBLE)) OVER w, o_orderkey + 0.25) AS until, o_totalprice AS q FROM orders WINDOW w AS (PARTITION BY o_custkey // 15 ORDER BY o_orderkey)))) WHERE n <= 12 OR list_contains(list_transform(range(0, 11), lambda x: CASE WHEN x = 10 THEN n - 1 ELSE CAST(floor(x * ((n - 1) / 10.0::DOUBLE)) AS BIGINT) END), i) OR peak OR i = 0 OR i = n - 1) WHERE r <= 12")
 def w15(spark, d):
-    rows = read(spark, d, "orders").select((F.col("o_custkey") % 90).cast("string").alias("event_id"), F.col("o_orderkey").cast("double").alias("time_hr"), F.col("o_totalprice").alias("discharge"))
+    rows = read(spark, d, "orders").select(F.floor(F.col("o_custkey") / 15).cast("string").alias("event_id"), F.col("o_orderkey").cast("double").alias("time_hr"), F.col("o_totalprice").alias("discharge"))
     return L.hydrograph_frames(rows, 12)

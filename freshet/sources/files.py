@@ -40,7 +40,8 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 def read_attributes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Semicolon tables (path to its schema, first column gauge_id as text) joined by normalised gauge id."""
-    tables = [spark.read.schema(schema).csv(path, sep=";", header=True).withColumn("gauge_id", S.gauge_key(F.col("gauge_id"))) for path, schema in paths.items()]
+    padded = F.when(F.length(F.trim("gauge_id")) < 8, F.lpad(F.trim("gauge_id"), 8, "0")).otherwise(F.trim("gauge_id"))
+    tables = [spark.read.schema(schema).csv(path, sep=";", header=True).withColumn("gauge_id", S.attribute_gauge(padded)) for path, schema in paths.items()]
     return reduce(lambda a, b: a.join(b, "gauge_id", "full"), tables)
 
 
