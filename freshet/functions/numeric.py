@@ -7,23 +7,59 @@ import math
 import numpy as np
 
 
+def decayed_sums(x: np.ndarray, alpha: float) -> np.ndarray:
+    """y[i] = alpha * y[i - 1] + x[i], by doubling: after each step y[i] holds twice as many terms, so log2(n) array steps."""
+    y, step = np.array(x, float), 1
+    while step < len(y):
+        factor = alpha**step
+        if factor == 0:
+            break
+        y[step:] += factor * y[:-step].copy()
+        step *= 2
+    return y
+
+
+def reflected(flow: np.ndarray, pad: int) -> np.ndarray:
+    n = len(flow)
+    return np.concatenate([flow[1 : pad + 1][::-1], flow, flow[n - pad - 1 : n - 1][::-1]]).astype(float)
+
+
+def filter_edge(q: np.ndarray, alpha: float) -> tuple[float, float, float]:
+    """Of a piece of a series: first and last value, and the quickflow state at its end if it were 0 at its first value."""
+    x = (1 + alpha) / 2 * np.diff(q, prepend=q[0])
+    return float(q[0]), float(q[-1]), float(decayed_sums(x, alpha)[-1])
+
+
+def filter_carry(first: np.ndarray, last: np.ndarray, end: np.ndarray, length: np.ndarray, alpha: float) -> np.ndarray:
+    """The state at the first value of each of consecutive pieces. A piece takes a state s to alpha**(length - 1) * s + end."""
+    out = np.empty(len(first))
+    out[0] = first[0]
+    for i in range(1, len(first)):
+        before = alpha ** float(length[i - 1] - 1) * out[i - 1] + end[i - 1]
+        out[i] = alpha * before + (1 + alpha) / 2 * (first[i] - last[i - 1])
+    return out
+
+
+def filter_piece(q: np.ndarray, state: float, alpha: float) -> np.ndarray:
+    """A piece's values without quickflow, where that is positive; state: the quickflow at its first value."""
+    x = (1 + alpha) / 2 * np.diff(q, prepend=q[0])
+    x[0] = state
+    quick = decayed_sums(x, alpha)
+    return np.where(quick > 0, q - quick, q)
+
+
 def lyne_hollick(flow: np.ndarray, alpha: float = 0.925, passes: int = 3, reflect: int = 30) -> np.ndarray:
     """Baseflow by the recursive digital filter in alternating directions, ends padded by reflection (Ladson 2013).
 
     The quickflow state is not clamped inside a pass; each pass filters the baseflow of the one before.
     """
-    n = len(flow)
-    pad = min(reflect, n - 1)
-    base = np.concatenate([flow[1 : pad + 1][::-1], flow, flow[n - pad - 1 : n - 1][::-1]]).astype(float)
+    pad = min(reflect, len(flow) - 1)
+    base = reflected(flow, pad)
     for turn in range(passes):
         q = base if turn % 2 == 0 else base[::-1]
-        quick = np.empty_like(q)
-        quick[0] = q[0]
-        for i in range(1, len(q)):
-            quick[i] = alpha * quick[i - 1] + (1 + alpha) / 2 * (q[i] - q[i - 1])
-        base = np.where(quick > 0, q - quick, q)
-        base = base if turn % 2 == 0 else base[::-1]
-    return base[pad : pad + n]
+        q = filter_piece(q, q[0], alpha)
+        base = q if turn % 2 == 0 else q[::-1]
+    return base[pad : pad + len(flow)]
 
 
 def normal_cdf(z: float) -> float:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,28 +12,81 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import scalars as S
+from ..sources.scratch import written
 from .climate import monthly_totals
 from .series import K
-from .signatures import water_years
+from .signatures import water_years, year_days
 
 
-def baseflow(series: DataFrame, alpha: float = 0.925, passes: int = 3, key: str = K) -> DataFrame:
-    """Lyne-Hollick baseflow of each gap-free stretch of more than 30 days: date, value, baseflow (within 0 and flow).
+#: Days that one task filters as an array; longer stretches are cut into pieces of as many.
+PIECE = 1 << 15
 
-    A group is one stretch of one site, so a site's length is spread over its stretches.
+
+def baseflow(series: DataFrame, alpha: float = 0.925, passes: int = 3, piece: int = PIECE, reflect: int = 30, key: str = K) -> DataFrame:
+    """Lyne-Hollick baseflow of each gap-free stretch of more than `reflect` days: date, value, baseflow (within 0 and flow).
+
+    Inside a pass the filter is an affine map of its state. Stretches of more than `piece` days are cut: every piece gives
+    its map, a stretch's maps (a row a piece) are put together in order to each piece's entering state, and the pieces are
+    filtered with it, all tasks at once; so no task holds a long stretch. That takes a written table a pass, while the
+    DataFrame is built, if there are such stretches.
     """
-    rows = series.where("value IS NOT NULL")
+    rows = series.where("value IS NOT NULL").select(key, "date", F.col("value").cast("double").alias("value"))
     rows = rows.withColumn("segment", F.date_sub("date", F.row_number().over(Window.partitionBy(key).orderBy("date"))))
+    spans = rows.groupBy(key, "segment").agg(F.min("date").alias("start"), F.count(F.lit(1)).alias("n")).where(F.col("n") > reflect)
+    kind = series.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, date date, value double, baseflow double"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) <= 30:
-            return frame.iloc[:0][[key, "date", "value"]].assign(baseflow=0.0)
         frame = frame.sort_values("date")
         q = frame["value"].to_numpy(float)
-        return frame[[key, "date", "value"]].assign(baseflow=np.minimum(np.maximum(N.lyne_hollick(q, alpha, passes), 0), q))
-
-    kind = series.schema[key].dataType.simpleString()
-    return rows.select(key, "segment", "date", "value").groupBy(key, "segment").applyInPandas(run, f"`{key}` {kind}, date date, value double, baseflow double")
+        return frame[[key, "date", "value"]].assign(baseflow=np.minimum(np.maximum(N.lyne_hollick(q, alpha, passes, reflect), 0), q))
+
+    short = rows.join(spans.where(F.col("n") <= piece).select(key, "segment"), [key, "segment"])
+    out = short.groupBy(key, "segment").applyInPandas(run, schema)
+    long = spans.where(F.col("n") > piece)
+    if long.isEmpty():
+        return out
+    return out.unionByName(_filtered_in_pieces(rows.join(long, [key, "segment"]), alpha, passes, piece, reflect, key))
+
+
+def _one_pass(table: DataFrame, at: list[str], alpha: float, back: bool) -> DataFrame:
+    """Pieces (at: key, segment, no) with `base` filtered once, in the order of `no` or against it."""
+    turned = (lambda b: b[::-1]) if back else (lambda b: b)
+
+    @F.pandas_udf("struct<first: double, last: double, end: double, length: int>")
+    def edge(base: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(*N.filter_edge(turned(b), alpha), len(b)) for b in base], columns=["first", "last", "end", "length"])
+
+    def carry(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("no", ascending=not back)
+        return frame[at].assign(state=N.filter_carry(*(frame[c].to_numpy() for c in ("first", "last", "end", "length")), alpha))
+
+    @F.pandas_udf("array<double>")
+    def filtered(base: pd.Series, state: pd.Series) -> pd.Series:
+        return pd.Series([turned(N.filter_piece(turned(b), s, alpha)) for b, s in zip(base, state)])
+
+    edges = table.select(*at, edge("base").alias("e")).select(*at, "e.*")
+    kinds = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in at)
+    states = edges.groupBy(*at[:2]).applyInPandas(carry, f"{kinds}, state double")
+    return table.join(states, at).withColumn("base", filtered("base", "state")).drop("state")
+
+
+def _filtered_in_pieces(rows: DataFrame, alpha: float, passes: int, piece: int, reflect: int, key: str) -> DataFrame:
+    """Rows (key, segment, start, n, date, value) of stretches of over `piece` days to key, date, value, baseflow."""
+    i, n = F.datediff("date", "start"), F.col("n").cast("int")
+    mirrored = F.array_compact(F.array(i, F.when((i >= 1) & (i <= reflect), -i), F.when((i >= n - 1 - reflect) & (i <= n - 2), 2 * (n - 1) - i)))
+    placed = rows.select(key, "segment", "start", n.alias("n"), F.explode(mirrored).alias("i"), "value")
+    no = F.floor((F.col("i") + reflect) / piece).cast("int")
+    at = [key, "segment", "no"]
+    packed = placed.groupBy(key, "segment", no.alias("no")).agg(F.first("start").alias("start"), F.min("i").alias("first_i"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "value"))).alias("x"))
+    table = written(packed.select(*at, "start", "first_i", "n", F.col("x.value").alias("q"), F.col("x.value").alias("base")), "pieces")
+    for turn in range(passes):
+        table = _one_pass(table, at, alpha, back=turn % 2 == 1)
+        table = written(table, "pieces") if turn + 1 < passes else table
+    each = table.select(key, "start", "n", "first_i", F.posexplode(F.arrays_zip("q", "base")).alias("at", "x")).withColumn("i", F.col("first_i") + F.col("at"))
+    inside = each.where((F.col("i") >= 0) & (F.col("i") < F.col("n")))
+    q = F.col("x.q")
+    return inside.select(key, F.date_add("start", F.col("i")).alias("date"), q.alias("value"), F.least(F.greatest(F.col("x.base"), F.lit(0.0)), q).alias("baseflow"))
 
 
 def baseflow_index(parts: DataFrame, key: str = K) -> DataFrame:
@@ -129,6 +183,56 @@ def bootstrap(series: DataFrame, statistic: str = "mean", method: str = "iid", b
     return out.withColumns({c: S.finite(F.col(c)) for c in ("estimate", "low", "high")})
 
 
+#: Statistics of a series that follow from sums over its days: each sum's term by column names, and the statistic of them.
+OF_SUMS = {
+    "mean": (("1", "value"), lambda s: s[..., 1] / s[..., 0]),
+    "std": (("1", "value", "value * value"), lambda s: np.sqrt(np.maximum(s[..., 2] - s[..., 1] ** 2 / s[..., 0], 0) / (s[..., 0] - 1))),
+    "variability": (("1", "value", "value * value"), lambda s: np.sqrt(np.maximum(s[..., 2] - s[..., 1] ** 2 / s[..., 0], 0) / (s[..., 0] - 1)) / (s[..., 1] / s[..., 0])),
+    "zero_fraction": (("1", "CASE WHEN value <= 0 THEN 1.0 ELSE 0.0 END"), lambda s: s[..., 1] / s[..., 0]),
+    "ratio": (("value", "other"), lambda s: s[..., 0] / s[..., 1]),
+}
+
+
+def water_year_bootstrap(series: DataFrame, statistic: str = "mean", resamples: int = 1000, level: float = 0.9, least_years: int = 10, seed: int = 1, key: str = K) -> DataFrame:
+    """Percentile interval of a statistic of OF_SUMS when whole complete water years are drawn with replacement.
+
+    Gives n_years, estimate (over all complete years), low, high, withheld: under `least_years` complete years there is no
+    interval, only the estimate and the reason. `ratio` is that of the sums of `value` and `other`, over days that have both.
+
+    A year stands for its sums: a resample's sums are those of the years times how often each was drawn, so days are added
+    up by Spark and what a site's draws see is a row a year. The seed and the site fix the draws, not partitions.
+    """
+    terms, f = OF_SUMS[statistic]
+    names = [f"s{i}" for i in range(len(terms))]
+    valued = [c for c in ("value", "other") if any(c in t for t in terms)]
+    days = series.where(" AND ".join(f"{c} IS NOT NULL" for c in valued)).select(key, S.water_year(F.col("date")).alias("wy"), *[F.expr(t).cast("double").alias(n) for t, n in zip(terms, names)])
+    years = days.groupBy(key, "wy").agg(F.count(F.lit(1)).alias("n_days"), *[F.sum(n).alias(n) for n in names]).where(F.col("n_days") >= 0.95 * year_days(F.col("wy")))
+    packed = years.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("wy", F.array(*names).alias("s")))).alias("y"))
+    sites = series.select(key).distinct().join(packed.select(key, F.col("y.s").alias("sums")), key, "left")
+    tail = (1 - level) / 2
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for site, sums in zip(frame[key], frame["sums"]):
+                s = np.array([list(r) for r in sums], float) if sums is not None else np.zeros((0, len(terms)))
+                m = len(s)
+                with np.errstate(all="ignore"):
+                    estimate = float(f(s.sum(axis=0))) if m else np.nan
+                    low = high = np.nan
+                    if m >= least_years:
+                        own = int.from_bytes(hashlib.sha256(f"{seed}|{site}".encode()).digest()[:8], "big")
+                        drawn = np.random.default_rng(own).integers(0, m, (resamples, m))
+                        counts = np.bincount((drawn + m * np.arange(resamples)[:, None]).ravel(), minlength=m * resamples).reshape(resamples, m)
+                        low, high = np.nanquantile(f(counts @ s), [tail, 1 - tail])
+                out.append((site, m, estimate, low, high, None if m >= least_years else f"under {least_years} complete water years"))
+            yield pd.DataFrame(out, columns=[key, "n_years", "estimate", "low", "high", "withheld"])
+
+    kind = series.schema[key].dataType.simpleString()
+    out = sites.mapInPandas(run, f"`{key}` {kind}, n_years int, estimate double, low double, high double, withheld string")
+    return out.withColumns({c: S.finite(F.col(c)) for c in ("estimate", "low", "high")})
+
+
 def mann_kendall(points: DataFrame, key: str = K) -> DataFrame:
     """(t, value) per site to n, S, Kendall's tau, p and Theil-Sen slope; a pair table of tens of points a site."""
     rows = points.where("value IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("p"))

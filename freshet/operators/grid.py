@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import AT_ONCE, exact_quantiles
+
 B = "basin_id"
 AT = [B, "row", "col"]
 
@@ -15,15 +19,29 @@ def remap_codes(cells: DataFrame, table: DataFrame, code: str = "lulc") -> DataF
     return cells.join(t, F.round(cells[code]).cast("int") == t["_code"], "left").drop("_code")
 
 
-def zonal(cells: DataFrame, zones: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Mean, sum, median, min and max of the cells of each zone."""
+def with_quantiles(rows: DataFrame, value: str, by: list[str], sums: list[Column], names: dict[str, float], at_once: int = AT_ONCE) -> DataFrame:
+    """Sums of each group beside its exact quantiles by name; a group of any size, see `exact_quantiles`."""
+    asked = exact_quantiles(rows, by, value, list(names.values()), at_once)
+    held = asked.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    met = rows.groupBy(*by).agg(*sums)
+    same = [met[c].eqNullSafe(held[f"_{c}"]) for c in by]
+    return met.join(held, reduce(lambda a, b: a & b, same)).drop(*[f"_{c}" for c in by])
+
+
+def zonal(cells: DataFrame, zones: DataFrame, value: str, by: list[str], at_once: int = AT_ONCE) -> DataFrame:
+    """Mean, sum, median, min and max of the cells of each zone, zones of any size."""
     v = F.col(value)
-    return cells.join(zones, AT, "left_semi").groupBy(*by).agg(F.avg(v).alias("mean"), F.sum(v).alias("sum"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    inside = cells.join(zones, AT, "left_semi").select(*by, value)
+    out = with_quantiles(inside, value, by, [F.avg(v).alias("mean"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max")], {"median": 0.5}, at_once)
+    return out.select(*by, "mean", "sum", "median", "min", "max")
 
 
-def pixel_statistics(pixels: DataFrame, value: str, by: list[str]) -> DataFrame:
+def pixel_statistics(pixels: DataFrame, value: str, by: list[str], at_once: int = AT_ONCE) -> DataFrame:
+    """Count, mean, deviation and quantiles of the pixels of each group, groups of any size."""
     v = F.col(value)
-    return pixels.groupBy(*by).agg(F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), *[F.percentile(v, F.lit(p / 100)).alias(f"p{p}") for p in (10, 25, 75, 90)])
+    quantiles = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    out = with_quantiles(pixels, value, by, [F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")], quantiles, at_once)
+    return out.select(*by, "n_valid", "mean", "median", "std", "p10", "p25", "p75", "p90")
 
 
 def composite(pixels: DataFrame, value: str) -> DataFrame:
@@ -91,12 +109,14 @@ def curve_numbers(landcover: DataFrame, soils: DataFrame, drained: bool = False)
     return met.join(F.broadcast(table), ["class", "hsg"], "left")
 
 
-def curve_number_statistics(cells: DataFrame, valid: str = "valid") -> DataFrame:
+def curve_number_statistics(cells: DataFrame, valid: str = "valid", at_once: int = AT_ONCE) -> DataFrame:
     """Mean, median, least, greatest, deviation and percentiles of cn over a basin's polygon (valid cells) and over the whole
     extent of its raster; a row for each basis."""
     both = cells.where(valid).select(B, F.lit("polygon").alias("basis"), "cn").unionByName(cells.select(B, F.lit("raster_extent").alias("basis"), "cn"))
     v = F.col("cn")
-    return both.groupBy(B, "basis").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), *[F.percentile(v, F.lit(p / 100)).alias(f"p{p}") for p in (10, 25, 75, 90)])
+    sums = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std")]
+    out = with_quantiles(both, "cn", [B, "basis"], sums, {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}, at_once)
+    return out.select(B, "basis", "n", "mean", "median", "min", "max", "std", "p10", "p25", "p75", "p90")
 
 
 def mean_texture(cells: DataFrame) -> DataFrame:

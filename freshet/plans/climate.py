@@ -210,6 +210,21 @@ def a38_block(spark, d):
     return rounded(fits.bootstrap(gappy(spark, d), "p90", "block"), "estimate", "low", "high", digits=4)
 
 
+COMPLETE_YEARS = "(SELECT site_id, wy, sum(value) AS v, sum(prcp) AS p FROM (SELECT *, CAST(year(date + INTERVAL 3 MONTH) AS INTEGER) AS wy FROM daily WHERE value IS NOT NULL AND prcp IS NOT NULL) GROUP BY site_id, wy HAVING count(*) >= 0.95 * datediff('day', make_date(wy - 1, 10, 1), make_date(wy, 10, 1)))"
+
+
+@query("a38_complete_years", f"SELECT site_id, CAST(count(wy) AS INTEGER) AS n_years, round(sum(v) / sum(p), 6) AS estimate, CASE WHEN count(wy) < 10 THEN 'under 10 complete water years' END AS withheld FROM (SELECT DISTINCT site_id FROM daily) LEFT JOIN {COMPLETE_YEARS} USING (site_id) GROUP BY site_id")
+def a38_years(spark, d):
+    """What the water-year bootstrap says before it draws: years, estimate, and whether the interval is withheld."""
+    s = daily(spark, d).withColumnRenamed("prcp", "other")
+    return rounded(fits.water_year_bootstrap(s, "ratio").select("site_id", "n_years", "estimate", "withheld"), "estimate")
+
+
+@query("a38_water_year_bootstrap")
+def a38_water_years(spark, d):
+    return rounded(fits.water_year_bootstrap(daily(spark, d), least_years=5), "estimate", "low", "high", digits=4)
+
+
 @query("a35_stationarity")
 def a35(spark, d):
     return rounded(fits.stationarity(daily(spark, d)), "tau", "p", "slope")

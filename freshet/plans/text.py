@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import documents as D
 from ..operators import ledger as L
 from ..operators import text as T
 from .registry import gappy, passages, query, read
@@ -295,3 +296,49 @@ def w17(spark, d):
 def w15(spark, d):
     rows = read(spark, d, "orders").select(F.floor(F.col("o_custkey") / 15).cast("string").alias("event_id"), F.col("o_orderkey").cast("double").alias("time_hr"), F.col("o_totalprice").alias("discharge"))
     return L.hydrograph_frames(rows, 12)
+
+
+#: A run an order, with its lines; the price stands in two places, one number is hidden, one lies in a list only.
+RUN_DOCUMENTS = """(SELECT o_orderkey AS run_id, json_object('key_outputs', json_object('total', o_totalprice, 'status', o_orderstatus, 'stats', json_object('mean', avg(l_quantity), 'n', count(*), '_raw', max(l_tax)), '_uncertainty', json_object('half', min(l_discount))), 'evidence', json_object('data', json_object('total', -o_totalprice, 'late', bool_or(l_returnflag = 'R'), 'spread', max(l_extendedprice) - min(l_extendedprice))), 'inputs', json_object('customer', o_custkey, 'day', CAST(CAST(o_orderdate AS DATE) AS VARCHAR)), 'lines', list({'part': l_partkey, 'price': l_extendedprice, 'flags': [l_returnflag, l_linestatus]} ORDER BY l_linenumber, l_partkey, l_extendedprice, l_returnflag, l_linestatus)) AS doc FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice, o_orderstatus, o_custkey, o_orderdate)"""
+
+
+def run_documents(spark, d):
+    """JSON texts of nested run documents, made from orders and their lines."""
+    met = read(spark, d, "orders").join(read(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")
+    line = F.struct("l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"), F.array("l_returnflag", "l_linestatus").alias("flags")).alias("line"))
+    g = met.groupBy(F.col("o_orderkey").alias("run_id"), "o_totalprice", "o_orderstatus", "o_custkey", "o_orderdate").agg(F.avg("l_quantity").alias("mean"), F.count(F.lit(1)).alias("n"), F.max("l_tax").alias("raw"), F.min("l_discount").alias("half"), F.bool_or(F.col("l_returnflag") == "R").alias("late"), (F.max("l_extendedprice") - F.min("l_extendedprice")).alias("spread"), F.array_sort(F.collect_list(line)).alias("lines"))
+    outputs = F.struct(F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status"), F.struct("mean", "n", F.col("raw").alias("_raw")).alias("stats"), F.struct("half").alias("_uncertainty"))
+    evidence = F.struct(F.struct((-F.col("o_totalprice")).alias("total"), "late", "spread").alias("data"))
+    inputs = F.struct(F.col("o_custkey").alias("customer"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return g.select("run_id", F.to_json(F.struct(outputs.alias("key_outputs"), evidence.alias("evidence"), inputs.alias("inputs"), F.col("lines.line").alias("lines"))).alias("doc"))
+
+
+@query("json_leaves", f"SELECT run_id, path, kind, round(CASE WHEN kind = 'number' THEN CAST(atom AS DOUBLE) END, 6) AS number, CASE WHEN kind = 'string' THEN atom ->> '$' END AS text FROM (SELECT d.run_id, replace(regexp_replace(substr(t.fullkey, 3), '\\[(\\d+)\\]', '.\\1', 'g'), chr(34), '') AS path, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind, t.atom FROM {RUN_DOCUMENTS} d, json_tree(d.doc) t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))")
+def json_leaves(spark, d):
+    leaves = D.json_leaves(run_documents(spark, d), ["run_id"], "doc")
+    return leaves.select("run_id", "path", "kind", F.round("number", 6).alias("number"), F.when(F.col("kind") == "string", F.col("text")).alias("text"))
+
+
+OUTPUTS = "(SELECT o_orderkey AS run_id, unnest(['key_outputs.total', 'key_outputs.stats.mean', 'key_outputs.stats.n', 'key_outputs._uncertainty.half', 'key_outputs.spread', 'inputs.customer']) AS path, unnest([o_totalprice, avg(l_quantity), count(*), min(l_discount), max(l_extendedprice) - min(l_extendedprice), o_custkey]) AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice, o_custkey)"
+
+
+@query("t10_run_documents", f"SELECT m.answer_id, m.path, CASE WHEN value IS NULL THEN 'unresolved' WHEN abs(shown - value) <= 0.05 + 1e-9 THEN 'match' ELSE 'mismatch' END AS verdict FROM (SELECT o_orderkey AS answer_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'key_outputs.total' WHEN '2-HIGH' THEN 'key_outputs.stats.mean' WHEN '3-MEDIUM' THEN 'key_outputs.stats._raw' WHEN '5-LOW' THEN 'lines.0.price' ELSE 'key_outputs.spread' END AS path, CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice, 1) ELSE 25.5 END AS shown FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) m LEFT JOIN {OUTPUTS} o ON o.run_id = m.answer_id AND o.path = m.path")
+def t10_documents(spark, d):
+    """Marked numbers against what their runs' documents hold; hidden numbers and those in lists do not resolve."""
+    docs = run_documents(spark, d)
+    path = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ("1-URGENT", "key_outputs.total", "2-HIGH", "key_outputs.stats.mean", "3-MEDIUM", "key_outputs.stats._raw", "5-LOW", "lines.0.price"))), "o_orderpriority"), F.lit("key_outputs.spread"))
+    shown = F.when(F.col("o_orderstatus") == "O", F.format_number("o_totalprice", 1)).otherwise("25.5")
+    o = read(spark, d, "orders").withColumn("run_id", F.col("o_orderkey")).join(docs.select("run_id"), "run_id", "left_semi")
+    markers = o.select(F.col("o_orderkey").alias("answer_id"), "run_id", path.alias("path"), shown.alias("shown"))
+    outputs = D.run_outputs(D.json_leaves(docs, ["run_id"], "doc"))
+    return L.check_marked_numbers(markers, outputs).select("answer_id", "path", "verdict")
+
+
+@query("j14_run_documents", f"SELECT l_orderkey AS claim_id, l_linenumber AS span, CASE WHEN s.run_id IS NULL THEN 'run_absent' WHEN s.path IS NOT NULL AND o.path IS NULL THEN 'metric_absent' END AS problem FROM (SELECT l_orderkey, l_linenumber, r.o_orderkey AS run_id, CASE l_returnflag WHEN 'A' THEN 'key_outputs.total' WHEN 'R' THEN 'key_outputs.status' END AS path FROM lineitem LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) r ON r.o_orderkey = l_suppkey) s LEFT JOIN {OUTPUTS} o ON o.run_id = s.run_id AND o.path = s.path")
+def j14_documents(spark, d):
+    """Evidence spans against runs and the numbers that their documents hold."""
+    docs = run_documents(spark, d)
+    spans = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("span"), F.col("l_suppkey").cast("string").alias("source_id"), F.when(F.col("l_returnflag") == "A", "key_outputs.total").when(F.col("l_returnflag") == "R", "key_outputs.status").alias("metric_ref"))
+    outputs = D.run_outputs(D.json_leaves(docs, ["run_id"], "doc")).select(F.col("run_id").cast("string").alias("run_id"), "path")
+    runs = docs.select(F.col("run_id").cast("string").alias("run_id"), F.lit(False).alias("hollow"))
+    return L.span_problems(spans, runs, outputs).select("claim_id", "span", "problem")

@@ -292,6 +292,55 @@ def test_metric_names(spark):
     assert [(r.metric, r.low, r.high) for r in ledger.metric_conflicts(df).collect()] == [("baseflow_index", 0.5, 0.6)]
 
 
+def test_water_years_are_drawn_whole(spark):
+    """Against the same draws over the days themselves."""
+    rng = np.random.default_rng(2)
+    start, n = dt.date(1999, 10, 1), 11 * 365 + 3 + 100
+    days = [(start + dt.timedelta(i), float(rng.gamma(2.0)) if i % 90 else 0.0, float(rng.gamma(3.0))) for i in range(n)]
+    rows = [("a", *x) for x in days] + [("b", *x) for x in days[: 9 * 365 + 3]] + [("c", D, None, 1.0)]
+    s = spark.createDataFrame(rows, "site_id string, date date, value double, other double")
+    years = {}
+    for day, q, p in days:
+        years.setdefault((day + dt.timedelta(92)).year, []).append((q, p))
+    years = [np.array(v) for _, v in sorted(years.items()) if len(v) >= 350]
+    drawn = np.random.default_rng(int.from_bytes(hashlib.sha256(b"1|a").digest()[:8], "big")).integers(0, len(years), (200, len(years)))
+    of_days = {"mean": lambda x: x[:, 0].mean(), "std": lambda x: x[:, 0].std(ddof=1), "variability": lambda x: x[:, 0].std(ddof=1) / x[:, 0].mean(), "zero_fraction": lambda x: (x[:, 0] <= 0).mean(), "ratio": lambda x: x[:, 0].sum() / x[:, 1].sum()}
+    for name, f in of_days.items():
+        got = {r.site_id: r for r in fits.water_year_bootstrap(s, name, resamples=200).collect()}
+        values = [f(np.concatenate([years[i] for i in one])) for one in drawn]
+        assert got["a"].n_years == len(years) == 11 and got["a"].withheld is None
+        assert (got["a"].low, got["a"].high) == pytest.approx(tuple(np.quantile(values, [0.05, 0.95])), rel=1e-9)
+        assert got["a"].estimate == pytest.approx(f(np.concatenate(years)), rel=1e-9)
+        assert got["b"].n_years == 9 and got["b"].low is None and got["b"].estimate is not None and "10" in got["b"].withheld
+        assert got["c"].n_years == 0 and got["c"].estimate is None and got["c"].high is None
+
+
+def plain_filter(flow, alpha=0.925, passes=3, pad=30):
+    """The filter a day at a time."""
+    base = np.concatenate([flow[1 : pad + 1][::-1], flow, flow[len(flow) - pad - 1 : len(flow) - 1][::-1]])
+    for turn in range(passes):
+        q = base[::-1] if turn % 2 else base
+        quick = [q[0]]
+        for i in range(1, len(q)):
+            quick.append(alpha * quick[-1] + (1 + alpha) / 2 * (q[i] - q[i - 1]))
+        base = np.where(np.array(quick) > 0, q - quick, q)
+        base = base[::-1] if turn % 2 else base
+    return np.minimum(np.maximum(base[pad : pad + len(flow)], 0), flow)
+
+
+def test_baseflow_in_pieces(spark):
+    rng = np.random.default_rng(7)
+    long, short, gap = rng.gamma(0.6, 20.0, 2500), rng.gamma(0.6, 20.0, 64), rng.gamma(0.6, 20.0, 31)
+    rows = [("a", D + dt.timedelta(i), float(v)) for i, v in enumerate(long)] + [("a", D + dt.timedelta(2600 + i), float(v)) for i, v in enumerate(short)] + [("b", D + dt.timedelta(i), float(v)) for i, v in enumerate(gap)] + [("b", D + dt.timedelta(100 + i), 1.0) for i in range(30)]
+    s = spark.createDataFrame(rows, "site_id string, date date, value double")
+    want = {("a", D + dt.timedelta(i)): v for i, v in enumerate(plain_filter(long))} | {("a", D + dt.timedelta(2600 + i)): v for i, v in enumerate(plain_filter(short))} | {("b", D + dt.timedelta(i)): v for i, v in enumerate(plain_filter(gap))}
+    for piece in (fits.PIECE, 100, 64, 17):
+        got = {(r.site_id, r.date): r.baseflow for r in fits.baseflow(s, piece=piece).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    for alpha in (0.5, 0.98):
+        assert np.abs(np.minimum(np.maximum(N.lyne_hollick(long, alpha), 0), long) - plain_filter(long, alpha)).max() < 1e-9
+
+
 def test_verdicts(spark):
     row = spark.range(1).select(validators.record_length(F.lit(3649))["status"].alias("a"), validators.record_length(F.lit(None).cast("int"))["status"].alias("b"), validators.water_balance(F.lit(1.05))["severity"].alias("c"), validators.water_balance(F.lit(float("nan")))["status"].alias("d")).first()
     assert tuple(row) == ("fail", "insufficient_data", "medium", "insufficient_data")
