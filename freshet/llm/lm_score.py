@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -289,16 +290,16 @@ class Words:
         decision the counts of its own and other outcome; of even ones they are left out as 0."""
         _, octave_size, size = self.codes(rank)
         size = size + 1
-        start, row, step = spread(size)
+        start, places = np.cumsum(size) - size, int(size.sum())
         even_from = size.copy()
-        own, other = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        own, other = np.zeros(places, np.int64), np.zeros(places, np.int64)
         known = rank > 0
         own[start] = np.where(known, self.total - self.singles, self.singles)
         other[start] = np.where(known, self.singles, self.total - self.singles)
-        at = np.flatnonzero((step > 0) & (step <= octave_size[row]))
-        if len(at):
-            o = self.octave(rank[row[at]])
-            own[at], other[at] = self.own[o, step[at] - 1], self.other[o, step[at] - 1]
+        for step in range(int(octave_size.max(initial=0))):
+            rows = np.flatnonzero(octave_size > step)
+            o = self.octave(rank[rows])
+            own[start[rows] + 1 + step], other[start[rows] + 1 + step] = self.own[o, step], self.other[o, step]
         # halves of the octave, one after another: what lies below and above is known, the middle is looked up. Where all
         # words of a stretch have one count, so have its parts.
         word = np.flatnonzero(size - 1 > octave_size)
@@ -443,7 +444,7 @@ def gather(docs: DataFrame) -> DataFrame:
             n = np.bincount(np.concatenate(taught), minlength=len(numbers)) if taught else np.zeros(len(numbers), np.int64)
             n[: len(train)] += train
             blocks.append(given)
-            packed.append(pack.compress(np.concatenate(parts).tobytes()))
+            packed.append(pack.compress(np.ascontiguousarray(np.concatenate(parts).view(np.uint8).reshape(-1, 4).T).tobytes()))
             parts, given, tokens, train = [], [], 0, n
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -455,18 +456,27 @@ def gather(docs: DataFrame) -> DataFrame:
                 yield rows(size, block=pa.array(np.full(size, group)), id=pa.array(np.arange(at, at + size, dtype=np.int32)), token=pa.array(part, pa.binary()), n=pa.array(train[at : at + size]))
 
         for batch in batches:
-            for doc_id, text, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
-                ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+            known, places, ends = split_words(batch.column(1))
+            held = np.full(len(known), -1, np.int32)  # the group's number of each word of the batch, where it has one
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
+            for doc_id, n_bytes, half, a, b in zip(batch.column(0).to_pylist(), sizes, batch.column(2).to_pylist(), ends, ends[1:]):
+                own = places[a:b]
+                ids = held[own]
+                if (ids < 0).any():
+                    new, first = np.unique(own[ids < 0], return_index=True)
+                    for i in new[np.argsort(first)].tolist():
+                        held[i] = numbers[known[i]]
+                    ids = held[own]
                 parts.append(np.append(ids, np.int32(0)))
-                given.append({"doc_id": doc_id, "half": half, "n_bytes": len(text), "n_tokens": len(words) + 1})
-                tokens += len(words) + 1
+                given.append({"doc_id": doc_id, "half": half, "n_bytes": n_bytes, "n_tokens": len(ids) + 1})
+                tokens += len(ids) + 1
                 full = len(numbers) >= GROUP_WORDS
                 if tokens >= BLOCK_TOKENS or full:
                     end_block()
                     if full or len(blocks) == GROUP_BLOCKS:
                         yield from flush()
                         numbers, blocks, packed, train, group = fresh(), [], [], np.zeros(0, np.int64), group + 1
+                        held[:] = -1
         if parts:
             end_block()
         if blocks:
@@ -496,13 +506,27 @@ def rank_words(listed: DataFrame) -> tuple[DataFrame, Words]:
     return ranked, Words(steps["n"].to_numpy(), steps["words"].to_numpy())
 
 
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of texts as bytes: their different words in order of appearance, A-Z lower-cased; each word as its place among these;
+    and the n + 1 offsets of the texts among the words. White space is that of ASCII."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, ends = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    full = pc.binary_length(words).to_numpy() > 0
+    if not full.all():
+        words, ends = words.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[ends]
+    coded = words.dictionary_encode()
+    return coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy(), ends
+
+
 class Block:
     """The tokens of a block in order, and its different pairs (previous word, word)."""
 
     def __init__(self, docs: pa.StructArray, ids: bytes, rank: np.ndarray, cost: np.ndarray, words: Words) -> None:
         """rank, cost: of the group's tokens by their numbers."""
         self.docs, self.rank, self.cost = docs, rank, cost
-        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.int32).astype(np.int64)
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint8).reshape(4, -1)
+        self.ids = np.ascontiguousarray(planes.T).view(np.int32).ravel().astype(np.int64)
         self.sizes = self.docs.field("n_tokens").to_numpy()
         self.first = np.cumsum(self.sizes) - self.sizes
         wide = len(self.rank) + 1
@@ -605,7 +629,7 @@ class Bucket:
         wide = words.different + 2
         dense = context if wide * wide * 64 < 2**63 else np.unique(context, return_inverse=True)[1]
         key = dense * np.int64(wide) + place
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
