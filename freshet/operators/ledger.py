@@ -233,27 +233,85 @@ def assumption_violations(assumptions: DataFrame, claims: DataFrame) -> DataFram
 
 def lineage(edges: DataFrame, starts: DataFrame, depth: int = 8, most: int = 10_000, down: bool = False) -> DataFrame:
     """(child, parent) edges walked up (or down) from the starts: start, run_id, the least number of steps, and whether the
-    start's walk stopped before the end of the graph (at depth, or with more than `most` runs). Cycles are cut.
+    start's walk stopped before the end of the graph: at depth, or after the step that brought it over `most` runs. Cycles
+    are cut.
 
-    Each round joins the frontier with the edges, drops what was reached before and is written, so that no round's plan
-    holds an earlier one; the walk ends when a round reaches nothing new.
+    Where starts are many, the reach of all runs doubles each round: what lies r steps away exactly is joined with what its
+    runs reach in r steps, so depth 8 takes three rounds. A walk that is over its limit joins no further, which loses no
+    other walk anything: one that passes through it is over its own limit by then. Where starts are a small part of the
+    runs, a walk from these alone takes a step a round. Rounds are written tables, made while the DataFrame is built.
     """
     here, there = ("parent", "child") if down else ("child", "parent")
-    steps_of = written(edges.select(F.col(here).alias("run_id"), F.col(there).alias("next")).where("next IS NOT NULL").distinct(), "edges")
-    seen = frontier = written(starts.select("start", F.col("start").alias("run_id"), F.lit(0).alias("steps")).distinct(), "walk")
-    open_ = None
-    for step in range(1, depth + 2):
-        many = seen.groupBy("start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("start")
-        ahead = frontier.join(steps_of, "run_id").select("start", F.col("next").alias("run_id")).distinct().join(seen, ["start", "run_id"], "left_anti")
-        if step > depth:
-            open_ = written(ahead.select("start").unionByName(many).distinct(), "open")
+    steps_of = written(edges.select(F.col(here).alias("run_id"), F.col(there).alias("next")).where("next IS NOT NULL AND run_id IS NOT NULL").distinct(), "edges")
+    starts = starts.select("start").where("start IS NOT NULL").distinct()
+    runs = steps_of.select("run_id").union(steps_of.select("next")).union(starts).distinct()
+    if starts.count() * FEW_STARTS < runs.count():
+        reach, closed = _reach_by_steps(steps_of, starts, depth, most)
+    else:
+        reach, closed = _reach_by_doubling(steps_of, runs.select(F.col("run_id").alias("start")), depth, most)
+        reach, closed = reach.join(starts, "start", "left_semi"), closed.join(starts, "start", "left_semi")
+    edge = reach.where(F.col("steps") == depth).join(steps_of, "run_id").select("start", F.col("next").alias("run_id")).join(reach, ["start", "run_id"], "left_anti")
+    open_ = closed.select("start").unionByName(edge.select("start")).distinct().withColumn("_open", F.lit(True))
+    return reach.join(open_, "start", "left").select("start", "run_id", "steps", F.coalesce("_open", F.lit(False)).alias("stopped"))
+
+
+#: Walks are made for all runs at once unless the starts are under one in so many of them.
+FEW_STARTS = 8
+
+
+def _over(reach: DataFrame, most: int) -> DataFrame:
+    """Starts with more than `most` runs, and the first step after which they have."""
+    counts = reach.groupBy("start", "steps").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("start").orderBy("steps"))
+    return counts.withColumn("upto", upto).where(F.col("upto") > most).groupBy("start").agg(F.min("steps").alias("last"))
+
+
+def _cut(reach: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The reach without what lies beyond the step that was one too many, and the starts that are closed by it, if any."""
+    if reach.groupBy("start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).isEmpty():
+        return reach, None
+    over = written(_over(reach, most), "closed")
+    kept = reach.join(over, "start", "left").where(F.col("last").isNull() | (F.col("steps") <= F.col("last"))).drop("last")
+    return written(kept, "walk"), over.select("start")
+
+
+def _reach_by_doubling(steps_of: DataFrame, runs: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFrame]:
+    own = runs.select("start", F.col("start").alias("run_id"), F.lit(0).alias("steps"))
+    closed = runs.where("false")
+    if depth < 1 or most < 1:
+        return own, closed if depth < 1 else runs
+    first = steps_of.where("run_id <> next").select(F.col("run_id").alias("start"), F.col("next").alias("run_id"), F.lit(1).alias("steps"))
+    reach, over = _cut(written(own.unionByName(first), "walk"), most)
+    closed, far = closed if over is None else over, 1
+    while far < depth:
+        more = min(far, depth - far)
+        edge = reach.where(F.col("steps") == far)
+        edge = edge if over is None else edge.join(closed, "start", "left_anti")
+        if edge.isEmpty():
             break
-        frontier = written(ahead.join(many, "start", "left_anti").withColumn("steps", F.lit(step)), "walk")
+        ahead = reach.where((F.col("steps") > 0) & (F.col("steps") <= more)).select(F.col("start").alias("run_id"), F.col("run_id").alias("next"), F.col("steps").alias("on"))
+        found = edge.join(ahead, "run_id").select("start", F.col("next").alias("run_id"), (F.col("on") + far).alias("steps"))
+        met = reach.unionByName(found).groupBy("start", "run_id").agg(F.min("steps").alias("steps"))
+        far += more
+        reach, over = _cut(written(met, "walk"), most)
+        closed = closed if over is None else over
+    return reach, closed
+
+
+def _reach_by_steps(steps_of: DataFrame, starts: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """A step a round. The number of runs met so far goes along with each start, so that only the new ones are counted."""
+    frontier = reach = written(starts.select("start", F.col("start").alias("run_id"), F.lit(0).alias("steps")), "walk")
+    met = written(starts.select("start", F.lit(1).cast("long").alias("n")), "met")
+    for step in range(1, depth + 1):
+        going = met.where(F.col("n") <= most).select("start")
+        ahead = frontier.join(going, "start", "left_semi").join(steps_of, "run_id").select("start", F.col("next").alias("run_id")).distinct()
+        frontier = written(ahead.join(reach, ["start", "run_id"], "left_anti").withColumn("steps", F.lit(step)), "walk")
         if frontier.isEmpty():
-            open_ = written(many, "open")
             break
-        seen = seen.unionByName(frontier)
-    return seen.join(open_.withColumn("_open", F.lit(True)), "start", "left").select("start", "run_id", "steps", F.coalesce("_open", F.lit(False)).alias("stopped"))
+        reach = reach.unionByName(frontier)
+        new = frontier.groupBy("start").agg(F.count(F.lit(1)).alias("more"))
+        met = written(met.join(new, "start", "left").select("start", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "met")
+    return reach, met.where(F.col("n") > most).select("start")
 
 
 def lineage_states(walk: DataFrame, runs: DataFrame) -> DataFrame:

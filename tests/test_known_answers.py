@@ -226,6 +226,35 @@ def test_lineage_survives_cycles(spark):
     assert {r.run_id: r.steps for r in down} == {5: 0, 4: 1, 3: 2, 2: 3, 1: 4}
 
 
+def plain_walk(edges, start, depth, most):
+    """Least steps of each run, and whether the walk stopped early."""
+    steps, frontier = {start: 0}, [start]
+    for step in range(1, depth + 1):
+        if len(steps) > most:
+            return steps, True
+        frontier = sorted({b for a in frontier for b in edges.get(a, ()) if b not in steps})
+        steps |= {b: step for b in frontier}
+    return steps, len(steps) > most or any(b not in steps for a in frontier for b in edges.get(a, ()))
+
+
+@pytest.mark.parametrize(("depth", "most", "few"), [(8, 10_000, 1), (8, 10_000, 10**9), (5, 9, 1), (5, 9, 10**9), (3, 4, 1), (1, 2, 1), (7, 25, 1), (7, 25, 10**9)])
+def test_lineage_is_a_plain_walk(spark, monkeypatch, depth, most, few):
+    """A random graph with cycles, loops, a hub and a long chain; all starts by doubling, and by steps."""
+    rng = random.Random(11)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(75)} | {(i, i + 1) for i in range(100, 120)} | {(7, 7)} | {(200, 201 + i) for i in range(20)} | {(110, 200)}
+    edges = {}
+    for a, b in pairs:
+        edges.setdefault(a, set()).add(b)
+    monkeypatch.setattr(ledger, "FEW_STARTS", 0 if few == 1 else few)
+    starts = sorted({a for p in pairs for a in p} | {999})
+    got = {}
+    table = spark.createDataFrame([*pairs, (1, None)], "child long, parent long")
+    for r in ledger.lineage(table, spark.createDataFrame([(x,) for x in starts], "start long"), depth, most).collect():
+        got.setdefault(r.start, ({}, r.stopped))[0][r.run_id] = r.steps
+        assert got[r.start][1] == r.stopped
+    assert got == {x: plain_walk(edges, x, depth, most) for x in starts}
+
+
 def test_lineage_states(spark):
     edges = [("a", "b"), ("b", "root"), ("c", "d"), ("e", "gone"), ("f", "g"), ("h", "i")]
     runs = [("a", True, False, None, 1, False), ("b", True, False, None, 1, False), ("root", True, True, None, 0, False), ("c", True, False, None, 1, False), ("d", True, False, None, 0, True), ("e", True, False, None, 1, False), ("f", True, False, None, 1, False), ("g", True, False, None, 0, False), ("h", True, False, "lost", 1, False), ("i", True, False, None, 0, True), ("j", True, False, None, 0, True), ("k", False, True, None, 0, False)]
