@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,12 +178,69 @@ def index_class(name: str, value: Column) -> Column:
     return F.when(value > least, kind).when(value.isNotNull(), "other")
 
 
+#: Fixed values of the WGS84 ellipsoid: semi-axes in km.
+WGS84_A, WGS84_B = 6378.137, 6356.752314245179
+
+
+def _authalic() -> tuple[float, float, float]:
+    """First eccentricity, q at the pole, and the radius in km of the sphere that has the ellipsoid's surface."""
+    e = math.sqrt(1 - (WGS84_B / WGS84_A) ** 2)
+    q = 1 + (1 - e * e) / (2 * e) * math.log((1 + e) / (1 - e))
+    return e, q, WGS84_A * math.sqrt(q / 2)
+
+
+ECCENTRICITY, POLE_Q, AUTHALIC_KM = _authalic()
+
+
+def authalic_sine(lat: Column) -> Column:
+    """Sine of the authalic latitude: bands between parallels have on the sphere of AUTHALIC_KM the ellipsoid's area (Snyder
+    1987, 3-11 and 3-12)."""
+    s = F.sin(F.radians(lat))
+    e = ECCENTRICITY
+    return ((1 - e * e) * (s / (1 - e * e * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))) / POLE_Q
+
+
+def _steps(ring: Column, f) -> Column:
+    """f(a, b) of each pair of consecutive points of a ring, summed up; a ring that does not end where it began is closed."""
+    whole = F.when(F.get(ring, F.lit(0)) != F.element_at(ring, -1), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
+    n = F.size(whole)
+    parts = F.zip_with(F.slice(whole, 1, F.greatest(n - 1, F.lit(0))), F.slice(whole, 2, F.greatest(n - 1, F.lit(0))), f)
+    return F.when(F.size(ring) >= 2, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x))
+
+
 def polygon_area_km2(ring: Column) -> Column:
-    """Area of a ring of (lon, lat) structs, the last as the first, on a sphere of 6371 km (trapezoids of its edges)."""
-    n = F.size(ring)
-    part = lambda a, b: F.radians(b["lon"] - a["lon"]) * (2 + F.sin(F.radians(a["lat"])) + F.sin(F.radians(b["lat"])))
-    parts = F.zip_with(F.slice(ring, 1, F.greatest(n - 1, F.lit(0))), F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), part)
-    return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)) * 6371.0 * 6371.0 / 2
+    """Area of a ring of (lon, lat) structs on the WGS84 ellipsoid.
+
+    Spherical excess of its edges (great circles) on the authalic sphere. Against geodesic edges of the ellipsoid the error
+    is under 1e-5 of the area for basins (edges up to 100 km), and grows with the square of the edges' length. Edges may
+    cross the date line; a ring around a pole is not told from its counterpart.
+    """
+
+    def excess(a: Column, b: Column) -> Column:
+        d = F.radians(F.pmod(b["lon"] - a["lon"] + 180, F.lit(360.0)) - 180)
+        ta, tb = (F.tan(F.asin(F.greatest(F.least(authalic_sine(p["lat"]), F.lit(1.0)), F.lit(-1.0))) / 2) for p in (a, b))
+        return 2 * F.atan2(F.tan(d / 2) * (ta + tb), 1 + ta * tb)
+
+    return F.abs(_steps(ring, excess)) * (AUTHALIC_KM * AUTHALIC_KM)
+
+
+def ellipsoid_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Length of the geodesic between two points of the WGS84 ellipsoid, by Andoyer and Lambert's formula of first order in the
+    flattening: within 1e-5 of the distance, points nearly opposite excepted."""
+    flat = (WGS84_A - WGS84_B) / WGS84_A
+    beta = lambda lat: F.atan((1 - flat) * F.tan(F.radians(lat)))
+    b1, b2 = beta(lat1), beta(lat2)
+    h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    sigma = 2 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    p, q = F.pow(F.sin((b1 + b2) / 2) * F.cos((b2 - b1) / 2), 2), F.pow(F.cos((b1 + b2) / 2) * F.sin((b2 - b1) / 2), 2)
+    x = (sigma - F.sin(sigma)) * F.coalesce(F.try_divide(p, F.pow(F.cos(sigma / 2), 2)), F.lit(0.0))
+    y = (sigma + F.sin(sigma)) * F.coalesce(F.try_divide(q, F.pow(F.sin(sigma / 2), 2)), F.lit(0.0))
+    return WGS84_A * (sigma - flat / 2 * (x + y))
+
+
+def polygon_perimeter_km(ring: Column) -> Column:
+    """Perimeter of a ring of (lon, lat) structs on the WGS84 ellipsoid, see `ellipsoid_km`."""
+    return _steps(ring, lambda a, b: ellipsoid_km(a["lon"], a["lat"], b["lon"], b["lat"]))
 
 
 def json_number(document: Column, path: str) -> Column:

@@ -17,11 +17,21 @@ def wide(long: DataFrame, variables: list[str], key: str = K) -> DataFrame:
     return long.groupBy(key, "date").pivot("variable", variables).agg(F.first("value", ignorenulls=True))
 
 
-def forcing_units(rows: DataFrame, key: str = K) -> DataFrame:
-    """tmin and tmax to degrees Celsius (a site's mean above 200 means Kelvin), with their mean as tavg."""
+def forcing_units(rows: DataFrame, names: dict[str, str] | None = None, key: str = K) -> DataFrame:
+    """tmin and tmax to degrees Celsius as tmin_C and tmax_C, with their mean as tavg_C.
+
+    A recorded unit (columns tmin_unit, tmax_unit, where there are such) decides: K is converted, any other is not. Where
+    it is NULL or not there, a site's mean above 200 means Kelvin. names: further columns and the standard ones that they
+    become, such as {"pr": "prcp_mm"}.
+    """
     w = Window.partitionBy(key)
-    celsius = lambda c: F.when(F.avg(c).over(w) > 200, F.col(c) - 273.15).otherwise(F.col(c))
-    out = rows.withColumns({f"{c}_C": celsius(c) for c in ("tmin", "tmax")})
+
+    def celsius(c: str) -> Column:
+        guess = F.avg(c).over(w) > 200
+        kelvin = F.coalesce(F.col(f"{c}_unit") == "K", guess) if f"{c}_unit" in rows.columns else guess
+        return F.when(kelvin, F.col(c) - 273.15).otherwise(F.col(c))
+
+    out = rows.withColumns({f"{c}_C": celsius(c) for c in ("tmin", "tmax")}).drop("tmin_unit", "tmax_unit").withColumnsRenamed(names or {})
     return out.withColumn("tavg_C", (F.col("tmin_C") + F.col("tmax_C")) / 2).drop("tmin", "tmax")
 
 

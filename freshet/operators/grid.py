@@ -131,13 +131,46 @@ def nearest_epoch(rows: DataFrame, epochs: list[int], year: str = "year") -> Dat
     return rows.withColumn("epoch", F.get(options, F.lit(0))["epoch"])
 
 
-def encode_mask(cells: DataFrame, columns: int, by: str = B, value: str = "value") -> DataFrame:
-    """Row-major run lengths of a full grid's mask: counts as [run, value, run, value, ...]."""
-    rows = cells.withColumn("at", F.col("row") * columns + F.col("col"))
-    w = Window.partitionBy(by).orderBy("at")
-    change = F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(0))
-    runs = rows.withColumn("c", change).withColumn("run", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(by, "run", value).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.struct("run", "n", F.col(value).cast("int").alias("v"))))
+#: Cells of a stretch of a mask that one task encodes.
+BLOCK = 1 << 16
+
+
+def mask_runs(cells: DataFrame, columns: int, by: str = B, value: str = "value", block: int = BLOCK) -> DataFrame:
+    """Row-major runs of a full grid's mask: by, start (place of the first cell, from 0), n, value.
+
+    The grid is cut into stretches of `block` cells, whose runs are found side by side. A stretch is told the value before
+    it and where the next run begins after it by a table of one row a stretch, so runs pass over borders whole, and no
+    window or row holds a basin's cells. A NULL value is a value of its own.
+    """
+    at = (F.col("row").cast("long") * columns + F.col("col")).alias("start")
+    rows = cells.select(by, at, F.col(value).alias("value")).withColumn("block", F.floor(F.col("start") / block))
+    inside, along = Window.partitionBy(by, "block").orderBy("start"), Window.partitionBy(by).orderBy("block")
+    blocks = rows.groupBy(by, "block").agg(F.max("start").alias("last"), F.max_by(F.struct("value"), "start").alias("tail"))
+    before = blocks.select(by, "block", F.lag("tail").over(along).alias("before"))
+    own = F.struct("value")
+    previous = F.coalesce(F.lag(own).over(inside), F.col("before"))
+    starts = rows.join(before, [by, "block"]).withColumn("previous", previous).where(F.col("previous").isNull() | ~F.col("value").eqNullSafe(F.col("previous.value")))
+    firsts = starts.groupBy(by, "block").agg(F.min("start").alias("begins"))
+    later = along.rowsBetween(1, Window.unboundedFollowing)
+    ends = blocks.join(firsts, [by, "block"], "left").select(by, "block", F.coalesce(F.first("begins", True).over(later), F.max("last").over(Window.partitionBy(by)) + 1).alias("until"))
+    each = starts.select(by, "block", "start", "value", F.lead("start").over(inside).alias("next")).join(ends, [by, "block"])
+    return each.select(by, "start", (F.coalesce("next", "until") - F.col("start")).alias("n"), "value")
+
+
+def cells_of_runs(runs: DataFrame, columns: int, by: str = B, block: int = BLOCK) -> DataFrame:
+    """Cells (row, col, value) of runs; a long run is dealt out by stretches of `block` cells."""
+    end = F.col("start") + F.col("n")
+    parts = runs.where("n > 0").select(by, "start", end.alias("end"), "value", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block")).repartition(by, "block")
+    low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("end"), (F.col("block") + 1) * block)
+    each = parts.select(by, "value", F.explode(F.sequence(low, high - 1)).alias("at"))
+    return each.select(by, F.floor(F.col("at") / columns).cast("int").alias("row"), (F.col("at") % columns).cast("int").alias("col"), "value")
+
+
+def encode_mask(cells: DataFrame, columns: int, by: str = B, value: str = "value", block: int = BLOCK) -> DataFrame:
+    """Row-major run lengths of a full grid's mask in one row: counts as [run, value, run, value, ...]. The row holds all of a
+    basin's runs; `mask_runs` gives a row a run."""
+    runs = mask_runs(cells, columns, by, value, block)
+    pairs = F.array_sort(F.collect_list(F.struct("start", F.col("n").cast("int").alias("n"), F.col("value").cast("int").alias("v"))))
     return runs.groupBy(by).agg(F.flatten(F.transform(pairs, lambda x: F.array(x["n"], x["v"]))).alias("counts"))
 
 

@@ -43,9 +43,10 @@ def spine(series: DataFrame, start: str | None = None, end: str | None = None, k
     return series.groupBy(key).agg(low.alias("lo"), high.alias("hi")).where("lo <= hi").select(key, F.explode(F.sequence("lo", "hi")).alias("date"))
 
 
-def missing_days(series: DataFrame, start: str | None = None, end: str | None = None, key: str = K) -> DataFrame:
-    """Days of the span without a value."""
-    return spine(series, start, end, key).join(series.where("value IS NOT NULL").select(key, "date"), [key, "date"], "left_anti")
+def missing_days(series: DataFrame, start: str | None = None, end: str | None = None, valued: bool = False, key: str = K) -> DataFrame:
+    """Days of the span that the series has no row of; valued: days without a value too."""
+    there = series.where("value IS NOT NULL") if valued else series
+    return spine(series, start, end, key).join(there.select(key, "date"), [key, "date"], "left_anti")
 
 
 def islands(days: DataFrame, key: str = K) -> DataFrame:
@@ -72,18 +73,39 @@ def statistic(name: str, value: str = "value") -> Column:
     raise ValueError(f"unknown statistic {name}")
 
 
-def calendar_block(series: DataFrame, key: str = K) -> DataFrame:
-    """Expected, present and missing days of each site's span; present days have a value."""
-    present = F.count_distinct(F.when(F.col("value").isNotNull(), F.col("date")))
-    expected = F.datediff(F.max("date"), F.min("date")) + 1
-    return series.groupBy(key).agg(expected.alias("expected"), present.alias("present"), (expected - present).alias("missing"))
+def _bounded(series: DataFrame, bounds: DataFrame | None, key: str) -> DataFrame:
+    """Each site's rows with its span (lo, hi): that of bounds (key, start, end), where NULL or without bounds the first to
+    the last date. Rows outside have no date and value; a site of bounds without rows has one such row."""
+    rows = series.select(key, F.col("date").cast("date").alias("date"), "value")
+    span = rows.groupBy(key).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    if bounds is None:
+        return rows.join(span, key)
+    given = bounds.select(key, F.col("start").cast("date").alias("_start"), F.col("end").cast("date").alias("_end"))
+    span = span.join(given, key, "full").select(key, F.coalesce("_start", "lo").alias("lo"), F.coalesce("_end", "hi").alias("hi"))
+    inside = F.col("date").between(F.col("lo"), F.col("hi"))
+    return span.join(rows, key, "left").select(key, "lo", "hi", F.when(inside, F.col("date")).alias("date"), F.when(inside, F.col("value")).alias("value"))
 
 
-def served_summary(series: DataFrame, key: str = K) -> DataFrame:
-    """Summary as served: fraction of the span with a value, whether partial, values to six significant digits."""
-    expected = F.datediff(F.max("date"), F.min("date")) + 1
-    fraction = F.count("value") / expected
-    return series.groupBy(key).agg(F.count("value").alias("n_finite"), expected.alias("expected"), F.round(fraction, 6).alias("fraction_with_value"), (fraction < 1).alias("partial"), S.significant(F.avg("value")).alias("mean"), S.significant(F.max("value")).alias("max"))
+def _days(lo: Column, hi: Column) -> Column:
+    return F.coalesce(F.greatest(F.datediff(hi, lo) + 1, F.lit(0)), F.lit(0))
+
+
+def calendar_block(series: DataFrame, bounds: DataFrame | None = None, key: str = K) -> DataFrame:
+    """Expected, present and missing days of each site's span: the given one (bounds: key, start, end), else that of its
+    dates. A day with a row is present, with or without a value; a span that ends before it starts expects none."""
+    rows = _bounded(series, bounds, key)
+    g = rows.groupBy(key).agg(_days(F.first("lo"), F.first("hi")).alias("expected"), F.count_distinct("date").alias("present"))
+    return g.select(key, "expected", "present", (F.col("expected") - F.col("present")).alias("missing"))
+
+
+def served_summary(series: DataFrame, bounds: DataFrame | None = None, daily: bool = True, key: str = K) -> DataFrame:
+    """Summary as served, of the rows inside the given span (as for `calendar_block`): counts, the fraction of its days with a
+    value and whether that is partial (both NULL for a series that is not daily), values to six significant digits."""
+    rows = _bounded(series, bounds, key)
+    expected = _days(F.first("lo"), F.first("hi"))
+    g = rows.groupBy(key).agg(F.count("date").alias("n_dates"), F.count("value").alias("n_finite"), expected.alias("expected"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    fraction = F.try_divide(F.col("n_finite"), F.col("expected")) if daily else F.lit(None).cast("double")
+    return g.select(key, "n_dates", "n_finite", "expected", S.significant(fraction).alias("fraction_with_value"), (fraction < 1).alias("partial"), *[S.significant(F.col(c)).alias(c) for c in ("mean", "min", "max")], "first_date", "last_date")
 
 
 COMPARE = {"gt": lambda a, b: a > b, "ge": lambda a, b: a >= b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b}
@@ -157,12 +179,16 @@ def run_lengths(codes: DataFrame, order: str = "date", key: str = K) -> DataFram
     return numbered.groupBy(key, "run_no", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def step_check(instants: DataFrame, first: int = 5000, least_hours: float = 20.0, key: str = K) -> DataFrame:
-    """Median and largest step in hours; daily is refused if the median of a site's first instants is below least_hours."""
+def step_check(instants: DataFrame, first: int = 5000, least_hours: float = 20.0, declared: str | None = None, key: str = K) -> DataFrame:
+    """Median and largest step in hours, and whether a site is refused as not daily: its declared interval (a column, the
+    first that a site states) is another than daily, or the median of its first instants lies above 0 and below least_hours
+    (of three instants at least)."""
     w = Window.partitionBy(key).orderBy("ts")
     steps = instants.withColumn("step", (F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)) / 3.6e9).withColumn("no", F.row_number().over(w))
     early = F.median(F.when(F.col("no") <= first, F.col("step")))
-    return steps.groupBy(key).agg(F.median("step").alias("median_step_h"), F.max("step").alias("largest_gap_h"), F.coalesce(early < least_hours, F.lit(False)).alias("not_daily"))
+    short = (F.count(F.lit(1)) > 2) & (early > 0) & (early < least_hours)
+    other = F.min_by(F.col(declared), F.when(F.col(declared).isNotNull(), F.col("ts"))) != "daily" if declared else F.lit(False)
+    return steps.groupBy(key).agg(F.median("step").alias("median_step_h"), F.max("step").alias("largest_gap_h"), (F.coalesce(short, F.lit(False)) | F.coalesce(other, F.lit(False))).alias("not_daily"))
 
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -184,3 +210,11 @@ def quality_summary(codes: DataFrame, key: str = K) -> DataFrame:
     some = F.count_if(F.size("a") > 0)
     others = F.sum(F.size(F.filter("q", lambda x: ~x.isin("A", "P", "e"))))
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), has("A").alias("approved"), has("P").alias("provisional"), F.count_if(F.array_contains("q", "e")).alias("estimated"), others.alias("other_codes"), F.try_divide(has("P"), some).alias("provisional_fraction"), F.count_if(F.col("value") < 0).alias("negative"))
+
+
+def code_counts(codes: DataFrame, key: str = K) -> DataFrame:
+    """Rows (approval, qualifier cells, value) to how often each code stands on a valued day: key, kind (approval, qualifier),
+    code, n, other (a qualifier that is none of A, P and e)."""
+    rows = codes.where("value IS NOT NULL").select(key, F.explode(F.array(F.struct(F.lit("approval").alias("kind"), S.code_tokens(F.col("approval")).alias("codes")), F.struct(F.lit("qualifier").alias("kind"), S.code_tokens(F.col("qualifier")).alias("codes")))).alias("x"))
+    each = rows.select(key, "x.kind", F.explode("x.codes").alias("code"))
+    return each.groupBy(key, "kind", "code").agg(F.count(F.lit(1)).alias("n")).withColumn("other", (F.col("kind") == "qualifier") & ~F.col("code").isin("A", "P", "e"))

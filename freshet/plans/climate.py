@@ -101,11 +101,14 @@ def a23_years(spark, d):
     return kept.withColumn("state", F.lit("kept")).unionByName(dropped.withColumn("state", F.lit("dropped")))
 
 
-@query("p8_forcing_units", "SELECT site_id, date, round(CASE WHEN avg(a) OVER w > 200 THEN a - 273.15 ELSE a END, 4) AS tmin_C, round(CASE WHEN avg(b) OVER w > 200 THEN b - 273.15 ELSE b END, 4) AS tmax_C, round((CASE WHEN avg(a) OVER w > 200 THEN a - 273.15 ELSE a END + CASE WHEN avg(b) OVER w > 200 THEN b - 273.15 ELSE b END) / 2, 4) AS tavg_C FROM (SELECT site_id, date, prcp * 20 + CASE WHEN site_id = '0' THEN 260 ELSE 0 END AS a, prcp * 25 + CASE WHEN site_id = '0' THEN 260 ELSE 0 END AS b FROM daily) WINDOW w AS (PARTITION BY site_id)")
+@query("p8_forcing_units", "SELECT site_id, date, pr AS prcp_mm, round(CASE WHEN ku IS NOT NULL AND ku = 'K' OR ku IS NULL AND avg(a) OVER w > 200 THEN a - 273.15 ELSE a END, 4) AS tmin_C, round(CASE WHEN avg(b) OVER w > 200 THEN b - 273.15 ELSE b END, 4) AS tmax_C, round((CASE WHEN ku IS NOT NULL AND ku = 'K' OR ku IS NULL AND avg(a) OVER w > 200 THEN a - 273.15 ELSE a END + CASE WHEN avg(b) OVER w > 200 THEN b - 273.15 ELSE b END) / 2, 4) AS tavg_C FROM (SELECT site_id, date, value AS pr, prcp * 20 + CASE WHEN site_id = '0' THEN 260 ELSE 0 END AS a, prcp * 25 + CASE WHEN site_id = '0' THEN 260 ELSE 0 END AS b, CASE WHEN site_id = '1' THEN 'K' WHEN site_id = '2' THEN 'degC' WHEN value > 1000 AND site_id = '0' THEN 'degC' END AS ku FROM daily) WINDOW w AS (PARTITION BY site_id)")
 def p8(spark, d):
-    shift = F.when(F.col("site_id") == "0", 260).otherwise(0)
-    rows = daily(spark, d).select("site_id", "date", (F.col("prcp") * 20 + shift).alias("tmin"), (F.col("prcp") * 25 + shift).alias("tmax"))
-    return rounded(C.forcing_units(rows), "tmin_C", "tmax_C", "tavg_C", digits=4)
+    """One site in Kelvin without a recorded unit but for some days, others with one."""
+    site = F.col("site_id")
+    shift = F.when(site == "0", 260).otherwise(0)
+    unit = F.when(site == "1", "K").when(site == "2", "degC").when((F.col("value") > 1000) & (site == "0"), "degC")
+    rows = daily(spark, d).select("site_id", "date", F.col("value").alias("pr"), (F.col("prcp") * 20 + shift).alias("tmin"), (F.col("prcp") * 25 + shift).alias("tmax"), unit.alias("tmin_unit"))
+    return rounded(C.forcing_units(rows, {"pr": "prcp_mm"}), "tmin_C", "tmax_C", "tavg_C", digits=4)
 
 
 @query("p9_hargreaves_pet", "SELECT site_id, date, round(greatest(0.0023 * coalesce(srad * 0.0864 * 1.5, 15 + 10 * sin(2 * pi() * (dayofyear(date) - 81) / 365)) * ((lo + hi) / 2 + 17.8) * sqrt(greatest(hi - lo, 0)), 0), 6) AS pet FROM (SELECT site_id, date, prcp * 20 - 5 AS lo, prcp * 30 - 6 AS hi, CASE WHEN value > 1000 THEN value / 8 END AS srad FROM daily)")

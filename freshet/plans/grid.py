@@ -316,3 +316,40 @@ def j17(spark, d):
     attributes = spark.createDataFrame([("0", None, None, None), ("1", 55.0, None, -71.0)], "site_id string, attr_area double, attr_lat double, attr_lon double")
     out, _ = N.training_table(f.where("site_id <> '2'").select("site_id", "date", "value"), f.select("site_id", "date", "prcp"), attributes, basins)
     return rounded(out, "q_mm")
+
+
+@query("f10_mask_runs", "SELECT basin_id, min(at) AS start, count(*) AS n, value FROM (SELECT *, at - row_number() OVER (PARTITION BY basin_id, value ORDER BY at) AS island FROM (SELECT 'm' || CAST((p_partkey - 1) // 1000 AS VARCHAR) AS basin_id, (p_partkey - 1) % 1000 AS at, CAST(p_size > 8 AS INTEGER) AS value FROM part)) GROUP BY basin_id, value, island")
+def f10_runs(spark, d):
+    """Masks of a thousand parts each, encoded by stretches of 64 cells, decoded and encoded again."""
+    k = F.col("p_partkey") - 1
+    at = (k % 1000).cast("int")
+    cells_ = read(spark, d, "part").select(F.concat(F.lit("m"), F.floor(k / 1000).cast("string")).alias("basin_id"), F.floor(at / 40).cast("int").alias("row"), (at % 40).alias("col"), (F.col("p_size") > 8).cast("int").alias("value"))
+    back = G.cells_of_runs(G.mask_runs(cells_, 40, block=64), 40, block=64)
+    return G.mask_runs(back, 40, block=100)
+
+
+def _ring_sql() -> str:
+    """Edges of a rectangle of latitudes and longitudes around each site, half as wide as its name is long, in tenths."""
+    w, h = "length(name) / 20.0", "(length(name) % 7 + 1) / 20.0"
+    corners = [(f"lon - {w}", f"lat - {h}"), (f"lon + {w}", f"lat - {h}"), (f"lon + {w}", f"lat + {h}"), (f"lon - {w}", f"lat + {h}")]
+    lists = {n: ", ".join(f"CAST({corners[(i + end) % 4][k]} AS DOUBLE)" for i in range(4)) for n, end, k in (("x1", 0, 0), ("y1", 0, 1), ("x2", 1, 0), ("y2", 1, 1))}
+    return "(SELECT gauge_id, " + ", ".join(f"unnest([{v}]) AS {n}" for n, v in lists.items()) + " FROM sites)"
+
+
+def _shape_sql() -> str:
+    e, a, flat = S.ECCENTRICITY, S.WGS84_A, (S.WGS84_A - S.WGS84_B) / S.WGS84_A
+    half = lambda y: f"tan(asin({1 - e * e!r} * (sin(radians({y})) / (1 - {e * e!r} * sin(radians({y})) * sin(radians({y}))) - ln((1 - {e!r} * sin(radians({y}))) / (1 + {e!r} * sin(radians({y})))) / {2 * e!r}) / {S.POLE_Q!r}) / 2)"
+    edges = f"(SELECT *, {half('y1')} AS t1, {half('y2')} AS t2, atan({1 - flat!r} * tan(radians(y1))) AS b1, atan({1 - flat!r} * tan(radians(y2))) AS b2 FROM {_ring_sql()})"
+    arcs = f"(SELECT *, 2 * asin(sqrt(power(sin((b2 - b1) / 2), 2) + cos(b1) * cos(b2) * power(sin(radians(x2 - x1) / 2), 2))) AS s FROM {edges})"
+    excess = "2 * atan2(tan(radians(x2 - x1) / 2) * (t1 + t2), 1 + t1 * t2)"
+    length = f"{a!r} * (s - {flat / 2!r} * ((s - sin(s)) * power(sin((b1 + b2) / 2) * cos((b2 - b1) / 2) / cos(s / 2), 2) + (s + sin(s)) * power(cos((b1 + b2) / 2) * sin((b2 - b1) / 2) / sin(s / 2), 2)))"
+    return f"SELECT gauge_id, round(abs(sum({excess})) * {S.AUTHALIC_KM**2!r}, 4) AS area_km2, round(sum({length}), 4) AS perimeter_km FROM {arcs} GROUP BY gauge_id"
+
+
+@query("geo_area_perimeter", _shape_sql())
+def geo_shapes(spark, d):
+    w, h = F.length("name") / 20.0, (F.length("name") % 7 + 1) / 20.0
+    corner = lambda x, y: F.struct((F.col("lon") + x * w).cast("double").alias("lon"), (F.col("lat") + y * h).cast("double").alias("lat"))
+    ring = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))
+    rows = sites(spark, d).select("gauge_id", ring.alias("ring"))
+    return rows.select("gauge_id", F.round(S.polygon_area_km2(F.col("ring")), 4).alias("area_km2"), F.round(S.polygon_perimeter_km(F.col("ring")), 4).alias("perimeter_km"))

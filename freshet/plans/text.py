@@ -32,6 +32,18 @@ def t3(spark, d):
     return T.first_of_duplicates(T.chunk_passages(passages(spark, d)))
 
 
+TAGS = f"(SELECT doc_name AS asked, CASE chunk_idx % 4 WHEN 0 THEN upper({HASH}) WHEN 1 THEN ' ' || {HASH} WHEN 2 THEN substr({HASH}, 1, 12) ELSE 'tag' || chunk_idx END AS tag FROM {CHUNKS})"
+
+
+@query("t3_resolve_hashes", f"SELECT a.asked, a.tag, f.doc_name, f.chunk_idx, f.passage_hash IS NOT NULL AS found FROM {TAGS} a LEFT JOIN (SELECT * FROM (SELECT doc_name, chunk_idx, {HASH} AS passage_hash FROM {CHUNKS}) QUALIFY row_number() OVER (PARTITION BY passage_hash ORDER BY doc_name, chunk_idx) = 1) f ON f.passage_hash = lower(trim(a.tag)) AND regexp_full_match(lower(trim(a.tag)), '[0-9a-f]{{12,20}}')")
+def t3_resolve(spark, d):
+    """Every passage's hash as a tag, in capitals, with a blank, cut short, or no hash at all."""
+    p = T.chunk_passages(passages(spark, d))
+    own, k = S.text_hash(F.col("text")), F.col("chunk_idx") % 4
+    tag = F.when(k == 0, F.upper(own)).when(k == 1, F.concat(F.lit(" "), own)).when(k == 2, F.substring(own, 1, 12)).otherwise(F.concat(F.lit("tag"), F.col("chunk_idx").cast("string")))
+    return T.resolve_hashes(p.select(F.col("doc_name").alias("asked"), tag.alias("tag")), p).select("asked", "tag", "doc_name", "chunk_idx", "found")
+
+
 @query("t4_query_terms", "SELECT item_id, array_to_string(list_transform(list_filter(list_transform(w, lambda x, i: {'x': x, 'k': list_position(w, x) = i}), lambda s: s.k), lambda s: s.x), ' ') AS terms FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: length(x) >= 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], x)) AS w FROM benchmark)")
 def t4(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))

@@ -3,6 +3,7 @@
 import collections
 import datetime as dt
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -183,10 +184,11 @@ def test_rankers_are_brute_force(spark):
             if parts:
                 scores[i] = sum(parts)
         want[k] = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:5]  # noqa: B023
-    got = collections.defaultdict(list)
-    for x in text.bm25(p, q).orderBy("query_id", "rank").collect():
-        got[x.query_id].append(x.passage_id)
-    assert {k: v for k, v in want.items() if v} == got
+    for seed in (200, 1, 12):
+        got = collections.defaultdict(list)
+        for x in text.bm25(p, q, seed=seed).orderBy("query_id", "rank").collect():
+            got[x.query_id].append(x.passage_id)
+        assert {k: v for k, v in want.items() if v} == got
     grep = collections.defaultdict(list)
     for x in text.grep_rank(p, q).orderBy("query_id", "rank").collect():
         grep[x.query_id].append((x.passage_id, x.distinct_words, x.occurrences))
@@ -301,9 +303,96 @@ def test_cover_units_and_indices(spark):
     row = spark.range(1).select(*[S.cover_factor(F.lit(x)).alias(k) for k, x in (("a", "forest"), ("b", "Deciduous Forest"), ("c", "water"), ("d", "unobtanium"))], *[S.unit_key(F.lit(x)).alias(f"u{i}") for i, x in enumerate(("m3/sec", "Cubic Meters per Second", "m³ s⁻¹", "L s**-1", "inches", "Degrees Celsius", "mm day^-1", "furlong", "Millimetres"))], S.json_number(F.lit('{"a": {"b": 2.5, "c": "x"}}'), "a.b").alias("n"), S.json_number(F.lit('{"a": 1}'), "a.b").alias("none")).first()
     assert (row.a, row.b, row.c, row.d) == (S.COVER_FACTORS["forest"], S.COVER_FACTORS["forest"], 0.0, 0.1)
     assert tuple(row)[4:13] == ("m3/s", "m3/s", "m3/s", "l/s", "in", "c", "mm/d", "furlong", "mm") and row.n == 2.5 and row.none is None
-    ring = F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
-    area = spark.range(1).select(S.polygon_area_km2(ring).alias("a")).first().a
-    assert area == pytest.approx(6371**2 * math.radians(1) * math.sin(math.radians(1)), rel=1e-3)
+
+
+def test_areas_and_lengths_on_the_ellipsoid(spark):
+    """An octant, bands between parallels in closed form, quarters of the equator and of a meridian."""
+    a, b = S.WGS84_A, S.WGS84_B
+    e = math.sqrt(1 - (b / a) ** 2)
+    band = lambda lat: b * b / 2 * (math.sin(lat) / (1 - (e * math.sin(lat)) ** 2) + math.atanh(e * math.sin(lat)) / e)
+
+    def cell(w, south, east, north, n=300):
+        return [(w + (east - w) * i / n, south) for i in range(n + 1)] + [(east - (east - w) * i / n, north) for i in range(n + 1)] + [(w, south)]
+
+    rings = {"octant": [(0, 0), (90, 0), (0, 90)], "closed": [(0, 0), (90, 0), (0, 90), (0, 0)], "line": [(0, 0), (1, 0)], "point": [(0, 0)], "other_way": [(0, 0), (0, 90), (90, 0)]}
+    boxes = {"equator": (0, 0, 1, 1), "north": (10, 47, 10.5, 47.5), "far": (179.5, -34, 180.5, -33), "over": (-180.5, -34, -179.5, -33)}
+    rings |= {k: cell(*v) for k, v in boxes.items()}
+    df = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in v]) for k, v in rings.items()], "name string, ring array<struct<lon: double, lat: double>>")
+    got = {r.name: (r.area, r.perimeter) for r in df.select("name", S.polygon_area_km2(F.col("ring")).alias("area"), S.polygon_perimeter_km(F.col("ring")).alias("perimeter")).collect()}
+    assert got["octant"][0] == pytest.approx(math.pi * band(math.pi / 2) / 2, rel=1e-7) and got["octant"] == got["closed"] and got["other_way"][0] == pytest.approx(got["octant"][0])
+    for name, (w, south, east, north) in boxes.items():
+        assert got[name][0] == pytest.approx(math.radians(east - w) * (band(math.radians(north)) - band(math.radians(south))), rel=1e-6)
+    assert got["line"][0] == pytest.approx(0, abs=1e-9) and got["point"] == (None, None)
+    quarter = 10001.965729
+    assert got["octant"][1] == pytest.approx(2 * quarter + a * math.pi / 2, rel=2e-5) and got["line"][1] == pytest.approx(2 * a * math.radians(1), rel=1e-9)
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 16])
+def test_runs_pass_over_borders(spark, block):
+    rng = random.Random(block)
+    masks = {"noise": [rng.randrange(2) for _ in range(200)], "flat": [1] * 200, "long": [0] * 90 + [1] * 100 + [0] * 10, "holes": [rng.choice([0, 1, None, None]) for _ in range(200)]}
+    cells = spark.createDataFrame([(k, i // 20, i % 20, v) for k, vs in masks.items() for i, v in enumerate(vs)], "basin_id string, row int, col int, value int").repartition(5)
+    runs = grid.mask_runs(cells, 20, block=block)
+    want = {}
+    for k, vs in masks.items():
+        at = 0
+        for v, group in itertools.groupby(vs):
+            n = len(list(group))
+            want[k, at] = (n, v)
+            at += n
+    assert {(r.basin_id, r.start): (r.n, r.value) for r in runs.collect()} == want
+    assert sorted(map(str, grid.cells_of_runs(runs, 20, block=block).collect())) == sorted(map(str, cells.collect()))
+    counts = {r.basin_id: r.counts for r in grid.encode_mask(cells, 20, block=block).collect()}
+    assert counts["flat"] == [200, 1] and counts["long"] == [90, 0, 100, 1, 10, 0]
+
+
+def test_given_spans(spark):
+    rows = [("a", "2000-01-01", 1.0), ("a", "2000-01-03", None), ("a", "2000-01-09", 4.0), ("b", "2000-01-01", 2.0)]
+    s = spark.createDataFrame(rows, "site_id string, date string, value double").withColumn("date", F.to_date("date"))
+    bounds = spark.createDataFrame([("a", "2000-01-02", "2000-01-09"), ("c", "2000-01-01", "2000-01-04"), ("d", "2000-01-04", "2000-01-01"), ("e", None, None)], "site_id string, start string, end string")
+    got = {r.site_id: (r.expected, r.present, r.missing) for r in series.calendar_block(s, bounds).collect()}
+    assert got == {"a": (8, 2, 6), "b": (1, 1, 0), "c": (4, 0, 4), "d": (0, 0, 0), "e": (0, 0, 0)}
+    assert {r.site_id: (r.expected, r.present, r.missing) for r in series.calendar_block(s).collect()} == {"a": (9, 3, 6), "b": (1, 1, 0)}
+    told = {r.site_id: r for r in series.served_summary(s, bounds).collect()}
+    assert (told["a"].n_dates, told["a"].n_finite, told["a"].fraction_with_value, told["a"].partial, told["a"].mean) == (2, 1, 0.125, True, 4.0)
+    assert told["c"].partial and told["c"].mean is None and told["d"].partial is None and told["b"].partial is False
+    assert all(r.partial is None and r.fraction_with_value is None for r in series.served_summary(s, bounds, daily=False).collect())
+    assert sorted(r.date.day for r in series.missing_days(s.where("site_id = 'a'")).collect()) == [2, 4, 5, 6, 7, 8]
+    assert sorted(r.date.day for r in series.missing_days(s.where("site_id = 'a'"), valued=True).collect()) == [2, 3, 4, 5, 6, 7, 8]
+
+
+def test_declared_intervals_units_and_codes(spark):
+    t = dt.datetime(2000, 1, 1)
+    rows = [("a", t + dt.timedelta(days=i), "daily", 1.0) for i in range(5)] + [("b", t + dt.timedelta(days=i), "hourly" if i else None, 1.0) for i in range(5)] + [("c", t + dt.timedelta(hours=i), "daily", 1.0) for i in range(5)] + [("d", t + dt.timedelta(hours=i), None, 1.0) for i in range(2)]
+    s = spark.createDataFrame(rows, "site_id string, ts timestamp, interval string, value double")
+    assert {r.site_id: r.not_daily for r in series.step_check(s, declared="interval").collect()} == {"a": False, "b": True, "c": True, "d": False}
+    assert {r.site_id: r.not_daily for r in series.step_check(s).collect()} == {"a": False, "b": False, "c": True, "d": False}
+    warm = spark.createDataFrame([("a", 250.0, 300.0, None, None, 1.0), ("b", 250.0, 300.0, "degC", "K", 2.0), ("c", 5.0, 9.0, "K", None, 3.0)], "site_id string, tmin double, tmax double, tmin_unit string, tmax_unit string, pr double")
+    got = {r.site_id: (round(r.tmin_C, 2), round(r.tmax_C, 2), r.prcp_mm) for r in climate.forcing_units(warm, {"pr": "prcp_mm"}).collect()}
+    assert got == {"a": (-23.15, 26.85, 1.0), "b": (250.0, 26.85, 2.0), "c": (-268.15, 9.0, 3.0)}
+    codes = spark.createDataFrame([("a", "A", "e, Ice", 1.0), ("a", "A,P", "Ice", 2.0), ("a", "P", "Ice", None), ("b", None, "", 1.0)], "site_id string, approval string, qualifier string, value double")
+    assert sorted(tuple(r) for r in series.code_counts(codes).collect()) == [("a", "approval", "A", 2, False), ("a", "approval", "P", 1, False), ("a", "qualifier", "Ice", 2, True), ("a", "qualifier", "e", 1, False)]
+
+
+def test_passages_by_hash(spark):
+    p = spark.createDataFrame([("d2", 0, "Same  text"), ("d1", 1, "same text"), ("d1", 0, "other")], "doc_name string, chunk_idx int, text string")
+    h = hashlib.sha256(b"same text").hexdigest()[:16]
+    tags = spark.createDataFrame([(h,), (f" {h.upper()} ",), (h[:12],), ("smith2001",), (None,), ("0" * 16,)], "tag string")
+    got = {r.tag: (r.doc_name, r.chunk_idx, r.found) for r in text.resolve_hashes(tags, p).collect()}
+    assert got[h] == got[f" {h.upper()} "] == ("d1", 1, True) and {got[t] for t in (h[:12], "smith2001", None, "0" * 16)} == {(None, None, False)}
+
+
+def test_slope_of_the_duration_curve(spark):
+    """The file definition by its formula on known quantiles, zero days kept, and the log form without them."""
+    rng = np.random.default_rng(5)
+    q = np.concatenate([np.zeros(40), rng.gamma(0.7, 12.0, 960)])
+    rng.shuffle(q)
+    got = signatures.slope_fdc(daily(spark, q.tolist())).first().asDict()
+    low, high = np.quantile(q, [0.33, 0.66])
+    held = np.log(np.quantile(q[q > 0], [0.34, 0.67]))
+    values = [v for v in got.values() if isinstance(v, float)]
+    assert any(v == pytest.approx((high - low) / (q.mean() * 0.33), rel=1e-12) for v in values)
+    assert any(v == pytest.approx((held[1] - held[0]) / 0.33, rel=1e-12) for v in values)
 
 
 def test_months_and_variables(spark):
