@@ -318,10 +318,10 @@ def j17(spark, d):
     return rounded(out, "q_mm")
 
 
-@query("f10_mask_runs", "SELECT basin_id, min(at) AS start, count(*) AS n, value FROM (SELECT *, at - row_number() OVER (PARTITION BY basin_id, value ORDER BY at) AS island FROM (SELECT 'm' || CAST((p_partkey - 1) // 1000 AS VARCHAR) AS basin_id, (p_partkey - 1) % 1000 AS at, CAST(p_size > 8 AS INTEGER) AS value FROM part)) GROUP BY basin_id, value, island")
+@query("f10_mask_runs", 'SELECT basin_id, min(pos) AS "start", count(*) AS n, value FROM (SELECT *, pos - row_number() OVER (PARTITION BY basin_id, value ORDER BY pos) AS island FROM (SELECT \'m\' || CAST(p_partkey // 1000 AS VARCHAR) AS basin_id, p_partkey % 1000 AS pos, CAST(p_size > 8 AS INTEGER) AS value FROM part)) GROUP BY basin_id, value, island')
 def f10_runs(spark, d):
     """Masks of a thousand parts each, encoded by stretches of 64 cells, decoded and encoded again."""
-    k = F.col("p_partkey") - 1
+    k = F.col("p_partkey")
     at = (k % 1000).cast("int")
     cells_ = read(spark, d, "part").select(F.concat(F.lit("m"), F.floor(k / 1000).cast("string")).alias("basin_id"), F.floor(at / 40).cast("int").alias("row"), (at % 40).alias("col"), (F.col("p_size") > 8).cast("int").alias("value"))
     back = G.cells_of_runs(G.mask_runs(cells_, 40, block=64), 40, block=64)
