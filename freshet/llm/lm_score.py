@@ -114,6 +114,7 @@ class Mixer:
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.9, 0.3, 0.3], np.float32), (KINDS * LEVELS * LEVELS, 1)))
     own: np.ndarray = field(default_factory=lambda: np.zeros(KINDS * LEVELS * BINS))
     _ready: tuple | None = field(default=None, repr=False)
+    _alone: tuple | None = field(default=None, repr=False)
     _refined: tuple | None = field(default=None, repr=False)
 
     def logit(self, kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +132,20 @@ class Mixer:
             self._ready = w[..., 0].ravel().copy(), (w[..., 1] * STATE_LOGIT[one] + w[..., 2] * STATE_LOGIT[two]).ravel()
         return self._ready
 
-    def log10(self, kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    def logit_of_one(self, kind: np.ndarray, x: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`logit` of decisions without a second context, by tables of their few states."""
+        if self._alone is None:
+            kinds, states = np.divmod(np.arange(KINDS * STATES), STATES)
+            base = (kinds * LEVELS + STATE_LEVEL[states]) * BINS + 24
+            self._alone = *(t[NONE::STATES].copy() for t in self._tables()), base.astype(np.int32)
+        scale, shift, base = self._alone
+        at = kind * np.int32(STATES) + one
+        mixed = scale[at] * x + shift[at]
+        return mixed, base[at] + np.rint(np.clip(mixed * 2, -24, 24)).astype(np.int32)
+
+    def log10(self, kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each decision's own outcome. With own and other exchanged the two sum to 1."""
-        mixed, cell = self.logit(kind, x, one, two)
+        mixed, cell = self.logit_of_one(kind, x, one) if two is None else self.logit(kind, x, one, two)
         p = 1 / (1 + np.exp(np.clip(-mixed, -16, 16)))
         share, weight = self._refinement()
         return np.log10(np.clip(share[cell] + weight[cell] * p, np.float32(1e-6), np.float32(1 - 1e-6)))
@@ -147,9 +159,13 @@ class Mixer:
         return self._refined
 
 
-def cell_of(kind: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Number of a joint state: kind of decision, first logit in steps of a half, and both contexts' states."""
-    step = np.clip(np.rint(x * 2), -LOGITS // 2, LOGITS // 2 - 1).astype(np.int32) + LOGITS // 2
+def step_of(x: np.ndarray) -> np.ndarray:
+    """A logit in steps of a half, from 0."""
+    return np.clip(np.rint(x * 2), -LOGITS // 2, LOGITS // 2 - 1).astype(np.int32) + LOGITS // 2
+
+
+def cell_of(kind: np.ndarray, step: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Number of a joint state: kind of decision, step of the first logit, and both contexts' states."""
     return ((kind * np.int32(LOGITS) + step) * STATES + one) * STATES + two
 
 
@@ -178,7 +194,7 @@ def learn(cell: np.ndarray, n: np.ndarray, epochs: int = 30, batch: int = 512, r
                 g = np.bincount(at, weights=error * inputs[b, k]) / mass[gates]
                 square[gates, k] += g * g
                 weights[gates, k] += rate * g / np.sqrt(square[gates, k])
-    mixer.weights, mixer._ready = weights.astype(np.float32), None
+    mixer.weights, mixer._ready, mixer._alone = weights.astype(np.float32), None, None
     _, at = mixer.logit(kind, x, one, two)
     mixer.own, mixer._refined = np.bincount(at, weights=n, minlength=len(mixer.own)).astype(np.float64), None
     return mixer
@@ -296,25 +312,25 @@ class Words:
         known = rank > 0
         own[start] = np.where(known, self.total - self.singles, self.singles)
         other[start] = np.where(known, self.singles, self.total - self.singles)
+        octave = self.octave(rank)
         for step in range(int(octave_size.max(initial=0))):
             rows = np.flatnonzero(octave_size > step)
-            o = self.octave(rank[rows])
+            o = octave[rows]
             own[start[rows] + 1 + step], other[start[rows] + 1 + step] = self.own[o, step], self.other[o, step]
         # halves of the octave, one after another: what lies below and above is known, the middle is looked up. Where all
         # words of a stretch have one count, so have its parts.
         word = np.flatnonzero(size - 1 > octave_size)
-        r, o = rank[word], self.octave(rank[word])
+        r, o = rank[word], octave[word]
         low, width = np.int64(1) << o, np.int64(1) << o
         below, above = self.upto(low), self.upto(low + width)
         first, last = self._step(low), self._step(low + width - 1)
         place = start[word] + 1 + octave_size[word]
         while len(word):
-            even = (first == last) & (low + width - 1 <= self.different)
-            if even.any():
-                even_from[word[even]] = (place - start[word])[even]
-                word, r, low, width, below, above, first, last, place = (v[~even] for v in (word, r, low, width, below, above, first, last, place))
-                if not len(word):
-                    break
+            even = (width > 1) & (first == last) & (low + width - 1 <= self.different)
+            even_from[word[even]] = (place - start[word])[even]
+            on = (width > 1) & ~even
+            if not on.all():
+                word, r, low, width, below, above, first, last, place = (v[on] for v in (word, r, low, width, below, above, first, last, place))
             width = width >> 1
             mid = np.minimum(low + width, self.different + 1)
             i = self._step(mid)
@@ -323,8 +339,7 @@ class Words:
             own[place], other[place] = np.where(upper, above - middle, middle - below), np.where(upper, middle - below, above - middle)
             last = np.where(upper, last, np.maximum(np.where(self.first[i] == mid, i - 1, i), 0))
             low, below, above, first = np.where(upper, low + width, low), np.where(upper, middle, below), np.where(upper, above, middle), np.where(upper, i, first)
-            on = width > 1
-            word, r, low, width, below, above, first, last, place = (v[on] for v in (word, r, low, width, below, above, first, last, place + 1))
+            place = place + 1
         return size, even_from, own, other
 
     def _step(self, rank: np.ndarray) -> np.ndarray:
@@ -383,7 +398,8 @@ class Bytes:
     def learn(self, n: np.ndarray) -> Mixer:
         """Weights for the keys that the tables are made of, n times each, every one predicted as if it were not counted."""
         key = self.tables[2][0]
-        cell, at = np.unique(cell_of(np.full(8 * len(key), BYTE), *self.decisions(key, 1)), return_inverse=True)
+        x, one, two = self.decisions(key, 1)
+        cell, at = np.unique(cell_of(np.full(8 * len(key), BYTE), step_of(x), one, two), return_inverse=True)
         return learn(cell, np.bincount(at, weights=np.repeat(n, 8)).astype(np.int64))
 
 
@@ -522,9 +538,9 @@ def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 class Block:
     """The tokens of a block in order, and its different pairs (previous word, word)."""
 
-    def __init__(self, docs: pa.StructArray, ids: bytes, rank: np.ndarray, cost: np.ndarray, words: Words) -> None:
-        """rank, cost: of the group's tokens by their numbers."""
-        self.docs, self.rank, self.cost = docs, rank, cost
+    def __init__(self, docs: pa.StructArray, ids: bytes, rank: np.ndarray, n: np.ndarray, cost: np.ndarray, words: Words) -> None:
+        """rank, n, cost: of the group's tokens by their numbers. n: training tokens."""
+        self.docs, self.rank, self.n, self.cost = docs, rank, n, cost
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint8).reshape(4, -1)
         self.ids = np.ascontiguousarray(planes.T).view(np.int32).ravel().astype(np.int64)
         self.sizes = self.docs.field("n_tokens").to_numpy()
@@ -537,8 +553,9 @@ class Block:
         before += self.ids
         pair, self.of_pair = np.unique(before, return_inverse=True)
         del before
-        self.word = self.rank[pair % wide]
-        self.context = np.append(self.rank, words.different + 1)[pair // wide]
+        before, after = np.divmod(pair, wide)
+        self.word, self.word_n = self.rank[after], self.n[after]
+        self.context, self.context_n = np.append(self.rank, words.different + 1)[before], np.append(self.n, 0)[before]
 
     @classmethod
     def of(cls, row: dict, words: Words) -> Iterator[Block]:
@@ -547,8 +564,9 @@ class Block:
         rank, cost = np.zeros(len(known), np.int64), np.zeros(len(known))
         at = known.field("id").to_numpy()
         rank[at], cost[at] = known.field("rank").to_numpy(), known.field("cost").to_numpy()
+        n = words.count_of(rank)
         for i, ids in enumerate(row["ids"]):
-            yield cls(row["docs"][i].values, ids, rank, cost, words)
+            yield cls(row["docs"][i].values, ids, rank, n, cost, words)
 
     def counts(self) -> list[np.ndarray]:
         """Training tokens of each pair, of either half."""
@@ -561,7 +579,7 @@ class Pairs:
 
     def __init__(self, block: Block, words: Words, buckets: int) -> None:
         context, rank = block.context, block.word
-        hot = (context == 0) | (context > words.different) | (words.count_of(context) >= max(HOT_LEAST, words.total // HOT))
+        hot = (context == 0) | (context > words.different) | (block.context_n >= max(HOT_LEAST, words.total // HOT))
         cold, warm, lower = np.flatnonzero(~hot), np.flatnonzero(hot), np.flatnonzero(hot & (rank > 0))
         octave = words.octave(rank)
         self.pair = np.concatenate([cold, warm, lower])
@@ -596,9 +614,9 @@ class Pairs:
         return np.bincount(self.pair, weights=np.concatenate([np.zeros(0, np.float32), *parts]), minlength=pairs)
 
 
-def _planes(x: np.ndarray) -> bytes:
+def _planes(x: np.ndarray) -> memoryview:
     """Numbers of 64 bits by places of their bytes, which compress better."""
-    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return np.ascontiguousarray(x.astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8).T).ravel().data
 
 
 def _of_planes(x: bytes) -> np.ndarray:
@@ -681,6 +699,7 @@ class Bucket:
             node, below = np.flatnonzero(shared < depth), np.flatnonzero(shared < depth + 1)
             node_size, below_size = np.diff(np.append(node, len(at))), np.diff(np.append(below, len(at)))
             write = low <= depth
+            write = slice(None) if write.all() else write
             target = place[write] + depth
             own = np.repeat(np.add.reduceat(n, below), below_size)
             total = np.repeat(np.add.reduceat(n, node), node_size)
@@ -691,51 +710,54 @@ class Bucket:
                 ends, place, low, n = ends[at], place[at], low[at], n[at]
         return out, rest
 
-    def walk(self, states: tuple[np.ndarray, np.ndarray], rows: np.ndarray, less: int = 0) -> Iterator[tuple]:
-        """The decisions of some pairs by their number, then the rests: which pairs have one, kind, first logit, state after the
-        previous word, and how many such decisions each has.
-
-        less: 1 takes a token of each word off the counts of all.
-        """
-        rest = rows[self.rest[rows] > 0]
-        x = np.log((np.maximum(self.all_own - less, 0) + 0.4) / (self.all_other + 0.4)).astype(np.float32)
-        rows, step = rows[self.size[rows] > 0], 0
-        size, first, start = self.size[rows], self.first[rows], self.start[rows]
-        octave, skip = self.octave_size[rows].astype(np.int32), np.where(self.flag[rows], 0, 1 + self.octave_size[rows]).astype(np.int32)
-        while len(rows):
-            number = skip + np.int32(step)
-            kind = (number > 0).astype(np.int32) + (number > octave)
-            place = start + step
-            yield rows, kind, x[first + step], states[0][place], 1
-            step += 1
-            on = size > step
-            if not on.all():
-                rows, size, first, start, octave, skip = (v[on] for v in (rows, size, first, start, octave, skip))
-        if len(rest):
-            yield rest, np.full(len(rest), RANK, np.int32), np.zeros(len(rest), np.float32), states[1][rest], self.rest[rest]
+    def by_size(self, rows: np.ndarray) -> np.ndarray:
+        """Those of some pairs that have decisions, the ones with more first."""
+        rows = rows[self.size[rows] > 0]
+        return rows[np.argsort(-self.size[rows].astype(np.int16), kind="stable")]
+
+    def walk(self, states: np.ndarray, rows: np.ndarray, table: np.ndarray) -> Iterator[tuple]:
+        """The decisions of pairs `by_size`, by their number: kind, the table's entry, and the state after the previous word, of
+        as many pairs from the first on as have one."""
+        left = len(rows) - np.cumsum(np.bincount(self.size[rows], minlength=1))
+        first, start = self.first[rows], self.start[rows]
+        skip = np.where(self.flag[rows], 0, 1 + self.octave_size[rows])
+        rank_from = self.octave_size[rows] + 1 - skip
+        for step in range(len(left) - 1):
+            k = int(left[step])
+            kind = (rank_from[:k] <= step) + (np.int32(1) if step else (skip[:k] > 0).astype(np.int32))
+            yield kind, table[first[:k] + step], states[start[:k] + step]
+
+    def first_logits(self, less: int = 0) -> np.ndarray:
+        """Of each word's decisions by the counts of all tokens. less: 1 takes a token of each word off."""
+        return np.log((np.maximum(self.all_own - less, 0) + 0.4) / (self.all_other + 0.4)).astype(np.float32)
 
     def cells(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Joint states of the second half's tokens, predicted from the first half, and how many they are.
 
         A word that training has once is unknown to the other half, and ends with the flag."""
-        states = self.states(self.n[0], self.once[0])
+        states, of_rest = self.states(self.n[0], self.once[0])
         less = np.log((max(self.words.singles - 1, 0) + 0.4) / (self.words.total - self.words.singles + 0.4))
         n, once = self.n[1], self.once[1]
+        rows = self.by_size(np.flatnonzero(n > 0))
+        known = (n - once)[rows]
+        for kind, step, one in self.walk(states, rows, step_of(self.first_logits(1))):
+            yield cell_of(kind, step, one, NONE), known[: len(one)]
         alone = np.flatnonzero(self.flag & (once > 0))
-        for rows, kind, x, one, times in self.walk(states, np.flatnonzero(n > 0), 1):
-            yield cell_of(kind, x, one, NONE), (n - once)[rows] * times
-            if len(alone):  # the first decisions
-                at = np.searchsorted(rows, alone)
-                at = at[kind[at] == FLAG]
-                yield cell_of(kind[at], np.full(len(at), less, np.float32), MIRROR[one[at]], NONE), once[rows[at]]
-                alone = alone[:0]
+        yield cell_of(np.full(len(alone), FLAG, np.int32), step_of(np.float32(less)), MIRROR[states[self.start[alone]]], NONE), once[alone]
+        rest = np.flatnonzero((n > 0) & (self.rest > 0))
+        yield cell_of(np.full(len(rest), RANK, np.int32), step_of(np.float32(0)), of_rest[rest], NONE), (n - once)[rest] * self.rest[rest]
 
     def scores(self, mixer: Mixer) -> list[np.ndarray]:
         """log10 probability of the word of each pair, as its block sent it."""
+        states, of_rest = self.states(self.n[0] + self.n[1], self.once[0] + self.once[1])
+        rows = self.by_size(np.arange(len(self.rank)))
+        each = np.zeros(len(rows))
+        for kind, x, one in self.walk(states, rows, self.first_logits()):
+            each[: len(one)] += mixer.log10(kind, x, one)
         total = np.zeros(len(self.rank))
-        states = self.states(self.n[0] + self.n[1], self.once[0] + self.once[1])
-        for rows, kind, x, one, times in self.walk(states, np.arange(len(self.rank))):
-            total[rows] += mixer.log10(kind, x, one, NONE) * times
+        total[rows] = each
+        rest = np.flatnonzero(self.rest)
+        total[rest] += mixer.log10(np.full(len(rest), RANK, np.int32), np.zeros(len(rest), np.float32), of_rest[rest]) * self.rest[rest]
         edges = np.cumsum([0, *self.sizes])
         return [total[self.of[a:b]].astype(np.float32) for a, b in zip(edges, edges[1:])]
 
@@ -787,7 +809,7 @@ def count_corpus(docs: DataFrame) -> Corpus:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             for number, block in enumerate(Block.of(row, shared.value)):
-                yield from Pairs(block, shared.value, buckets).sent(row["block"], number, block.counts(), shared.value.count_of(block.word) == 1)
+                yield from Pairs(block, shared.value, buckets).sent(row["block"], number, block.counts(), block.word_n == 1)
 
     with arrow_rows(spark, 1):
         rows = coded.mapInArrow(send, "bucket int, block long, number int, packed binary")
@@ -844,10 +866,9 @@ def score_corpus(corpus: Corpus, mixer: Mixer) -> DataFrame:
                 told[number].append(packed)
             for number, block in enumerate(Block.of(row, words)):
                 each = Pairs(block, words, buckets).scores(told.pop(number), len(block.word))
-                n = words.count_of(block.rank)
-                base = np.log10(n + 1.0) - base_of
+                base = np.log10(block.n + 1.0) - base_of
                 score = np.add.reduceat(each[block.of_pair] + block.cost[block.ids], block.first)
-                known = np.add.reduceat((n > 0)[block.ids].astype(np.int64), block.first)
+                known = np.add.reduceat((block.n > 0)[block.ids].astype(np.int64), block.first)
                 bits = -score / np.log10(2) / np.maximum(block.docs.field("n_bytes").to_numpy(), 1)
                 columns = [block.docs.field("doc_id"), pa.array(block.docs.field("half").to_numpy() < 0), pa.array(block.sizes), pa.array(known), pa.array(np.add.reduceat(base[block.ids], block.first)), pa.array(score), pa.array(bits)]
                 yield pa.RecordBatch.from_arrays(columns, names)
