@@ -29,3 +29,9 @@ def both(spark, folder, name, *columns):
 
 def test_days_without_a_value_are_missing(spark, orders):
     assert [d.day for _, d in both(spark, orders, "j3_missing_days", "site_id", "date")] == [2, 3, 5]
+
+
+def test_ranges_hold_days_without_a_value(spark, orders):
+    columns = ("site_id", "start", "end", "days")
+    assert [(a.day, b.day, n) for _, a, b, n in both(spark, orders, "w2_missing_ranges", *columns)] == [(2, 3, 2), (5, 5, 1)]
+    assert [(a.day, b.day, n) for _, a, b, n in both(spark, orders, "w2_absent_ranges", *columns)] == [(3, 3, 1)]
