@@ -35,3 +35,8 @@ def test_ranges_hold_days_without_a_value(spark, orders):
     columns = ("site_id", "start", "end", "days")
     assert [(a.day, b.day, n) for _, a, b, n in both(spark, orders, "w2_missing_ranges", *columns)] == [(2, 3, 2), (5, 5, 1)]
     assert [(a.day, b.day, n) for _, a, b, n in both(spark, orders, "w2_absent_ranges", *columns)] == [(3, 3, 1)]
+
+
+def test_days_with_a_null_value_are_present_in_the_calendar(spark, orders):
+    assert both(spark, orders, "a3_calendar", "expected", "present", "missing") == [(6, 5, 1)]
+    assert both(spark, orders, "site_profile", "n", "n_finite", "expected", "present", "missing") == [(5, 3, 6, 5, 1)]
