@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from freshet.llm import perplexity as P
 
@@ -137,3 +138,20 @@ def test_tables_and_sorting_give_the_same(monkeypatch):
         grams = dict(zip(np.flatnonzero(counts).tolist(), zip(voice.tolist(), map(tuple, gram.tolist()))))
         assert [[grams[k] for k in key[a:b].tolist()] for a, b in zip(offsets, offsets[1:])] == want
         assert Counter(g for w in want for g in w) == {g: counts[k] for k, g in grams.items()}
+
+
+def test_no_gram_is_left_out_for_its_share(spark):
+    """Some texts beside eight million points of others: rare n-grams keep their probability."""
+    docs = [(d.doc_id, d.text, "en") for d in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(40).collect()]
+    long = spark.range(4).select((-1 - F.col("id")).alias("doc_id"), F.repeat(F.lit("so it goes "), 190_000).alias("text"), F.lit("en").alias("lang"))
+    got = {r.doc_id: r for r in P.quality_rules(spark.createDataFrame(docs, SCHEMA).unionByName(long)).collect()}
+    twin = Twin([("en", t) for _, t, _ in docs] + [("en", "so it goes " * 190_000)] * 4, 1 << 40)
+    for i, t, _ in docs:
+        assert got[i].perplexity == pytest.approx(twin.perplexity("en", t), rel=1e-4)
+
+
+@pytest.mark.parametrize("sent", [1, 30, 3000])
+def test_joined_grams_score_as_sent_ones(spark, sent):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    rows = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted(map(str, P.quality_rules(rows, sent=sent).collect())) == sorted(map(str, P.quality_rules(rows).collect()))
