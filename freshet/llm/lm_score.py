@@ -38,6 +38,8 @@ from .common import arrow_rows, cut, drop_cut, release, table
 
 #: Tokens of a block, about, and blocks and vocabulary of a group, about: a task begins another one beyond them.
 BLOCK_TOKENS, GROUP_BLOCKS, GROUP_WORDS = 1_000_000, 3, 300_000
+#: Bytes of texts whose words are listed at once, about.
+TOGETHER = 1 << 22
 #: Tokens whose pairs are in a bucket, about.
 BUCKET = 1_000_000
 #: A context is dealt by octaves from this share of all tokens on, and from HOT_LEAST tokens.
@@ -430,6 +432,18 @@ def held_out(docs: DataFrame) -> Column:
     return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+def together(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have TOGETHER bytes of text, so that fewer words are listed twice."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.column(text).nbytes for b in held) >= TOGETHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def gather(docs: DataFrame) -> DataFrame:
     """Documents as token numbers of their group, a row a group with a list of blocks, and the groups' vocabularies, in one table.
 
@@ -475,7 +489,7 @@ def gather(docs: DataFrame) -> DataFrame:
                 size = len(part)
                 yield rows(size, block=pa.array(np.full(size, group)), id=pa.array(np.arange(at, at + size, dtype=np.int32)), token=pa.array(part, pa.binary()), n=pa.array(train[at : at + size]))
 
-        for batch in batches:
+        for batch in together(batches, 1):
             known, places, ends = split_words(batch.column(1))
             held = np.full(len(known), -1, np.int32)  # the group's number of each word of the batch, where it has one
             sizes = pc.binary_length(batch.column(1)).to_pylist()
