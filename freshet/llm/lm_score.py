@@ -39,7 +39,7 @@ from .common import arrow_rows, cut, drop_cut, release, table
 #: Tokens of a block, about, and blocks and vocabulary of a group, about: a task begins another one beyond them.
 BLOCK_TOKENS, GROUP_BLOCKS, GROUP_WORDS = 1_000_000, 3, 300_000
 #: Bytes of texts whose words are listed at once, about.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: Tokens whose pairs are in a bucket, about.
 BUCKET = 1_000_000
 #: A context is dealt by octaves from this share of all tokens on, and from HOT_LEAST tokens.
@@ -438,8 +438,8 @@ def together(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Record
     for batch in batches:
         held.append(batch)
         if sum(b.column(text).nbytes for b in held) >= TOGETHER:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
+            whole, held = pa.Table.from_batches(held).combine_chunks(), []
+            yield from whole.to_batches()
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -511,6 +511,7 @@ def gather(docs: DataFrame) -> DataFrame:
                         yield from flush()
                         numbers, blocks, packed, train, group = fresh(), [], [], np.zeros(0, np.int64), group + 1
                         held[:] = -1
+            del batch, known, places, held  # before the next ones are made
         if parts:
             end_block()
         if blocks:
