@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +40,8 @@ from .common import arrow_rows, cut, drop_cut, release, table
 BLOCK_TOKENS, GROUP_BLOCKS, GROUP_WORDS = 1_000_000, 3, 300_000
 #: Bytes of texts whose words are listed at once, about.
 TOGETHER = 1 << 21
+#: Words of groups that are packed at once, about; one for each group that has the word.
+PLACES = 1 << 19
 #: Tokens whose pairs are in a bucket, about.
 BUCKET = 1_000_000
 #: A context is dealt by octaves from this share of all tokens on, and from HOT_LEAST tokens.
@@ -559,6 +561,50 @@ def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return byte_strings(coded.dictionary), coded.indices.to_numpy(), ends
 
 
+def deal_words(batches: Iterator[pa.RecordBatch], bytes_: Bytes, spelling: Mixer) -> Iterator[pa.RecordBatch]:
+    """(token, rank, places) to the words of groups: block, packed (rank and number of each) and costs of those without a rank.
+
+    A row is what a group has of some PLACES words, so that no row of a word and group is made."""
+    held, many = [], 0
+    for batch in batches:
+        rank, cost = batch.column(1).to_numpy(), np.zeros(len(batch))
+        unknown = np.flatnonzero(rank == 0)
+        if len(unknown):
+            tokens = byte_strings(batch.column(0).take(pa.array(unknown)))
+            cost[unknown] = bytes_.log10([b"" if t == b" " else t for t in tokens], spelling)
+        places = batch.column(2).flatten()
+        row = np.repeat(np.arange(len(rank)), pc.list_value_length(batch.column(2)).to_numpy())
+        held.append((places.field("block").to_numpy(), places.field("id").to_numpy(), rank[row], cost[row]))
+        many += len(row)
+        if many >= PLACES:
+            yield pack_words(*map(np.concatenate, zip(*held)))
+            held, many = [], 0
+    if many:
+        yield pack_words(*map(np.concatenate, zip(*held)))
+
+
+def pack_words(block: np.ndarray, number: np.ndarray, rank: np.ndarray, cost: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(block, kind="stable")
+    block, number, rank, cost = block[order], number[order], rank[order], cost[order]
+    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    widths, planes = _planes([_steps(rank, starts), number])
+    pack = zstandard.ZstdCompressor(level=3)
+    edges = [*starts.tolist(), len(block)]
+    packed = [widths + pack.compress(planes[:, a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+    costs = [cost[a:b][rank[a:b] == 0].tobytes() for a, b in zip(edges, edges[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(packed, pa.binary()), pa.array(costs, pa.binary())], ["block", "packed", "costs"])
+
+
+def words_of(packed: list[bytes], costs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rank and cost of a group's words by their numbers, from all rows that `pack_words` made of it."""
+    sizes, (step, number) = _of_planes(packed, 2)
+    given = _of_steps(step, sizes)
+    rank, cost = np.zeros(len(number), np.int64), np.zeros(len(number))
+    rank[number] = given
+    cost[number[given == 0]] = np.frombuffer(b"".join(costs), np.float64)
+    return rank, cost
+
+
 class Block:
     """The tokens of a block in order, and its different pairs (previous word, word)."""
 
@@ -578,24 +624,23 @@ class Block:
         pair, self.of_pair = np.unique(before, return_inverse=True)
         del before
         before, after = np.divmod(pair, wide)
+        del pair
         self.word, self.word_n = self.rank[after], self.n[after]
         self.context, self.context_n = np.append(self.rank, words.different + 1)[before], np.append(self.n, 0)[before]
 
     @classmethod
-    def of(cls, row: dict, words: Words) -> Iterator[Block]:
-        """The blocks of a group."""
+    def of(cls, row: dict, words: Words) -> Iterator[tuple[int, Block]]:
+        """The blocks of a group with their numbers. Nothing here holds one that the caller has let go."""
         known = row["vocabulary"]
-        rank, cost = np.zeros(len(known), np.int64), np.zeros(len(known))
-        at = known.field("id").to_numpy()
-        rank[at], cost[at] = known.field("rank").to_numpy(), known.field("cost").to_numpy()
+        rank, cost = words_of(known.field("packed").to_pylist(), known.field("costs").to_pylist())
         n = words.count_of(rank)
         for i, ids in enumerate(row["ids"]):
-            yield cls(row["docs"][i].values, ids, rank, n, cost, words)
+            yield i, cls(row["docs"][i].values, ids, rank, n, cost, words)
 
     def counts(self) -> list[np.ndarray]:
         """Training tokens of each pair, of either half."""
         half = np.repeat(self.docs.field("half").to_numpy(), self.sizes)
-        return [np.bincount(self.of_pair[half == h], minlength=len(self.word)) for h in (0, 1)]
+        return [np.bincount(self.of_pair[half == h], minlength=len(self.word)).astype(np.int32) for h in (0, 1)]
 
 
 class Pairs:
@@ -605,30 +650,45 @@ class Pairs:
         context, rank = block.context, block.word
         hot = (context == 0) | (context > words.different) | (block.context_n >= max(HOT_LEAST, words.total // HOT))
         cold, warm, lower = np.flatnonzero(~hot), np.flatnonzero(hot), np.flatnonzero(hot & (rank > 0))
-        octave = words.octave(rank)
-        self.pair = np.concatenate([cold, warm, lower])
-        self.part = np.repeat(np.array([0, 1, 2]), [len(cold), len(warm), len(lower)])
+        del hot
+        octave = words.octave(rank).astype(np.int8)
+        self.part = np.repeat(np.array([0, 1, 2], np.int8), [len(cold), len(warm), len(lower)])
         # a part's context: the word, and the octave of the word that follows from 1 on
-        self.context = np.concatenate([context[cold], context[warm], context[lower]]) * 64 + np.concatenate([np.zeros(len(cold) + len(warm), np.int64), octave[lower] + 1])
-        self.rank = np.concatenate([rank[cold], np.where(rank[warm] > 0, np.int64(1) << octave[warm], 0), rank[lower]])
-        self.bucket = (_mix(self.context.astype(np.uint64) * _M) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(self.bucket, kind="stable") if buckets > 60_000 else np.argsort(self.bucket.astype(np.uint16), kind="stable")
+        self.context = np.concatenate([context[cold], context[warm], context[lower]])
+        self.context *= 64
+        self.context[len(cold) + len(warm) :] += octave[lower] + 1
+        self.rank = np.concatenate([rank[cold], np.where(rank[warm] > 0, np.int64(1) << octave[warm].astype(np.int64), 0), rank[lower]])
+        self.pair = np.concatenate([x.astype(np.int32) for x in (cold, warm, lower)])
+        del cold, warm, lower, octave
+        self.bucket = (_mix(self.context.astype(np.uint64) * _M) % np.uint64(buckets)).astype(np.uint16 if buckets <= 60_000 else np.int64)
+        self.order = np.argsort(self.bucket, kind="stable").astype(np.int32)
         self.pair = self.pair[self.order]
 
     def sent(self, group: int, number: int, counts: list[np.ndarray], single: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """A packed row a bucket. counts: tokens of each pair by half. single: pairs of a word that training has once."""
+        """A packed row a bucket, and the end of these pairs. counts: tokens of each pair by half. single: pairs of a word that training has once."""
         if not len(self.order):
             return
         pack = zstandard.ZstdCompressor(level=3)
-        bucket, context, rank, part = (v[self.order] for v in (self.bucket, self.context, self.rank, self.part))
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        step = np.diff(context, prepend=0)
-        step[starts] = context[starts]
-        widths, planes = _planes([(step << 1) ^ (step >> 63), rank, *(n[self.pair] for n in counts), part + 4 * single[self.pair]])
-        starts, ends = starts.tolist(), [*starts[1:].tolist(), len(bucket)]
+        self.bucket = self.bucket[self.order]
+        starts = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]]))
+        bucket = self.bucket[starts].astype(np.int32)
+
+        def columns() -> Iterator[np.ndarray]:
+            """One after another, each in the place of what it is made of."""
+            self.context = self.context[self.order]
+            yield _steps(self.context, starts)
+            self.context = self.bucket = None
+            yield self.rank[self.order]
+            self.rank = None
+            while counts:
+                yield counts.pop(0)[self.pair]
+            yield self.part[self.order] + np.int8(4) * single[self.pair]
+
+        widths, planes = _planes(columns())
+        starts, ends = starts.tolist(), [*starts[1:].tolist(), len(self.order)]
         for at in range(0, len(starts), 64):
             rows = [widths + pack.compress(planes[:, a:b].tobytes()) for a, b in zip(starts[at : at + 64], ends[at : at + 64])]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts[at : at + 64]], pa.int32()), pa.array([group] * len(rows), pa.int64()), pa.array([number] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "block", "number", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at : at + 64]), pa.array([group] * len(rows), pa.int64()), pa.array([number] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "block", "number", "packed"])
 
     def scores(self, told: list[bytes], pairs: int) -> np.ndarray:
         """Each pair's score from what the buckets tell, in their order."""
@@ -641,22 +701,42 @@ class Pairs:
 COLUMNS = 5
 
 
-def _planes(columns: list[np.ndarray]) -> tuple[bytes, np.ndarray]:
+def _steps(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The difference of each number to the one before in its row, its sign last; of a row's first the number itself."""
+    step = np.diff(x, prepend=0)
+    step[starts] = x[starts]
+    sign = step >> 63
+    step <<= 1
+    step ^= sign
+    return step
+
+
+def _of_steps(step: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """The numbers of which `_steps` made these, given the rows' sizes."""
+    step = (step >> 1) ^ -(step & 1)
+    out, starts = np.cumsum(step), np.cumsum(sizes) - sizes
+    out -= np.repeat(out[starts] - step[starts], sizes)
+    return out
+
+
+def _planes(columns: Iterable[np.ndarray]) -> tuple[bytes, np.ndarray]:
     """Whole numbers from 0 on by places of their bytes, which compress better: how many each column needs, and a row for each."""
-    widths = [max(1, (int(c.max(initial=0)).bit_length() + 7) // 8) for c in columns]
-    out, at = np.empty((sum(widths), len(columns[0])), np.uint8), 0
-    for column, width in zip(columns, widths):
-        out[at : at + width] = column.astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T
-        at += width
-    return bytes(widths), out
+    parts = []
+    for column in columns:
+        width = max(1, (int(column.max(initial=0)).bit_length() + 7) // 8)
+        parts.append(np.empty((width, len(column)), np.uint8))
+        places = column.view(np.uint8).reshape(len(column), -1)
+        parts[-1][: places.shape[1]] = places[:, :width].T
+        del column, places
+    return bytes(map(len, parts)), np.concatenate(parts)
 
 
-def _of_planes(packed: list[bytes]) -> tuple[list[int], list[np.ndarray]]:
+def _of_planes(packed: list[bytes], columns: int = COLUMNS) -> tuple[list[int], list[np.ndarray]]:
     """How many numbers each of some packed rows has, and the columns of all of them, one row after another."""
     unpack = zstandard.ZstdDecompressor()
-    parts = [np.frombuffer(unpack.decompress(x[COLUMNS:]), np.uint8).reshape(sum(x[:COLUMNS]), -1) for x in packed]
+    parts = [np.frombuffer(unpack.decompress(x[columns:]), np.uint8).reshape(sum(x[:columns]), -1) for x in packed]
     sizes = [x.shape[1] for x in parts]
-    wide = bytes(map(max, zip(*(x[:COLUMNS] for x in packed))))
+    wide = bytes(map(max, zip(*(x[:columns] for x in packed))))
     first = np.cumsum([0, *wide]).tolist()
     whole, at = np.zeros((sum(wide), sum(sizes)), np.uint8), 0
     for x, part, size in zip(packed, parts, sizes):
@@ -664,17 +744,18 @@ def _of_planes(packed: list[bytes]) -> tuple[list[int], list[np.ndarray]]:
             whole[:, at : at + size] = part
         else:
             row = 0
-            for i, width in enumerate(x[:COLUMNS]):
+            for i, width in enumerate(x[:columns]):
                 whole[first[i] : first[i] + width, at : at + size] = part[row : row + width]
                 row += width
         at += size
-    columns = []
+    del parts
+    out = []
     for a, b in zip(first, first[1:]):
         column = whole[a].astype(np.int64)
         for j in range(a + 1, b):
             column |= whole[j].astype(np.int64) << np.int64(8 * (j - a))
-        columns.append(column)
-    return sizes, columns
+        out.append(column)
+    return sizes, out
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -693,9 +774,8 @@ class Bucket:
     def __init__(self, packed: list[bytes], words: Words, less: int = 0) -> None:
         """less: 1 predicts a word by the counts of all tokens as if it had been met once less."""
         self.sizes, (step, rank, *given, part) = _of_planes(packed)
-        step = (step >> 1) ^ -(step & 1)
-        context, starts = np.cumsum(step), np.cumsum(self.sizes) - self.sizes
-        context -= np.repeat(context[starts] - step[starts], self.sizes)
+        context = _of_steps(step, self.sizes)
+        del step
         part, single = part & 3, part >> 2
         self.words = words
         place = words.place(rank)
@@ -840,17 +920,13 @@ def count_corpus(docs: DataFrame) -> Corpus:
     bytes_, spelling = byte_model(vocabulary.where("n > 0"))
     sent = spark.sparkContext.broadcast((bytes_, spelling))
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = byte_strings(batch.column(0))
-            cost = sent.value[0].log10([b"" if t == b" " else t for t in tokens], sent.value[1])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cost)], ["places", "cost"])
-
-    kind = "places array<struct<block: long, id: int>>, cost double"
-    unknown = vocabulary.where("n = 0").select("token", "places").mapInArrow(spell, kind).select(F.explode("places").alias("p"), F.lit(0).cast("long").alias("rank"), "cost")
-    known = vocabulary.where("n > 0").select(F.explode("places").alias("p"), "rank", F.lit(0.0).alias("cost"))
-    met = known.unionByName(unknown).groupBy("p.block").agg(F.collect_list(F.struct("p.id", "rank", "cost")).alias("vocabulary"))
-    coded = cut(gathered.where("docs IS NOT NULL").select("block", "docs", "ids").join(met.hint("merge"), "block"), "coded")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from deal_words(batches, *sent.value)
+
+    with arrow_rows(spark, 1024):  # a word has as many places as groups that know it
+        packed = vocabulary.select("token", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"), "places").mapInArrow(deal, "block long, packed binary, costs binary")
+        met = packed.groupBy("block").agg(F.collect_list(F.struct("packed", "costs")).alias("vocabulary"))
+        coded = cut(gathered.where("docs IS NOT NULL").select("block", "docs", "ids").join(met.hint("merge"), "block"), "coded")
     drop_cut(gathered)
     drop_cut(vocabulary)
     tokens = coded.select(F.explode(F.flatten("docs")).alias("d")).select("d.n_tokens").toDF("n").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -860,8 +936,11 @@ def count_corpus(docs: DataFrame) -> Corpus:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            for number, block in enumerate(Block.of(row, shared.value)):
-                yield from Pairs(block, shared.value, buckets).sent(row["block"], number, block.counts(), block.word_n == 1)
+            for number, block in Block.of(row, shared.value):
+                pairs, counts, single = Pairs(block, shared.value, buckets), block.counts(), block.word_n == 1
+                del block  # before its pairs are packed, as those are before the next block is read
+                yield from pairs.sent(row["block"], number, counts, single)
+                del pairs
 
     with arrow_rows(spark, 1):
         rows = coded.mapInArrow(send, "bucket int, block long, number int, packed binary")
@@ -916,13 +995,14 @@ def score_corpus(corpus: Corpus, mixer: Mixer) -> DataFrame:
             told: dict[int, list[bytes]] = defaultdict(list)
             for number, packed in zip(row["number"], row["told"]):
                 told[number].append(packed)
-            for number, block in enumerate(Block.of(row, words)):
+            for number, block in Block.of(row, words):
                 each = Pairs(block, words, buckets).scores(told.pop(number), len(block.word))
                 base = np.log10(block.n + 1.0) - base_of
                 score = np.add.reduceat(each[block.of_pair] + block.cost[block.ids], block.first)
                 known = np.add.reduceat((block.n > 0)[block.ids].astype(np.int64), block.first)
                 bits = -score / np.log10(2) / np.maximum(block.docs.field("n_bytes").to_numpy(), 1)
                 columns = [block.docs.field("doc_id"), pa.array(block.docs.field("half").to_numpy() < 0), pa.array(block.sizes), pa.array(known), pa.array(np.add.reduceat(base[block.ids], block.first)), pa.array(score), pa.array(bits)]
+                del block, each, base, score, known, bits  # before the next one is read
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     with arrow_rows(spark, 1):

@@ -3,10 +3,13 @@
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from freshet.llm import lm_score as L
 
@@ -162,3 +165,66 @@ def test_partitions_do_not_matter(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+def test_words_of_a_group_come_back_whole(monkeypatch):
+    """Whatever number of words is packed at once, each group gets the rank or the spelled cost of each of its words."""
+    r = random.Random(8)
+    mixer, bytes_ = L.Mixer(), L.Bytes(np.arange(0), np.arange(0))
+    words = [(f"w{k}é".encode(), k + 1 + 70_000 * (k > 200) if k < 300 else 0) for k in range(400)]
+    members = {g << 24: [k for k in range(400) if g in (0, 4) or k % (g + 1) == 0] for g in range(6)}
+    places, want = collections.defaultdict(list), {}
+    for g, own in members.items():
+        r.shuffle(own)
+        for i, k in enumerate(own):
+            places[k].append({"block": g, "id": i})
+            want[g, i] = (words[k][1], 0.0 if words[k][1] else float(bytes_.log10([words[k][0]], mixer)[0]))
+    columns = [pa.array(c, t) for c, t in zip([*zip(*words), [places[k] for k in range(400)]], (pa.binary(), pa.int64(), pa.list_(pa.struct([("block", pa.int64()), ("id", pa.int32())]))))]
+    table = pa.table(columns, ["token", "rank", "places"])
+    for at_once in (1, 300, 1 << 20):
+        monkeypatch.setattr(L, "PLACES", at_once)
+        found = collections.defaultdict(list)
+        for batch in L.deal_words(iter(table.to_batches(37)), bytes_, mixer):
+            for row in batch.to_pylist():
+                found[row["block"]].append(row)
+        for g, parts in found.items():
+            r.shuffle(parts)
+            rank, cost = L.words_of([x["packed"] for x in parts], [x["costs"] for x in parts])
+            assert [*zip(rank.tolist(), cost.tolist())] == [want[g, i] for i in range(len(members[g]))]
+        assert found.keys() == members.keys()
+    assert sum(map(len, found.values())) == len(members)
+
+
+def test_groups_do_not_get_a_row_a_word(spark):
+    """A group's words are gathered in one row of the JVM: packed, a few parts from each task, not an object for each word."""
+    counted = L.count_corpus(spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3))
+    groups = counted.coded.selectExpr("block", "size(vocabulary) AS parts", "flatten(transform(docs, x -> x.n_tokens)) AS n").collect()
+    assert len(groups) == 3
+    for g in groups:
+        assert sum(g.n) > 500 and g.parts <= 8
+
+
+def test_memory_of_a_block():
+    """At most that many bytes a token, from the numbers of a block to its packed pairs."""
+    r = np.random.default_rng(2)
+    n, kinds = 400_000, 100_000
+    words = L.Words(np.array([9, 4, 1]), np.array([kinds // 10, kinds // 2, kinds - kinds // 10 - kinds // 2]))
+    rank = r.permutation(kinds + 500)
+    rank = np.where(rank > kinds, 0, rank)
+    ids = (r.random(n) ** 3 * len(rank)).astype(np.int32)
+    packed = zstandard.ZstdCompressor().compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes())
+    half = r.integers(-1, 2, 1000).astype(np.int32)
+    docs = pa.StructArray.from_arrays([pa.array(np.arange(1000)), pa.array(half), pa.array(np.full(1000, 9)), pa.array(np.full(1000, n // 1000))], ["doc_id", "half", "n_bytes", "n_tokens"])
+    count = words.count_of(rank)
+    del ids
+    tracemalloc.start()
+    try:
+        block = L.Block(docs, packed, rank, count, np.zeros(len(rank)), words)
+        pairs, counts, single = L.Pairs(block, words, 20), block.counts(), block.word_n == 1
+        different = len(block.word)
+        del block
+        sent = sum(map(len, pairs.sent(5, 0, counts, single)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent == 20 and different > n // 2 and peak < 120 * n
