@@ -44,6 +44,8 @@ TOGETHER = 1 << 21
 PLACES = 1 << 19
 #: Tokens whose pairs are in a bucket, about.
 BUCKET = 1_000_000
+#: Pairs of a bucket, as they were sent, that are worked on at once, about.
+SLICE = 1 << 18
 #: A context is dealt by octaves from this share of all tokens on, and from HOT_LEAST tokens.
 HOT, HOT_LEAST = 1024, 64
 #: States of a context: all counts (own, other) of up to EXACT in sum, then 4 steps of size by 31 of ratio.
@@ -732,7 +734,7 @@ def _planes(columns: Iterable[np.ndarray]) -> tuple[bytes, np.ndarray]:
 
 
 def _of_planes(packed: list[bytes], columns: int = COLUMNS) -> tuple[list[int], list[np.ndarray]]:
-    """How many numbers each of some packed rows has, and the columns of all of them, one row after another."""
+    """How many numbers each of some packed rows has, and the columns of all of them, one row after another, as narrow as they may be."""
     unpack = zstandard.ZstdDecompressor()
     parts = [np.frombuffer(unpack.decompress(x[columns:]), np.uint8).reshape(sum(x[:columns]), -1) for x in packed]
     sizes = [x.shape[1] for x in parts]
@@ -751,9 +753,10 @@ def _of_planes(packed: list[bytes], columns: int = COLUMNS) -> tuple[list[int],
     del parts
     out = []
     for a, b in zip(first, first[1:]):
-        column = whole[a].astype(np.int64)
+        kind = np.int16 if b - a < 2 else np.int32 if b - a < 4 else np.int64
+        column = whole[a].astype(kind)
         for j in range(a + 1, b):
-            column |= whole[j].astype(np.int64) << np.int64(8 * (j - a))
+            column |= whole[j].astype(kind) << kind(8 * (j - a))
         out.append(column)
     return sizes, out
 
@@ -764,18 +767,15 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((x & 0xFFFFFFFF).astype(np.float64))[1])
 
 
-class Bucket:
+class Contexts:
     """All pairs of some contexts: the different ones, and the state of the context at each of their decisions.
 
     Pairs of a context are sorted by the bits of their words, so that a node of the code is a stretch of them; going down
     the code, a stretch's sum is the node's count, and that of the part which goes on alike the own outcome's.
     """
 
-    def __init__(self, packed: list[bytes], words: Words, less: int = 0) -> None:
-        """less: 1 predicts a word by the counts of all tokens as if it had been met once less."""
-        self.sizes, (step, rank, *given, part) = _of_planes(packed)
-        context = _of_steps(step, self.sizes)
-        del step
+    def __init__(self, context: np.ndarray, rank: np.ndarray, given: list[np.ndarray], part: np.ndarray, words: Words, less: int) -> None:
+        """Of pairs as blocks sent them. given: tokens of either half."""
         part, single = part & 3, part >> 2
         self.words = words
         place = words.place(rank)
@@ -879,8 +879,8 @@ class Bucket:
         rest = np.flatnonzero((n > 0) & (self.rest > 0))
         yield cell_of(np.full(len(rest), RANK, np.int32), step_of(np.float32(0)), of_rest[rest], NONE), (n - once)[rest] * self.rest[rest]
 
-    def scores(self, mixer: Mixer) -> list[np.ndarray]:
-        """log10 probability of the word of each pair, as its block sent it."""
+    def scores(self, mixer: Mixer) -> np.ndarray:
+        """log10 probability of the word of each pair, as it was sent."""
         states, of_rest = self.states(self.n[0] + self.n[1], self.once[0] + self.once[1])
         rows = self.by_size(np.arange(len(self.rank)))
         each = np.zeros(len(rows))
@@ -890,8 +890,41 @@ class Bucket:
         total[rows] = each
         rest = np.flatnonzero(self.rest)
         total[rest] += mixer.log10(np.full(len(rest), RANK, np.int32), np.zeros(len(rest), np.float32), of_rest[rest]) * self.rest[rest]
-        edges = np.cumsum([0, *self.sizes])
-        return [total[self.of[a:b]].astype(np.float32) for a, b in zip(edges, edges[1:])]
+        return total.astype(np.float32)[self.of]
+
+
+class Bucket:
+    """What blocks sent to a bucket. Contexts do not need each other, so a slice of them is worked on after another."""
+
+    def __init__(self, packed: list[bytes], words: Words, less: int = 0) -> None:
+        """less: 1 predicts a word by the counts of all tokens as if it had been met once less."""
+        self.sizes, (step, self.rank, *self.given, self.part) = _of_planes(packed)
+        self.context = _of_steps(step, self.sizes)
+        self.words, self.less = words, less
+
+    def slices(self) -> Iterator[tuple[np.ndarray, Contexts]]:
+        """Places of some pairs, and these; all of a context are together. Nothing here holds what the caller has let go."""
+        slices = -(-len(self.rank) // SLICE)
+        dealt = ((_mix(self.context.astype(np.uint64) * _M) >> np.uint64(32)) % np.uint64(max(1, slices))).astype(np.uint16)
+        edges = np.cumsum([0, *np.bincount(dealt, minlength=slices)]).tolist()
+        order = np.argsort(dealt, kind="stable")
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                context, rank, *given, part = (v[order[a:b]].astype(np.int64) for v in (self.context, self.rank, *self.given, self.part))
+                yield order[a:b], Contexts(context, rank, given, part, self.words, self.less)
+
+    def cells(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, contexts in self.slices():
+            yield from contexts.cells()
+            del contexts
+
+    def scores(self, mixer: Mixer) -> list[np.ndarray]:
+        """log10 probability of the word of each pair, as its block sent it."""
+        out = np.empty(len(self.rank), np.float32)
+        for at, contexts in self.slices():
+            out[at] = contexts.scores(mixer)
+            del contexts
+        return np.split(out, np.cumsum(self.sizes)[:-1])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -228,3 +228,42 @@ def test_memory_of_a_block():
     finally:
         tracemalloc.stop()
     assert sent == 20 and different > n // 2 and peak < 120 * n
+
+
+def packed_blocks(words, n, blocks):
+    r = np.random.default_rng(3)
+    kinds, out = words.different, []
+    for _ in range(blocks):
+        pair = np.unique((r.random(n) ** 2 * kinds).astype(np.int64) * (kinds + 1) + (r.random(n) ** 2 * (kinds + 1)).astype(np.int64))
+        context, rank = np.divmod(pair, kinds + 1)
+        octave = words.octave(rank)
+        part = np.where(context % 50 == 1, 2, 0) * (rank > 0)
+        counts = [r.integers(0, 4, len(pair)) for _ in range(2)]
+        columns = [L._steps(context * 64 + np.where(part == 2, octave + 1, 0), np.array([0])), rank, *counts, part + 4 * (words.count_of(rank) == 1)]
+        widths, planes = L._planes(columns)
+        out.append(widths + zstandard.ZstdCompressor().compress(planes.tobytes()))
+    return out
+
+
+def test_slices_of_a_bucket_do_not_matter(monkeypatch):
+    words = L.Words(np.array([9, 4, 1]), np.array([60, 200, 400]))
+    packed, mixer, found = packed_blocks(words, 4000, 3), L.Mixer(), []
+    for at_once in (1 << 30, 3000, 7):
+        monkeypatch.setattr(L, "SLICE", at_once, raising=False)
+        total = L.tally(iter(L.Bucket(packed, words, 1).cells()))
+        found.append(([x.tolist() for x in L.Bucket(packed, words).scores(mixer)], total.to_pydict()))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == 3 and len(found[0][1]["n"]) > 100
+
+
+def test_memory_of_a_bucket():
+    """At most that many bytes a pair, from the packed pairs of a bucket to their scores."""
+    words = L.Words(np.array([9, 4, 1]), np.array([10_000, 50_000, 40_000]))
+    packed, mixer = packed_blocks(words, 300_000, 4), L.Mixer()
+    mixer._tables()
+    tracemalloc.start()
+    try:
+        pairs = sum(map(len, L.Bucket(packed, words).scores(mixer)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pairs > 1_000_000 and peak < 150 * pairs, peak / pairs
