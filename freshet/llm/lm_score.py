@@ -172,7 +172,12 @@ def step_of(x: np.ndarray) -> np.ndarray:
 
 def cell_of(kind: np.ndarray, step: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Number of a joint state: kind of decision, step of the first logit, and both contexts' states."""
-    return ((kind * np.int32(LOGITS) + step) * STATES + one) * STATES + two
+    return word_cell(kind, step, one) * STATES + two
+
+
+def word_cell(kind: np.ndarray, step: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The same of words, which have no second context."""
+    return (kind * np.int32(LOGITS) + step) * STATES + one
 
 
 def learn(cell: np.ndarray, n: np.ndarray, epochs: int = 30, batch: int = 512, rate: float = 0.05) -> Mixer:
@@ -207,15 +212,12 @@ def learn(cell: np.ndarray, n: np.ndarray, epochs: int = 30, batch: int = 512, r
 
 
 def tally(cells: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Joint states met, and how often, from states and numbers of tokens."""
-    total = np.zeros(KINDS * LOGITS * STATES * STATES, np.int64)
+    """Joint states met, and how often, from those of words, as `word_cell` numbers them, and numbers of tokens."""
+    total = np.zeros(KINDS * LOGITS * STATES, np.int64)
     for cell, n in cells:
-        if len(cell) * 8 > len(total):
-            total += np.bincount(cell, weights=n, minlength=len(total)).astype(np.int64)
-        else:
-            np.add.at(total, cell, n)
+        total += np.bincount(cell, weights=n, minlength=len(total)).astype(np.int64)
     at = np.flatnonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(at * STATES + NONE), pa.array(total[at])], ["cell", "n"])
 
 
 def learn_from(counted: DataFrame) -> Mixer:
@@ -873,11 +875,11 @@ class Contexts:
         rows = self.by_size(np.flatnonzero(n > 0))
         known = (n - once)[rows]
         for kind, step, one in self.walk(states, rows, step_of(self.first_logits)):
-            yield cell_of(kind, step, one, NONE), known[: len(one)]
+            yield word_cell(kind, step, one), known[: len(one)]
         alone = np.flatnonzero(self.flag & (once > 0))
-        yield cell_of(np.full(len(alone), FLAG, np.int32), step_of(np.float32(less)), MIRROR[states[self.start[alone]]], NONE), once[alone]
+        yield word_cell(np.full(len(alone), FLAG, np.int32), step_of(np.float32(less)), MIRROR[states[self.start[alone]]]), once[alone]
         rest = np.flatnonzero((n > 0) & (self.rest > 0))
-        yield cell_of(np.full(len(rest), RANK, np.int32), step_of(np.float32(0)), of_rest[rest], NONE), (n - once)[rest] * self.rest[rest]
+        yield word_cell(np.full(len(rest), RANK, np.int32), step_of(np.float32(0)), of_rest[rest]), (n - once)[rest] * self.rest[rest]
 
     def scores(self, mixer: Mixer) -> np.ndarray:
         """log10 probability of the word of each pair, as it was sent."""
@@ -907,7 +909,7 @@ class Bucket:
         slices = -(-len(self.rank) // SLICE)
         dealt = ((_mix(self.context.astype(np.uint64) * _M) >> np.uint64(32)) % np.uint64(max(1, slices))).astype(np.uint16)
         edges = np.cumsum([0, *np.bincount(dealt, minlength=slices)]).tolist()
-        order = np.argsort(dealt, kind="stable")
+        order = np.argsort(dealt, kind="stable").astype(np.int32)
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 context, rank, *given, part = (v[order[a:b]].astype(np.int64) for v in (self.context, self.rank, *self.given, self.part))
