@@ -48,6 +48,12 @@ UNIT_SPELLINGS = {
 UNIT_ALIASES = {spelling: unit for unit, spellings in UNIT_SPELLINGS.items() for spelling in spellings.split()}
 
 
+def ieee_divide(a: Column, b: Column) -> Column:
+    """a / b of doubles, with an infinity or NaN where b is 0, as SQL engines with IEEE division give."""
+    zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(float("nan"))
+    return F.when(b == 0, F.when(a.isNotNull(), F.when(F.isnan(a), float("nan")).otherwise(zero))).otherwise(a / b)
+
+
 def finite(value: Column) -> Column:
     """NULL in place of NaN and infinities."""
     v = value.cast("double")
