@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -191,17 +192,33 @@ def return_levels(x: np.ndarray, periods: np.ndarray, dist: str = "gumbel") -> n
         loc, scale, shape = gev_lmoments(x)
         return loc + scale * (y if shape == 0 else (np.exp(shape * y) - 1) / shape)
     if dist == "lp3":
-        if (x <= 0).any():
-            return np.full(len(periods), np.nan)
-        logs = np.log10(x)
-        n, m, s = len(x), logs.mean(), logs.std(ddof=1)
-        skew = n * ((logs - m) ** 3).sum() / ((n - 1) * (n - 2) * s**3)
-        z = normal_quantile(1 - 1 / np.asarray(periods, float))
-        k = z if abs(skew) < 1e-9 else 2 / skew * ((np.maximum((z - skew / 6) * skew / 6 + 1, 0)) ** 3 - 1)
-        return 10 ** (m + k * s)
+        return log_pearson_levels(x[None, :], periods)[0]
     raise ValueError(f"unknown distribution {dist}")
 
 
+def log_pearson_levels(samples: np.ndarray, periods: np.ndarray) -> np.ndarray:
+    """Log-Pearson III levels by moments of logarithms, a row a sample; NaN for too few, constant or not positive values."""
+    x = np.asarray(samples, float)
+    n = x.shape[1]
+    out = np.full((len(x), len(periods)), np.nan)
+    good = (np.ptp(x, axis=1) != 0) & (x > 0).all(axis=1) if n >= 5 else np.zeros(len(x), bool)
+    if not good.any():
+        return out
+    logs = np.log10(x[good])
+    m, s = logs.mean(axis=1), logs.std(axis=1, ddof=1)
+    skew = (n * ((logs - m[:, None]) ** 3).sum(axis=1) / ((n - 1) * (n - 2) * s**3))[:, None]
+    z = log_pearson_z(tuple(np.asarray(periods, float).tolist()))
+    with np.errstate(all="ignore"):
+        k = np.where(np.abs(skew) < 1e-9, z, 2 / skew * ((np.maximum((z - skew / 6) * skew / 6 + 1, 0)) ** 3 - 1))
+    out[good] = 10 ** (m[:, None] + k * s[:, None])
+    return out
+
+
+@lru_cache(maxsize=64)
+def log_pearson_z(periods: tuple[float, ...]) -> np.ndarray:
+    return normal_quantile(1 - 1 / np.array(periods))
+
+
 def mann_kendall_p(s: int, n: int, ties: list[int]) -> float:
     """Two-sided p of the statistic S: exact without ties up to 40 values, else normal with tie and continuity corrections."""
     if n < 2:

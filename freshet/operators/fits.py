@@ -149,20 +149,29 @@ def flood_frequency(maxima: DataFrame, dist: str = "gumbel", periods: tuple[int,
     """Return levels fitted to complete years (Gumbel by likelihood, GEV by L-moments, log-Pearson III by moments of logs),
     with percentile intervals of a parametric-free bootstrap that always hold the estimate."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, t = np.sort(frame["annual_max"].to_numpy(float)), np.array(periods)
-        site = frame[key].iloc[0]
+    t, tail = np.array(periods), (1 - level) / 2
+
+    def site_levels(site, maxima) -> tuple:
+        x = np.sort(np.array(maxima, float))
         best = np.maximum.accumulate(N.return_levels(x, t, dist))
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}|{site}".encode()).digest()[:8], "big"))
-        draws = np.array([N.return_levels(rng.choice(x, len(x)), t, dist) for _ in range(resamples)]) if len(x) >= 5 else np.full((1, len(t)), np.nan)
-        tail = (1 - level) / 2
+        if dist == "lp3":  # all draws at once
+            draws = N.log_pearson_levels(x[rng.integers(0, len(x), (resamples, len(x)))], t)
+        else:
+            draws = np.array([N.return_levels(rng.choice(x, len(x)), t, dist) for _ in range(resamples)])
         with np.errstate(all="ignore"):
-            low, high = np.nanquantile(draws, tail, axis=0), np.nanquantile(draws, 1 - tail, axis=0)
-        return pd.DataFrame({key: site, "return_period": t, "level": best, "ci_low": np.fmin(low, best), "ci_high": np.fmax(high, best), "n_years": len(x)})
+            low, high = np.nanquantile(draws, [tail, 1 - tail], axis=0)
+        return best, np.fmin(low, best), np.fmax(high, best)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            each = [site_levels(site, maxima) for site, maxima in zip(frame[key], frame["x"])]
+            best, low, high = (np.concatenate([e[i] for e in each]) if each else np.zeros(0) for i in range(3))
+            yield pd.DataFrame({key: frame[key].repeat(len(t)).to_numpy(), "return_period": np.tile(t, len(each)), "level": best, "ci_low": low, "ci_high": high, "n_years": frame["n_years"].repeat(len(t)).to_numpy()})
 
-    t = maxima.schema[key].dataType.simpleString()
-    out = maxima.where("complete").groupBy(key).applyInPandas(run, f"`{key}` {t}, return_period int, level double, ci_low double, ci_high double, n_years int")
-    return out.where("n_years >= 5")
+    kind = maxima.schema[key].dataType.simpleString()
+    sites = maxima.where("complete").groupBy(key).agg(F.collect_list("annual_max").alias("x"), F.count(F.lit(1)).cast("int").alias("n_years")).where("n_years >= 5")
+    return sites.mapInPandas(run, f"`{key}` {kind}, return_period int, level double, ci_low double, ci_high double, n_years int")
 
 
 STATISTICS = {"mean": np.mean, "median": np.median, "std": lambda a, axis: np.std(a, axis=axis, ddof=1), "min": np.min, "max": np.max, "sum": np.sum}
