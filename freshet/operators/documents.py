@@ -16,19 +16,24 @@ RUN_ROOTS = ("key_outputs", "evidence.data", "evidence.uncertainty", "inputs")
 OPEN_KEY = "_uncertainty"
 
 
-def json_leaves(docs: DataFrame, keys: list[str], document: str, most_depth: int | None = None) -> DataFrame:
+#: Levels that a round of json_leaves goes down.
+LEVELS = 6
+
+
+def json_leaves(docs: DataFrame, keys: list[str], document: str, most_depth: int | None = None, lists: bool = True) -> DataFrame:
     """Every leaf of a column of JSON texts: keys, path, depth, in_list, kind, number, text.
 
     path is dotted, list places (from 0) stand in it as numbers: `lines.0.qty`. kind is number, string, boolean or null;
     number and text hold its value (a number's or boolean's text is its JSON). in_list tells whether a list lies on the path,
     depth how many steps it has. A document that is a plain value has one leaf with an empty path; empty objects and lists
-    have none; texts that are no JSON, and NULL, have none. Repeated rows each give their leaves.
+    have none; texts that are no JSON, and NULL, have none. Repeated rows each give their leaves. lists=False leaves out what
+    is in a list, for those who do not read it.
 
-    Documents are parsed once to VARIANT. Each round takes all documents one level down and is written; only what is
-    nested further is carried on, so there are as many rounds as levels (most_depth at most), whatever the number of rows.
+    Documents are parsed once to VARIANT. A round takes all documents LEVELS levels down (to most_depth at most) in one pass
+    and is written; what opens no further is a leaf, and only what may be nested deeper is carried on.
     """
-    parsed = F.try_parse_json(F.col(document))
-    front = docs.select(*keys, parsed.alias("v"), F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(False).alias("in_list")).where("v IS NOT NULL")
+    parsed = F.explode(F.array(F.try_parse_json(F.col(document))))  # a generator's value is made once, whatever reads it
+    front = docs.select(*keys, parsed.alias("v")).select(*keys, "v", F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(False).alias("in_list"), F.lit(False).alias("leaf")).where("v IS NOT NULL")
     names = [*keys, "path", "depth", "in_list", "kind", "number", "text"]
     shape = F.schema_of_variant("v")
     kind = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "VOID", "null").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").otherwise("number")
@@ -36,16 +41,25 @@ def json_leaves(docs: DataFrame, keys: list[str], document: str, most_depth: int
     text = F.when(F.col("kind") == "string", F.try_variant_get("v", "$", "string")).when(F.col("kind") != "null", F.to_json("v"))
     parts, depth = [], 0
     while True:
-        level = written(front.withColumn("kind", kind), "leaves")
-        parts.append(level.where("kind NOT IN ('object', 'array')").select(*keys, "path", "depth", "in_list", "kind", number.alias("number"), text.alias("text")))
-        nested = level.where("kind IN ('object', 'array')")
-        if (most_depth is not None and depth >= most_depth) or nested.isEmpty():
-            break
-        depth += 1
-        kept = ", ".join(f"n.`{k}`" for k in keys)
-        step = "coalesce(e.key, cast(e.pos AS string))"
-        front = nested.sparkSession.sql(f"SELECT {kept}, e.value AS v, CASE WHEN n.path = '' THEN {step} ELSE concat(n.path, '.', {step}) END AS path, n.depth + 1 AS depth, n.in_list OR n.kind = 'array' AS in_list FROM {{nested}} n, LATERAL variant_explode(n.v) AS e", nested=nested)
-    return reduce(DataFrame.unionByName, parts).select(*names)
+        levels = LEVELS if most_depth is None else min(LEVELS, most_depth - depth)
+        for _ in range(levels):
+            front = _opened(front, keys, lists)
+        depth += levels
+        last = F.col("leaf") if depth != most_depth else F.lit(True)
+        each = front.withColumn("kind", F.when(last, kind))
+        level = written(each.select(*keys, "path", "depth", "in_list", F.when(F.col("kind").isNull(), F.col("v")).alias("v"), "kind", number.alias("number"), F.when(F.col("kind").isNotNull(), text).alias("text")), "leaves")
+        parts.append(level.where("kind NOT IN ('object', 'array')").select(*names))
+        front = level.where("kind IS NULL").select(*keys, "v", "path", "depth", "in_list", F.lit(False).alias("leaf"))
+        if depth == most_depth or front.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+
+
+def _opened(front: DataFrame, keys: list[str], lists: bool) -> DataFrame:
+    """Values with what is in them, one level down; what opens to nothing stays, as a leaf (or an empty object or list)."""
+    kept = ", ".join(f"n.`{k}`" for k in keys)
+    step = "coalesce(e.key, cast(e.pos AS string))"
+    inside = "" if lists else "WHERE e.pos IS NULL OR e.key IS NOT NULL"
+    return front.sparkSession.sql(f"SELECT {kept}, CASE WHEN e.pos IS NULL THEN n.v ELSE e.value END AS v, CASE WHEN e.pos IS NULL THEN n.path WHEN n.path = '' THEN {step} ELSE concat(n.path, '.', {step}) END AS path, n.depth + CASE WHEN e.pos IS NULL THEN 0 ELSE 1 END AS depth, n.in_list OR (e.pos IS NOT NULL AND e.key IS NULL) AS in_list, e.pos IS NULL AS leaf FROM {{front}} n, LATERAL variant_explode_outer(CASE WHEN NOT n.leaf THEN n.v END) AS e {inside}", front=front)
 
 
 def json_value(document: Column, path: str, kind: str = "string") -> Column:

@@ -66,3 +66,23 @@ def test_values_at_paths(spark, leaves):
     assert got["b", "1.2.0"][:2] == ("number", 3.0) and got["b", "1.9"] == got["zz", "t"] == (None, None, None)
     row = spark.createDataFrame([(json.dumps(DOCS["a"]),)], "doc string").select(documents.json_value(F.col("doc"), "key_outputs.n.l.1.z"), documents.json_value(F.col("doc"), "key_outputs.n.l.0", "double"), documents.json_value(F.col("doc"), "nowhere.0")).first()
     assert tuple(row) == ("s", 1.0, None)
+
+
+def test_many_levels_in_few_rounds(spark, monkeypatch):
+    """Thirteen levels take three rounds, with what ends at each level, and lists left out where nobody reads them."""
+    rounds, before = [], documents.written
+    monkeypatch.setattr(documents, "written", lambda df, name: (rounds.append(name), before(df, name))[1])
+    deep = "1"
+    for i in range(10):
+        deep = json.dumps({"a": json.loads(deep), f"b{i}": i, "c": [i, {"d": None}], "e": {}, "f": []})
+    df = spark.createDataFrame([("x", deep), ("y", "7"), ("z", "{}"), ("n", None)], "run_id string, doc string")
+    got = {(r.run_id, r.path): (r.depth, r.in_list, r.kind, r.text) for r in documents.json_leaves(df, ["run_id"], "doc").collect()}
+    assert len(rounds) == 3
+    want = {("y", ""): (0, False, "number", "7"), ("x", ".".join("a" * 10)): (10, False, "number", "1")}
+    for i in range(10):
+        at = "a." * (9 - i)
+        want |= {("x", f"{at}b{i}"): (10 - i, False, "number", str(i)), ("x", f"{at}c.0"): (11 - i, True, "number", str(i)), ("x", f"{at}c.1.d"): (12 - i, True, "null", None)}
+    assert got == want
+    flat = documents.json_leaves(df, ["run_id"], "doc", lists=False).collect()
+    assert {(r.run_id, r.path) for r in flat} == {k for k, v in want.items() if not v[1]}
+    assert {(r.run_id, r.path) for r in documents.json_leaves(df, ["run_id"], "doc", most_depth=7).collect()} == {k for k, v in want.items() if v[0] <= 7}
